@@ -1,0 +1,35 @@
+"""Vector scalar functions on array columns, computed in doubles."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+
+def _c(c) -> Column:
+    return F.col(c) if isinstance(c, str) else c
+
+
+def dot(a, b) -> Column:
+    """Sum of element products; arrays of unequal length give NULL."""
+    a, b = _c(a), _c(b)
+    prods = F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double"))
+    total = F.aggregate(prods, F.lit(0.0).cast("double"), lambda acc, x: acc + x)
+    return F.when(F.size(a) == F.size(b), total)
+
+
+def norm(a) -> Column:
+    a = _c(a)
+    sq = F.aggregate(a, F.lit(0.0).cast("double"),
+                     lambda acc, x: acc + x.cast("double") * x.cast("double"))
+    return F.sqrt(sq)
+
+
+def cosine(a, b) -> Column:
+    """Cosine similarity; a zero or missing vector gives NULL (never NaN)."""
+    den = norm(a) * norm(b)
+    return F.when(den > 0, F.try_divide(dot(a, b), den))
+
+
+def to_double_array(a) -> Column:
+    return _c(a).cast("array<double>")
