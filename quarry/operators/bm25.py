@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from quarry.config import Bm25Params
 from quarry.functions.text import WORD_2PLUS, explode_values, word_tokens
-from quarry.plans.joins import DEFAULT_BROADCAST_ROWS, bounded_broadcast, is_bounded, skew_join
+from quarry.plans.joins import DEFAULT_BROADCAST_ROWS, is_bounded, skew_join
 from quarry.plans.topk import OUTPUT_PLACES, max_k, ranked
 
 
@@ -35,13 +35,15 @@ def tokenize(documents: DataFrame, pattern: str = WORD_2PLUS) -> DataFrame:
     return documents.select("doc_id", word_tokens("content", pattern).alias("tokens"))
 
 
-def corpus_stats(doc_tokens: DataFrame):
+def corpus_stats(documents: DataFrame, pattern: str = WORD_2PLUS):
     """(N, mean length) as two scalar-subquery Columns.
 
     Catalyst merges the two subqueries into one aggregate and runs it once;
-    the values are then constants of the main plan, no join needed."""
-    n_docs = doc_tokens.select(F.count(F.lit(1))).scalar()
-    avg_len = doc_tokens.select(F.avg(F.size("tokens").cast("double"))).scalar()
+    the values are then constants of the main plan, no join needed. Lengths
+    are counted with regexp_count, without building the token arrays."""
+    n_tok = F.regexp_count(F.lower(F.coalesce("content", F.lit(""))), F.lit(pattern))
+    n_docs = documents.select(F.count(F.lit(1))).scalar()
+    avg_len = documents.select(F.avg(n_tok.cast("double"))).scalar()
     return n_docs, avg_len
 
 
@@ -79,11 +81,14 @@ def bm25_scores(documents: DataFrame, queries: DataFrame, params: Bm25Params = B
     k1, b, delta, tf0 = params.k1, params.b, params.delta, params.absent_tf
 
     dtok = tokenize(documents, pattern)
-    n_docs, avg_len = corpus_stats(dtok)
+    n_docs, avg_len = corpus_stats(documents, pattern)
 
     qterms = query_terms(queries, pattern)
-    distinct_terms = bounded_broadcast(qterms.select("term").distinct(), max_broadcast_rows)
-    post = postings(dtok, distinct_terms)
+    # One size check on the (query, term) pairs bounds every query-side table
+    # below: distinct terms, and qidf (at most one row per pair).
+    small_queries = is_bounded(qterms, max_broadcast_rows)
+    distinct_terms = qterms.select("term").distinct()
+    post = postings(dtok, F.broadcast(distinct_terms) if small_queries else distinct_terms)
     idf = document_frequency(post).select(
         "term", F.log((n_docs + 1.0) / (F.col("df") + 0.5)).alias("idf"))
 
@@ -95,7 +100,7 @@ def bm25_scores(documents: DataFrame, queries: DataFrame, params: Bm25Params = B
     gain = F.col("idf") * ((1.0 + k1) * (c + delta) / (k1 + c + delta) - tf0)
     # qidf has one row per (query, term), not per term: broadcast it when
     # bounded; otherwise join per term on the distinct-term key space.
-    matched = (_join_query_terms(post, qidf, max_broadcast_rows)
+    matched = (_join_query_terms(post, qidf, small_queries)
                .select("query_id", "doc_id", gain.alias("gain")))
 
     # Lowest 2*k_max ids as one bounded array (a scalar subquery, no cross join).
@@ -110,8 +115,8 @@ def bm25_scores(documents: DataFrame, queries: DataFrame, params: Bm25Params = B
             .select("query_id", "doc_id", (F.col("baseline") + F.col("gain")).alias("score")))
 
 
-def _join_query_terms(post: DataFrame, qidf: DataFrame, max_broadcast_rows: int) -> DataFrame:
-    if is_bounded(qidf, max_broadcast_rows):
+def _join_query_terms(post: DataFrame, qidf: DataFrame, small_queries: bool) -> DataFrame:
+    if small_queries:
         return post.join(F.broadcast(qidf), "term")
     # Many queries: group them per term first, so the lookup is unique per
     # key, split hot terms from the rest, then unfold the query list.

@@ -13,8 +13,28 @@ from quarry.config import DEFAULT_TOP_K
 from quarry.functions.text import clean_words, explode_values
 
 
+# The id column of each given table, used to spread a narrow scan.
+TABLE_KEYS = {"documents": "doc_id", "pages": "page_id", "conversations": "conv_id",
+              "embeddings": "vec_id", "benchmark": "item_id", "labels": "doc_id"}
+
+
+def spread(df: DataFrame, key: str | None) -> DataFrame:
+    """Hash-partition ``df`` by ``key`` when its scan has fewer partitions than
+    the cluster has cores (e.g. one Parquet row group). A large table already
+    scans as many partitions and is left alone, so this never adds a shuffle
+    at scale. Hash partitioning by the id also satisfies later groupings by
+    (id, ...), which then need no shuffle of their own."""
+    if key is None:
+        return df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores, key)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return spread(df, TABLE_KEYS.get(name))
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
