@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.plans.topk import OUTPUT_PLACES, SCORE_PLACES, max_k, ranked
+from quarry.session import shared_dir
 
 DEFAULT_BROADCAST_BYTES = 256 * 1024 * 1024
 CANDIDATE_SCHEMA = "query_id long, doc_id long, score double"
@@ -113,6 +114,10 @@ def dense_search(doc_vectors: DataFrame, query_vectors: DataFrame,
     """(query_id, rank, doc_id, score) top ``top_k`` by cosine.
 
     doc_vectors: (doc_id, embedding); query_vectors: (query_id, embedding, top_k)."""
+    # Query vectors are read three times (k, block sizing, broadcast) and may
+    # come from a model: pin them once in the shared checkpoint folder.
+    shared_dir(query_vectors.sparkSession)
+    query_vectors = query_vectors.select("query_id", "embedding", "top_k").checkpoint()
     k_max = max_k(query_vectors)
     if k_max <= 0:
         return doc_vectors.sparkSession.createDataFrame(

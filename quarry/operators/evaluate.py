@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions import metrics as M
+from quarry.session import shared_dir
 
 IDCG_CHUNK = 4096
 METRIC_COLUMNS = ["precision", "recall", "fallout", "f1", "f2", "ndcg", "ap",
@@ -73,7 +74,12 @@ def _methods_x_queries(runs: DataFrame, queries: DataFrame) -> DataFrame:
 def metrics_per_query(runs: DataFrame, qrels: DataFrame, documents: DataFrame,
                       queries: DataFrame) -> DataFrame:
     """O70 (per query): one row per (method, query_id) with counts and metrics."""
-    truth = resolve_qrels(qrels, documents)
+    # Runs and judgments are each read several times below; they are small
+    # next to what produced them, so they are written once to the shared
+    # checkpoint folder rather than recomputed per use.
+    shared_dir(runs.sparkSession)
+    runs = runs.checkpoint()
+    truth = resolve_qrels(qrels, documents).checkpoint()
     keys = content_keys(documents)
     n_docs = documents.select(F.count(F.lit(1))).scalar()
 

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from quarry.functions.text import clean_words, explode_values
 from quarry.operators.tfidf import weighted_terms
 from quarry.plans.joins import skew_join
+from quarry.session import shared_dir
 
 
 def vector_mean(df: DataFrame, key: str, vec: str = "vector", weight: str | None = None,
@@ -42,7 +43,10 @@ def word_vector_embed(documents: DataFrame, word_vectors: DataFrame, stop_words=
     weights = weighted_terms(documents, ngrams=False, stop_words=stop_words).select(
         "doc_id", F.col("term").alias("word"), "w")
     occ = word_occurrences(documents)
-    matched = occ.join(weights, ["doc_id", "word"])
+    # Read three times below (hot-key counts, hot and cold branches): written
+    # once to the shared checkpoint folder instead of re-tokenizing the corpus.
+    shared_dir(documents.sparkSession)
+    matched = occ.join(weights, ["doc_id", "word"]).checkpoint()
     wv = word_vectors.select("word", F.col("vector").cast("array<double>").alias("vector"))
     rows = (skew_join(matched, wv, "word")
             .select("doc_id", "vector", (F.col("occ") * F.col("w")).alias("weight")))
