@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.functions.text import WORD_1PLUS, explode_values
-from quarry.plans.joins import DEFAULT_BROADCAST_ROWS, bounded_broadcast
+from quarry.plans.joins import DEFAULT_BROADCAST_ROWS, is_bounded, lookup_join, skew_join
 
 ANCHOR_WORDS = 8
 
@@ -59,11 +59,20 @@ def containing_documents(documents: DataFrame, passages: DataFrame,
     shingles = _shingles(documents, lengths[0])
     for n in lengths[1:]:
         shingles = shingles.unionByName(_shingles(documents, n))
-    candidates = (shingles.join(bounded_broadcast(anchors, max_broadcast_rows),
-                                ["anchor_len", "anchor_key"])
-                  .select("query_id", "doc_id").distinct())
-    return (candidates
-            .join(documents.select("doc_id", "content"), "doc_id")
-            .join(passages.select("query_id", "passage"), "query_id")
+    if is_bounded(anchors, max_broadcast_rows):
+        hits = shingles.join(F.broadcast(anchors), ["anchor_len", "anchor_key"])
+    else:
+        # A repeated line makes one shingle key hot: group the anchors per key
+        # (unique lookup), split hot keys from the rest, unfold the queries.
+        per_key = (anchors.withColumn("k", F.struct("anchor_len", "anchor_key"))
+                   .groupBy("k").agg(F.collect_list("query_id").alias("qids")))
+        keyed = shingles.withColumn("k", F.struct("anchor_len", "anchor_key"))
+        hits = skew_join(keyed, per_key, "k").select("doc_id", F.explode("qids").alias("query_id"))
+    candidates = hits.select("query_id", "doc_id").distinct()
+    # A passage found in many copies makes its query_id hot: the passage side
+    # has one row per query, so it is a lookup (broadcast when bounded).
+    texts = lookup_join(candidates, passages.select("query_id", "passage"), "query_id",
+                        max_broadcast_rows=max_broadcast_rows)
+    return (texts.join(documents.select("doc_id", "content"), "doc_id")
             .filter(F.col("content").contains(F.col("passage")))
             .select("query_id", "doc_id"))
