@@ -71,6 +71,58 @@ def search(documents: DataFrame, queries: DataFrame, config: SearchConfig, make_
     return run
 
 
+def search_many(documents: DataFrame, queries: DataFrame, configs: dict[str, SearchConfig],
+                make_encoder, doc_vectors: DataFrame | None = None,
+                hypotheses: DataFrame | None = None, make_generator=None, make_scorer=None,
+                bm25_method: str | None = None, score_bm25: bool = False) -> DataFrame:
+    """Several methods in one job: (method, query_id, rank, doc_id, score[, similarity]).
+
+    Each leg is built once and shared by every method that uses it: the
+    corpus vectors, the plain and the HyDE dense leg, and one BM25L ranking
+    cut to each method's k (ranks are prefix-consistent, ties broken by id, so
+    the top-j of a top-k list is the top-j list). ``bm25_method`` also emits
+    the BM25L ranking itself as a method at the queries' own top_k (scored by
+    the pair scorer when ``score_bm25``)."""
+    if doc_vectors is None:
+        doc_vectors = models.embed_documents(documents, make_encoder)
+    legs: dict[str, DataFrame] = {}
+
+    def dense(hyde: bool) -> DataFrame:
+        key = "hyde" if hyde else "plain"
+        if key not in legs:
+            if hyde:
+                hyp = hypotheses if hypotheses is not None else models.generate_hypotheses(queries, make_generator)
+                qv = hyde_query_vectors(queries, hyp, make_encoder)
+            else:
+                qv = models.embed_queries(queries, make_encoder)
+            legs[key] = dense_search(doc_vectors, qv)
+        return legs[key]
+
+    bm25_ks = {c.bm25_top_k for c in configs.values() if c.use_bm25}
+    bm_all = None
+    if bm25_ks or bm25_method:
+        k_all = F.greatest(F.col("top_k"), F.lit(max(bm25_ks or {0})))
+        bm_all = bm25_search(documents, queries.withColumn("top_k", k_all))
+    out = []
+    if bm25_method:
+        run = (bm_all.join(queries.select("query_id", "top_k"), "query_id")
+               .filter(F.col("rank") <= F.col("top_k")).drop("top_k"))
+        out.append((bm25_method, run, score_bm25))
+    for name, cfg in configs.items():
+        run = dense(cfg.use_hyde)
+        if cfg.use_bm25:
+            leg = bm_all.filter(F.col("rank") <= cfg.bm25_top_k)
+            run = rrf([run, leg], queries.select("query_id", "top_k"))
+        out.append((name, run, cfg.use_evaluator))
+    result = None
+    for name, run, scored in out:
+        if scored:
+            run = attach_similarity(run, documents, queries, make_scorer)
+        run = run.withColumn("method", F.lit(name))
+        result = run if result is None else result.unionByName(run, allowMissingColumns=True)
+    return result
+
+
 def search_listing(run: DataFrame, documents: DataFrame) -> DataFrame:
     """What the result page shows, as rows: rank, id, content, score and
     the optional similarity (NULL when not scored). Display order is ``rank``."""

@@ -253,17 +253,13 @@ def mark_relevant(spark, sf):
 
 
 def _runs(spark, sf):
+    """Three methods, one job: BM25L alone, dense, and their fusion; every
+    returned row scored by the pair scorer."""
     docs, qs = T.documents(spark, sf), T.queries(spark, sf)
-    legs = {
-        "bm25": bm25.bm25_search(docs, qs),
-        "dense": S.search(docs, qs, SearchConfig(), ENCODER),
-        "hybrid": S.search(docs, qs, SearchConfig(use_bm25=True), ENCODER),
-    }
-    out = None
-    for name, run in legs.items():
-        r = S.attach_similarity(run, docs, qs, SCORER).withColumn("method", F.lit(name))
-        out = r if out is None else out.unionByName(r)
-    return out
+    cfg = {"dense": SearchConfig(use_evaluator=True),
+           "hybrid": SearchConfig(use_bm25=True, use_evaluator=True)}
+    return S.search_many(docs, qs, cfg, ENCODER, make_scorer=SCORER, bm25_method="bm25",
+                         score_bm25=True)
 
 
 def metrics_per_query(spark, sf):
