@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from quarry.config import Bm25Params
 from quarry.functions.text import WORD_2PLUS, explode_values, word_tokens
-from quarry.plans.joins import DEFAULT_BROADCAST_ROWS, is_bounded, skew_join
+from quarry.plans.joins import DEFAULT_BROADCAST_ROWS, is_bounded, salted_hot_join
 from quarry.plans.topk import OUTPUT_PLACES, max_k, ranked
 
 
@@ -89,8 +89,8 @@ def bm25_scores(documents: DataFrame, queries: DataFrame, params: Bm25Params = B
     small_queries = is_bounded(qterms, max_broadcast_rows)
     distinct_terms = qterms.select("term").distinct()
     post = postings(dtok, F.broadcast(distinct_terms) if small_queries else distinct_terms)
-    idf = document_frequency(post).select(
-        "term", F.log((n_docs + 1.0) / (F.col("df") + 0.5)).alias("idf"))
+    df = document_frequency(post)
+    idf = df.select("term", F.log((n_docs + 1.0) / (F.col("df") + 0.5)).alias("idf"))
 
     # (query_id, term, idf) for the query terms that occur in the corpus.
     qidf = qterms.join(idf, "term")
@@ -98,9 +98,9 @@ def bm25_scores(documents: DataFrame, queries: DataFrame, params: Bm25Params = B
 
     c = F.col("tf") / ((1.0 - b) + b * F.col("doc_len") / avg_len)
     gain = F.col("idf") * ((1.0 + k1) * (c + delta) / (k1 + c + delta) - tf0)
-    # qidf has one row per (query, term), not per term: broadcast it when
-    # bounded; otherwise join per term on the distinct-term key space.
-    matched = (_join_query_terms(post, qidf, small_queries)
+    # qidf has one row per (query, term): broadcast when bounded, otherwise a
+    # salted join for the common words.
+    matched = (_join_query_terms(post, qidf, small_queries, df)
                .select("query_id", "doc_id", gain.alias("gain")))
 
     # Lowest 2*k_max ids as one bounded array (a scalar subquery, no cross join).
@@ -115,14 +115,14 @@ def bm25_scores(documents: DataFrame, queries: DataFrame, params: Bm25Params = B
             .select("query_id", "doc_id", (F.col("baseline") + F.col("gain")).alias("score")))
 
 
-def _join_query_terms(post: DataFrame, qidf: DataFrame, small_queries: bool) -> DataFrame:
+def _join_query_terms(post: DataFrame, qidf: DataFrame, small_queries: bool,
+                      df: DataFrame) -> DataFrame:
     if small_queries:
         return post.join(F.broadcast(qidf), "term")
-    # Many queries: group them per term first, so the lookup is unique per
-    # key, split hot terms from the rest, then unfold the query list.
-    per_term = qidf.groupBy("term", "idf").agg(F.collect_list("query_id").alias("qids"))
-    return (skew_join(post, per_term, "term")
-            .select("doc_id", "doc_len", "term", "tf", "idf", F.explode("qids").alias("query_id")))
+    # Many queries: a common word is hot on both sides (many postings, many
+    # queries); salt its postings by document and replicate its query rows.
+    return salted_hot_join(post, qidf, "term", salt_from=["doc_id"],
+                           key_counts=df.select("term", F.col("df").alias("n")))
 
 
 def bm25_search(documents: DataFrame, queries: DataFrame, params: Bm25Params = Bm25Params(),

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.functions.text import WORD_1PLUS, explode_values
-from quarry.plans.joins import DEFAULT_BROADCAST_ROWS, is_bounded, lookup_join, skew_join
+from quarry.plans.joins import DEFAULT_BROADCAST_ROWS, is_bounded, lookup_join, salted_hot_join
 
 ANCHOR_WORDS = 8
 
@@ -62,12 +62,11 @@ def containing_documents(documents: DataFrame, passages: DataFrame,
     if is_bounded(anchors, max_broadcast_rows):
         hits = shingles.join(F.broadcast(anchors), ["anchor_len", "anchor_key"])
     else:
-        # A repeated line makes one shingle key hot: group the anchors per key
-        # (unique lookup), split hot keys from the rest, unfold the queries.
-        per_key = (anchors.withColumn("k", F.struct("anchor_len", "anchor_key"))
-                   .groupBy("k").agg(F.collect_list("query_id").alias("qids")))
+        # A repeated line makes one shingle key hot on the text side, and
+        # copies of a passage make it hot on the passage side: salt it.
         keyed = shingles.withColumn("k", F.struct("anchor_len", "anchor_key"))
-        hits = skew_join(keyed, per_key, "k").select("doc_id", F.explode("qids").alias("query_id"))
+        akeyed = anchors.withColumn("k", F.struct("anchor_len", "anchor_key")).select("k", "query_id")
+        hits = salted_hot_join(keyed.select("k", "doc_id"), akeyed, "k", salt_from=["doc_id"])
     candidates = hits.select("query_id", "doc_id").distinct()
     # A passage found in many copies makes its query_id hot: the passage side
     # has one row per query, so it is a lookup (broadcast when bounded).

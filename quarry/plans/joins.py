@@ -8,7 +8,10 @@
   key may hold a large share of the big side, e.g. a common word. Hot keys
   (a provably bounded set) are broadcast and joined map-side; the rest is an
   ordinary shuffle join.
-* ``lookup_join``: the two above combined.
+* ``salted_hot_join``: a many-to-many join where a key is hot on both sides:
+  hot keys are salted on the big side and replicated (hot rows only) on the
+  other.
+* ``lookup_join``: broadcast when bounded, else ``skew_join``.
 """
 
 from __future__ import annotations
@@ -20,6 +23,8 @@ from pyspark.sql import functions as F
 DEFAULT_BROADCAST_ROWS = 2_000_000
 # A key is hot when it holds at least 1/DEFAULT_MAX_HOT_KEYS of the rows.
 DEFAULT_MAX_HOT_KEYS = 10_000
+# Tasks a hot key of a many-to-many join is spread over.
+DEFAULT_SALTS = 64
 
 
 def is_bounded(df: DataFrame, max_rows: int) -> bool:
@@ -58,6 +63,31 @@ def skew_join(big: DataFrame, small: DataFrame, on: str, how: str = "inner",
     return hot.unionByName(cold)
 
 
+def salted_hot_join(big: DataFrame, other: DataFrame, on: str, salt_from: list[str],
+                    key_counts: DataFrame | None = None, salts: int = DEFAULT_SALTS,
+                    max_hot: int = DEFAULT_MAX_HOT_KEYS) -> DataFrame:
+    """Inner many-to-many join where a key may be hot on *both* sides (e.g. a
+    common word shared by many queries and many documents).
+
+    Hot keys (at most ``max_hot``, by pigeonhole over ``key_counts``) are
+    split: big's rows get a salt from ``salt_from``, only the hot rows of
+    ``other`` are replicated once per salt, and the join is on (key, salt), so
+    a hot key's work is spread over ``salts`` tasks. Cold keys take a plain
+    shuffle join. Nothing is collected into lists."""
+    if key_counts is None:
+        key_counts = big.groupBy(on).agg(F.count(F.lit(1)).alias("n"))
+    total = key_counts.select(F.sum("n")).scalar()
+    hot_keys = F.broadcast(key_counts.filter(F.col("n") * F.lit(int(max_hot)) >= total).select(on))
+    salt = "__salt"
+    big_hot = (big.join(hot_keys, on, "left_semi")
+               .withColumn(salt, F.pmod(F.xxhash64(*[F.col(c) for c in salt_from]), F.lit(salts))))
+    other_hot = (other.join(hot_keys, on, "left_semi")
+                 .withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))))
+    hot = big_hot.join(other_hot, [on, salt]).drop(salt)
+    cold = big.join(hot_keys, on, "left_anti").join(other.join(hot_keys, on, "left_anti"), on)
+    return hot.unionByName(cold)
+
+
 def lookup_join(big: DataFrame, small: DataFrame, on: str, how: str = "inner",
                 max_broadcast_rows: int = DEFAULT_BROADCAST_ROWS,
                 max_hot: int = DEFAULT_MAX_HOT_KEYS) -> DataFrame:

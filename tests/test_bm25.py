@@ -55,3 +55,12 @@ def test_plan_limits_before_shuffle(spark, toy_docs):
     assert "WindowGroupLimit" in plan
     assert "BroadcastHashJoin" in plan
     assert "PythonUDF" not in plan and "ArrowEvalPython" not in plan
+
+
+def test_many_queries_path_equals_broadcast_path(spark):
+    docs = spark.createDataFrame([(i, " ".join(["the"] * (i % 3 + 1) + [f"w{i % 7}", "robot" if i % 4 == 0 else "arm"]))
+                                  for i in range(60)], "doc_id long, content string")
+    qs = _q(spark, [(q, f"the w{q % 7} robot", 5) for q in range(12)] + [(99, "zzz", 5)])
+    small = sorted(map(tuple, bm25_search(docs, qs).collect()))
+    big = sorted(map(tuple, bm25_search(docs, qs, max_broadcast_rows=0).collect()))
+    assert small == big and len(small) == 60

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from quarry.operators.passages import containing_documents
-from quarry.plans.joins import is_bounded, lookup_join, skew_join
+from quarry.plans.joins import is_bounded, lookup_join, salted_hot_join, skew_join
 from quarry.plans.topk import top_k_per_group
 from quarry.sources.tables import spread
 
@@ -51,3 +51,12 @@ def test_containing_documents_unbounded_path(spark):
     small = sorted(map(tuple, containing_documents(docs, ps).collect()))
     big = sorted(map(tuple, containing_documents(docs, ps, max_broadcast_rows=0).collect()))
     assert small == big == [(1, i) for i in range(40)]
+
+
+def test_salted_hot_join_equals_plain_join(spark):
+    big = spark.createDataFrame([(i, 0 if i % 3 else i % 11) for i in range(3000)], "id long, k long")
+    other = spark.createDataFrame([(k % 11 if k % 5 else 0, k) for k in range(200)], "k long, q long")
+    want = sorted(map(tuple, big.join(other, "k").select("k", "id", "q").collect()))
+    got = sorted(map(tuple, salted_hot_join(big, other, "k", ["id"], salts=7, max_hot=5)
+                     .select("k", "id", "q").collect()))
+    assert got == want
