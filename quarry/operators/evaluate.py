@@ -24,9 +24,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions import metrics as M
+from quarry.plans.joins import is_bounded
 from quarry.session import shared_dir
 
 IDCG_CHUNK = 4096
+MAX_METHODS = 1000
 METRIC_COLUMNS = ["precision", "recall", "fallout", "f1", "f2", "ndcg", "ap",
                   "recall_multi_hit", "avg_similarity"]
 
@@ -66,7 +68,9 @@ def ideal_dcg(counts: DataFrame, n_col: str = "n_truth", chunk: int = IDCG_CHUNK
 
 def _methods_x_queries(runs: DataFrame, queries: DataFrame) -> DataFrame:
     """Every (method, query) pair, so a query with no result keeps its row.
-    The method list is a bounded scalar subquery (a handful of names)."""
+    The method list is a scalar subquery, checked to be a handful of names."""
+    if not is_bounded(runs.select("method").distinct(), MAX_METHODS):
+        raise ValueError(f"more than {MAX_METHODS} methods in one evaluation")
     methods = runs.agg(F.array_sort(F.collect_set("method"))).scalar()
     return queries.select("query_id", F.explode(methods).alias("method"))
 
