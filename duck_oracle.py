@@ -518,6 +518,7 @@ def oracle_sql() -> dict[str, str]:
         "generate_hypotheses": generate_hypotheses(),
         "cosine_topk": cosine_topk(),
         "bm25_topk": bm25_topk(),
+        "bm25_index_topk": bm25_topk(),
         "dense_hash_topk": dense_hash_topk(),
         "rrf_hybrid": rrf_hybrid(),
         "hyde_topk": hyde_topk(),

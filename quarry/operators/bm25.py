@@ -71,25 +71,13 @@ def document_frequency(post: DataFrame) -> DataFrame:
     return post.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
 
 
-def bm25_scores(documents: DataFrame, queries: DataFrame, params: Bm25Params = Bm25Params(),
-                pattern: str = WORD_2PLUS, k_max: int | None = None,
-                max_broadcast_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
-    """Candidate (query_id, doc_id, score): every matched document plus the
-    lowest-id fill, enough for any top_k <= k_max."""
-    if k_max is None:
-        k_max = max_k(queries)
-    k1, b, delta, tf0 = params.k1, params.b, params.delta, params.absent_tf
+def _score(post: DataFrame, df: DataFrame, n_docs, avg_len, qterms: DataFrame,
+           doc_ids: DataFrame, small_queries: bool, params: Bm25Params, k_max: int) -> DataFrame:
+    """Scoring core shared by the in-memory and the stored-index search.
 
-    dtok = tokenize(documents, pattern)
-    n_docs, avg_len = corpus_stats(documents, pattern)
-
-    qterms = query_terms(queries, pattern)
-    # One size check on the (query, term) pairs bounds every query-side table
-    # below: distinct terms, and qidf (at most one row per pair).
-    small_queries = is_bounded(qterms, max_broadcast_rows)
-    distinct_terms = qterms.select("term").distinct()
-    post = postings(dtok, F.broadcast(distinct_terms) if small_queries else distinct_terms)
-    df = document_frequency(post)
+    post: (doc_id, doc_len, term, tf) restricted to query terms;
+    df: (term, df) for those terms; doc_ids: every document id (for the fill)."""
+    k1, b, delta, tf0 = params.k1, params.b, params.delta, params.absent_tf
     idf = df.select("term", F.log((n_docs + 1.0) / (F.col("df") + 0.5)).alias("idf"))
 
     # (query_id, term, idf) for the query terms that occur in the corpus.
@@ -104,7 +92,7 @@ def bm25_scores(documents: DataFrame, queries: DataFrame, params: Bm25Params = B
                .select("query_id", "doc_id", gain.alias("gain")))
 
     # Lowest 2*k_max ids as one bounded array (a scalar subquery, no cross join).
-    fill_ids = (documents.select("doc_id").orderBy("doc_id").limit(2 * max(k_max, 1))
+    fill_ids = (doc_ids.select("doc_id").orderBy("doc_id").limit(2 * max(k_max, 1))
                 .agg(F.collect_list("doc_id")).scalar())
     fill = baseline.select("query_id", F.explode(fill_ids).alias("doc_id"),
                            F.lit(0.0).alias("gain"))
@@ -115,6 +103,25 @@ def bm25_scores(documents: DataFrame, queries: DataFrame, params: Bm25Params = B
             .select("query_id", "doc_id", (F.col("baseline") + F.col("gain")).alias("score")))
 
 
+def bm25_scores(documents: DataFrame, queries: DataFrame, params: Bm25Params = Bm25Params(),
+                pattern: str = WORD_2PLUS, k_max: int | None = None,
+                max_broadcast_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
+    """Candidate (query_id, doc_id, score): every matched document plus the
+    lowest-id fill, enough for any top_k <= k_max."""
+    if k_max is None:
+        k_max = max_k(queries)
+    dtok = tokenize(documents, pattern)
+    n_docs, avg_len = corpus_stats(documents, pattern)
+    qterms = query_terms(queries, pattern)
+    # One size check on the (query, term) pairs bounds every query-side table
+    # below: distinct terms, and qidf (at most one row per pair).
+    small_queries = is_bounded(qterms, max_broadcast_rows)
+    distinct_terms = qterms.select("term").distinct()
+    post = postings(dtok, F.broadcast(distinct_terms) if small_queries else distinct_terms)
+    return _score(post, document_frequency(post), n_docs, avg_len, qterms, documents,
+                  small_queries, params, k_max)
+
+
 def _join_query_terms(post: DataFrame, qidf: DataFrame, small_queries: bool,
                       df: DataFrame) -> DataFrame:
     if small_queries:
@@ -125,6 +132,13 @@ def _join_query_terms(post: DataFrame, qidf: DataFrame, small_queries: bool,
                            key_counts=df.select("term", F.col("df").alias("n")))
 
 
+def _finish(scores: DataFrame, qk: DataFrame, k_max: int) -> DataFrame:
+    out = ranked(scores, qk.select("query_id", "top_k"), k_max)
+    return (out.filter(F.col("score") > 0)  # O15
+            .select("query_id", "rank", "doc_id",
+                    F.round("score", OUTPUT_PLACES).alias("score")))
+
+
 def bm25_search(documents: DataFrame, queries: DataFrame, params: Bm25Params = Bm25Params(),
                 pattern: str = WORD_2PLUS, top_k_col: str = "top_k",
                 max_broadcast_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
@@ -133,8 +147,75 @@ def bm25_search(documents: DataFrame, queries: DataFrame, params: Bm25Params = B
     documents: (doc_id, content); queries: (query_id, query, top_k)."""
     qk = queries.select("query_id", "query", F.col(top_k_col).alias("top_k"))
     k_max = max_k(qk)
-    scores = bm25_scores(documents, qk, params, pattern, k_max, max_broadcast_rows)
-    out = ranked(scores, qk.select("query_id", "top_k"), k_max)
-    return (out.filter(F.col("score") > 0)  # O15
-            .select("query_id", "rank", "doc_id",
-                    F.round("score", OUTPUT_PLACES).alias("score")))
+    return _finish(bm25_scores(documents, qk, params, pattern, k_max, max_broadcast_rows), qk, k_max)
+
+
+# ---------------------------------------------------------------------------
+# Stored index: build once, search many times (the reference builds its store
+# once at start-up). Postings are written partitioned by a hash bucket of the
+# term, so a search reads only the buckets its query terms fall in (static
+# partition pruning on the bounded list of needed buckets).
+# ---------------------------------------------------------------------------
+
+DEFAULT_INDEX_BUCKETS = 256
+WRITE_SPLIT = 16
+
+
+def _bucket(col: str, buckets: int):
+    return F.pmod(F.xxhash64(F.col(col)), F.lit(buckets)).cast("int")
+
+
+def build_bm25_index(documents: DataFrame, path: str, pattern: str = WORD_2PLUS,
+                     buckets: int = DEFAULT_INDEX_BUCKETS) -> None:
+    """Write postings (term_bucket, term, doc_id, doc_len, tf), document
+    frequencies (term_bucket, term, df), document ids and corpus statistics."""
+    dtok = tokenize(documents, pattern)
+    post = postings(dtok).withColumn("term_bucket", _bucket("term", buckets))
+    # One shuffle at build time: rows of a bucket go to few tasks (few files
+    # per folder), split by a document salt so a bucket holding a very
+    # common word is still written by up to WRITE_SPLIT tasks; sorted by term
+    # so row-group statistics narrow the reads further.
+    salt = F.pmod(F.xxhash64("doc_id"), F.lit(WRITE_SPLIT))
+    (post.repartition("term_bucket", salt).sortWithinPartitions("term", "doc_id")
+     .write.mode("overwrite").partitionBy("term_bucket").parquet(f"{path}/postings"))
+    spark = documents.sparkSession
+    stored = spark.read.parquet(f"{path}/postings")
+    (stored.groupBy("term_bucket", "term").agg(F.count(F.lit(1)).alias("df"))
+     .write.mode("overwrite").partitionBy("term_bucket").parquet(f"{path}/df"))
+    n_tok = F.regexp_count(F.lower(F.coalesce("content", F.lit(""))), F.lit(pattern))
+    documents.select("doc_id", n_tok.alias("doc_len")).write.mode("overwrite").parquet(f"{path}/docs")
+    docs = spark.read.parquet(f"{path}/docs")
+    (docs.agg(F.count(F.lit(1)).alias("n_docs"), F.avg(F.col("doc_len").cast("double")).alias("avg_len"))
+     .withColumn("buckets", F.lit(int(buckets))).withColumn("pattern", F.lit(pattern))
+     .write.mode("overwrite").parquet(f"{path}/stats"))
+
+
+def bm25_search_index(spark, path: str, queries: DataFrame, params: Bm25Params = Bm25Params(),
+                      top_k_col: str = "top_k",
+                      max_broadcast_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
+    """O66 over a stored index: same output as ``bm25_search``."""
+    stats = spark.read.parquet(f"{path}/stats")
+    meta = stats.select("buckets", "pattern").first()
+    buckets, pattern = int(meta["buckets"]), meta["pattern"]
+    n_docs = stats.select("n_docs").scalar()
+    avg_len = stats.select("avg_len").scalar()
+    qk = queries.select("query_id", "query", F.col(top_k_col).alias("top_k"))
+    k_max = max_k(qk)
+    qterms = query_terms(qk, pattern)
+    small_queries = is_bounded(qterms, max_broadcast_rows)
+    terms = qterms.select("term").distinct().withColumn("term_bucket", _bucket("term", buckets))
+    # The buckets the query terms fall in: at most ``buckets`` integers. As a
+    # static partition filter they make each scan list and read only those
+    # folders of the index.
+    needed = [r[0] for r in terms.select("term_bucket").distinct().collect()]
+    terms = F.broadcast(terms) if small_queries else terms
+
+    def part(name: str) -> DataFrame:
+        return (spark.read.parquet(f"{path}/{name}").filter(F.col("term_bucket").isin(needed))
+                .join(terms, ["term_bucket", "term"], "left_semi"))
+
+    post = part("postings").select("doc_id", "doc_len", "term", "tf")
+    df = part("df").select("term", "df")
+    docs = spark.read.parquet(f"{path}/docs")
+    scores = _score(post, df, n_docs, avg_len, qterms, docs, small_queries, params, k_max)
+    return _finish(scores, qk, k_max)

@@ -64,3 +64,18 @@ def test_many_queries_path_equals_broadcast_path(spark):
     small = sorted(map(tuple, bm25_search(docs, qs).collect()))
     big = sorted(map(tuple, bm25_search(docs, qs, max_broadcast_rows=0).collect()))
     assert small == big and len(small) == 60
+
+
+def test_stored_index_equals_direct(spark, toy_docs):
+    from quarry.operators.bm25 import bm25_search_index, build_bm25_index
+    from quarry.session import shared_dir
+
+    path = shared_dir(spark, "test_bm25_index")
+    build_bm25_index(toy_docs, path, buckets=4)
+    qs = _q(spark, [(1, "robot leaf", 10), (2, "zzz", 10), (3, "robot", 2)])
+    direct = sorted(map(tuple, bm25_search(toy_docs, qs).collect()))
+    stored = bm25_search_index(spark, path, qs)
+    assert sorted(map(tuple, stored.collect())) == direct
+    plan = stored._jdf.queryExecution().executedPlan().toString()
+    import re
+    assert re.search(r"PartitionFilters: \[term_bucket#\d+ (INSET|IN)", plan)
