@@ -10,8 +10,8 @@ doc_id ASC; output round(x, 6).
 
 from __future__ import annotations
 
-from quarry.functions.text import (DIGIT_WORD, HYDE_PROMPT, PUNCTUATION, WHITESPACE,
-                                   WORD_1PLUS, WORD_2PLUS, english_stop_words)
+from quarry.functions.text import (DIGIT_WORD, HYDE_PROMPT, PUNCTUATION, WHITESPACE, WORD_2PLUS,
+                                   english_stop_words)
 from quarry.registry import PROJECTION_SOURCES
 from quarry.sources import pages as P
 

@@ -157,8 +157,8 @@ def bm25_search(documents: DataFrame, queries: DataFrame, params: Bm25Params = B
 # partition pruning on the bounded list of needed buckets).
 # ---------------------------------------------------------------------------
 
-DEFAULT_INDEX_BUCKETS = 256
-WRITE_SPLIT = 16
+DEFAULT_INDEX_BUCKETS = 64
+WRITE_SPLIT = 4
 
 
 def _bucket(col: str, buckets: int):
