@@ -522,6 +522,7 @@ def oracle_sql() -> dict[str, str]:
         "dense_hash_topk": dense_hash_topk(),
         "rrf_hybrid": rrf_hybrid(),
         "hyde_topk": hyde_topk(),
+        "stream_search": search_flags(False, True, False),
         "pair_similarity": pair_similarity(),
         "search_listing": search_listing(),
         "embeddings_missing": embeddings_missing(),

@@ -213,6 +213,28 @@ def _search_flags(cfg: SearchConfig):
     return run
 
 
+def stream_search(spark, sf):
+    """The request path as a stream: benchmark passages arrive through a file
+    stream source and each micro-batch is searched (dense + BM25L fusion)
+    against document vectors computed once."""
+    from quarry.streaming.search_stream import start_search_stream
+
+    docs = T.documents(spark, sf)
+    shared_dir(spark)
+    vecs = models.embed_documents(docs, ENCODER).checkpoint()
+    stream = (spark.readStream.schema("item_id long, text string")
+              .option("maxFilesPerTrigger", "1").parquet(f"{sf.rstrip('/')}/benchmark*.parquet"))
+    qs = stream.select(F.col("item_id").alias("query_id"), F.col("text").alias("query"),
+                       F.lit(10).alias("top_k"))
+    out = shared_dir(spark, "stream_search_out")
+    h = start_search_stream(qs, docs, vecs, SearchConfig(use_bm25=True), ENCODER, out,
+                            available_now=True)
+    h.awaitTermination()
+    if h.exception() is not None:
+        raise RuntimeError(str(h.exception()))
+    return spark.read.parquet(out).select("query_id", "rank", "doc_id", "score")
+
+
 def pair_similarity(spark, sf):
     docs, qs = T.documents(spark, sf), T.queries(spark, sf)
     run = bm25.bm25_search(docs, qs)
@@ -315,6 +337,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "dense_hash_topk": dense_hash_topk,
         "rrf_hybrid": rrf_hybrid,
         "hyde_topk": hyde_topk,
+        "stream_search": stream_search,
         "pair_similarity": pair_similarity,
         "search_listing": search_listing,
         "embeddings_missing": embeddings_missing,
