@@ -52,9 +52,17 @@ def read_word_vectors(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(WORD_VECTORS_SCHEMA).parquet(path)
 
 
-def save_embeddings(df: DataFrame, path: str, mode: str = "append") -> None:
-    """Store partitioned by method; (method, doc_id) must be unique."""
-    df.select([f.name for f in EMBEDDINGS_SCHEMA.fields]).write.mode(mode).partitionBy("method").parquet(path)
+def save_embeddings(df: DataFrame, path: str, mode: str = "append", check_unique: bool = True) -> None:
+    """Store partitioned by method; (method, doc_id) must be unique.
+
+    The check is a partial aggregate that stops at the first duplicate."""
+    rows = df.select([f.name for f in EMBEDDINGS_SCHEMA.fields])
+    if check_unique:
+        dup = (rows.groupBy("method", "doc_id").count().filter(F.col("count") > 1)
+               .select("method", "doc_id").limit(1).collect())
+        if dup:
+            raise ValueError(f"duplicate (method, doc_id) in embeddings: {tuple(dup[0])}")
+    rows.write.mode(mode).partitionBy("method").parquet(path)
 
 
 def load_embeddings(spark: SparkSession, path: str, method: str | None = None) -> DataFrame:

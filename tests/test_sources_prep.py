@@ -83,3 +83,15 @@ def test_store_reuse(spark):
     docs2 = spark.createDataFrame([(1, "alpha beta"), (2, "changed"), (3, "new")], "doc_id long, content string")
     second = {r.doc_id: r.reused for r in get_or_create_embeddings(docs2, enc, path, "hash").collect()}
     assert second == {1: True, 2: False, 3: False}
+    forced = {r.doc_id: r.reused for r in get_or_create_embeddings(docs2, enc, path, "hash", force=True).collect()}
+    assert forced == {1: False, 2: False, 3: False}
+
+
+def test_store_rejects_duplicate_ids(spark):
+    rows = spark.createDataFrame([("m", 1, "h", [1.0]), ("m", 1, "h2", [2.0])],
+                                 "method string, doc_id long, content_hash string, embedding array<float>")
+    try:
+        files.save_embeddings(rows, shared_dir(spark, "test_dup"))
+        raise AssertionError("expected ValueError")
+    except ValueError:
+        pass
