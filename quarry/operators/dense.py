@@ -26,6 +26,8 @@ from quarry.plans.topk import OUTPUT_PLACES, SCORE_PLACES, max_k, ranked
 from quarry.session import shared_dir
 
 DEFAULT_BROADCAST_BYTES = 256 * 1024 * 1024
+# Queries scored per matrix product inside a task (bounds the score matrix).
+QUERY_CHUNK = 512
 CANDIDATE_SCHEMA = "query_id long, doc_id long, score double"
 
 
@@ -43,8 +45,12 @@ def _query_block(rows: pd.DataFrame, dim: int):
     return np.asarray(ids, dtype=np.int64), q
 
 
-def _partition_topk(k: int, dim: int, block):
-    """mapInPandas body: best k documents per query within one partition."""
+def _partition_topk(k: int, dim: int, block, query_chunk: int = QUERY_CHUNK):
+    """mapInPandas body: best k documents per query within one partition.
+
+    Rows are sorted by doc_id once; queries are taken QUERY_CHUNK at a time
+    (bounded memory); one stable argsort per chunk orders every column by
+    score, ties by doc_id, all inside numpy."""
 
     def run(batches):
         qids, q = block.value
@@ -56,37 +62,32 @@ def _partition_topk(k: int, dim: int, block):
             if not ok.any():
                 continue
             m = np.vstack([np.asarray(v, dtype=np.float64) for v in emb[ok]])
-            ids = pdf["doc_id"].to_numpy()[ok]
+            ids = pdf["doc_id"].to_numpy()[ok].astype(np.int64)
             nrm = np.linalg.norm(m, axis=1)
             live = nrm > 0
             m, ids, nrm = m[live], ids[live], nrm[live]
             if len(ids) == 0:
                 continue
-            s = (m @ q.T) / nrm[:, None]          # (docs, queries) cosine
-            r = np.round(s, SCORE_PLACES)
+            by_id = np.argsort(ids, kind="stable")
+            m, ids, nrm = m[by_id], ids[by_id], nrm[by_id]
             kk = min(k, len(ids))
-            out_q, out_d, out_s = [], [], []
-            for j in range(len(qids)):
-                col = r[:, j]
-                if kk < len(ids):
-                    thr = np.partition(col, len(ids) - kk)[len(ids) - kk]
-                    cand = np.nonzero(col >= thr)[0]
-                else:
-                    cand = np.arange(len(ids))
-                order = np.lexsort((ids[cand], -col[cand]))[:kk]
-                pick = cand[order]
-                out_q.append(np.full(len(pick), qids[j], dtype=np.int64))
-                out_d.append(ids[pick])
-                out_s.append(s[pick, j])
-            yield pd.DataFrame({"query_id": np.concatenate(out_q),
-                                "doc_id": np.concatenate(out_d).astype(np.int64),
-                                "score": np.concatenate(out_s)})
+            for c0 in range(0, len(qids), query_chunk):
+                qc = q[c0:c0 + query_chunk]
+                s = (m @ qc.T) / nrm[:, None]                   # (docs, queries) cosine
+                order = np.argsort(-np.round(s, SCORE_PLACES), axis=0, kind="stable")[:kk]
+                cols = np.broadcast_to(np.arange(qc.shape[0]), order.shape)
+                yield pd.DataFrame({
+                    "query_id": qids[c0:c0 + query_chunk][cols.T.ravel()],
+                    "doc_id": ids[order.T.ravel()],
+                    "score": s[order.T.ravel(), cols.T.ravel()],
+                })
 
     return run
 
 
 def cosine_candidates(doc_vectors: DataFrame, query_vectors: DataFrame, k: int,
-                      max_broadcast_bytes: int = DEFAULT_BROADCAST_BYTES) -> DataFrame:
+                      max_broadcast_bytes: int = DEFAULT_BROADCAST_BYTES,
+                      query_chunk: int = QUERY_CHUNK) -> DataFrame:
     """Per-partition best k (query_id, doc_id, score) for every query."""
     spark = doc_vectors.sparkSession
     qv = query_vectors.select("query_id", "embedding")
@@ -102,7 +103,7 @@ def cosine_candidates(doc_vectors: DataFrame, query_vectors: DataFrame, k: int,
             F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
         # Bounded by the byte budget above: at most max_broadcast_bytes per block.
         block = spark.sparkContext.broadcast(_query_block(part.toPandas(), dim))
-        parts.append(docs.mapInPandas(_partition_topk(k, dim, block), CANDIDATE_SCHEMA))
+        parts.append(docs.mapInPandas(_partition_topk(k, dim, block, query_chunk), CANDIDATE_SCHEMA))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -110,7 +111,8 @@ def cosine_candidates(doc_vectors: DataFrame, query_vectors: DataFrame, k: int,
 
 
 def dense_search(doc_vectors: DataFrame, query_vectors: DataFrame,
-                 max_broadcast_bytes: int = DEFAULT_BROADCAST_BYTES) -> DataFrame:
+                 max_broadcast_bytes: int = DEFAULT_BROADCAST_BYTES,
+                 query_chunk: int = QUERY_CHUNK) -> DataFrame:
     """(query_id, rank, doc_id, score) top ``top_k`` by cosine.
 
     doc_vectors: (doc_id, embedding); query_vectors: (query_id, embedding, top_k)."""
@@ -122,6 +124,6 @@ def dense_search(doc_vectors: DataFrame, query_vectors: DataFrame,
     if k_max <= 0:
         return doc_vectors.sparkSession.createDataFrame(
             [], "query_id long, rank int, doc_id long, score double")
-    cands = cosine_candidates(doc_vectors, query_vectors, k_max, max_broadcast_bytes)
+    cands = cosine_candidates(doc_vectors, query_vectors, k_max, max_broadcast_bytes, query_chunk)
     out = ranked(cands, query_vectors.select("query_id", "top_k"), k_max)
     return out.select("query_id", "rank", "doc_id", F.round("score", OUTPUT_PLACES).alias("score"))

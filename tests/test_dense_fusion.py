@@ -26,7 +26,8 @@ def test_cosine_blocks_give_same_result(spark):
                                "query_id long, embedding array<float>, top_k int")
     one = sorted(map(tuple, dense_search(docs, qs).collect()))
     many = sorted(map(tuple, dense_search(docs, qs, max_broadcast_bytes=100).collect()))
-    assert one == many and len(one) == 60
+    chunked = sorted(map(tuple, dense_search(docs, qs, query_chunk=3).collect()))
+    assert one == many == chunked and len(one) == 60
 
 
 def test_rrf_golden(spark):
