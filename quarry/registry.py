@@ -16,6 +16,7 @@ from quarry.operators import bm25, evaluate, models, prep, tfidf, vectors
 from quarry.operators.dense import dense_search
 from quarry.operators.passages import containing_documents
 from quarry.plans import search as S
+from quarry.plans.ingest import ingest_pages
 from quarry.session import shared_dir
 from quarry.sources import files, pages
 from quarry.sources import tables as T
@@ -98,13 +99,7 @@ def documents_projection(spark, sf):
 
 def ingest_papers(spark, sf):
     """O02 -> O04 -> O01 -> O09 -> O16 -> O08: pages to a document table."""
-    papers = pages.extract_pages(T.table(spark, sf, "pages")).select(
-        "title", "abstract", "webpage_url", "document_url")
-    path = shared_dir(spark, "papers")
-    files.write_papers(papers, path)
-    back = prep.drop_missing(files.read_papers(spark, path), "abstract")
-    first = prep.unique_by(back, ["title"], ["abstract", "webpage_url", "document_url"])
-    return prep.to_documents(first)
+    return ingest_pages(T.table(spark, sf, "pages"), shared_dir(spark, "papers"))
 
 
 # --- text --------------------------------------------------------------------
