@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions import metrics as M
-from quarry.plans.joins import is_bounded
+from quarry.plans.joins import is_bounded, join_small_to_big
 from quarry.session import shared_dir
 
 IDCG_CHUNK = 4096
@@ -84,7 +84,10 @@ def metrics_per_query(runs: DataFrame, qrels: DataFrame, documents: DataFrame,
     shared_dir(runs.sparkSession)
     runs = runs.checkpoint()
     truth = resolve_qrels(qrels, documents).checkpoint()
-    keys = content_keys(documents)
+    # Content keys only for documents that were retrieved or judged: a small
+    # id set, broadcast into the corpus scan when bounded.
+    needed = runs.select("doc_id").unionByName(truth.select("doc_id")).distinct()
+    keys = content_keys(join_small_to_big(needed, documents, "doc_id", "left_semi"))
     n_docs = documents.select(F.count(F.lit(1))).scalar()
 
     truth_counts = truth.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_truth"))

@@ -88,6 +88,22 @@ def salted_hot_join(big: DataFrame, other: DataFrame, on: str, salt_from: list[s
     return hot.unionByName(cold)
 
 
+def join_small_to_big(small: DataFrame, big: DataFrame, on, how: str = "inner",
+                      max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
+    """Join a small result (a top-k run, a set of judged ids) to a big table.
+
+    When ``small`` is provably bounded it is broadcast and ``big`` is only
+    scanned, never shuffled; otherwise a shuffle join. ``small`` should be
+    pinned (checkpointed) by the caller, so the size check does not
+    recompute it. ``how`` is from the small side: inner or left_semi-like
+    uses keep only big rows that match."""
+    if how not in ("inner", "left_semi"):
+        raise ValueError(f"join_small_to_big supports inner/left_semi; got {how!r}")
+    if is_bounded(small, max_rows):
+        return big.join(F.broadcast(small), on, how)
+    return big.join(small, on, how)
+
+
 def lookup_join(big: DataFrame, small: DataFrame, on: str, how: str = "inner",
                 max_broadcast_rows: int = DEFAULT_BROADCAST_ROWS,
                 max_hot: int = DEFAULT_MAX_HOT_KEYS) -> DataFrame:

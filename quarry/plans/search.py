@@ -24,6 +24,7 @@ from quarry.operators.bm25 import bm25_search
 from quarry.operators.dense import dense_search
 from quarry.operators.fusion import rrf
 from quarry.operators.vectors import hyde_mean
+from quarry.plans.joins import join_small_to_big
 from quarry.session import shared_dir
 from quarry.sources.files import load_embeddings, save_embeddings
 
@@ -38,9 +39,15 @@ def hyde_query_vectors(queries: DataFrame, hypotheses: DataFrame, make_encoder)
 
 def attach_similarity(run: DataFrame, documents: DataFrame, queries: DataFrame,
                       make_scorer) -> DataFrame:
-    """O62 + O21 + O39: similarity of each returned row, by key."""
-    pairs = (run.join(documents.select("doc_id", "content"), "doc_id")
-             .join(queries.select("query_id", "query"), "query_id"))
+    """O62 + O21 + O39: similarity of each returned row, by key.
+
+    Only returned rows are scored. The run (queries x k rows) is pinned and,
+    when bounded, broadcast into the document scan: the corpus is never
+    shuffled to attach a few texts."""
+    shared_dir(run.sparkSession)
+    run = run.checkpoint()
+    with_text = join_small_to_big(run, documents.select("doc_id", "content"), "doc_id")
+    pairs = with_text.join(queries.select("query_id", "query"), "query_id")
     return pairs.select(*run.columns, models.pair_scores(pairs, make_scorer).alias("similarity"))
 
 
@@ -127,7 +134,9 @@ def search_listing(run: DataFrame, documents: DataFrame) -> DataFrame:
     """What the result page shows, as rows: rank, id, content, score and
     the optional similarity (NULL when not scored). Display order is ``rank``."""
     sim = F.col("similarity") if "similarity" in run.columns else F.lit(None).cast("double")
-    return (run.join(documents.select("doc_id", "content"), "doc_id")
+    shared_dir(run.sparkSession)
+    run = run.checkpoint()
+    return (join_small_to_big(run, documents.select("doc_id", "content"), "doc_id")
             .select("query_id", "rank", "doc_id", "content", "score", sim.alias("similarity")))
 
 
