@@ -38,9 +38,15 @@ def content_keys(documents: DataFrame) -> DataFrame:
 
 
 def resolve_qrels(qrels: DataFrame, documents: DataFrame) -> DataFrame:
-    """Judgments restricted to loaded documents, one row per pair."""
-    return qrels.select("query_id", "doc_id").distinct().join(
-        documents.select("doc_id"), "doc_id", "left_semi")
+    """Judgments restricted to loaded documents, one row per pair.
+
+    Judgments are few next to the corpus: pinned, then broadcast into the
+    scan of document ids when bounded; the distinct is over that small
+    result (a repeated document id must not repeat a judgment)."""
+    shared_dir(qrels.sparkSession)
+    pairs = qrels.select("query_id", "doc_id").distinct().checkpoint()
+    return (join_small_to_big(pairs, documents.select("doc_id"), "doc_id")
+            .select("query_id", "doc_id").distinct())
 
 
 def mark_relevant(runs: DataFrame, qrels: DataFrame) -> DataFrame:
@@ -83,7 +89,7 @@ def metrics_per_query(runs: DataFrame, qrels: DataFrame, documents: DataFrame,
     # checkpoint folder rather than recomputed per use.
     shared_dir(runs.sparkSession)
     runs = runs.checkpoint()
-    truth = resolve_qrels(qrels, documents).checkpoint()
+    truth = resolve_qrels(qrels, documents)
     # Content keys only for documents that were retrieved or judged: a small
     # id set, broadcast into the corpus scan when bounded.
     needed = runs.select("doc_id").unionByName(truth.select("doc_id")).distinct()

@@ -14,7 +14,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.functions.text import WORD_1PLUS, explode_values
-from quarry.plans.joins import DEFAULT_BROADCAST_ROWS, is_bounded, lookup_join, salted_hot_join
+from quarry.plans.joins import (DEFAULT_BROADCAST_ROWS, is_bounded, join_small_to_big, lookup_join,
+                                salted_hot_join)
+from quarry.session import shared_dir
 
 ANCHOR_WORDS = 8
 
@@ -67,11 +69,15 @@ def containing_documents(documents: DataFrame, passages: DataFrame,
         keyed = shingles.withColumn("k", F.struct("anchor_len", "anchor_key"))
         akeyed = anchors.withColumn("k", F.struct("anchor_len", "anchor_key")).select("k", "query_id")
         hits = salted_hot_join(keyed.select("k", "doc_id"), akeyed, "k", salt_from=["doc_id"])
-    candidates = hits.select("query_id", "doc_id").distinct()
+    shared_dir(documents.sparkSession)
+    candidates = hits.select("query_id", "doc_id").distinct().checkpoint()
     # A passage found in many copies makes its query_id hot: the passage side
     # has one row per query, so it is a lookup (broadcast when bounded).
     texts = lookup_join(candidates, passages.select("query_id", "passage"), "query_id",
                         max_broadcast_rows=max_broadcast_rows)
-    return (texts.join(documents.select("doc_id", "content"), "doc_id")
+    # The candidates are few next to the corpus: broadcast them into the
+    # document scan when bounded, so the texts are verified where they lie.
+    return (join_small_to_big(texts, documents.select("doc_id", "content"), "doc_id",
+                              max_rows=max_broadcast_rows)
             .filter(F.col("content").contains(F.col("passage")))
             .select("query_id", "doc_id"))

@@ -61,3 +61,10 @@ def test_content_match_counts_copies(spark):
     assert r.relevant == 0            # by id: b is not a
     assert r.ap == 1.0                # by content: b is a copy of a
     assert r.recall_multi_hit == 1.0
+
+
+def test_resolve_qrels_dedups_and_restricts(spark):
+    docs = spark.createDataFrame([("a", "x"), ("a", "x"), ("b", "y")], "doc_id string, content string")
+    qrels = spark.createDataFrame([(1, "a"), (1, "a"), (1, "zz"), (2, "b")], "query_id long, doc_id string")
+    got = sorted(map(tuple, evaluate.resolve_qrels(qrels, docs).collect()))
+    assert got == [(1, "a"), (2, "b")]
