@@ -12,6 +12,8 @@
   hot keys are salted on the big side and replicated (hot rows only) on the
   other.
 * ``lookup_join``: broadcast when bounded, else ``skew_join``.
+* ``join_small_to_big``: attach a small pinned result (a top-k run, judged
+  ids) to the corpus by broadcasting it into the corpus scan when bounded.
 """
 
 from __future__ import annotations
