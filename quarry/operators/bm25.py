@@ -182,8 +182,12 @@ def build_bm25_index(documents: DataFrame, path: str, pattern: str = WORD_2PLUS,
     stored = spark.read.parquet(f"{path}/postings")
     (stored.groupBy("term_bucket", "term").agg(F.count(F.lit(1)).alias("df"))
      .write.mode("overwrite").partitionBy("term_bucket").parquet(f"{path}/df"))
-    n_tok = F.regexp_count(F.lower(F.coalesce("content", F.lit(""))), F.lit(pattern))
-    documents.select("doc_id", n_tok.alias("doc_len")).write.mode("overwrite").parquet(f"{path}/docs")
+    # Lengths come from the postings (each carries its document's length);
+    # documents without a token get 0 from a scan of the id column only, so
+    # the texts are tokenized once for the whole build.
+    lens = stored.groupBy("doc_id").agg(F.max("doc_len").alias("doc_len"))
+    (documents.select("doc_id").join(lens, "doc_id", "left").fillna(0, ["doc_len"])
+     .write.mode("overwrite").parquet(f"{path}/docs"))
     docs = spark.read.parquet(f"{path}/docs")
     (docs.agg(F.count(F.lit(1)).alias("n_docs"), F.avg(F.col("doc_len").cast("double")).alias("avg_len"))
      .withColumn("buckets", F.lit(int(buckets))).withColumn("pattern", F.lit(pattern))

@@ -79,3 +79,16 @@ def test_stored_index_equals_direct(spark, toy_docs):
     plan = stored._jdf.queryExecution().executedPlan().toString()
     import re
     assert re.search(r"PartitionFilters: \[term_bucket#\d+ (INSET|IN)", plan)
+
+
+def test_stored_index_counts_empty_documents(spark):
+    from quarry.operators.bm25 import bm25_search_index, build_bm25_index
+    from quarry.session import shared_dir
+
+    docs = spark.createDataFrame([(1, "solar robot arm"), (2, ""), (3, "!! ?"), (4, None), (5, "robot")],
+                                 "doc_id long, content string")
+    path = shared_dir(spark, "test_bm25_index_empty")
+    build_bm25_index(docs, path, buckets=3)
+    qs = _q(spark, [(1, "robot", 10), (2, "arm", 2)])
+    assert sorted(map(tuple, bm25_search_index(spark, path, qs).collect())) == \
+        sorted(map(tuple, bm25_search(docs, qs).collect()))
