@@ -92,6 +92,9 @@ def search_many(documents: DataFrame, queries: DataFrame, configs: dict[str, Sea
     the pair scorer when ``score_bm25``)."""
     if doc_vectors is None:
         doc_vectors = models.embed_documents(documents, make_encoder)
+    # Each leg is pinned once (queries x k rows) and then read by every
+    # method that uses it, even across separate jobs.
+    shared_dir(documents.sparkSession)
     legs: dict[str, DataFrame] = {}
 
     def dense(hyde: bool) -> DataFrame:
@@ -102,14 +105,14 @@ def search_many(documents: DataFrame, queries: DataFrame, configs: dict[str, Sea
                 qv = hyde_query_vectors(queries, hyp, make_encoder)
             else:
                 qv = models.embed_queries(queries, make_encoder)
-            legs[key] = dense_search(doc_vectors, qv)
+            legs[key] = dense_search(doc_vectors, qv).checkpoint()
         return legs[key]
 
     bm25_ks = {c.bm25_top_k for c in configs.values() if c.use_bm25}
     bm_all = None
     if bm25_ks or bm25_method:
         k_all = F.greatest(F.col("top_k"), F.lit(max(bm25_ks or {0})))
-        bm_all = bm25_search(documents, queries.withColumn("top_k", k_all))
+        bm_all = bm25_search(documents, queries.withColumn("top_k", k_all)).checkpoint()
     out = []
     if bm25_method:
         run = (bm_all.join(queries.select("query_id", "top_k"), "query_id")
