@@ -305,8 +305,10 @@ def prompt_render() -> str:
     return f"WITH {cte_conv_queries()} SELECT query_id, {prompt('query')} AS prompt FROM cq"
 
 
-def _word_vector_sql(source: str, id_col: str, text_col: str, out_id: str, with_idf: bool) -> str:
+def _word_vector_sql(source: str, id_col: str, text_col: str, out_id: str, with_idf: bool,
+                     places: int | None = 6) -> str:
     idf = ("ln((n.n + 1.0) / (d.df + 1.0)) + 1.0" if with_idf else "1.0")
+    value = "coalesce(agg.v, 0.0)" if places is None else f"round(coalesce(agg.v, 0.0), {places})"
     return f"""WITH {cte_vectorizer('vt', source, id_col, text_col, bigrams=False)}, {cte_tf('tf', 'vt')},
 n AS (SELECT count(*)::DOUBLE AS n FROM {source}),
 dfs AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
@@ -317,7 +319,7 @@ model AS (SELECT DISTINCT unnest({clean_words('text')}) AS word FROM conversatio
 m AS (SELECT o.doc_id, o.word, o.occ * wt.w AS weight FROM occ o JOIN wt USING (doc_id, word) JOIN model USING (word)),
 agg AS (SELECT doc_id, p, sum(weight * {hex_digit('word', 'p')}) / sum(weight) AS v
         FROM m CROSS JOIN range(1, 9) t(p) GROUP BY doc_id, p)
-SELECT s.{id_col} AS {out_id}, (t.p - 1)::INTEGER AS pos, round(coalesce(agg.v, 0.0), 6) AS value
+SELECT s.{id_col} AS {out_id}, (t.p - 1)::INTEGER AS pos, {value} AS value
 FROM {source} s CROSS JOIN range(1, 9) t(p) LEFT JOIN agg ON agg.doc_id = s.{id_col} AND agg.p = t.p"""
 
 
@@ -329,6 +331,18 @@ def query_word_vector_embed() -> str:
     return _word_vector_sql("benchmark", "item_id", "text", "query_id", False)
 
 
+def word_vector_topk() -> str:
+    docs = _word_vector_sql("documents", "doc_id", "text", "doc_id", True, places=None)
+    qs = _word_vector_sql("benchmark", "item_id", "text", "query_id", False, places=None)
+    return f"""WITH {cte_queries()},
+dl AS ({docs}),
+ql AS ({qs}),
+dv AS (SELECT doc_id AS id, list(value ORDER BY pos) AS vec FROM dl GROUP BY doc_id),
+qv AS (SELECT query_id AS id, list(value ORDER BY pos) AS vec FROM ql GROUP BY query_id),
+{cte_cosine_topk('res', 'qv', 'dv', 'q')}
+SELECT query_id, rank, doc_id, round(score, 6) AS score FROM res"""
+
+
 def hash_embed() -> str:
     return f"""WITH {cte_hash_vectors('hv', 'documents', 'doc_id', 'text')}
 SELECT id AS doc_id, (p - 1)::INTEGER AS pos, round(vec[p], 6) AS value FROM hv CROSS JOIN range(1, 9) t(p)"""
@@ -513,6 +527,7 @@ def oracle_sql() -> dict[str, str]:
         "prompt_render": prompt_render(),
         "word_vector_embed": word_vector_embed(),
         "query_word_vector_embed": query_word_vector_embed(),
+        "word_vector_topk": word_vector_topk(),
         "hash_embed": hash_embed(),
         "hyde_mean": hyde_mean(),
         "generate_hypotheses": generate_hypotheses(),

@@ -152,6 +152,17 @@ def query_word_vector_embed(spark, sf):
     return vectors.long_form(emb, "query_id")
 
 
+def word_vector_topk(spark, sf):
+    """The word-vector method end to end: documents embedded with tf-idf
+    weighted word vectors (O26), queries with their own counts (O61, S11),
+    exact cosine top-k (O65)."""
+    wv = T.word_vectors(spark, sf)
+    docs = vectors.word_vector_embed(T.documents(spark, sf), wv)
+    qs = T.queries(spark, sf)
+    qv = vectors.query_word_vector_embed(qs, wv).join(qs.select("query_id", "top_k"), "query_id")
+    return dense_search(docs, qv)
+
+
 def hash_embed(spark, sf):
     return vectors.long_form(models.embed_documents(T.documents(spark, sf), ENCODER), "doc_id")
 
@@ -323,6 +334,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "prompt_render": prompt_render,
         "word_vector_embed": word_vector_embed,
         "query_word_vector_embed": query_word_vector_embed,
+        "word_vector_topk": word_vector_topk,
         "hash_embed": hash_embed,
         "hyde_mean": hyde_mean,
         "generate_hypotheses": generate_hypotheses,
