@@ -231,8 +231,9 @@ SELECT title AS doc_id, abstract AS content FROM r WHERE rn = 1"""
 
 
 def documents_validate() -> str:
-    return """SELECT 'null_id' AS rule, count(*) FILTER (WHERE doc_id IS NULL)::BIGINT AS n FROM documents
-UNION ALL SELECT 'null_or_blank_content', count(*) FILTER (WHERE text IS NULL OR trim(text) = '')::BIGINT FROM documents
+    blank = f"regexp_replace(text, {_lit(WHITESPACE)}, '', 'g') = ''"
+    return f"""SELECT 'null_id' AS rule, count(*) FILTER (WHERE doc_id IS NULL)::BIGINT AS n FROM documents
+UNION ALL SELECT 'null_or_blank_content', count(*) FILTER (WHERE text IS NULL OR {blank})::BIGINT FROM documents
 UNION ALL SELECT 'duplicate_id', coalesce(sum(c), 0)::BIGINT FROM
   (SELECT doc_id, count(*) AS c FROM documents WHERE doc_id IS NOT NULL GROUP BY doc_id HAVING count(*) > 1)
 UNION ALL SELECT 'wrong_length_vector', count(*) FILTER (WHERE embedding IS NULL OR len(embedding) <>

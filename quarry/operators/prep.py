@@ -7,8 +7,12 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarry.functions.text import WHITESPACE
 from quarry.plans.joins import bounded_broadcast
 
+# Content made only of whitespace (Python's notion) is blank.
+WHITESPACE_ONLY = WHITESPACE
+
 
 def to_documents(papers: DataFrame) -> DataFrame:
     """Title -> doc_id, abstract -> content."""
@@ -61,7 +65,8 @@ def validate_documents(documents: DataFrame, embeddings: DataFrame | None = None
     ``dim`` defaults to the most common vector length."""
     d = documents.agg(
         F.sum(F.when(F.col("doc_id").isNull(), 1).otherwise(0)).alias("null_id"),
-        F.sum(F.when(F.col("content").isNull() | (F.trim("content") == ""), 1).otherwise(0))
+        F.sum(F.when(F.col("content").isNull()
+                     | (F.regexp_replace("content", WHITESPACE_ONLY, "") == ""), 1).otherwise(0))
          .alias("null_or_blank_content"))
     dup = (documents.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").count()
            .filter(F.col("count") > 1).agg(F.coalesce(F.sum("count"), F.lit(0)).alias("duplicate_id")))

@@ -33,7 +33,7 @@ def test_unique_and_filters(spark):
 
 
 def test_validate_documents(spark):
-    docs = spark.createDataFrame([(1, "a"), (1, "b"), (None, "c"), (3, "  "), (4, None)],
+    docs = spark.createDataFrame([(1, "a"), (1, "b"), (None, "c"), (3, " \t\n "), (4, None)],
                                  "doc_id long, content string")
     emb = spark.createDataFrame([(1, [1.0, 2.0]), (2, [1.0]), (3, [0.0, 1.0]), (4, None)],
                                 "doc_id long, embedding array<float>")
