@@ -57,6 +57,16 @@ def unique_by(df: DataFrame, key: Sequence[str], order: Sequence[str]) -> DataFr
     return df.groupBy(*key).agg(packed).select(*key, *[F.col(f"_first.{c}").alias(c) for c in [*order, *rest]]).select(*df.columns)
 
 
+def dedup_by_content(documents: DataFrame, order: Sequence[str] = ("doc_id",)) -> DataFrame:
+    """O09 + O16 on the text: one row per distinct content, the first by
+    ``order``. Grouped by the SHA-256 of the text (fixed-size keys, map-side
+    combine), so whole texts are neither hashed nor compared in the
+    aggregate; copies collapse before the shuffle."""
+    keyed = drop_missing(documents).withColumn("_ck", F.sha2("content", 256))
+    first = unique_by(keyed, ["_ck"], list(order))
+    return first.select(*documents.columns)
+
+
 def validate_documents(documents: DataFrame, embeddings: DataFrame | None = None,
                        dim=None) -> DataFrame:
     """(rule, n) counts of rule violations, zeros included.

@@ -88,8 +88,7 @@ def documents_validate(spark, sf):
 # --- preparation -------------------------------------------------------------
 
 def dedup_documents(spark, sf):
-    docs = prep.drop_missing(T.documents(spark, sf))
-    return prep.unique_by(docs, ["content"], ["doc_id"])
+    return prep.dedup_by_content(T.documents(spark, sf))
 
 
 def documents_projection(spark, sf):

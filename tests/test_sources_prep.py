@@ -95,3 +95,10 @@ def test_store_rejects_duplicate_ids(spark):
         raise AssertionError("expected ValueError")
     except ValueError:
         pass
+
+
+def test_dedup_by_content(spark):
+    docs = spark.createDataFrame([(5, "same"), (2, "same"), (3, "other"), (4, None), (1, "Same")],
+                                 "doc_id long, content string")
+    got = sorted(map(tuple, prep.dedup_by_content(docs).collect()))
+    assert got == [(1, "Same"), (2, "same"), (3, "other")]
