@@ -72,3 +72,27 @@ def null_safe(left: DataFrame, right: DataFrame, on: list[str]) -> Column:
     for c in on[1:]:
         cond &= left[c].eqNullSafe(right[c])
     return cond
+
+
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` computed once per row or element."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def running_sums(values: Column, block: int = 256) -> Column:
+    """Inclusive running sums of a non-null bigint array, inside the row.
+
+    Blocks are summed first and each block is then summed on its own, so that
+    the cost stays near linear in the array's length."""
+    def sums(arr: Column) -> Column:
+        none = F.struct(F.lit(0).cast("bigint").alias("s"), F.array().cast("array<bigint>").alias("a"))
+        return F.aggregate(arr, none, lambda acc, v: F.struct(
+            (acc["s"] + v).alias("s"), F.array_append(acc["a"], acc["s"] + v).alias("a")), lambda acc: acc["a"])
+
+    last = F.floor((F.size(values) - 1) / block).cast("int")
+    blocks = F.when(F.size(values) > 0, F.transform(
+        F.sequence(F.lit(0), last), lambda b: sums(F.slice(values, b * block + 1, block)))
+    ).otherwise(F.array().cast("array<array<bigint>>"))
+    return let(blocks, lambda bs: F.flatten(F.zip_with(
+        bs, F.concat(F.array(F.lit(0).cast("bigint")), sums(F.transform(bs, lambda b: F.element_at(b, -1)))),
+        lambda b, before: F.transform(F.coalesce(b, F.array().cast("array<bigint>")), lambda v: v + before))))

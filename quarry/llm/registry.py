@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from quarry.llm.packing import op7_best_fit_packing
+from quarry.llm.secrets import op1_secret_scan
 from quarry.llm.token_files import op4_token_files
 
-QUERIES = [op4_token_files, op7_best_fit_packing]
+QUERIES = [op1_secret_scan, op4_token_files, op7_best_fit_packing]
 
 
 def queries() -> dict:
