@@ -62,16 +62,13 @@ def list_column(flat: np.ndarray, counts: np.ndarray, kind: pa.DataType) -> pa.L
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, type=kind))
 
 
-def map_arrow(df: DataFrame, fn: Callable, schema: str) -> DataFrame:
-    return df.mapInArrow(fn, schema)
-
-
-def null_safe(left: DataFrame, right: DataFrame, on: list[str]) -> Column:
-    """Join condition in which NULL keys meet."""
-    cond = left[on[0]].eqNullSafe(right[on[0]])
-    for c in on[1:]:
-        cond &= left[c].eqNullSafe(right[c])
-    return cond
+def join_null_safe(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """Equi-join on ``on`` in which NULL keys meet; keeps the left keys."""
+    other = right.withColumnsRenamed({c: f"__{c}" for c in on})
+    cond = F.lit(True)
+    for c in on:
+        cond &= F.col(c).eqNullSafe(F.col(f"__{c}"))
+    return left.join(other, cond, how).drop(*[f"__{c}" for c in on])
 
 
 def let(value: Column, use: Callable[[Column], Column]) -> Column:

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from quarry.llm import chat
+from quarry.llm.chat import op9_chat_formatting
 from quarry.llm.packing import op7_best_fit_packing
 from quarry.llm.secrets import op1_secret_scan
+from quarry.llm.sharding import op6_minimax_sharding
 from quarry.llm.token_files import op4_token_files
 
-QUERIES = [op1_secret_scan, op4_token_files, op7_best_fit_packing]
+QUERIES = [op1_secret_scan, op4_token_files, op6_minimax_sharding, op7_best_fit_packing, op9_chat_formatting]
 
 
 def queries() -> dict:
@@ -14,4 +17,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op9_chat_formatting": chat.oracle()}
