@@ -4,8 +4,8 @@ Documents with equal texts form one atomic group. Groups lie in the order of
 their 64-bit text hash, and the hash range is cut into at most ``shards``
 contiguous runs: the smallest feasible shard capacity is found by binary
 search, each trial being a greedy fill over the running sums, and the cuts are
-made under that capacity (of the cuts it allows, the ones nearest to an equal
-share of what is left).
+made under that capacity (of the cuts it allows, those whose smallest shard is
+largest).
 
 A group larger than an equal share of the rest cannot be split, so it leaves
 the order and takes a shard of its own. There are fewer such groups than
@@ -67,25 +67,36 @@ def smallest_capacity(sizes: np.ndarray, shards: int) -> int:
     return low
 
 
+def _layers(before: np.ndarray, capacity: int, floor: int, shards: int) -> list[np.ndarray] | None:
+    """For each k the unit ends that k runs can reach when every run holds from
+    ``floor`` to ``capacity``; None when ``shards`` runs can't take all units."""
+    low = np.searchsorted(before, before - capacity, side="left")
+    high = np.searchsorted(before, before - floor, side="right")
+    reach = [np.arange(len(before)) == 0]
+    for _ in range(shards):
+        seen = np.concatenate([[0], np.cumsum(reach[-1])])
+        reach.append(seen[np.maximum(high, low)] > seen[low])
+    return reach if reach[-1][-1] else None
+
+
 def contiguous_shards(sizes: np.ndarray, shards: int) -> np.ndarray:
-    """Shard of each ordered unit; no shard is over the smallest capacity."""
+    """Shard of each ordered unit. No shard is over the smallest capacity, and
+    of such cuts these have the largest smallest shard (binary search again)."""
     n, capacity = len(sizes), smallest_capacity(sizes, shards)
     before = np.concatenate([[0], np.cumsum(sizes)])
-    # earliest[k]: first unit from which k runs can still take all the rest.
-    earliest = [n]
-    for _ in range(shards):
-        earliest.append(int(np.searchsorted(before, before[earliest[-1]] - capacity, side="left")))
-    out, at = np.zeros(n, np.int32), 0
-    for k in range(shards):
-        left = shards - k - 1
-        most = int(np.searchsorted(before, before[at] + capacity, side="right")) - 1
-        ideal = before[at] + (before[-1] - before[at]) / (left + 1)
-        to = int(np.searchsorted(before, ideal))
-        if to > at and ideal - before[to - 1] < before[min(to, n)] - ideal:
-            to -= 1
-        to = min(max(to, earliest[left], at), most)
-        out[at:to] = k
-        at = to
+    low, high = 0, int(before[-1]) // shards
+    while low < high:
+        middle = (low + high + 1) // 2
+        if _layers(before, capacity, middle, shards):
+            low = middle
+        else:
+            high = middle - 1
+    reach, out, at = _layers(before, capacity, low, shards), np.zeros(n, np.int32), n
+    for k in range(shards - 1, -1, -1):
+        start = int(np.searchsorted(before, before[at] - capacity, side="left"))
+        end = int(np.searchsorted(before, before[at] - low, side="right"))
+        begin = start + int(np.flatnonzero(reach[k][start:end])[-1])
+        out[begin:at], at = k, begin
     return out
 
 
