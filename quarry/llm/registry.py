@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from quarry.llm import chat
+from quarry.llm import chat, decontaminate
 from quarry.llm.chat import op9_chat_formatting
+from quarry.llm.decontaminate import op10_benchmark_decontamination
 from quarry.llm.packing import op7_best_fit_packing
 from quarry.llm.secrets import op1_secret_scan
 from quarry.llm.sharding import op6_minimax_sharding
 from quarry.llm.token_files import op4_token_files
 
-QUERIES = [op1_secret_scan, op4_token_files, op6_minimax_sharding, op7_best_fit_packing, op9_chat_formatting]
+QUERIES = [op1_secret_scan, op4_token_files, op6_minimax_sharding, op7_best_fit_packing, op9_chat_formatting,
+           op10_benchmark_decontamination]
 
 
 def queries() -> dict:
@@ -17,4 +19,5 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_chat_formatting": chat.oracle()}
+    return {"op9_chat_formatting": chat.oracle(),
+            "op10_benchmark_decontamination": decontaminate.ORACLE}
