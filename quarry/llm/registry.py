@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from quarry.llm import chat, decontaminate
+from quarry.llm import chat, decontaminate, line_dedup
 from quarry.llm.chat import op9_chat_formatting
 from quarry.llm.decontaminate import op10_benchmark_decontamination
+from quarry.llm.jaccard_join import op5_jaccard_join
+from quarry.llm.line_dedup import op3_line_dedup
 from quarry.llm.packing import op7_best_fit_packing
 from quarry.llm.secrets import op1_secret_scan
 from quarry.llm.sharding import op6_minimax_sharding
 from quarry.llm.token_files import op4_token_files
 
-QUERIES = [op1_secret_scan, op4_token_files, op6_minimax_sharding, op7_best_fit_packing, op9_chat_formatting,
-           op10_benchmark_decontamination]
+QUERIES = [op1_secret_scan, op3_line_dedup, op4_token_files, op5_jaccard_join, op6_minimax_sharding,
+           op7_best_fit_packing, op9_chat_formatting, op10_benchmark_decontamination]
 
 
 def queries() -> dict:
@@ -19,5 +21,6 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_chat_formatting": chat.oracle(),
+    """Where SQL can express the whole result."""
+    return {"op3_line_dedup": line_dedup.ORACLE, "op9_chat_formatting": chat.oracle(),
             "op10_benchmark_decontamination": decontaminate.ORACLE}
