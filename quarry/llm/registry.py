@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from quarry.llm import chat, decontaminate, line_dedup
+from quarry.llm.ann import op8_kmeans_tree_search
 from quarry.llm.chat import op9_chat_formatting
 from quarry.llm.decontaminate import op10_benchmark_decontamination
 from quarry.llm.jaccard_join import op5_jaccard_join
@@ -13,7 +14,7 @@ from quarry.llm.sharding import op6_minimax_sharding
 from quarry.llm.token_files import op4_token_files
 
 QUERIES = [op1_secret_scan, op3_line_dedup, op4_token_files, op5_jaccard_join, op6_minimax_sharding,
-           op7_best_fit_packing, op9_chat_formatting, op10_benchmark_decontamination]
+           op7_best_fit_packing, op8_kmeans_tree_search, op9_chat_formatting, op10_benchmark_decontamination]
 
 
 def queries() -> dict:
