@@ -262,5 +262,20 @@ def jaccard_classes(docs: DataFrame) -> DataFrame:
         "component_id", F.coalesce("component_id", "doc_id"))
 
 
+def one_of_each_class(docs: DataFrame) -> DataFrame:
+    """``docs`` with one document of each component, the one with the smallest id;
+    all columns kept. Rows that share an id are one document, so one of them stays."""
+    classes = pinned(jaccard_classes(docs), "classes")
+    gone = classes.filter("component_id <> doc_id").select("doc_id").distinct()
+    kept = docs.join(small_side(pinned(gone, "near_copies"), BROADCAST_ROWS), "doc_id", "left_anti")
+    repeats = classes.filter("component_id = doc_id").groupBy("doc_id").count().filter("count > 1").select("doc_id")
+    repeats = pinned(repeats, "repeats")
+    if repeats.isEmpty():
+        return kept.select(*docs.columns)
+    side = small_side(repeats, BROADCAST_ROWS)
+    single = kept.join(side, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return kept.join(side, "doc_id", "left_anti").unionByName(single).select(*docs.columns)
+
+
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_classes(read_table(spark, sf_dir, "documents")).drop("text_hash")

@@ -7,13 +7,14 @@ from quarry.llm.ann import op8_kmeans_tree_search
 from quarry.llm.chat import op9_chat_formatting
 from quarry.llm.decontaminate import op10_benchmark_decontamination
 from quarry.llm.jaccard_join import op5_jaccard_join
+from quarry.llm.language import op2_language_id
 from quarry.llm.line_dedup import op3_line_dedup
 from quarry.llm.packing import op7_best_fit_packing
 from quarry.llm.secrets import op1_secret_scan
 from quarry.llm.sharding import op6_minimax_sharding
 from quarry.llm.token_files import op4_token_files
 
-QUERIES = [op1_secret_scan, op3_line_dedup, op4_token_files, op5_jaccard_join, op6_minimax_sharding,
+QUERIES = [op1_secret_scan, op2_language_id, op3_line_dedup, op4_token_files, op5_jaccard_join, op6_minimax_sharding,
            op7_best_fit_packing, op8_kmeans_tree_search, op9_chat_formatting, op10_benchmark_decontamination]
 
 
