@@ -11,8 +11,9 @@ dealt to partitions of a bounded size, and each partition
 3. is certified optimal when the two agree.
 
 Partitions with a gap keep their full bins and put the documents of the others
-into an exchange pool, which is dealt anew to fewer partitions and repacked,
-until every partition is certified or one partition holds the whole pool.
+into an exchange pool; certified ones add their emptiest bin, the remainder that
+rounding up leaves in each partition. The pool is dealt anew to fewer partitions
+and repacked, until one partition holds all of it.
 
 Only (piece_id, length) rows take part; token ids stay in the piece files.
 
@@ -127,11 +128,16 @@ def _pack_partition(capacity: int, last: bool):
         lengths = items["length"].to_numpy()
         bins, offsets, free = best_fit_decreasing(lengths, capacity)
         bound = lower_bound(np.bincount(lengths, minlength=capacity + 1), capacity)
-        certified = last or len(free) == bound
+        if last:
+            keep = np.ones(len(bins), bool)
+        elif len(free) == bound:  # certified: only the emptiest bin, the rounding remainder, goes on
+            keep = bins != free.argmax()
+        else:
+            keep = free[bins] == 0
         return pd.DataFrame({
             "piece_id": items["piece_id"].to_numpy(), "length": lengths.astype(np.int32),
             "bin": bins.astype(np.int32), "offset": offsets, "bound": np.int32(bound),
-            "bins": np.int32(len(free)), "keep": (free[bins] == 0) | certified, "part": key[0]})
+            "bins": np.int32(len(free)), "keep": keep, "part": key[0]})
     return pack
 
 

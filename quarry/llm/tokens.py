@@ -28,7 +28,7 @@ _LETTERS = "".join(chr(c) for c in range(_PLAIN) if unicodedata.category(chr(c))
 _NUMBERS = "".join(chr(c) for c in range(_PLAIN) if unicodedata.category(chr(c))[0] == "N")
 # The word vocabulary's pre-token pattern, over those characters.
 _PRETOKEN = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMBERS}]|[^ \t-\r\x85\xa0{_LETTERS}{_NUMBERS}]+")
-#: Marks split off the end of a word before its stem is looked up.
+#: Marks split off a word's end, behind a letter or number, before its stem is looked up.
 _TAIL = ".,"
 
 
@@ -70,9 +70,10 @@ class WordTokenizer:
         coded = lists.flatten().dictionary_encode()
         words, which = coded.dictionary, coded.indices.to_numpy(zero_copy_only=False)
         # Distinct words -> distinct stems and tails (the marks at their end).
-        stems = pc.utf8_rtrim(words, _TAIL).dictionary_encode()
+        stems = pc.replace_substring_regex(words, f"([\\pL\\pN])[{_TAIL}]+$", "\\1")
         known = self.known
-        tails = pc.replace_substring_regex(words, f"^.*[^{_TAIL}]", "").dictionary_encode()
+        tails = pc.if_else(pc.equal(stems, words), "", pc.replace_substring_regex(words, f"^.*[^{_TAIL}]", ""))
+        stems, tails = stems.dictionary_encode(), tails.dictionary_encode()
         spelt = pa.concat_arrays([stems.dictionary, tails.dictionary]).to_numpy(zero_copy_only=False)
         flat, sizes = _pieces([known.get(w) or self._ids(w) for w in spelt.tolist()])
         starts = np.cumsum(sizes, dtype=np.int32) - sizes
