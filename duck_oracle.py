@@ -10,10 +10,26 @@ doc_id ASC; output round(x, 6).
 
 from __future__ import annotations
 
-from quarry.functions.text import (DIGIT_WORD, HYDE_PROMPT, PUNCTUATION, WHITESPACE, WORD_2PLUS,
-                                   english_stop_words)
-from quarry.registry import PROJECTION_SOURCES
-from quarry.sources import pages as P
+from types import SimpleNamespace
+
+from pyspark.ml.feature import StopWordsRemover
+
+# Written out here and not imported, so that a wrong pattern on the other side
+# shows up as a mismatch. The stop list is the library's own.
+PUNCTUATION = r"[!-/:-@\[\]^_`{-~]"
+DIGIT_WORD = r"[\p{L}\p{N}_]*\p{Nd}[\p{L}\p{N}_]*"
+WHITESPACE = r"[\s\x{0b}\x{1c}-\x{1f}\x{85}\p{Z}]+"
+WORD_2PLUS = r"[\p{L}\p{N}_]{2,}"
+BM25_WORD = r"[\p{L}\p{N}_]+"
+HYDE_PROMPT = ("Given a question, generate a paragraph of text that answers the question."
+               "    Question: {question}    Paragraph:")
+PROJECTION_SOURCES = ("src1", "src3", "src5", "src7")
+P = SimpleNamespace(
+    COMMENT=r"(?s)<!--.*?-->", SCRIPT=r"(?s)<script[^>]*>.*?</script>", STYLE=r"(?s)<style[^>]*>.*?</style>",
+    TITLE=r"(?s)<h1[^>]*>(.*?)</h1>", BLOCK=r"(?s)<article[^>]*>(.*?)</article>", PARA_OPEN=r"<p(?:\s[^>]*)?>",
+    PARA_REST=r"(?s)</p>.*$", TAG=r"<[^>]+>", HREF=r'href="([^"]*)"',
+    EDGE_SPACE=r"^[\s\x{0b}\x{1c}-\x{1f}\x{85}\p{Z}]+|[\s\x{0b}\x{1c}-\x{1f}\x{85}\p{Z}]+$",
+    ORIGIN=r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)")
 
 TOP_K = 10
 RRF_K = 61
@@ -25,7 +41,7 @@ def _lit(s: str) -> str:
 
 
 def stop_list_sql() -> str:
-    return "[" + ", ".join(_lit(w) for w in english_stop_words()) + "]"
+    return "[" + ", ".join(_lit(w) for w in StopWordsRemover.loadDefaultStopWords("english")) + "]"
 
 
 def tok(expr: str, pattern: str = WORD_2PLUS) -> str:
@@ -71,8 +87,8 @@ def cte_queries(top_k: int = TOP_K) -> str:
 
 
 def cte_conv_queries(name: str = "cq", top_k: int = TOP_K) -> str:
-    return (f"{name} AS (SELECT conv_id AS query_id, arg_min(text, turn) AS query, {top_k} AS top_k "
-            f"FROM conversations WHERE role = 'user' GROUP BY conv_id)")
+    return (f"{name} AS (SELECT conv_id::VARCHAR || ':' || turn::VARCHAR AS query_id, text AS query, {top_k} AS top_k "
+            f"FROM conversations WHERE role = 'user')")
 
 
 def cte_hash_vectors(name: str, source: str, id_col: str, text_col: str) -> str:
@@ -104,12 +120,12 @@ def cte_cosine_topk(name: str, qvec: str, dvec: str, queries: str) -> str:
 def cte_bm25(name: str = "bm25", queries: str = "q", k: str = "top_k") -> str:
     """Naive BM25L: every (query, document) pair, every distinct query term."""
     return f"""
-{name}_docs AS (SELECT doc_id, {tok('text')} AS tokens FROM documents),
+{name}_docs AS (SELECT doc_id, {tok('text', BM25_WORD)} AS tokens FROM documents WHERE text IS NOT NULL),
 {name}_stats AS (SELECT count(*)::DOUBLE AS n, avg(len(tokens))::DOUBLE AS avglen FROM {name}_docs),
 {name}_tf AS (SELECT doc_id, term, count(*) AS tf
               FROM (SELECT doc_id, unnest(tokens) AS term FROM {name}_docs) GROUP BY doc_id, term),
 {name}_df AS (SELECT term, count(*) AS df FROM {name}_tf GROUP BY term),
-{name}_qt AS (SELECT DISTINCT query_id, unnest({tok('query')}) AS term FROM {queries}),
+{name}_qt AS (SELECT DISTINCT query_id, unnest({tok('query', BM25_WORD)}) AS term FROM {queries}),
 {name}_idf AS (SELECT qt.query_id, qt.term,
                  CASE WHEN d.df IS NULL THEN 0.0 ELSE ln((s.n + 1.0) / (d.df + 0.5)) END AS idf
                FROM {name}_qt qt LEFT JOIN {name}_df d USING (term) CROSS JOIN {name}_stats s),
@@ -142,8 +158,8 @@ def cte_search(name: str, hyde: bool, bm25: bool, queries: str = "q") -> str:
     parts = [cte_hash_vectors(f"{name}_dv", "documents", "doc_id", "text")]
     if hyde:
         parts.append(f"""
-{name}_hyp AS (SELECT query_id, 0 AS n, array_to_string(list_slice(list_filter(
-                 regexp_split_to_array({prompt('query')}, {_lit(WHITESPACE)}), lambda x: x <> ''), 1, 100), ' ') AS text
+{name}_hyp AS (SELECT query_id, 0 AS n, array_to_string(list_filter(
+                 regexp_split_to_array({prompt('query')}, {_lit(WHITESPACE)}), lambda x: x <> ''), ' ') AS text
                FROM {queries})""")
         parts.append(cte_hash_vectors(f"{name}_hv", f"(SELECT query_id * 1000 + n AS hid, query_id, text FROM {name}_hyp)",
                                       "hid", "text"))
@@ -269,7 +285,7 @@ FROM (SELECT doc_id, unnest({clean_words('text')}) AS word FROM documents) GROUP
 
 
 def tokens_bm25() -> str:
-    return f"""WITH t AS (SELECT doc_id, {tok('text')} AS toks FROM documents)
+    return f"""WITH t AS (SELECT doc_id, {tok('text', BM25_WORD)} AS toks FROM documents)
 SELECT doc_id, pos::INTEGER AS pos, token FROM
   (SELECT doc_id, unnest(range(len(toks))) AS pos, unnest(toks) AS token FROM t)"""
 
@@ -350,7 +366,10 @@ SELECT id AS doc_id, (p - 1)::INTEGER AS pos, round(vec[p], 6) AS value FROM hv
 
 
 def _hyp_source() -> str:
-    return "(SELECT conv_id * 1000 + turn AS hid, conv_id AS query_id, text FROM conversations WHERE role = 'assistant')"
+    """Assistant turns with the user turn they answer, the last one before them."""
+    return ("(SELECT a.conv_id::VARCHAR || ':' || a.turn::VARCHAR AS hid, a.conv_id::VARCHAR || ':' || max(u.turn)::VARCHAR "
+            "AS query_id, any_value(a.text) AS text FROM conversations a JOIN conversations u ON u.conv_id = a.conv_id "
+            "AND u.role = 'user' AND u.turn < a.turn WHERE a.role = 'assistant' GROUP BY a.conv_id, a.turn)")
 
 
 def hyde_mean() -> str:
@@ -362,8 +381,8 @@ FROM hq JOIN hv ON hv.id = hq.hid CROSS JOIN range(1, 9) t(p) GROUP BY hq.query_
 
 def generate_hypotheses() -> str:
     return f"""WITH {cte_conv_queries()}
-SELECT query_id, 0::INTEGER AS n, array_to_string(list_slice(list_filter(
-  regexp_split_to_array({prompt('query')}, {_lit(WHITESPACE)}), lambda x: x <> ''), 1, 100), ' ') AS text FROM cq"""
+SELECT query_id, 0::INTEGER AS n, array_to_string(list_filter(
+  regexp_split_to_array({prompt('query')}, {_lit(WHITESPACE)}), lambda x: x <> ''), ' ') AS text FROM cq"""
 
 
 def cosine_topk() -> str:
@@ -410,6 +429,22 @@ def search_flags(hyde: bool, bm25: bool, evaluator: bool) -> str:
     return f"WITH {cte_queries()}, {cte_search('s', hyde, bm25)} {_search_select('s', evaluator)}"
 
 
+def ingest_search() -> str:
+    """The ingested papers take the place of ``documents`` in the search parts."""
+    runs = " UNION ALL ".join(f"SELECT '{m}' AS method, * FROM {leg}" for m, leg in (("dense", "sd"), ("hybrid", "sh")))
+    return f"""WITH documents AS (SELECT doc_id, content AS text FROM ({ingest_papers()})),
+{cte_queries()}, {cte_search('sd', False, False)}, {cte_search('sh', False, True)}
+SELECT r.method, r.query_id, r.rank, r.doc_id, d.text AS content, round(r.score, 6) AS score
+FROM ({runs}) r JOIN documents d USING (doc_id)"""
+
+
+def listing_unknown_documents() -> str:
+    return f"""WITH {cte_queries()}, {cte_bm25()}
+SELECT r.query_id, r.rank, CASE WHEN r.rank = 2 THEN -r.query_id - 1 ELSE r.doc_id END AS doc_id,
+  CASE WHEN r.rank = 2 THEN NULL ELSE d.text END AS content, round(r.score, 6) AS score
+FROM bm25 r JOIN documents d USING (doc_id)"""
+
+
 def pair_similarity() -> str:
     return f"""WITH {cte_queries()}, {cte_bm25()}
 SELECT r.query_id, r.rank, r.doc_id, round({jaccard('qq.query', 'd.text')}, 6) AS similarity
@@ -429,6 +464,20 @@ SELECT d.doc_id, sha256(d.text) AS content_hash, d.lang = 'en' AS reused, list_s
 FROM documents d JOIN hv h ON h.id = d.doc_id"""
 
 
+def store_force_keeps_methods() -> str:
+    return f"""WITH {cte_hash_vectors('hv', 'documents', 'doc_id', 'text')}
+SELECT 'hash' AS method, id AS doc_id, list_sum(vec) AS emb_sum FROM hv
+UNION ALL SELECT 'hash4', id, list_sum(vec[1:4]) FROM hv"""
+
+
+def store_changed_text() -> str:
+    return f"""WITH now AS (SELECT doc_id, CASE WHEN source = 'src1' THEN coalesce(text, '') || ' changed words' ELSE text END
+  AS text FROM documents),
+{cte_hash_vectors('hv', 'now', 'doc_id', 'text')}
+SELECT now.doc_id, sha256(coalesce(now.text, '')) AS content_hash, list_sum(hv.vec) AS emb_sum
+FROM now JOIN hv ON hv.id = now.doc_id"""
+
+
 def qrels_resolve() -> str:
     return f"WITH {cte_qrels()} SELECT query_id, doc_id FROM truth"
 
@@ -541,7 +590,11 @@ def oracle_sql() -> dict[str, str]:
         "stream_search": search_flags(False, True, False),
         "pair_similarity": pair_similarity(),
         "search_listing": search_listing(),
+        "ingest_search": ingest_search(),
+        "listing_unknown_documents": listing_unknown_documents(),
         "embeddings_missing": embeddings_missing(),
+        "store_force_keeps_methods": store_force_keeps_methods(),
+        "store_changed_text": store_changed_text(),
         "qrels_resolve": qrels_resolve(),
         "mark_relevant": mark_relevant(),
         "metrics_per_query": metrics_per_query(),

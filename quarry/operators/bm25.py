@@ -7,47 +7,53 @@ For distinct query term t and document d, c = count(t, d) / (1 - b + b*len(d)/av
     score(d) = sum over t of idf(t) * tf(t, d)
 
 tf is positive even for an absent term, so every document scores at least
-``baseline(q) = absent_tf * sum(idf)``. The job therefore never pairs every
-query with every document:
+``baseline(q) = absent_tf * sum(idf)``:
 
     score = baseline(q) + sum over *matched* terms of idf * (tf - absent_tf)
 
-Only postings of query terms are touched (broadcast semi join before any
-grouping). Matched documents always beat unmatched ones, and unmatched ones
-tie at the baseline and are taken by lowest doc_id; if fewer than k matched,
-the needed ones are among the 2*k_max lowest ids, which a bounded scalar
-subquery supplies to each query (no cross join).
+The direct search reads the corpus twice and never shuffles it. One pass counts
+documents, lengths and the document frequencies of the query terms (a partial
+aggregate). In the second a document is one row: each task counts the
+query terms of its documents against broadcast query blocks of a bounded size,
+adds the gains up and keeps a running best k per query, so k rows per query and
+task leave it. Documents without content are not searched.
+
+The stored index keeps postings by term for searches that touch few terms.
 """
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.config import Bm25Params
-from quarry.functions.text import WORD_2PLUS, explode_values, word_tokens
+from quarry.functions.text import WORD_1PLUS, explode_values, word_tokens
+from quarry.operators.dense import QUERY_CHUNK, Best, as_ids, candidate_schema
 from quarry.plans.joins import DEFAULT_BROADCAST_ROWS, is_bounded, salted_hot_join
-from quarry.plans.topk import OUTPUT_PLACES, max_k, ranked
-
+from quarry.plans.topk import OUTPUT_PLACES, max_k, ranked, requested_k
+from quarry.session import shared_dir
 
-def tokenize(documents: DataFrame, pattern: str = WORD_2PLUS) -> DataFrame:
-    """(doc_id, tokens) with the store's tokenizer."""
-    return documents.select("doc_id", word_tokens("content", pattern).alias("tokens"))
+# The in-memory store's token: a run of one or more word characters.
+TOKEN = WORD_1PLUS
+# (query, term) pairs of one broadcast block.
+BLOCK_PAIRS = 500_000
+# Documents scored at once inside a task (bounds the score matrix).
+DOC_CHUNK = 1024
 
 
-def corpus_stats(documents: DataFrame, pattern: str = WORD_2PLUS):
-    """(N, mean length) as two scalar-subquery Columns.
+def tokenize(documents: DataFrame, pattern: str = TOKEN) -> DataFrame:
+    """(doc_id, tokens) with the store's tokenizer (O47); no content, no row."""
+    return documents.filter("content IS NOT NULL").select("doc_id", word_tokens("content", pattern).alias("tokens"))
 
-    Catalyst merges the two subqueries into one aggregate and runs it once;
-    the values are then constants of the main plan, no join needed. Lengths
-    are counted with regexp_count, without building the token arrays."""
-    n_tok = F.regexp_count(F.lower(F.coalesce("content", F.lit(""))), F.lit(pattern))
-    n_docs = documents.select(F.count(F.lit(1))).scalar()
-    avg_len = documents.select(F.avg(n_tok.cast("double"))).scalar()
-    return n_docs, avg_len
 
-
-def query_terms(queries: DataFrame, pattern: str = WORD_2PLUS) -> DataFrame:
+def query_terms(queries: DataFrame, pattern: str = TOKEN) -> DataFrame:
     """Distinct (query_id, term) of each query (a blank query has none)."""
     return explode_values(queries, F.array_distinct(word_tokens("query", pattern)), "term",
                           keep=["query_id"])
@@ -73,7 +79,7 @@ def document_frequency(post: DataFrame) -> DataFrame:
 
 def _score(post: DataFrame, df: DataFrame, n_docs, avg_len, qterms: DataFrame,
            doc_ids: DataFrame, small_queries: bool, params: Bm25Params, k_max: int) -> DataFrame:
-    """Scoring core shared by the in-memory and the stored-index search.
+    """Scoring core of the stored-index search.
 
     post: (doc_id, doc_len, term, tf) restricted to query terms;
     df: (term, df) for those terms; doc_ids: every document id (for the fill)."""
@@ -103,23 +109,101 @@ def _score(post: DataFrame, df: DataFrame, n_docs, avg_len, qterms: DataFrame,
             .select("query_id", "doc_id", (F.col("baseline") + F.col("gain")).alias("score")))
 
 
+def corpus_counts(documents: DataFrame, terms: DataFrame, pattern: str = TOKEN) -> DataFrame:
+    """O28 in one pass: (term, df, tokens) for the given ``terms`` and one row with
+    the term "" (no token is empty): the number of documents and of all tokens."""
+    toks = tokenize(documents, pattern).select(F.size("tokens").cast("long").alias("doc_len"), "tokens")
+    wanted = terms.unionByName(documents.sparkSession.createDataFrame([("",)], "term string"))
+    each = explode_values(toks, F.concat(F.array_distinct("tokens"), F.array(F.lit(""))), "term", keep=["doc_len"])
+    return (each.join(wanted, "term", "left_semi").groupBy("term")
+            .agg(F.count(F.lit(1)).alias("df"), F.sum("doc_len").alias("tokens")))
+
+
+def _block_scorer(block, avg_len: float, k: int, params: Bm25Params):
+    """mapInArrow body: (doc_id, tokens) -> the partition's best k per query."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        qids, baselines, vocabulary, first, query, idf = block.value
+        best = [Best(min(QUERY_CHUNK, len(qids) - at), k) for at in range(0, len(qids), QUERY_CHUNK)]
+        schema = None
+        for batch in batches:
+            schema = schema or pa.schema([batch.schema.field("doc_id")])
+            batch = batch.filter(pc.is_valid(batch.column("doc_id")))
+            batch = batch.take(pc.sort_indices(batch.column("doc_id")))
+            for at in range(0, batch.num_rows, DOC_CHUNK):
+                part = batch.slice(at, DOC_CHUNK)
+                ids, gains = as_ids(part.column("doc_id").to_pylist()), _gains(
+                    part.column("tokens"), vocabulary, first, query, idf, len(qids), avg_len, params)
+                for c, b in enumerate(best):
+                    at_q = c * QUERY_CHUNK
+                    b.add(gains[at_q:at_q + len(b.ids)] + baselines[at_q:at_q + len(b.ids), None], ids)
+        for c, b in enumerate(best):
+            rows = b.rows(qids[c * QUERY_CHUNK:c * QUERY_CHUNK + len(b.ids)])
+            if len(rows):
+                yield pa.RecordBatch.from_pandas(rows, preserve_index=False)
+    return run
+
+
+def _gains(tokens: pa.ListArray, vocabulary, first, query, idf, n_queries: int, avg_len: float,
+           params: Bm25Params) -> np.ndarray:
+    """Sum of gains of each (query, document of the chunk) as a matrix."""
+    bounds = tokens.offsets.to_numpy()
+    lengths = np.diff(bounds)
+    term = pc.fill_null(pc.index_in(tokens.flatten(), vocabulary), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+    doc = np.repeat(np.arange(len(lengths)), lengths)
+    seen, count = np.unique((doc * len(vocabulary) + term)[term >= 0], return_counts=True)
+    doc, term = seen // max(len(vocabulary), 1), seen % max(len(vocabulary), 1)
+    k1, b, delta = params.k1, params.b, params.delta
+    c = count / ((1.0 - b) + b * lengths[doc] / avg_len) if len(seen) else np.zeros(0)
+    gain = (1.0 + k1) * (c + delta) / (k1 + c + delta) - params.absent_tf
+    # Every matched term goes to the queries that hold it.
+    each = first[term + 1] - first[term]
+    entry = np.repeat(first[term] - (np.cumsum(each) - each), each) + np.arange(each.sum())
+    cell = query[entry] * len(lengths) + np.repeat(doc, each)
+    sums = np.bincount(cell, np.repeat(gain, each) * idf[entry], n_queries * len(lengths))
+    return sums.reshape(n_queries, len(lengths))
+
+
+def _query_block(rows: pd.DataFrame, params: Bm25Params):
+    """Queries of a block with their terms: ids, baselines and, by term, queries and idf."""
+    qids = sorted(set(rows["query_id"]))
+    number = {q: i for i, q in enumerate(qids)}
+    rows = rows.assign(q=[number[q] for q in rows["query_id"]]).sort_values(["term", "q"], kind="stable")
+    vocabulary, first = np.unique(rows["term"].to_numpy(dtype=object), return_index=True)
+    baselines = np.zeros(len(qids))
+    np.add.at(baselines, rows["q"].to_numpy(), rows["idf"].to_numpy() * params.absent_tf)
+    return (as_ids(qids), baselines, pa.array(vocabulary.tolist(), pa.string()), np.append(first, len(rows)),
+            rows["q"].to_numpy(), rows["idf"].to_numpy())
+
+
 def bm25_scores(documents: DataFrame, queries: DataFrame, params: Bm25Params = Bm25Params(),
-                pattern: str = WORD_2PLUS, k_max: int | None = None,
-                max_broadcast_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
-    """Candidate (query_id, doc_id, score): every matched document plus the
-    lowest-id fill, enough for any top_k <= k_max."""
+                pattern: str = TOKEN, k_max: int | None = None,
+                max_broadcast_rows: int = BLOCK_PAIRS) -> DataFrame:
+    """Candidate (query_id, doc_id, score): each task's best k_max per query."""
+    spark = documents.sparkSession
     if k_max is None:
         k_max = max_k(queries)
-    dtok = tokenize(documents, pattern)
-    n_docs, avg_len = corpus_stats(documents, pattern)
-    qterms = query_terms(queries, pattern)
-    # One size check on the (query, term) pairs bounds every query-side table
-    # below: distinct terms, and qidf (at most one row per pair).
-    small_queries = is_bounded(qterms, max_broadcast_rows)
-    distinct_terms = qterms.select("term").distinct()
-    post = postings(dtok, F.broadcast(distinct_terms) if small_queries else distinct_terms)
-    return _score(post, document_frequency(post), n_docs, avg_len, qterms, documents,
-                  small_queries, params, k_max)
+    schema = candidate_schema(documents, queries)
+    out = spark.createDataFrame([], schema)
+    shared_dir(spark)
+    qterms = query_terms(queries, pattern).checkpoint()
+    pairs = qterms.count()
+    terms = qterms.select("term").distinct()
+    counts = corpus_counts(documents, F.broadcast(terms) if pairs <= DEFAULT_BROADCAST_ROWS else terms, pattern).checkpoint()
+    corpus = counts.filter("term = ''").first()
+    if corpus is None or not corpus["tokens"] or k_max <= 0:
+        return out
+    idf = F.log((F.lit(float(corpus["df"])) + 1.0) / (F.col("df") + 0.5))
+    qidf = qterms.join(counts, "term").select("query_id", "term", idf.alias("idf")).checkpoint()
+    avg_len, blocks = corpus["tokens"] / corpus["df"], math.ceil(pairs / max(1, max_broadcast_rows))
+    docs = tokenize(documents, pattern)
+    for b in range(blocks):
+        part = qidf if blocks == 1 else qidf.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
+        # One block at a time passes through the driver, about max_broadcast_rows rows.
+        rows = part.toPandas()
+        if len(rows):
+            block = spark.sparkContext.broadcast(_query_block(rows, params))
+            out = out.unionByName(docs.mapInArrow(_block_scorer(block, avg_len, k_max, params), schema))
+    return out
 
 
 def _join_query_terms(post: DataFrame, qidf: DataFrame, small_queries: bool,
@@ -140,12 +224,12 @@ def _finish(scores: DataFrame, qk: DataFrame, k_max: int) -> DataFrame:
 
 
 def bm25_search(documents: DataFrame, queries: DataFrame, params: Bm25Params = Bm25Params(),
-                pattern: str = WORD_2PLUS, top_k_col: str = "top_k",
-                max_broadcast_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
+                pattern: str = TOKEN, top_k_col: str = "top_k",
+                max_broadcast_rows: int = BLOCK_PAIRS) -> DataFrame:
     """(query_id, rank, doc_id, score), top ``top_k`` per query, scores > 0.
 
     documents: (doc_id, content); queries: (query_id, query, top_k)."""
-    qk = queries.select("query_id", "query", F.col(top_k_col).alias("top_k"))
+    qk = queries.select("query_id", "query", requested_k(top_k_col).alias("top_k"))
     k_max = max_k(qk)
     return _finish(bm25_scores(documents, qk, params, pattern, k_max, max_broadcast_rows), qk, k_max)
 
@@ -157,25 +241,34 @@ def bm25_search(documents: DataFrame, queries: DataFrame, params: Bm25Params = B
 # partition pruning on the bounded list of needed buckets).
 # ---------------------------------------------------------------------------
 
-DEFAULT_INDEX_BUCKETS = 64
-WRITE_SPLIT = 4
+# Postings of a bucket, and of one written file, about.
+BUCKET_POSTINGS = 20_000_000
+FILE_POSTINGS = 2_000_000
+LEAST_BUCKETS = 32
 
 
 def _bucket(col: str, buckets: int):
     return F.pmod(F.xxhash64(F.col(col)), F.lit(buckets)).cast("int")
 
 
-def build_bm25_index(documents: DataFrame, path: str, pattern: str = WORD_2PLUS,
-                     buckets: int = DEFAULT_INDEX_BUCKETS) -> None:
+def build_bm25_index(documents: DataFrame, path: str, pattern: str = TOKEN,
+                     buckets: int | None = None) -> None:
     """Write postings (term_bucket, term, doc_id, doc_len, tf), document
-    frequencies (term_bucket, term, df), document ids and corpus statistics."""
+    frequencies (term_bucket, term, df), document ids and corpus statistics.
+
+    The number of buckets (unless given) and of the tasks that write one term
+    follow the corpus: a term has at most one posting per document."""
     dtok = tokenize(documents, pattern)
+    n_docs, n_postings = dtok.agg(F.count(F.lit(1)), F.sum(F.size(F.array_distinct("tokens")))).first()
+    if buckets is None:
+        buckets = max(LEAST_BUCKETS, math.ceil((n_postings or 0) / BUCKET_POSTINGS))
+    splits = max(1, math.ceil(n_docs / FILE_POSTINGS))
     post = postings(dtok).withColumn("term_bucket", _bucket("term", buckets))
     # One shuffle at build time: rows of a bucket go to few tasks (few files
-    # per folder), split by a document salt so a bucket holding a very
-    # common word is still written by up to WRITE_SPLIT tasks; sorted by term
-    # so row-group statistics narrow the reads further.
-    salt = F.pmod(F.xxhash64("doc_id"), F.lit(WRITE_SPLIT))
+    # per folder), split by a document salt so that a very common word is
+    # written by several tasks; sorted by term so that row-group statistics
+    # narrow the reads further.
+    salt = F.pmod(F.xxhash64("doc_id"), F.lit(splits))
     (post.repartition("term_bucket", salt).sortWithinPartitions("term", "doc_id")
      .write.mode("overwrite").partitionBy("term_bucket").parquet(f"{path}/postings"))
     spark = documents.sparkSession
@@ -186,7 +279,7 @@ def build_bm25_index(documents: DataFrame, path: str, pattern: str = WORD_2PLUS,
     # documents without a token get 0 from a scan of the id column only, so
     # the texts are tokenized once for the whole build.
     lens = stored.groupBy("doc_id").agg(F.max("doc_len").alias("doc_len"))
-    (documents.select("doc_id").join(lens, "doc_id", "left").fillna(0, ["doc_len"])
+    (documents.filter("content IS NOT NULL").select("doc_id").join(lens, "doc_id", "left").fillna(0, ["doc_len"])
      .write.mode("overwrite").parquet(f"{path}/docs"))
     docs = spark.read.parquet(f"{path}/docs")
     (docs.agg(F.count(F.lit(1)).alias("n_docs"), F.avg(F.col("doc_len").cast("double")).alias("avg_len"))
@@ -203,7 +296,7 @@ def bm25_search_index(spark, path: str, queries: DataFrame, params: Bm25Params =
     buckets, pattern = int(meta["buckets"]), meta["pattern"]
     n_docs = stats.select("n_docs").scalar()
     avg_len = stats.select("avg_len").scalar()
-    qk = queries.select("query_id", "query", F.col(top_k_col).alias("top_k"))
+    qk = queries.select("query_id", "query", requested_k(top_k_col).alias("top_k"))
     k_max = max_k(qk)
     qterms = query_terms(qk, pattern)
     small_queries = is_bounded(qterms, max_broadcast_rows)

@@ -1,16 +1,17 @@
 """Exact cosine top-k.
 
 Brute-force exact search has to compare every query with every document;
-the job never turns those comparisons into rows. Query vectors are
-size-checked and broadcast (in blocks of at most ``max_broadcast_bytes``
-when there are many); each document partition scores its vectors against a
-block with one matrix product (numpy, inside the task) and emits only its
-best k per query. A final per-query window (partial WindowGroupLimit before
-the shuffle) merges the partitions' candidates. Document vectors are read
-where they lie and never shuffled.
-
-Zero, missing or wrong-length vectors have no cosine (NULL, never NaN) and
-are skipped (S2); so is a query whose vector is zero.
+the job never turns those comparisons into rows. Query vectors are broadcast
+in blocks of at most ``max_broadcast_bytes`` (checked); each document partition
+scores its vectors against a block with matrix products (numpy, inside the
+task), keeps a running best k per query over its batches and emits it once at
+the end. A final per-query window (partial WindowGroupLimit before the shuffle)
+merges the partitions' candidates. Document vectors are read where they lie
+and never shuffled.
+
+Ids are of any type (numbers, titles). A query meets the documents whose vector
+has its own length. Zero and missing vectors have no cosine (NULL, never NaN)
+and are skipped (S2); so is a query whose vector is zero.
 """
 
 from __future__ import annotations
@@ -21,92 +22,116 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from quarry.plans.topk import OUTPUT_PLACES, SCORE_PLACES, max_k, ranked
+from quarry.plans.topk import OUTPUT_PLACES, SCORE_PLACES, max_k, ranked, requested_k
 from quarry.session import shared_dir
 
 DEFAULT_BROADCAST_BYTES = 256 * 1024 * 1024
 # Queries scored per matrix product inside a task (bounds the score matrix).
 QUERY_CHUNK = 512
-CANDIDATE_SCHEMA = "query_id long, doc_id long, score double"
 
 
-def _query_block(rows: pd.DataFrame, dim: int):
-    ids, vecs = [], []
-    for qid, v in zip(rows["query_id"].to_numpy(), rows["embedding"].to_numpy()):
-        if v is None or len(v) != dim:
-            continue
-        a = np.asarray(v, dtype=np.float64)
-        n = np.linalg.norm(a)
-        if n > 0:
-            ids.append(qid)
-            vecs.append(a / n)
-    q = np.vstack(vecs) if vecs else np.zeros((0, dim))
-    return np.asarray(ids, dtype=np.int64), q
+def _unit_rows(ids, vectors) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """{length: (ids, unit vectors)} of the vectors that have a direction."""
+    by_length: dict[int, list] = {}
+    for i, v in zip(ids, vectors):
+        if v is not None and len(v):
+            by_length.setdefault(len(v), []).append((i, v))
+    out = {}
+    for length, rows in by_length.items():
+        m = np.array([v for _, v in rows], dtype=np.float64)
+        norms = np.sqrt((m * m).sum(axis=1))
+        live = norms > 0
+        if live.any():
+            keys = as_ids([i for i, _ in rows])[live]
+            by_id = np.argsort(keys, kind="stable")
+            out[length] = (keys[by_id], (m[live] / norms[live][:, None])[by_id])
+    return out
+
+
+def as_ids(values: list) -> np.ndarray:
+    """Ids of any type as an array of objects."""
+    out = np.empty(len(values), dtype=object)
+    out[:] = values
+    return out
+
 
+class Best:
+    """Running best k (score, id) of each query; ties by id."""
 
-def _partition_topk(k: int, dim: int, block, query_chunk: int = QUERY_CHUNK):
-    """mapInPandas body: best k documents per query within one partition.
+    def __init__(self, n: int, k: int):
+        self.k = k
+        self.ids = [np.empty(0, dtype=object)] * n
+        self.scores = [np.empty(0)] * n
 
-    Rows are sorted by doc_id once; queries are taken QUERY_CHUNK at a time
-    (bounded memory); one stable argsort per chunk orders every column by
-    score, ties by doc_id, all inside numpy."""
+    def add(self, scores: np.ndarray, ids: np.ndarray) -> None:
+        """``scores``: one row per query, one column per document, ids ascending."""
+        rounded = np.round(scores, SCORE_PLACES)
+        kk = min(self.k, scores.shape[1])
+        least = np.partition(rounded, -kk, axis=1)[:, -kk]
+        for i, line in enumerate(rounded):
+            above, ties = np.flatnonzero(line > least[i]), np.flatnonzero(line == least[i])
+            found = np.concatenate([above, ties[:kk - len(above)]])   # ties: the lowest ids
+            s = np.concatenate([self.scores[i], scores[i][found]])
+            d = np.concatenate([self.ids[i], ids[found]])
+            order = sorted(range(len(s)), key=lambda j: (-round(s[j], SCORE_PLACES), d[j]))[:self.k]
+            self.scores[i], self.ids[i] = s[order], d[order]
+
+    def rows(self, query_ids: np.ndarray) -> pd.DataFrame:
+        n = [len(s) for s in self.scores]
+        return pd.DataFrame({"query_id": np.repeat(query_ids, n), "doc_id": np.concatenate(self.ids),
+                             "score": np.concatenate(self.scores)})
+
+
+def _partition_topk(k: int, block, query_chunk: int = QUERY_CHUNK):
+    """mapInPandas body: best k documents per query of one partition."""
 
     def run(batches):
-        qids, q = block.value
-        if len(qids) == 0:
-            return
+        chunks = []
+        for length, (qids, q) in block.value.items():
+            for at in range(0, len(qids), query_chunk):
+                part = qids[at:at + query_chunk]
+                chunks.append((length, part, q[at:at + query_chunk], Best(len(part), k)))
         for pdf in batches:
-            emb = pdf["embedding"].to_numpy()
-            ok = np.fromiter((v is not None and len(v) == dim for v in emb), bool, len(emb))
-            if not ok.any():
-                continue
-            m = np.vstack([np.asarray(v, dtype=np.float64) for v in emb[ok]])
-            ids = pdf["doc_id"].to_numpy()[ok].astype(np.int64)
-            nrm = np.linalg.norm(m, axis=1)
-            live = nrm > 0
-            m, ids, nrm = m[live], ids[live], nrm[live]
-            if len(ids) == 0:
-                continue
-            by_id = np.argsort(ids, kind="stable")
-            m, ids, nrm = m[by_id], ids[by_id], nrm[by_id]
-            kk = min(k, len(ids))
-            for c0 in range(0, len(qids), query_chunk):
-                qc = q[c0:c0 + query_chunk]
-                s = (m @ qc.T) / nrm[:, None]                   # (docs, queries) cosine
-                order = np.argsort(-np.round(s, SCORE_PLACES), axis=0, kind="stable")[:kk]
-                cols = np.broadcast_to(np.arange(qc.shape[0]), order.shape)
-                yield pd.DataFrame({
-                    "query_id": qids[c0:c0 + query_chunk][cols.T.ravel()],
-                    "doc_id": ids[order.T.ravel()],
-                    "score": s[order.T.ravel(), cols.T.ravel()],
-                })
+            pdf = pdf[pdf["doc_id"].notna()]
+            docs = _unit_rows(pdf["doc_id"].tolist(), pdf["embedding"].tolist())
+            for length, _, q, best in chunks:
+                if length in docs:
+                    ids, m = docs[length]
+                    best.add(q @ m.T, ids)
+        for _, qids, _, best in chunks:
+            yield best.rows(qids)
 
     return run
 
 
+def candidate_schema(doc_vectors: DataFrame, query_vectors: DataFrame) -> StructType:
+    return StructType([StructField("query_id", query_vectors.schema["query_id"].dataType),
+                       StructField("doc_id", doc_vectors.schema["doc_id"].dataType),
+                       StructField("score", DoubleType())])
+
+
 def cosine_candidates(doc_vectors: DataFrame, query_vectors: DataFrame, k: int,
                       max_broadcast_bytes: int = DEFAULT_BROADCAST_BYTES,
                       query_chunk: int = QUERY_CHUNK) -> DataFrame:
     """Per-partition best k (query_id, doc_id, score) for every query."""
     spark = doc_vectors.sparkSession
+    schema = candidate_schema(doc_vectors, query_vectors)
     qv = query_vectors.select("query_id", "embedding")
-    stats = qv.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("embedding")).alias("dim")).first()
-    n_q, dim = int(stats["n"]), int(stats["dim"] or 0)
-    if n_q == 0 or dim <= 0:
-        return spark.createDataFrame([], CANDIDATE_SCHEMA)
-    blocks = max(1, math.ceil(n_q * dim * 8 / max_broadcast_bytes))
+    size = qv.agg(F.sum(F.coalesce(F.size("embedding"), F.lit(0)).cast("long") * 8)).first()[0] or 0
+    out = spark.createDataFrame([], schema)
+    if size <= 0:
+        return out
+    blocks = max(1, math.ceil(size / max_broadcast_bytes))
     docs = doc_vectors.select("doc_id", "embedding")
-    parts = []
     for b in range(blocks):
         part = qv if blocks == 1 else qv.filter(
             F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
-        # Bounded by the byte budget above: at most max_broadcast_bytes per block.
-        block = spark.sparkContext.broadcast(_query_block(part.toPandas(), dim))
-        parts.append(docs.mapInPandas(_partition_topk(k, dim, block, query_chunk), CANDIDATE_SCHEMA))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+        # One block at a time passes through the driver, bounded by the byte budget.
+        rows = part.toArrow().to_pydict()
+        block = spark.sparkContext.broadcast(_unit_rows(rows["query_id"], rows["embedding"]))
+        out = out.unionByName(docs.mapInPandas(_partition_topk(k, block, query_chunk), schema))
     return out
 
 
@@ -116,14 +141,14 @@ def dense_search(doc_vectors: DataFrame, query_vectors: DataFrame,
     """(query_id, rank, doc_id, score) top ``top_k`` by cosine.
 
     doc_vectors: (doc_id, embedding); query_vectors: (query_id, embedding, top_k)."""
-    # Query vectors are read three times (k, block sizing, broadcast) and may
+    # Query vectors are read several times (k, block sizing, broadcast) and may
     # come from a model: pin them once in the shared checkpoint folder.
     shared_dir(query_vectors.sparkSession)
-    query_vectors = query_vectors.select("query_id", "embedding", "top_k").checkpoint()
+    query_vectors = query_vectors.select(
+        "query_id", "embedding", requested_k().alias("top_k")).checkpoint()
     k_max = max_k(query_vectors)
-    if k_max <= 0:
-        return doc_vectors.sparkSession.createDataFrame(
-            [], "query_id long, rank int, doc_id long, score double")
-    cands = cosine_candidates(doc_vectors, query_vectors, k_max, max_broadcast_bytes, query_chunk)
+    schema = candidate_schema(doc_vectors, query_vectors)
+    cands = (cosine_candidates(doc_vectors, query_vectors, k_max, max_broadcast_bytes, query_chunk)
+             if k_max > 0 else doc_vectors.sparkSession.createDataFrame([], schema))
     out = ranked(cands, query_vectors.select("query_id", "top_k"), k_max)
     return out.select("query_id", "rank", "doc_id", F.round("score", OUTPUT_PLACES).alias("score"))

@@ -20,15 +20,16 @@ spread over many tasks.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions import metrics as M
-from quarry.plans.joins import is_bounded, join_small_to_big
+from quarry.plans.joins import join_small_to_big
 from quarry.session import shared_dir
 
 IDCG_CHUNK = 4096
-MAX_METHODS = 1000
 METRIC_COLUMNS = ["precision", "recall", "fallout", "f1", "f2", "ndcg", "ap",
                   "recall_multi_hit", "avg_similarity"]
 
@@ -72,28 +73,29 @@ def ideal_dcg(counts: DataFrame, n_col: str = "n_truth", chunk: int = IDCG_CHUNK
     return chunks.select("query_id", part.alias("p")).groupBy("query_id").agg(F.sum("p").alias("idcg"))
 
 
-def _methods_x_queries(runs: DataFrame, queries: DataFrame) -> DataFrame:
-    """Every (method, query) pair, so a query with no result keeps its row.
-    The method list is a scalar subquery, checked to be a handful of names."""
-    if not is_bounded(runs.select("method").distinct(), MAX_METHODS):
-        raise ValueError(f"more than {MAX_METHODS} methods in one evaluation")
-    methods = runs.agg(F.array_sort(F.collect_set("method"))).scalar()
-    return queries.select("query_id", F.explode(methods).alias("method"))
+def _methods_x_queries(runs: DataFrame, queries: DataFrame, methods: Sequence[str] | None) -> DataFrame:
+    """Every (method, query) pair, so a query or a whole method with no result
+    keeps its rows. The caller names the methods; without names they are those
+    of the runs (a scalar subquery, one array of names)."""
+    names = (F.array(*[F.lit(m) for m in methods]) if methods is not None
+             else runs.agg(F.array_sort(F.collect_set("method"))).scalar())
+    return queries.select("query_id", F.explode(names).alias("method"))
 
 
 def metrics_per_query(runs: DataFrame, qrels: DataFrame, documents: DataFrame,
-                      queries: DataFrame) -> DataFrame:
-    """O70 (per query): one row per (method, query_id) with counts and metrics."""
+                      queries: DataFrame, methods: Sequence[str] | None = None) -> DataFrame:
+    """O70 (per query): one row per (method, query_id) with counts and metrics,
+    for ``methods`` (default: the methods that have a result)."""
     # Runs and judgments are each read several times below; they are small
     # next to what produced them, so they are written once to the shared
     # checkpoint folder rather than recomputed per use.
     shared_dir(runs.sparkSession)
     runs = runs.checkpoint()
-    truth = resolve_qrels(qrels, documents)
+    truth = resolve_qrels(qrels, documents).checkpoint()
     # Content keys only for documents that were retrieved or judged: a small
-    # id set, broadcast into the corpus scan when bounded.
-    needed = runs.select("doc_id").unionByName(truth.select("doc_id")).distinct()
-    keys = content_keys(join_small_to_big(needed, documents, "doc_id", "left_semi"))
+    # id set, broadcast into the one scan of the texts when bounded.
+    needed = runs.select("doc_id").unionByName(truth.select("doc_id")).distinct().checkpoint()
+    keys = content_keys(join_small_to_big(needed, documents, "doc_id", "left_semi")).checkpoint()
     n_docs = documents.select(F.count(F.lit(1))).scalar()
 
     truth_counts = truth.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_truth"))
@@ -128,7 +130,7 @@ def metrics_per_query(runs: DataFrame, qrels: DataFrame, documents: DataFrame,
     inter = (got.join(truth_keys, ["query_id", "content_key"], "left_semi")
              .groupBy("method", "query_id").agg(F.count(F.lit(1)).alias("n_hit_contents")))
 
-    base = (_methods_x_queries(runs, queries)
+    base = (_methods_x_queries(runs, queries, methods)
             .join(per, ["method", "query_id"], "left")
             .join(truth_counts, "query_id", "left")
             .join(idcg, "query_id", "left")

@@ -9,12 +9,13 @@ Neural weights are not bundled. The stand-ins below are deterministic and
 only exercise the plumbing; they do not imitate any model's output:
   * ``hash_encoder``: sum of md5 word vectors (dim i = i-th hex digit),
   * ``jaccard_scorer``: token-set Jaccard of (query, content),
-  * ``first_words_generator``: the first m words of the prompt, as one reply.
+  * ``first_words_generator``: the words of the prompt, as one reply.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Sequence
 
 import numpy as np
 from pyspark.ml.functions import predict_batch_udf
@@ -23,6 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, FloatType, StringType
 
 from quarry.functions.text import WORD_2PLUS, render_prompt
+from quarry.operators.prep import null_to_empty
 
 BATCH_SIZE = 256
 
@@ -79,7 +81,8 @@ def jaccard_scorer(pattern: str = WORD_2PLUS):
     return make
 
 
-def first_words_generator(max_words: int = 100, replies: int = 1):
+def first_words_generator(max_words: int | None = None, replies: int = 1):
+    """Stand-in reply: the prompt's words (whole, or the first ``max_words``)."""
     def make():
         def predict(prompts: np.ndarray) -> np.ndarray:
             out = np.empty((len(prompts), replies), dtype=object)
@@ -101,23 +104,25 @@ def encoder_udf(make_predict_fn, batch_size: int = BATCH_SIZE):
                              batch_size=batch_size)
 
 
-def embed_documents(documents: DataFrame, make_predict_fn, batch_size: int = BATCH_SIZE) -> DataFrame:
-    """(doc_id, embedding); NULL content is encoded as '' (O11)."""
+def embed_documents(documents: DataFrame, make_predict_fn, batch_size: int = BATCH_SIZE,
+                    keep: Sequence[str] = ()) -> DataFrame:
+    """(doc_id, embedding) and the ``keep`` columns; NULL content is
+    encoded as '' (O11)."""
     enc = encoder_udf(make_predict_fn, batch_size)
-    return documents.select("doc_id", enc(F.coalesce("content", F.lit(""))).alias("embedding"))
+    return documents.select("doc_id", *keep, enc(null_to_empty("content")).alias("embedding"))
 
 
 def embed_queries(queries: DataFrame, make_predict_fn, batch_size: int = BATCH_SIZE) -> DataFrame:
     """(query_id, embedding, top_k)."""
     enc = encoder_udf(make_predict_fn, batch_size)
-    return queries.select("query_id", enc(F.coalesce("query", F.lit(""))).alias("embedding"), "top_k")
+    return queries.select("query_id", enc(null_to_empty("query")).alias("embedding"), "top_k")
 
 
 def pair_scores(pairs: DataFrame, make_predict_fn, query_col: str = "query",
                 content_col: str = "content", batch_size: int = BATCH_SIZE) -> Column:
     """A similarity Column for each (query, content) row of ``pairs``."""
     scorer = predict_batch_udf(make_predict_fn, return_type=DoubleType(), batch_size=batch_size)
-    return scorer(F.coalesce(query_col, F.lit("")), F.coalesce(content_col, F.lit("")))
+    return scorer(null_to_empty(query_col), null_to_empty(content_col))
 
 
 def generate_hypotheses(queries: DataFrame, make_predict_fn, batch_size: int = BATCH_SIZE) -> DataFrame:

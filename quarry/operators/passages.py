@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from quarry.functions.text import WORD_1PLUS, explode_values
 from quarry.plans.joins import (DEFAULT_BROADCAST_ROWS, is_bounded, join_small_to_big, lookup_join,
@@ -19,6 +20,8 @@ from quarry.plans.joins import (DEFAULT_BROADCAST_ROWS, is_bounded, join_small_t
 from quarry.session import shared_dir
 
 ANCHOR_WORDS = 8
+# Passages of one or two words looked for in one scan of the texts, about.
+SHORT_BLOCK = 1_000
 
 
 def _words(c: str):
@@ -50,14 +53,12 @@ def containing_documents(documents: DataFrame, passages: DataFrame,
     """(query_id, doc_id) for every document whose content contains the passage.
 
     documents: (doc_id, content); passages: (query_id, passage)."""
-    short = passages.filter(F.size(_words("passage")) < 3)
-    if short.limit(1).count() > 0:
-        raise ValueError("passages need at least three words to be anchored")
     anchors = passage_anchors(passages, max_words)
     # Anchor lengths are 1..max_words: a bounded list.
     lengths = sorted(r[0] for r in anchors.select("anchor_len").distinct().collect())
+    short = _short_passages(documents, passages, max_broadcast_rows)
     if not lengths:
-        return passages.select("query_id", F.lit(None).cast("bigint").alias("doc_id")).limit(0)
+        return short
     shingles = _shingles(documents, lengths[0])
     for n in lengths[1:]:
         shingles = shingles.unionByName(_shingles(documents, n))
@@ -80,4 +81,26 @@ def containing_documents(documents: DataFrame, passages: DataFrame,
     return (join_small_to_big(texts, documents.select("doc_id", "content"), "doc_id",
                               max_rows=max_broadcast_rows)
             .filter(F.col("content").contains(F.col("passage")))
-            .select("query_id", "doc_id"))
+            .select("query_id", "doc_id")
+            .unionByName(short))
+
+
+def _short_passages(documents: DataFrame, passages: DataFrame, max_rows: int) -> DataFrame:
+    """Documents that hold a passage of under three words. Its words may be cut
+    on both sides, so no whole word can be a join key; the texts are scanned
+    with the passages in blocks of at most ``SHORT_BLOCK`` (a list inside the
+    scan, no join)."""
+    n = F.size(_words("passage"))
+    short = passages.filter((n < 3) & F.col("passage").isNotNull()).select("query_id", "passage")
+    rows = short.count()
+    blocks = -(-rows // SHORT_BLOCK)
+    out = documents.sparkSession.createDataFrame([], StructType([
+        passages.schema["query_id"], documents.schema["doc_id"]]))
+    for b in range(blocks):
+        part = short.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
+        listed = part.agg(F.collect_list(F.struct("query_id", "passage"))).scalar()
+        held = F.filter("_listed", lambda p: F.contains(F.col("content"), p["passage"]))
+        scan = documents.select("doc_id", "content").withColumn("_listed", listed)
+        out = out.unionByName(explode_values(scan, held, "p", keep=["doc_id"])
+                              .select("p.query_id", "doc_id"))
+    return out

@@ -13,7 +13,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions.text import explode_values, unigrams, vectorizer_terms
-from quarry.session import shared_dir
 from quarry.plans.joins import skew_join
 
 
@@ -42,10 +41,9 @@ def smooth_idf(tf: DataFrame, n_docs) -> DataFrame:
 
 def weighted_terms(documents: DataFrame, ngrams: bool = True, stop_words=None) -> DataFrame:
     """(doc_id, term, tf, idf, w = tf * idf), not normalised."""
-    # Written once to the shared checkpoint folder: the idf, the hot-key split
-    # and the join below all read it, instead of re-tokenizing the corpus.
-    shared_dir(documents.sparkSession)
-    tf = term_frequency(documents, ngrams, stop_words).checkpoint()
+    # The idf, the hot-key split and the join read the same shuffle of counts
+    # (exchange reuse); nothing of the corpus's size is written besides it.
+    tf = term_frequency(documents, ngrams, stop_words)
     n_docs = documents.select(F.count(F.lit(1))).scalar()
     idf = smooth_idf(tf, n_docs)
     return (skew_join(tf, idf.select("term", "idf"), "term",

@@ -14,8 +14,10 @@ from pyspark.sql import functions as F
 
 from quarry.functions.text import clean_words, explode_values
 from quarry.operators.tfidf import weighted_terms
-from quarry.plans.joins import skew_join
-from quarry.session import shared_dir
+from quarry.plans.joins import lookup_join, skew_join
+
+# Words of a model that is broadcast (a few hundred numbers each).
+MODEL_ROWS = 200_000
 
 
 def vector_mean(df: DataFrame, key: str, vec: str = "vector", weight: str | None = None,
@@ -43,12 +45,10 @@ def word_vector_embed(documents: DataFrame, word_vectors: DataFrame, stop_words=
     weights = weighted_terms(documents, ngrams=False, stop_words=stop_words).select(
         "doc_id", F.col("term").alias("word"), "w")
     occ = word_occurrences(documents)
-    # Read three times below (hot-key counts, hot and cold branches): written
-    # once to the shared checkpoint folder instead of re-tokenizing the corpus.
-    shared_dir(documents.sparkSession)
-    matched = occ.join(weights, ["doc_id", "word"]).checkpoint()
     wv = word_vectors.select("word", F.col("vector").cast("array<double>").alias("vector"))
-    rows = (skew_join(matched, wv, "word")
+    # A word is looked up in the model where it is counted, in one join; the
+    # model is broadcast when bounded, else common words are split off.
+    rows = (lookup_join(occ.join(weights, ["doc_id", "word"]), wv, "word", max_broadcast_rows=MODEL_ROWS)
             .select("doc_id", "vector", (F.col("occ") * F.col("w")).alias("weight")))
     means = vector_mean(rows, "doc_id", "vector", "weight")
     dim = word_vectors.select(F.max(F.size("vector"))).scalar()

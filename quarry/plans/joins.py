@@ -1,7 +1,7 @@
 """Join strategy helpers.
 
-* ``bounded_broadcast``: broadcast a side only after proving it is small; a
-  bounded ``limit(n + 1).count()`` is the proof. Beyond the bound the side is
+* ``bounded_broadcast``: broadcast a side only after proving it is small by
+  counting it. Beyond the bound the side is
   left to a shuffle join (AQE may still turn it into a broadcast at runtime,
   from measured sizes).
 * ``skew_join``: a lookup join (one row per key on the small side) where one
@@ -25,13 +25,15 @@ from pyspark.sql import functions as F
 DEFAULT_BROADCAST_ROWS = 2_000_000
 # A key is hot when it holds at least 1/DEFAULT_MAX_HOT_KEYS of the rows.
 DEFAULT_MAX_HOT_KEYS = 10_000
-# Tasks a hot key of a many-to-many join is spread over.
-DEFAULT_SALTS = 64
+# Rows of a hot key that one task of a many-to-many join takes, about.
+SALT_ROWS = 1_000_000
+LEAST_SALTS = 8
 
 
 def is_bounded(df: DataFrame, max_rows: int) -> bool:
-    """True when ``df`` has at most ``max_rows`` rows; reads at most max_rows+1."""
-    return df.limit(max_rows + 1).count() <= max_rows
+    """True when ``df`` has at most ``max_rows`` rows. A plain count: partial
+    counts per task, so no task gathers rows to answer it."""
+    return df.count() <= max_rows
 
 
 def bounded_broadcast(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
@@ -66,7 +68,7 @@ def skew_join(big: DataFrame, small: DataFrame, on: str, how: str = "inner",
 
 
 def salted_hot_join(big: DataFrame, other: DataFrame, on: str, salt_from: list[str],
-                    key_counts: DataFrame | None = None, salts: int = DEFAULT_SALTS,
+                    key_counts: DataFrame | None = None, salts: int | None = None,
                     max_hot: int = DEFAULT_MAX_HOT_KEYS) -> DataFrame:
     """Inner many-to-many join where a key may be hot on *both* sides (e.g. a
     common word shared by many queries and many documents).
@@ -74,10 +76,13 @@ def salted_hot_join(big: DataFrame, other: DataFrame, on: str, salt_from: list[s
     Hot keys (at most ``max_hot``, by pigeonhole over ``key_counts``) are
     split: big's rows get a salt from ``salt_from``, only the hot rows of
     ``other`` are replicated once per salt, and the join is on (key, salt), so
-    a hot key's work is spread over ``salts`` tasks. Cold keys take a plain
-    shuffle join. Nothing is collected into lists."""
+    a hot key's work is spread over ``salts`` tasks (default: by the largest
+    key's count). Cold keys take a plain shuffle join. Nothing is collected
+    into lists."""
     if key_counts is None:
         key_counts = big.groupBy(on).agg(F.count(F.lit(1)).alias("n"))
+    if salts is None:
+        salts = max(LEAST_SALTS, -(-(key_counts.agg(F.max("n")).first()[0] or 0) // SALT_ROWS))
     total = key_counts.select(F.sum("n")).scalar()
     hot_keys = F.broadcast(key_counts.filter(F.col("n") * F.lit(int(max_hot)) >= total).select(on))
     salt = "__salt"

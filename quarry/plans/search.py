@@ -20,13 +20,15 @@ from pyspark.sql import functions as F
 
 from quarry.config import SearchConfig
 from quarry.operators import models
-from quarry.operators.bm25 import bm25_search
+from quarry.operators.bm25 import bm25_search, bm25_search_index
 from quarry.operators.dense import dense_search
 from quarry.operators.fusion import rrf
+from quarry.operators.prep import null_to_empty, select_method
 from quarry.operators.vectors import hyde_mean
 from quarry.plans.joins import join_small_to_big
+from quarry.plans.topk import requested_k
 from quarry.session import shared_dir
-from quarry.sources.files import load_embeddings, save_embeddings
+from quarry.sources.files import load_embeddings, save_embeddings, store_exists
 
 
 def hyde_query_vectors(queries: DataFrame, hypotheses: DataFrame, make_encoder) -> DataFrame:
@@ -41,22 +43,32 @@ def attach_similarity(run: DataFrame, documents: DataFrame, queries: DataFrame,
                       make_scorer) -> DataFrame:
     """O62 + O21 + O39: similarity of each returned row, by key.
 
-    Only returned rows are scored. The run (queries x k rows) is pinned and,
-    when bounded, broadcast into the document scan: the corpus is never
+    Only returned rows are scored, and a pair that several methods return is
+    scored once. Every row of the run stays: one whose document or query is not
+    in the tables has a NULL similarity. The pairs (queries x k rows) are pinned
+    and, when bounded, broadcast into the document scan: the corpus is never
     shuffled to attach a few texts."""
     shared_dir(run.sparkSession)
     run = run.checkpoint()
-    with_text = join_small_to_big(run, documents.select("doc_id", "content"), "doc_id")
-    pairs = with_text.join(queries.select("query_id", "query"), "query_id")
-    return pairs.select(*run.columns, models.pair_scores(pairs, make_scorer).alias("similarity"))
+    pairs = run.select("query_id", "doc_id").distinct().checkpoint()
+    texts = join_small_to_big(pairs, documents.select("doc_id", "content"), "doc_id")
+    texts = texts.join(queries.select("query_id", "query"), "query_id")
+    scores = texts.select("query_id", "doc_id", models.pair_scores(texts, make_scorer).alias("similarity"))
+    return run.join(scores, ["query_id", "doc_id"], "left").select(*run.columns, "similarity")
 
 
 def search(documents: DataFrame, queries: DataFrame, config: SearchConfig, make_encoder,
            doc_vectors: DataFrame | None = None, hypotheses: DataFrame | None = None,
-           make_generator=None, make_scorer=None) -> DataFrame:
+           make_generator=None, make_scorer=None, store: str | None = None,
+           method: str | None = None, bm25_index: str | None = None) -> DataFrame:
     """(query_id, rank, doc_id, score[, similarity]).
 
-    documents: (doc_id, content); queries: (query_id, query, top_k)."""
+    documents: (doc_id, content); queries: (query_id, query, top_k). Document
+    vectors are those given, or those of ``method`` in the embedding ``store``
+    (an unknown method is an error), or are computed. ``bm25_index`` is the path
+    of a stored index; without one the BM25 leg reads the texts."""
+    if doc_vectors is None and store is not None:
+        doc_vectors = select_method(load_embeddings(documents.sparkSession, store), method)
     if doc_vectors is None:
         doc_vectors = models.embed_documents(documents, make_encoder)
     if config.use_hyde:
@@ -70,7 +82,9 @@ def search(documents: DataFrame, queries: DataFrame, config: SearchConfig, make_
     run = dense_search(doc_vectors, qv)
     if config.use_bm25:
         bq = queries.withColumn("top_k", F.lit(int(config.bm25_top_k)))
-        run = rrf([run, bm25_search(documents, bq)], queries.select("query_id", "top_k"))
+        leg = (bm25_search(documents, bq) if bm25_index is None
+               else bm25_search_index(documents.sparkSession, bm25_index, bq))
+        run = rrf([run, leg], queries.select("query_id", "top_k"))
     if config.use_evaluator:
         if make_scorer is None:
             raise ValueError("the evaluator needs a scorer")
@@ -90,11 +104,14 @@ def search_many(documents: DataFrame, queries: DataFrame, configs: dict[str, Sea
     the top-j of a top-k list is the top-j list). ``bm25_method`` also emits
     the BM25L ranking itself as a method at the queries' own top_k (scored by
     the pair scorer when ``score_bm25``)."""
+    shared_dir(documents.sparkSession)
     if doc_vectors is None:
+        # Encoded once for the plain and the HyDE leg.
         doc_vectors = models.embed_documents(documents, make_encoder)
+        if len({c.use_hyde for c in configs.values()}) > 1:
+            doc_vectors = doc_vectors.checkpoint()
     # Each leg is pinned once (queries x k rows) and then read by every
     # method that uses it, even across separate jobs.
-    shared_dir(documents.sparkSession)
     legs: dict[str, DataFrame] = {}
 
     def dense(hyde: bool) -> DataFrame:
@@ -111,11 +128,11 @@ def search_many(documents: DataFrame, queries: DataFrame, configs: dict[str, Sea
     bm25_ks = {c.bm25_top_k for c in configs.values() if c.use_bm25}
     bm_all = None
     if bm25_ks or bm25_method:
-        k_all = F.greatest(F.col("top_k"), F.lit(max(bm25_ks or {0})))
+        k_all = F.greatest(requested_k(), F.lit(max(bm25_ks or {0})))
         bm_all = bm25_search(documents, queries.withColumn("top_k", k_all)).checkpoint()
     out = []
     if bm25_method:
-        run = (bm_all.join(queries.select("query_id", "top_k"), "query_id")
+        run = (bm_all.join(queries.select("query_id", requested_k().alias("top_k")), "query_id")
                .filter(F.col("rank") <= F.col("top_k")).drop("top_k"))
         out.append((bm25_method, run, score_bm25))
     for name, cfg in configs.items():
@@ -126,11 +143,14 @@ def search_many(documents: DataFrame, queries: DataFrame, configs: dict[str, Sea
         out.append((name, run, cfg.use_evaluator))
     result = None
     for name, run, scored in out:
-        if scored:
-            run = attach_similarity(run, documents, queries, make_scorer)
-        run = run.withColumn("method", F.lit(name))
-        result = run if result is None else result.unionByName(run, allowMissingColumns=True)
-    return result
+        run = run.withColumns({"method": F.lit(name), "_scored": F.lit(scored)})
+        result = run if result is None else result.unionByName(run)
+    if not any(scored for _, _, scored in out):
+        return result.drop("_scored")
+    # All methods are scored in one pass over the corpus.
+    result = result.checkpoint()
+    done = attach_similarity(result.filter("_scored"), documents, queries, make_scorer)
+    return done.unionByName(result.filter("NOT _scored"), allowMissingColumns=True).drop("_scored")
 
 
 def search_listing(run: DataFrame, documents: DataFrame) -> DataFrame:
@@ -139,7 +159,9 @@ def search_listing(run: DataFrame, documents: DataFrame) -> DataFrame:
     sim = F.col("similarity") if "similarity" in run.columns else F.lit(None).cast("double")
     shared_dir(run.sparkSession)
     run = run.checkpoint()
-    return (join_small_to_big(run, documents.select("doc_id", "content"), "doc_id")
+    texts = join_small_to_big(run.select("doc_id").distinct(), documents.select("doc_id", "content"), "doc_id")
+    # Every rank is listed; a document that is not in the table has no content.
+    return (run.join(texts, "doc_id", "left")
             .select("query_id", "rank", "doc_id", "content", "score", sim.alias("similarity")))
 
 
@@ -147,36 +169,44 @@ def get_or_create_embeddings(documents: DataFrame, make_encoder, store_path: str
                              force: bool = False) -> DataFrame:
     """Reuse stored vectors, embed only what is missing or changed.
 
-    Keyed by (method, doc_id, sha256(content)), so a changed text is
-    re-embedded. ``force`` re-embeds everything. Returns
+    Keyed by (method, doc_id, sha256(content)): a changed text is embedded anew
+    and its old vector leaves the store. ``force`` embeds everything and replaces
+    this method's vectors; other methods are never touched. Returns
     (doc_id, content_hash, embedding, reused)."""
     spark = documents.sparkSession
-    keyed = documents.select("doc_id", "content",
-                             F.sha2(F.coalesce("content", F.lit("")), 256).alias("content_hash"))
-    try:
-        stored = load_embeddings(spark, store_path, method)
-        stored.limit(1).count()
-    except Exception:  # noqa: BLE001  (no store yet)
-        stored = None
-    if stored is None or force:
-        missing = keyed
-        stored_ok = None
+    keyed = documents.select("doc_id", "content", F.sha2(null_to_empty("content"), 256).alias("content_hash"))
+    keys = ["doc_id", "content_hash"]
+    stored = None
+    if store_exists(spark, store_path):
+        stored = load_embeddings(spark, store_path, method).select(*keys, "embedding")
+    todo, kept = keyed, None
+    if stored is not None and not force:
+        current = _written(keyed.select(*keys), "store_current")
+        kept = stored.join(current, keys, "left_semi")
+        # The few missing keys go to the texts, not the texts to the store.
+        missing = _written(current.join(stored, keys, "left_anti"), "store_missing")
+        todo = join_small_to_big(missing, keyed, keys, "left_semi")
+    fresh = _written(models.embed_documents(todo, make_encoder, keep=["content_hash"]).select(*keys, "embedding"),
+                     "store_fresh")
+    out = fresh.withColumn("reused", F.lit(False))
+    named = fresh.withColumn("method", F.lit(method))
+    if kept is None:
+        save_embeddings(named, store_path, mode="overwrite")
+        return out
+    # A vector is stale when its document is in the corpus with another text.
+    stale = stored.join(current, keys, "left_anti").join(current.select("doc_id"), "doc_id", "left_semi")
+    kept = _written(kept, "store_kept")
+    if stale.isEmpty():
+        save_embeddings(named, store_path, mode="append")
     else:
-        live = stored.select("doc_id", "content_hash", "embedding")
-        stored_ok = live.join(keyed.select("doc_id", "content_hash"), ["doc_id", "content_hash"], "left_semi")
-        missing = keyed.join(live, ["doc_id", "content_hash"], "left_anti")
-    # Pin the missing set before the store changes under it (a reliable
-    # checkpoint in the shared folder, not a lazy re-read of the store).
-    shared_dir(spark)
-    missing_keys = missing.select("doc_id", "content_hash").checkpoint()
-    todo = keyed.join(missing_keys, ["doc_id", "content_hash"], "left_semi")
-    fresh = (models.embed_documents(todo.select("doc_id", "content"), make_encoder)
-             .join(missing_keys, "doc_id")
-             .withColumn("method", F.lit(method)))
-    save_embeddings(fresh, store_path, mode="overwrite" if force else "append")
-    reread = load_embeddings(spark, store_path, method).join(
-        keyed.select("doc_id", "content_hash"), ["doc_id", "content_hash"], "left_semi")
-    fresh_keys = missing_keys.withColumn("reused", F.lit(False))
-    return (reread.join(fresh_keys, ["doc_id", "content_hash"], "left")
-            .select("doc_id", "content_hash", "embedding",
-                    F.coalesce("reused", F.lit(True)).alias("reused")))
+        others = stored.join(current.select("doc_id"), "doc_id", "left_anti")
+        whole = _written(kept.unionByName(others).unionByName(fresh), "store_whole")
+        save_embeddings(whole.withColumn("method", F.lit(method)), store_path, mode="overwrite")
+    return kept.withColumn("reused", F.lit(True)).unionByName(out)
+
+
+def _written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once to the shared folder: the store changes under it."""
+    path = shared_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

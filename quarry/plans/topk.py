@@ -14,6 +14,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry.config import DEFAULT_TOP_K
+
 # Fixed value: ranking is on the score rounded to 9 places, ties by id, so
 # that sums taken in a different order still give the same ranking.
 SCORE_PLACES = 9
@@ -24,9 +26,14 @@ def ranking_order(score: str = "score", tie: str = "doc_id") -> list[Column]:
     return [F.round(F.col(score), SCORE_PLACES).desc(), F.col(tie).asc()]
 
 
+def requested_k(col: str = "top_k") -> Column:
+    """A query's k; without one, the default."""
+    return F.coalesce(F.col(col), F.lit(DEFAULT_TOP_K))
+
+
 def max_k(queries: DataFrame, col: str = "top_k") -> int:
     """Largest requested k (one tiny aggregate over the queries table)."""
-    v = queries.agg(F.max(col)).first()[0]
+    v = queries.agg(F.max(requested_k(col))).first()[0]
     return int(v) if v is not None else 0
 
 
@@ -43,7 +50,7 @@ def ranked(df: DataFrame, queries: DataFrame, k_max: int | None = None,
     if k_max is None:
         k_max = max_k(queries, top_k_col)
     limited = top_k_per_group(df, [group], ranking_order(score, tie), max(k_max, 1))
-    ks = queries.select(group, top_k_col)
+    ks = queries.select(group, requested_k(top_k_col).alias(top_k_col))
     return (limited.join(ks, group)
             .filter(F.col("rank") <= F.col(top_k_col))
             .drop(top_k_col))

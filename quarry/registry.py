@@ -111,7 +111,7 @@ def clean_tokens(spark, sf):
 
 def tokens_bm25(spark, sf):
     d = T.documents(spark, sf)
-    return explode_values(d, word_tokens("content"), "token", keep=["doc_id"], pos="pos")
+    return explode_values(d, word_tokens("content", bm25.TOKEN), "token", keep=["doc_id"], pos="pos")
 
 
 def tokens_vectorizer(spark, sf):
@@ -190,7 +190,7 @@ def bm25_topk(spark, sf):
 def bm25_index_topk(spark, sf):
     """The same ranking from a stored index (built once, then searched)."""
     path = shared_dir(spark, "bm25_index")
-    bm25.build_bm25_index(T.documents(spark, sf), path, buckets=32)
+    bm25.build_bm25_index(T.documents(spark, sf), path)
     return bm25.bm25_search_index(spark, path, T.queries(spark, sf))
 
 
@@ -232,14 +232,40 @@ def stream_search(spark, sf):
     qs = stream.select(F.col("item_id").alias("query_id"), F.col("text").alias("query"),
                        F.lit(10).alias("top_k"))
     out = shared_dir(spark, "stream_search_out")
+    index = shared_dir(spark, "stream_bm25_index")
+    bm25.build_bm25_index(docs, index)
     h = start_search_stream(qs, docs, vecs, SearchConfig(use_bm25=True), ENCODER, out,
-                            available_now=True)
+                            available_now=True, bm25_index=index)
     h.awaitTermination()
     if h.exception() is not None:
         raise RuntimeError(str(h.exception()))
     return spark.read.parquet(out).select("query_id", "rank", "doc_id", "score")
 
 
+def ingest_search(spark, sf):
+    """Pages -> CSV -> documents by title -> embedding store -> dense and hybrid
+    search and their listing, all by text ids."""
+    docs = ingest_pages(T.table(spark, sf, "pages"), shared_dir(spark, "search_papers"))
+    shared_dir(spark)
+    docs = docs.checkpoint()
+    store, index = shared_dir(spark, "search_store"), shared_dir(spark, "search_index")
+    S.get_or_create_embeddings(docs, ENCODER, store, "hash")
+    bm25.build_bm25_index(docs, index)
+    out = None
+    for name, cfg in (("dense", SearchConfig()), ("hybrid", SearchConfig(use_bm25=True))):
+        run = S.search(docs, T.queries(spark, sf), cfg, ENCODER, store=store, method="hash", bm25_index=index)
+        listing = S.search_listing(run, docs).drop("similarity").withColumn("method", F.lit(name))
+        out = listing if out is None else out.unionByName(listing)
+    return out
+
+
+def listing_unknown_documents(spark, sf):
+    """A run that names documents outside the corpus: every rank is listed."""
+    run = bm25.bm25_search(T.documents(spark, sf), T.queries(spark, sf))
+    run = run.withColumn("doc_id", F.when(F.col("rank") == 2, -F.col("query_id") - 1).otherwise(F.col("doc_id")))
+    return S.search_listing(run, T.documents(spark, sf)).drop("similarity")
+
+
 def pair_similarity(spark, sf):
     docs, qs = T.documents(spark, sf), T.queries(spark, sf)
     run = bm25.bm25_search(docs, qs)
@@ -268,8 +294,36 @@ def embeddings_missing(spark, sf):
     return out.select("doc_id", "content_hash", "reused", total.alias("emb_sum"))
 
 
+def store_force_keeps_methods(spark, sf):
+    """Two methods stored, one rebuilt by force: both are whole afterwards."""
+    docs = T.documents(spark, sf)
+    path = shared_dir(spark, "store_force")
+    wide = models.hash_encoder(dims=4)
+    S.get_or_create_embeddings(docs, ENCODER, path, "hash")
+    S.get_or_create_embeddings(docs, wide, path, "hash4")
+    S.get_or_create_embeddings(docs, wide, path, "hash4", force=True)
+    total = F.aggregate("embedding", F.lit(0.0).cast("double"), lambda a, x: a + x.cast("double"))
+    return files.load_embeddings(spark, path).select("method", "doc_id", total.alias("emb_sum"))
+
+
+def store_changed_text(spark, sf):
+    """Texts of one source change after they were stored: the store then holds
+    one vector per document, that of its current text."""
+    docs = T.table(spark, sf, "documents").select("doc_id", "source", F.col("text").alias("content"))
+    path = shared_dir(spark, "store_changed")
+    S.get_or_create_embeddings(docs, ENCODER, path, "hash")
+    longer = F.concat(F.coalesce("content", F.lit("")), F.lit(" changed words"))
+    now = docs.withColumn("content", F.when(F.col("source") == "src1", longer).otherwise(F.col("content")))
+    S.get_or_create_embeddings(now, ENCODER, path, "hash")
+    total = F.aggregate("embedding", F.lit(0.0).cast("double"), lambda a, x: a + x.cast("double"))
+    return files.load_embeddings(spark, path, "hash").select("doc_id", "content_hash", total.alias("emb_sum"))
+
+
 # --- evaluation --------------------------------------------------------------
 
+METHODS = ["bm25", "dense", "hybrid"]
+
+
 def _qrels(spark, sf):
     passages = T.table(spark, sf, "benchmark").select(
         F.col("item_id").alias("query_id"), F.col("text").alias("passage"))
@@ -298,13 +352,13 @@ def _runs(spark, sf):
 
 def metrics_per_query(spark, sf):
     docs, qs = T.documents(spark, sf), T.queries(spark, sf)
-    m = evaluate.metrics_per_query(_runs(spark, sf), _qrels(spark, sf), docs, qs)
+    m = evaluate.metrics_per_query(_runs(spark, sf), _qrels(spark, sf), docs, qs, METHODS)
     return evaluate.round_metrics(m)
 
 
 def metrics_per_method(spark, sf):
     docs, qs = T.documents(spark, sf), T.queries(spark, sf)
-    m = evaluate.metrics_per_query(_runs(spark, sf), _qrels(spark, sf), docs, qs)
+    m = evaluate.metrics_per_query(_runs(spark, sf), _qrels(spark, sf), docs, qs, METHODS)
     return evaluate.round_metrics(evaluate.metrics_per_method(m))
 
 
@@ -346,7 +400,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "stream_search": stream_search,
         "pair_similarity": pair_similarity,
         "search_listing": search_listing,
+        "ingest_search": ingest_search,
+        "listing_unknown_documents": listing_unknown_documents,
         "embeddings_missing": embeddings_missing,
+        "store_force_keeps_methods": store_force_keeps_methods,
+        "store_changed_text": store_changed_text,
         "qrels_resolve": qrels_resolve,
         "mark_relevant": mark_relevant,
         "metrics_per_query": metrics_per_query,

@@ -10,8 +10,12 @@ first href.
 
 from __future__ import annotations
 
+import html
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from quarry.functions.text import explode_values, strip_crlf, url_second_last_segment
 
@@ -36,12 +40,15 @@ def clean_html(c) -> Column:
     return h
 
 
+@F.pandas_udf(StringType())
+def unescape(texts: pd.Series) -> pd.Series:
+    """Every named and numeric HTML character reference, once."""
+    return texts.map(html.unescape, na_action="ignore")
+
+
 def text_of(c: Column) -> Column:
-    """Drop tags, unescape the four basic entities (&amp; last), CRLF -> space."""
-    t = F.regexp_replace(c, TAG, "")
-    for ent, ch in (("&quot;", '"'), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&")):
-        t = F.replace(t, F.lit(ent), F.lit(ch))
-    return strip_crlf(t)
+    """Drop tags, decode all character references, CRLF -> space."""
+    return strip_crlf(unescape(F.regexp_replace(c, TAG, "")))
 
 
 def strip_text(c: Column) -> Column:

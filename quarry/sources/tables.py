@@ -6,7 +6,7 @@ grows with them. The DuckDB oracle derives the same fixtures in SQL.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.config import DEFAULT_TOP_K
@@ -18,16 +18,19 @@ TABLE_KEYS = {"documents": "doc_id", "pages": "page_id", "conversations": "conv_
               "embeddings": "vec_id", "benchmark": "item_id", "labels": "doc_id"}
 
 
+# Scans of at most this many splits are small enough to deal anew.
+SPREAD_PARTITIONS = 16
+
+
 def spread(df: DataFrame, key: str | None) -> DataFrame:
     """Hash-partition ``df`` by ``key`` when its scan has fewer partitions than
-    the cluster has cores (e.g. one Parquet row group). A large table already
-    scans as many partitions and is left alone, so this never adds a shuffle
-    at scale. Hash partitioning by the id also satisfies later groupings by
-    (id, ...), which then need no shuffle of their own."""
+    the cluster has cores and at most ``SPREAD_PARTITIONS`` (a table of a few
+    row groups, whose shuffle is a fixed small cost). Any larger scan is left as
+    the files split it, however many cores there are."""
     if key is None:
         return df
     cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores:
+    if df.rdd.getNumPartitions() >= min(cores, SPREAD_PARTITIONS + 1):
         return df
     return df.repartition(cores, key)
 
@@ -50,23 +53,27 @@ def queries(spark: SparkSession, sf_dir: str, top_k: int = DEFAULT_TOP_K) -> Dat
 
 
 def conversation_queries(spark: SparkSession, sf_dir: str, top_k: int = DEFAULT_TOP_K) -> DataFrame:
-    """A conversation's first user turn is its question: (query_id, query, top_k).
-
-    min_by is a partial aggregate, so a very long conversation is reduced
-    map-side rather than gathered in one task."""
+    """Every user turn is a question: (query_id, query, top_k), with
+    ``query_id`` = "conversation:turn"."""
     conv = table(spark, sf_dir, "conversations")
-    return (conv.filter(F.col("role") == "user")
-            .groupBy(F.col("conv_id").alias("query_id"))
-            .agg(F.min_by("text", "turn").alias("query"))
-            .withColumn("top_k", F.lit(int(top_k))))
+    return conv.filter(F.col("role") == "user").select(
+        turn_key("turn").alias("query_id"), F.col("text").alias("query"), F.lit(int(top_k)).alias("top_k"))
+
+
+def turn_key(turn: str):
+    return F.concat_ws(":", F.col("conv_id").cast("string"), F.col(turn).cast("string"))
 
 
 def hypotheses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A conversation's assistant turns are its hypothetical answers:
-    (query_id, n, text)."""
+    """The assistant turns that answer a user turn (the last one before them)
+    are its hypothetical answers: (query_id, n, text)."""
     conv = table(spark, sf_dir, "conversations")
-    return conv.filter(F.col("role") == "assistant").select(
-        F.col("conv_id").alias("query_id"), F.col("turn").cast("int").alias("n"), "text")
+    so_far = (Window.partitionBy("conv_id").orderBy("turn")
+              .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    asked = F.max(F.when(F.col("role") == "user", F.col("turn"))).over(so_far)
+    return (conv.withColumn("asked", asked)
+            .filter((F.col("role") == "assistant") & F.col("asked").isNotNull())
+            .select(turn_key("asked").alias("query_id"), F.col("turn").cast("int").alias("n"), "text"))
 
 
 def md5_word_vectors(words: DataFrame, dims: int = 8) -> DataFrame:

@@ -35,7 +35,8 @@ def read_query_stream(spark, path: str, max_files_per_trigger: int | None = None
 def start_search_stream(queries: DataFrame, documents: DataFrame, doc_vectors: DataFrame,
                         config: SearchConfig, make_encoder, output_path: str,
                         checkpoint_location: str | None = None, make_scorer=None,
-                        make_generator=None, available_now: bool = False) -> StreamingQuery:
+                        make_generator=None, available_now: bool = False,
+                        bm25_index: str | None = None) -> StreamingQuery:
     """Start the stream; results land in ``output_path/epoch=<id>``."""
     spark = queries.sparkSession
     if checkpoint_location is None:
@@ -43,7 +44,7 @@ def start_search_stream(queries: DataFrame, documents: DataFrame, doc_vectors: D
 
     def answer(batch: DataFrame, epoch_id: int) -> None:
         res = search(documents, batch, config, make_encoder, doc_vectors=doc_vectors,
-                     make_scorer=make_scorer, make_generator=make_generator)
+                     make_scorer=make_scorer, make_generator=make_generator, bm25_index=bm25_index)
         res.withColumn("epoch", F.lit(epoch_id)).write.mode("overwrite").parquet(
             os.path.join(output_path, f"epoch={epoch_id}"))
 
