@@ -27,15 +27,19 @@ def _star(links: DataFrame, large: bool) -> DataFrame:
     return out.filter("a <> b").distinct()
 
 
+def _state(links: DataFrame):
+    return links.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+
+
 def components(links: DataFrame, max_rounds: int = 40) -> DataFrame:
     """``links`` (a, b) -> (node, component) for every node that has a link;
     the component is its smallest node. Order and repeats don't matter."""
     links = pinned(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
                    .filter("a <> b").distinct(), "links")
-    seen = None
+    seen = _state(links)
     for _ in range(max_rounds):
         links = pinned(_star(_star(links, True), False), "stars")
-        state = links.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        state = _state(links)
         if state == seen:
             break
         seen = state

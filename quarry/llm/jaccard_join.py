@@ -10,8 +10,9 @@ sets is at least 3/4. Shingles are 64-bit hashes; texts are verified whole.
    all documents. A document of n shingles can only reach 3/4 with documents
    that share one of its first n - ceil(3n/4) + 1 shingles.
 3. Documents meet on those prefix shingles, under the length filter
-   (4 * shorter >= 3 * longer) and the positional filter (shared shingles can't
-   exceed one plus what is left on either side). Distinct pairs then pass the
+   (4 * shorter >= 3 * longer) and the positional filter (of the first shingle
+   that two documents share, no more can be shared than is left on either side;
+   the pair needs one shingle that passes). Distinct pairs then pass the
    suffix filter (sizes of 16 hash ranges bound the overlap) and are verified
    once against the texts.
 4. A shingle's documents are not paired off with each other first. In rounds
@@ -53,7 +54,7 @@ HOT_SALTS = 64
 BROADCAST_ROWS = 500_000
 #: Pivot rounds before the open pairs are enumerated, or as soon as they are few.
 ROUNDS = 6
-OPEN_PAIRS_PER_ROW = 4
+OPEN_PAIRS_PER_ROW = 0.5
 #: Members that one task compares with one copy of a pivot's text, about.
 PER_PIVOT = 256
 RANGES = 16
@@ -185,7 +186,7 @@ def _link_rounds(rows: DataFrame, texts: DataFrame, sizes: DataFrame) -> DataFra
     """All links needed for the components of the prefix rows."""
     n_rows = rows.count()
     links = tried = None
-    open_rows = rows.withColumn("c", F.col("id"))
+    open_rows = rows.withColumns({"c": F.col("id"), "served": F.lit(False)})
     for round_no in range(ROUNDS + 1):
         # Pairs across components: all pairs of a shingle less those inside a component.
         parts = open_rows.groupBy("token", "c").agg(F.count(F.lit(1)).alias("m"))
@@ -197,24 +198,25 @@ def _link_rounds(rows: DataFrame, texts: DataFrame, sizes: DataFrame) -> DataFra
         if left == 0:
             break
         last = left <= OPEN_PAIRS_PER_ROW * n_rows or round_no == ROUNDS
-        open_rows = open_rows.join(tokens.select("token", "main"), "token")
         if last:
-            # One side of every open pair is outside its shingle's main component,
-            # so each shared shingle of the pair is seen and the least is their first.
+            # One side of every open pair is outside its shingle's main component.
+            open_rows = open_rows.join(tokens.select("token", "main"), "token")
             p = open_rows.filter("c <> main")
         else:
-            one = F.struct(F.xxhash64("c", F.lit(round_no)), "c", "id", "n", "pos")
-            p = open_rows.groupBy("token").agg(F.min(one).alias("p")).select("token", "p.*")
+            # The pivot has the fewest rarer shingles before this one: of a group of
+            # near copies, the one with the fewest words of its own.
+            one = F.struct("served", "pos", F.xxhash64("id"), "c", "id", "n")
+            p = open_rows.groupBy("token").agg(F.min(one).alias("p"), F.min("c").alias("low"), F.max("c").alias("high"))
+            p = p.filter("low < high").select("token", "p.*")
         p = p.select("token", *[F.col(c).alias(f"p_{c}") for c in ("c", "id", "n", "pos")])
-        met = open_rows.join(p, "token").filter((F.col("c") != F.col("p_c")) & _similar_size("", "p_"))
+        met = open_rows.join(p, "token")
         if not last:
-            before = F.least("pos", "p_pos")
-            met = met.filter(_enough(before + _rest("", "p_"), "", "p_"))
-        pairs = met.groupBy(F.greatest("id", "p_id").alias("a"), F.least("id", "p_id").alias("b")).agg(
-            F.max(_rest("", "p_")).alias("rest"), F.first(F.col("n") + F.col("p_n")).alias("sizes"))
-        if last:
-            pairs = pairs.filter(7 * F.col("rest") >= 3 * F.col("sizes"))
-        pairs = pairs.select("a", "b")
+            met = pinned(met, f"met_{round_no}")
+        # Every shingle that two documents share passes here once; the filter holds
+        # for the first of them, so a pair that links is never lost.
+        pairs = met.filter((F.col("c") != F.col("p_c")) & _similar_size("", "p_")
+                           & _enough(_rest("", "p_"), "", "p_"))
+        pairs = pairs.select(F.greatest("id", "p_id").alias("a"), F.least("id", "p_id").alias("b")).distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = pinned(pairs, f"pairs_{round_no}")
@@ -224,8 +226,9 @@ def _link_rounds(rows: DataFrame, texts: DataFrame, sizes: DataFrame) -> DataFra
             break
         tried = pairs if tried is None else tried.unionByName(pairs)
         label = components(links).select(F.col("node").alias("id"), F.col("component").alias("label"))
-        open_rows = pinned(open_rows.join(label, "id", "left").select(
-            "token", "id", "n", "pos", F.coalesce("label", "id").alias("c")), f"open_{round_no}")
+        open_rows = pinned(met.join(label, "id", "left").select(
+            "token", "id", "n", "pos", F.coalesce("label", "id").alias("c"),
+            (F.col("served") | (F.col("id") == F.col("p_id"))).alias("served")), f"open_{round_no}")
     return links
 
 
