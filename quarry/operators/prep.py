@@ -80,9 +80,10 @@ def validate_documents(documents: DataFrame, embeddings: DataFrame | None = None
          .alias("null_or_blank_content"))
     dup = (documents.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").count()
            .filter(F.col("count") > 1).agg(F.coalesce(F.sum("count"), F.lit(0)).alias("duplicate_id")))
-    out = d.select(F.lit("null_id").alias("rule"), F.col("null_id").cast("long").alias("n")).unionByName(
-        d.select(F.lit("null_or_blank_content").alias("rule"),
-                 F.col("null_or_blank_content").cast("long").alias("n"))).unionByName(
+    # One pass over the texts gives both counts, one row each.
+    both = F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), F.col(r).cast("long").alias("n"))
+                               for r in ("null_id", "null_or_blank_content")])).alias("r")
+    out = d.select(both).select("r.rule", "r.n").unionByName(
         dup.select(F.lit("duplicate_id").alias("rule"), F.col("duplicate_id").cast("long").alias("n")))
     if embeddings is not None:
         if dim is None:
