@@ -29,7 +29,7 @@ import hashlib
 import re
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -137,16 +137,19 @@ def conversation_nodes(rows: DataFrame) -> DataFrame:
         .withColumn("score", F.lit(0.0)))
 
 
-def _read_back(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _read_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
     for batch in batches:
         out = []
-        for conv, text, mask in zip(batch["tree"], batch["formatted"], batch["mask"], strict=True):
+        for conv, text, mask in zip(*(batch.column(c).to_pylist() for c in ("tree", "formatted", "mask")), strict=True):
             turns = parse(text)
             loss = "".join(unescape(text[s["start"]:s["end"]]) for s in mask)
             said = hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in turns).encode()).hexdigest()
             out.append((conv, len(turns), said, len(loss), hashlib.sha256(loss.encode()).hexdigest(), len(text)))
-        yield pd.DataFrame(out, columns=["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256",
-                                         "formatted_chars"]).astype({"conv_id": "Int64"})
+        if out:
+            types = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(list(v), t) for v, t in zip(zip(*out, strict=True), types, strict=True)], names)
 
 
 PROBE = "</s>[INST] ok [/INST]"
@@ -156,7 +159,7 @@ def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     probe = spark.createDataFrame([(-1, 0, "user", PROBE), (-1, 1, "assistant", PROBE)], rows.schema)
     nodes = pinned(conversation_nodes(rows.unionByName(probe)), "chat_nodes")
-    return format_conversations(nodes).mapInPandas(
+    return format_conversations(nodes).mapInArrow(
         _read_back, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, "
                     "formatted_chars long")
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quarry.llm import chat, decontaminate, line_dedup
+from quarry.llm import chat, decontaminate, line_dedup, oracles
 from quarry.llm.ann import op8_kmeans_tree_search
 from quarry.llm.chat import op9_chat_formatting
 from quarry.llm.decontaminate import op10_benchmark_decontamination
@@ -24,5 +24,6 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     """Where SQL can express the whole result."""
-    return {"op3_line_dedup": line_dedup.ORACLE, "op9_chat_formatting": chat.oracle(),
+    return {"op1_secret_scan": oracles.secret_scan(), "op5_jaccard_join": oracles.JACCARD,
+            "op3_line_dedup": line_dedup.ORACLE, "op9_chat_formatting": chat.oracle(),
             "op10_benchmark_decontamination": decontaminate.ORACLE}
