@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, FloatType, StringType
 
-from quarry.functions.text import WORD_2PLUS, render_prompt
+from quarry.functions.text import WHITESPACE, WORD_2PLUS, render_prompt, word_tokens
 from quarry.operators.prep import null_to_empty
 
 BATCH_SIZE = 256
@@ -95,13 +95,54 @@ def first_words_generator(max_words: int | None = None, replies: int = 1):
     return make
 
 
+# ---------------------------------------------------------------------------
+# The same stand-ins as built-in expressions: a model object with a ``column``
+# method is applied as an expression instead of a batch function, so queries
+# that only need some encoder stay in the JVM.
+# ---------------------------------------------------------------------------
+
+class HashEncoder:
+    def __init__(self, dims: int = 8, pattern: str = WORD_2PLUS):
+        self.dims, self.pattern = dims, pattern
+
+    def column(self, text: Column) -> Column:
+        def digit(i: int):
+            return lambda acc, h: acc + F.instr(F.lit("0123456789abcdef"), F.substring(h, i, 1)) - 1
+
+        hashes = F.transform(word_tokens(text, self.pattern), lambda w: F.md5(w.cast("binary")))
+        sums = F.transform(F.array(hashes), lambda hs: F.array(
+            *[F.aggregate(hs, F.lit(0), digit(i + 1)).cast("float") for i in range(self.dims)]))
+        return F.get(sums, F.lit(0))
+
+
+class JaccardScorer:
+    def __init__(self, pattern: str = WORD_2PLUS):
+        self.pattern = pattern
+
+    def column(self, query: Column, content: Column) -> Column:
+        a, b = word_tokens(query, self.pattern), word_tokens(content, self.pattern)
+        return F.coalesce(F.try_divide(F.size(F.array_intersect(a, b)), F.size(F.array_union(a, b))), F.lit(0.0))
+
+
+class WordsGenerator:
+    def column(self, prompt: Column) -> Column:
+        words = F.filter(F.split(F.coalesce(prompt, F.lit("")), WHITESPACE), lambda w: w != "")
+        return F.array(F.array_join(words, " "))
+
+
 # ---------------------------------------------------------------------------
 # Operators
 # ---------------------------------------------------------------------------
 
+def _applied(model, return_type, batch_size: int):
+    """A model as a function of Columns: its expression, or a batch UDF."""
+    if hasattr(model, "column"):
+        return model.column
+    return predict_batch_udf(model, return_type=return_type, batch_size=batch_size)
+
+
 def encoder_udf(make_predict_fn, batch_size: int = BATCH_SIZE):
-    return predict_batch_udf(make_predict_fn, return_type=ArrayType(FloatType()),
-                             batch_size=batch_size)
+    return _applied(make_predict_fn, ArrayType(FloatType()), batch_size)
 
 
 def embed_documents(documents: DataFrame, make_predict_fn, batch_size: int = BATCH_SIZE,
@@ -121,15 +162,14 @@ def embed_queries(queries: DataFrame, make_predict_fn, batch_size: int = BATCH_S
 def pair_scores(pairs: DataFrame, make_predict_fn, query_col: str = "query",
                 content_col: str = "content", batch_size: int = BATCH_SIZE) -> Column:
     """A similarity Column for each (query, content) row of ``pairs``."""
-    scorer = predict_batch_udf(make_predict_fn, return_type=DoubleType(), batch_size=batch_size)
+    scorer = _applied(make_predict_fn, DoubleType(), batch_size)
     return scorer(null_to_empty(query_col), null_to_empty(content_col))
 
 
 def generate_hypotheses(queries: DataFrame, make_predict_fn, batch_size: int = BATCH_SIZE) -> DataFrame:
     """O52 + O63 + O64: prompt each question, generate replies, one row per
     reply: (query_id, n, text)."""
-    gen = predict_batch_udf(make_predict_fn, return_type=ArrayType(StringType()),
-                            batch_size=batch_size)
+    gen = _applied(make_predict_fn, ArrayType(StringType()), batch_size)
     replies = queries.select("query_id", gen(render_prompt("query")).alias("replies"))
     return replies.select("query_id", F.posexplode("replies").alias("n", "text")).select(
         "query_id", F.col("n").cast("int").alias("n"), "text")

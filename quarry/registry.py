@@ -21,9 +21,11 @@ from quarry.session import shared_dir
 from quarry.sources import files, pages
 from quarry.sources import tables as T
 
-ENCODER = models.hash_encoder()
-SCORER = models.jaccard_scorer()
-GENERATOR = models.first_words_generator()
+# Built-in stand-ins for the queries that need some model; the batch-function
+# ports are shown by hash_embed, pair_similarity and generate_hypotheses.
+ENCODER = models.HashEncoder()
+SCORER = models.JaccardScorer()
+GENERATOR = models.WordsGenerator()
 PROJECTION_SOURCES = ("src1", "src3", "src5", "src7")
 R6 = 6
 
@@ -163,7 +165,7 @@ def word_vector_topk(spark, sf):
 
 
 def hash_embed(spark, sf):
-    return vectors.long_form(models.embed_documents(T.documents(spark, sf), ENCODER), "doc_id")
+    return vectors.long_form(models.embed_documents(T.documents(spark, sf), models.hash_encoder()), "doc_id")
 
 
 def hyde_mean(spark, sf):
@@ -174,7 +176,7 @@ def hyde_mean(spark, sf):
 
 
 def generate_hypotheses(spark, sf):
-    return models.generate_hypotheses(T.conversation_queries(spark, sf), GENERATOR)
+    return models.generate_hypotheses(T.conversation_queries(spark, sf), models.first_words_generator())
 
 
 # --- retrieval ---------------------------------------------------------------
@@ -269,7 +271,7 @@ def listing_unknown_documents(spark, sf):
 def pair_similarity(spark, sf):
     docs, qs = T.documents(spark, sf), T.queries(spark, sf)
     run = bm25.bm25_search(docs, qs)
-    out = S.attach_similarity(run, docs, qs, SCORER)
+    out = S.attach_similarity(run, docs, qs, models.jaccard_scorer())
     return out.select("query_id", "rank", "doc_id", _r("similarity"))
 
 
@@ -298,7 +300,7 @@ def store_force_keeps_methods(spark, sf):
     """Two methods stored, one rebuilt by force: both are whole afterwards."""
     docs = T.documents(spark, sf)
     path = shared_dir(spark, "store_force")
-    wide = models.hash_encoder(dims=4)
+    wide = models.HashEncoder(dims=4)
     S.get_or_create_embeddings(docs, ENCODER, path, "hash")
     S.get_or_create_embeddings(docs, wide, path, "hash4")
     S.get_or_create_embeddings(docs, wide, path, "hash4", force=True)
