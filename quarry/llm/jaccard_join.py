@@ -52,8 +52,8 @@ HOT = 4
 HOT_SALTS = 64
 #: Rows of a narrow table that may be broadcast; beyond it a shuffle join.
 BROADCAST_ROWS = 500_000
-#: Pivot rounds before the open pairs are enumerated, or as soon as they are few.
-ROUNDS = 6
+#: Pivot rounds before the open pairs are enumerated (at once when they are few).
+ROUNDS = 1
 OPEN_PAIRS_PER_ROW = 0.5
 #: Members that one task compares with one copy of a pivot's text, about.
 PER_PIVOT = 256
