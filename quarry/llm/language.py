@@ -8,7 +8,7 @@ text, declared language, host, domain, suffix and address mark,
                        + log P(class | host)
 
 * Trigram likelihoods are counted on a bounded sample of labelled rows
-  (TRAIN_ROWS, chosen by hash); ``UNKNOWN`` is even over all trigrams. Trigrams
+  (TRAIN_ROWS, chosen by the hash of the id); ``UNKNOWN`` is even over all trigrams. Trigrams
   overlap, so their sum is tempered.
 * P(declared | class) and P(address | class) are estimated over all rows from
   their text posteriors: grouped sums, smoothed.
@@ -66,8 +66,8 @@ def _grams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def train(labelled: DataFrame, train_rows: int = TRAIN_ROWS) -> tuple[list[str], np.ndarray]:
-    """``labelled`` (text, lang) -> (classes, log P(trigram | class))."""
-    labelled = labelled.select("text", "lang").filter("lang IS NOT NULL AND lang <> ''")
+    """``labelled`` (doc_id, text, lang) -> (classes, log P(trigram | class))."""
+    labelled = labelled.select("doc_id", "text", "lang").filter("lang IS NOT NULL AND lang <> ''")
     by_label = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
     top = by_label.orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()
     classes, total = sorted(r["lang"] for r in top), sum(r["n"] for r in top)
@@ -75,7 +75,7 @@ def train(labelled: DataFrame, train_rows: int = TRAIN_ROWS) -> tuple[list[str],
         return [], np.zeros((1, 1 << GRAM_BITS), np.float32)
     share = int(min(1.0, train_rows / total) * (1 << 30))
     sample = labelled.filter(F.col("lang").isin(classes)).filter(
-        F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < share)
+        F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < share).select("text", "lang")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros((len(classes), 1 << GRAM_BITS), np.int64)
