@@ -10,6 +10,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from array import array
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -17,8 +18,8 @@ import pyarrow.compute as pc
 import public_tokenizers
 from tokenizers import Tokenizer
 
-#: Distinct word stems a Python worker remembers before it starts afresh.
-CACHE_WORDS = 600_000
+#: Distinct word stems a Python worker remembers; beyond it the older half goes.
+CACHE_WORDS = 300_000
 
 # Below U+0300 no character combines, so NFC changes nothing there; U+0130 is the
 # one whose lower case is two characters, and "<|" may open a special token.
@@ -92,7 +93,7 @@ class WordTokenizer:
         """(all ids in order, ids per text); a null text has none. A text with
         characters outside the plain range goes to the tokenizer whole."""
         if len(self.known) > self.limit:
-            self.known.clear()
+            self.known = dict(islice(self.known.items(), len(self.known) // 2, None))
         texts = pc.fill_null(texts, "")
         exotic = np.flatnonzero(pc.match_substring_regex(texts, _EXOTIC).to_numpy(zero_copy_only=False))
         if not len(exotic):
