@@ -44,8 +44,9 @@ from quarry.session import shared_dir
 TOKEN = WORD_1PLUS
 # (query, term) pairs of one broadcast block.
 BLOCK_PAIRS = 500_000
-# Documents scored at once inside a task (bounds the score matrix).
+# Documents, and (query, document) cells, scored at once inside a task.
 DOC_CHUNK = 1024
+SCORE_CELLS = 4_000_000
 
 
 def tokenize(documents: DataFrame, pattern: str = TOKEN) -> DataFrame:
@@ -124,13 +125,12 @@ def _block_scorer(block, avg_len: float, k: int, params: Bm25Params):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         qids, baselines, vocabulary, first, query, idf = block.value
         best = [Best(min(QUERY_CHUNK, len(qids) - at), k) for at in range(0, len(qids), QUERY_CHUNK)]
-        schema = None
+        step = max(1, min(DOC_CHUNK, SCORE_CELLS // len(qids)))
         for batch in batches:
-            schema = schema or pa.schema([batch.schema.field("doc_id")])
             batch = batch.filter(pc.is_valid(batch.column("doc_id")))
             batch = batch.take(pc.sort_indices(batch.column("doc_id")))
-            for at in range(0, batch.num_rows, DOC_CHUNK):
-                part = batch.slice(at, DOC_CHUNK)
+            for at in range(0, batch.num_rows, step):
+                part = batch.slice(at, step)
                 ids, gains = as_ids(part.column("doc_id").to_pylist()), _gains(
                     part.column("tokens"), vocabulary, first, query, idf, len(qids), avg_len, params)
                 for c, b in enumerate(best):
