@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from quarry.session import shared_dir
 
 #: Text bytes handled at once by an Arrow task, whatever the batch it was given.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

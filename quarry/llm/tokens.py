@@ -19,7 +19,7 @@ import public_tokenizers
 from tokenizers import Tokenizer
 
 #: Distinct word stems a Python worker remembers; beyond it the older half goes.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 150_000
 
 # Below U+0300 no character combines, so NFC changes nothing there; U+0130 is the
 # one whose lower case is two characters, and "<|" may open a special token.
