@@ -8,7 +8,8 @@ text, declared language, host, domain, suffix and address mark,
                        + log P(class | host)
 
 * Trigram likelihoods are counted on a bounded sample of labelled rows
-  (TRAIN_ROWS, chosen by the hash of the id); ``UNKNOWN`` is even over all trigrams. Trigrams
+  (TRAIN_ROWS, chosen by the hash of the id) and mixed with the even
+  distribution, which is ``UNKNOWN``'s. Only trigrams of letters count. Trigrams
   overlap, so their sum is tempered.
 * P(declared | class) and P(address | class) are estimated over all rows from
   their text posteriors: grouped sums, smoothed.
@@ -47,20 +48,28 @@ GRAM_BITS = 15
 TEMPER = 0.25
 STRENGTH = 5.0
 SMOOTH = 0.5
+#: Share of the even distribution in every language's trigrams.
+MIXED = 0.2
 #: Rows of a prior or evidence table that are broadcast; beyond it a shuffle join.
 BROADCAST_ROWS = 200_000
 EVIDENCE = ("declared", "host", "domain", "suffix", "address")
 
 
 def _grams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(trigram bucket at each byte, first and last-plus-one of each row's)."""
+    """(trigram bucket at each byte, first and last-plus-one of each row's).
+    Digits, marks and spaces are one symbol, and trigrams with fewer than two
+    letter bytes have the bucket ``1 << GRAM_BITS``, which says nothing."""
     lower = pc.ascii_lower(pc.fill_null(texts, ""))
     offsets = np.frombuffer(lower.buffers()[1], np.int32)[lower.offset:lower.offset + len(lower) + 1].astype(np.int64)
     data = lower.buffers()[2]
     raw = np.frombuffer(data, np.uint8)[offsets[0]:offsets[-1]].astype(np.uint32) if data else np.zeros(0, np.uint32)
     raw = np.concatenate([raw, np.zeros(2, np.uint32)])
+    letter = ((raw >= 97) & (raw <= 122)) | (raw >= 128)
+    raw[~letter] = 32
     code = (raw[:-2] << 16) | (raw[1:-1] << 8) | raw[2:]
     code = (code * np.uint32(0x9E3779B1)) >> np.uint32(32 - GRAM_BITS)
+    letters = letter.view(np.uint8)
+    code[letters[:-2] + letters[1:-1] + letters[2:] < 2] = 1 << GRAM_BITS
     first = offsets[:-1] - offsets[0]
     return code, first, np.maximum(offsets[1:] - offsets[0] - 2, first)
 
@@ -78,12 +87,13 @@ def train(labelled: DataFrame, train_rows: int = TRAIN_ROWS) -> tuple[list[str],
         F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < share).select("text", "lang")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros((len(classes), 1 << GRAM_BITS), np.int64)
+        sums = np.zeros((len(classes), (1 << GRAM_BITS) + 1), np.int64)
         for batch in batches:
             for part in text_slices(batch, "text"):
                 code, first, last = _grams(part.column("text"))
                 for label, a, b in zip(part.column("lang").to_pylist(), first, last, strict=True):
                     sums[classes.index(label)] += np.bincount(code[a:b], minlength=sums.shape[1])
+        sums[:, -1] = 0
         c, g = np.nonzero(sums)
         yield pa.RecordBatch.from_arrays([pa.array(c), pa.array(g), pa.array(sums[c, g])], ["c", "g", "n"])
 
@@ -93,7 +103,10 @@ def train(labelled: DataFrame, train_rows: int = TRAIN_ROWS) -> tuple[list[str],
     c, g, n = (found.column(x).to_numpy() for x in ("c", "g", "n"))
     counts[c, g] += n
     counts[-1] = 1.0
-    return [*classes, UNKNOWN], np.log(counts / counts.sum(1, keepdims=True)).astype(np.float32)
+    share = counts / counts.sum(1, keepdims=True)
+    # A trigram new to a language costs it little against UNKNOWN.
+    logs = np.log((1 - MIXED) * share + MIXED / share.shape[1])
+    return [*classes, UNKNOWN], np.pad(logs, ((0, 0), (0, 1))).astype(np.float32)
 
 
 def _scorer(table):
