@@ -51,6 +51,10 @@ ALLOW = (
     r"(.)\1{5}",
     r"^/?([A-Za-z]+/){2,}[A-Za-z]*$",  # path
 )
+#: What Java matches instead: its engine recurses once per turn of a repeated
+#: group, so a long path would end the stack. Possessive turns are a plain loop
+#: and match the same paths, as letters and slashes exclude each other.
+FLAT = {r"^/?([A-Za-z]+/){2,}[A-Za-z]*$": r"^/?([A-Za-z]++/){2,}+[A-Za-z]*+$"}
 _STEP = 1 << 30
 
 
@@ -166,7 +170,7 @@ def scan_secrets(docs: DataFrame, window: int = WINDOW, allow: tuple[str, ...] =
     def judged(span: Column, candidate: Column) -> Column:
         allowed = candidate.isin(*allow_strings) if allow_strings else F.lit(False)
         for pattern in allow:
-            allowed |= candidate.rlike(pattern)
+            allowed |= candidate.rlike(FLAT.get(pattern, pattern))
         def hot(kind: Column) -> Column:
             rank = F.array_position(F.array(*map(F.lit, KINDS)), kind).cast("int") - 1
             windows = let(F.split(candidate, ""), lambda chars: let(

@@ -92,6 +92,16 @@ def test_allowed_strings_and_empty_table(spark):
     assert S.scan_secrets(df.limit(0)).count() == 0
 
 
+def test_paths_of_many_segments(spark):
+    texts = ["a/" * 50_000, "/" + "Ab/" * 20_000 + "c", "a/" * 9 + "/" + "a/" * 20_000, "a/" * 20_000 + "1",
+             "abcdefghijklmnopqrst/", "/abcdefghijklmnopqrst/", "/a/bcdefghijklmnopqrstu", "a/b/cdefghijklmnopqrstu",
+             "a//b/cdefghijklmnopqrstu", "//a/b/cdefghijklmnopqrstu", "a/" * 20_000 + "q9Zr7LmX2vTb8KpW4sYd", "qZrXLmBvTb/KpWnsYdGhJ/cF", "qZrXLmBvTb//KpWnsYdGhJ/cF"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r[0]: r[1] for r in S.scan_secrets(df).select("doc_id", S._written(S.F.concat("base", "extra"))).collect()}
+    assert got == {i: expected(t)[1] for i, t in enumerate(texts)}
+    assert [i for i, spans in got.items() if spans] == [10, 12] and all(p in S.ALLOW for p in S.FLAT)
+
+
 def test_no_shuffle_no_python(spark):
     df = spark.createDataFrame([(1, "x")], "doc_id long, text string")
     plan = S.scan_secrets(df)._jdf.queryExecution().executedPlan().toString()
