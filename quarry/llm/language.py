@@ -1,16 +1,18 @@
 """Operator 2: language identification by Bayesian evidence fusion.
 
-Classes are the languages of the labelled rows and ``UNKNOWN``. For a row with
+Classes are all languages of the labelled rows and ``UNKNOWN``. For a row with
 text, declared language, host, domain, suffix and address mark,
 
     log P(class | row) = TEMPER * sum over byte trigrams log P(trigram | class)
                        + log P(declared | class) + log P(address | class)
                        + log P(class | host)
 
-* Trigram likelihoods are counted on a bounded sample of labelled rows
-  (TRAIN_ROWS, chosen by the hash of the id) and mixed with the even
+* Trigram likelihoods are counted on a sample of labelled rows, bounded label
+  by label (TRAIN_ROWS each, chosen by the hash of the id), so a rare language
+  keeps all its rows at every table size. They are mixed with the even
   distribution, which is ``UNKNOWN``'s. Only trigrams of letters count. Trigrams
-  overlap, so their sum is tempered.
+  overlap, so their sum is tempered. A language takes 131 KB of the table that
+  each task holds, and 16 bytes of each row's scores.
 * P(declared | class) and P(address | class) are estimated over all rows from
   their text posteriors: grouped sums, smoothed.
 * Host priors are smoothed level by level, global -> suffix -> domain -> host:
@@ -40,10 +42,11 @@ from pyspark.sql import functions as F
 from quarry.llm.common import join_null_safe, let, pinned, read_table, small_side, text_slices
 
 UNKNOWN = "und"
-#: Labelled rows that the trigram counts are taken from, about.
+#: Rows of each label that the trigram counts are taken from: all of them, or
+#: about this many of a label with more.
 TRAIN_ROWS = 20_000
-#: Languages told apart: the most frequent labels.
-MAX_LANGUAGES = 60
+#: Labels that a training task counts at once (256 KB each) before it sends them on.
+HELD_LABELS = 64
 GRAM_BITS = 15
 TEMPER = 0.25
 STRENGTH = 5.0
@@ -77,36 +80,49 @@ def _grams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def train(labelled: DataFrame, train_rows: int = TRAIN_ROWS) -> tuple[list[str], np.ndarray]:
     """``labelled`` (doc_id, text, lang) -> (classes, log P(trigram | class))."""
     labelled = labelled.select("doc_id", "text", "lang").filter("lang IS NOT NULL AND lang <> ''")
-    by_label = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
-    top = by_label.orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()
-    classes, total = sorted(r["lang"] for r in top), sum(r["n"] for r in top)
+    by_label = sorted(labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect())
+    classes = [lang for lang, _ in by_label]
     if not classes:
         return [], np.zeros((1, 1 << GRAM_BITS), np.float32)
-    share = int(min(1.0, train_rows / total) * (1 << 30))
-    sample = labelled.filter(F.col("lang").isin(classes)).filter(
-        F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < share).select("text", "lang")
+    shares = [(lang, c, int(min(1.0, train_rows / n) * (1 << 30))) for c, (lang, n) in enumerate(by_label)]
+    shares = labelled.sparkSession.createDataFrame(shares, "lang string, c long, share long")
+    sample = labelled.join(F.broadcast(shares), "lang").filter(
+        F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < F.col("share")).select("c", "text")
+
+    def written(sums: dict[int, np.ndarray]) -> Iterator[pa.RecordBatch]:
+        for c, row in sums.items():
+            g = np.flatnonzero(row[:-1])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(g), c)), pa.array(g), pa.array(row[g])], ["c", "g", "n"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros((len(classes), (1 << GRAM_BITS) + 1), np.int64)
+        sums = {}
         for batch in batches:
             for part in text_slices(batch, "text"):
                 code, first, last = _grams(part.column("text"))
-                for label, a, b in zip(part.column("lang").to_pylist(), first, last, strict=True):
-                    sums[classes.index(label)] += np.bincount(code[a:b], minlength=sums.shape[1])
-        sums[:, -1] = 0
-        c, g = np.nonzero(sums)
-        yield pa.RecordBatch.from_arrays([pa.array(c), pa.array(g), pa.array(sums[c, g])], ["c", "g", "n"])
+                for c, a, b in zip(part.column("c").to_pylist(), first, last, strict=True):
+                    if c not in sums:
+                        if len(sums) == HELD_LABELS:
+                            yield from written(sums)
+                            sums = {}
+                        sums[c] = np.zeros((1 << GRAM_BITS) + 1, np.int64)
+                    sums[c] += np.bincount(code[a:b], minlength=len(sums[c]))
+        yield from written(sums)
 
     # At most classes * 2**GRAM_BITS rows.
     found = sample.mapInArrow(count, "c long, g long, n long").groupBy("c", "g").agg(F.sum("n").alias("n")).toArrow()
-    counts = np.full((len(classes) + 1, 1 << GRAM_BITS), SMOOTH)
     c, g, n = (found.column(x).to_numpy() for x in ("c", "g", "n"))
-    counts[c, g] += n
-    counts[-1] = 1.0
-    share = counts / counts.sum(1, keepdims=True)
-    # A trigram new to a language costs it little against UNKNOWN.
-    logs = np.log((1 - MIXED) * share + MIXED / share.shape[1])
-    return [*classes, UNKNOWN], np.pad(logs, ((0, 0), (0, 1))).astype(np.float32)
+    order = np.argsort(c, kind="stable")
+    c, g, n = c[order], g[order], n[order]
+    ends = np.searchsorted(c, np.arange(len(classes) + 1))
+    # UNKNOWN's row is even; the last column is that of trigrams that say nothing.
+    table = np.full((len(classes) + 1, (1 << GRAM_BITS) + 1), -np.log(1 << GRAM_BITS), np.float32)
+    for j, (a, b) in enumerate(zip(ends, ends[1:])):
+        counts = np.full(1 << GRAM_BITS, SMOOTH)
+        counts[g[a:b]] += n[a:b]
+        # A trigram new to a language costs it little against UNKNOWN.
+        table[j, :-1] = np.log((1 - MIXED) * counts / counts.sum() + MIXED / len(counts))
+    table[:, -1] = 0
+    return [*classes, UNKNOWN], table
 
 
 def _scorer(table):

@@ -27,6 +27,35 @@ def test_held_out_accuracy_and_unknown(spark):
     assert not any(r["kept"] for r in got if r["doc_id"] >= 10_000)
 
 
+def test_every_label_is_a_class(spark):
+    # 70 languages of ten words each, the later the rarer, each in a script of its own.
+    rng = random.Random(6)
+    words = [["".join(chr(0x1000 + 64 * k + rng.randrange(40)) for _ in range(6)) for _ in range(10)] for k in range(70)]
+    rows = [(100 * k + i, " ".join(rng.choices(words[k], k=30)), f"l{k:02}", "s")
+            for k in range(70) for i in range(3 if k >= 60 else 10)]
+    schema = "doc_id long, text string, lang string, source string"
+    docs = spark.createDataFrame(rows, schema).repartition(3)
+    model = L.train(docs)
+    assert model[0] == [f"l{k:02}" for k in range(70)] + [L.UNKNOWN]
+    bare = L.document_evidence(docs.withColumn("lang", F.lit(None).cast("string")))
+    got = {r["doc_id"]: r for r in L.identify(bare, model).collect()}
+    assert [(got[i]["language"], got[i]["kept"]) for i, *_ in rows] == [(lang, True) for _, _, lang, _ in rows]
+    assert L.keep_identified(docs).count() == len(rows)
+
+
+def test_rare_label_keeps_its_training_rows(spark, monkeypatch):
+    rare = [(i, f"kvæði um skáld og ljóð {i}", "is") for i in range(20)]
+    common = [(100 + i, f"the poem of the poet {i}", "en") for i in range(3000)]
+    few, many = (spark.createDataFrame(rare + common[:n], "doc_id long, text string, lang string").repartition(3)
+                 for n in (30, 3000))
+    few, many = L.train(few, 50)[1], L.train(many, 50)[1]
+    assert (few[1] == many[1]).all() and few[1].std() > 0
+    # Labels sent on one by one give the same sums.
+    monkeypatch.setattr(L, "HELD_LABELS", 1)
+    docs = spark.createDataFrame(rare + common, "doc_id long, text string, lang string").repartition(3)
+    assert (L.train(docs, 50)[1] == many).all()
+
+
 def test_evidence_decides_without_text(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").limit(600)
     model = L.train(docs)
