@@ -33,7 +33,7 @@ empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -58,19 +58,29 @@ OPEN_PAIRS_PER_ROW = 0.5
 #: Members that one task compares with one copy of a pivot's text, about.
 PER_PIVOT = 256
 RANGES = 16
+#: Keeps a set size that is a whole power of 4/3 on one side of its bound.
+LENGTH_SLACK = 1e-9
+
+SetsOf = Callable[[pa.Array], list[np.ndarray]]
 
 
 def _bucket(hashes: np.ndarray) -> np.ndarray:
     return (hashes >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
 
 
-def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _profiler(sets_of: SetsOf):
+    def profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _profile(batches, sets_of)
+    return profile
+
+
+def _profile(batches: Iterator[pa.RecordBatch], sets_of: SetsOf) -> Iterator[pa.RecordBatch]:
     """Document rows (set size, signature, range sizes) and bucket counts."""
     names = ["doc_id", "text_hash", "n", "sig_a", "sig_b", "ranges", "bucket", "hits"]
     counts = np.zeros(1 << BUCKET_BITS, np.int64)
     for batch in batches:
         for part in text_slices(batch, "text"):
-            sets = distinct_sets(part.column("text"))
+            sets = sets_of(part.column("text"))
             flat = np.concatenate([np.zeros(0, np.uint64), *sets])
             counts += np.bincount(_bucket(flat), minlength=len(counts))
             size = np.fromiter(map(len, sets), np.int64, len(sets))
@@ -93,13 +103,13 @@ def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
          pa.array(counts[used])], names)
 
 
-def _prefixes(buckets) -> object:
+def _prefixes(buckets, sets_of: SetsOf) -> object:
     """Prefix rows (token, id, n, pos, hot) of each document, rare first."""
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, hot = buckets.value
         for batch in batches:
             for part in text_slices(batch, "text"):
-                sets = distinct_sets(part.column("text"))
+                sets = sets_of(part.column("text"))
                 tokens = []
                 for s in sets:
                     length = len(s) - (3 * len(s) + 3) // 4 + 1 if len(s) else 0
@@ -131,13 +141,19 @@ def _rest(a: str, b: str) -> Column:
     return F.least(F.col(f"{a}n") - F.col(f"{a}pos"), F.col(f"{b}n") - F.col(f"{b}pos"))
 
 
-def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _verifier(sets_of: SetsOf):
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _verify(batches, sets_of)
+    return verify
+
+
+def _verify(batches: Iterator[pa.RecordBatch], sets_of: SetsOf) -> Iterator[pa.RecordBatch]:
     """Rows sorted by (b, salt), the pivot's own text first (a null): links."""
     # Several head rows in a row: the texts of rows that share an id, any may link.
     heads, pivot_id, after_head = [], None, False
     for batch in batches:
         for part in text_slices(batch, "text"):
-            sets = distinct_sets(part.column("text"))
+            sets = sets_of(part.column("text"))
             out_a, out_b = [], []
             for a, b, s in zip(part.column("a").to_pylist(), part.column("b").to_pylist(), sets, strict=True):
                 if a is None:
@@ -154,7 +170,7 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], ["a", "b"])
 
 
-def _links(pairs: DataFrame, texts: DataFrame, sizes: DataFrame) -> DataFrame:
+def _links(pairs: DataFrame, texts: DataFrame, sizes: DataFrame, sets_of: SetsOf) -> DataFrame:
     """The candidate ``pairs`` (a, b; distinct, pinned) that really link.
 
     b's text is sent once for every PER_PIVOT members or so, not once a pair."""
@@ -170,7 +186,7 @@ def _links(pairs: DataFrame, texts: DataFrame, sizes: DataFrame) -> DataFrame:
     heads = texts.join(small_side(pivots, BROADCAST_ROWS), texts["doc_id"] == F.col("b")).select(
         F.lit(None).cast("long").alias("a"), "b", "salt", "text")
     return (members.unionByName(heads).repartition("b", "salt").sortWithinPartitions("b", "salt", "a")
-            .mapInArrow(_verify, "a long, b long").distinct())
+            .mapInArrow(_verifier(sets_of), "a long, b long").distinct())
 
 
 def _groups(rows: DataFrame) -> DataFrame:
@@ -182,7 +198,7 @@ def _groups(rows: DataFrame) -> DataFrame:
     return rows.withColumn("among", among).filter("hot OR among > 1").select("token", "id", "n", "pos")
 
 
-def _link_rounds(rows: DataFrame, texts: DataFrame, sizes: DataFrame) -> DataFrame:
+def _link_rounds(rows: DataFrame, texts: DataFrame, sizes: DataFrame, sets_of: SetsOf) -> DataFrame:
     """All links needed for the components of the prefix rows."""
     n_rows = rows.count()
     links = tried = None
@@ -220,7 +236,7 @@ def _link_rounds(rows: DataFrame, texts: DataFrame, sizes: DataFrame) -> DataFra
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = pinned(pairs, f"pairs_{round_no}")
-        found = pinned(_links(pairs, texts, sizes), f"links_{round_no}")
+        found = pinned(_links(pairs, texts, sizes, sets_of), f"links_{round_no}")
         links = found if links is None else links.unionByName(found)
         if last:
             break
@@ -232,11 +248,23 @@ def _link_rounds(rows: DataFrame, texts: DataFrame, sizes: DataFrame) -> DataFra
     return links
 
 
-def jaccard_classes(docs: DataFrame) -> DataFrame:
-    """``docs`` (doc_id, text) -> doc_id, text_hash, n_shingles, component_id: one row per row."""
+def _by_length(rows: DataFrame) -> DataFrame:
+    """Prefix rows in partitions of set length. A partition ends at 4/3 of its
+    start, so sets that link are in one partition or in neighbouring ones: each
+    document takes part in its own and in the next."""
+    part = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(4 / 3)) + LENGTH_SLACK)
+    parts = rows.withColumn("part", F.explode(F.array(part, part + 1)))
+    return parts.withColumn("token", F.xxhash64("token", "part")).drop("part")
+
+
+def jaccard_classes(docs: DataFrame, sets_of: SetsOf = distinct_sets, by_length: bool = False) -> DataFrame:
+    """``docs`` (doc_id, text) -> doc_id, text_hash, n_shingles, component_id: one row per row.
+
+    ``sets_of`` reads the sorted distinct 64-bit features of each text (word
+    shingles by default); ``by_length`` lets documents meet in partitions of set length."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
-    profile = pinned(docs.mapInArrow(_profile, (
+    profile = pinned(docs.mapInArrow(_profiler(sets_of), (
         "doc_id long, text_hash long, n long, sig_a long, sig_b long, ranges array<int>, bucket long, hits long")),
         "profile")
     rows = profile.filter("bucket IS NULL")
@@ -252,10 +280,10 @@ def jaccard_classes(docs: DataFrame) -> DataFrame:
     buckets = spark.sparkContext.broadcast((counts, HOT * max(1.0, float(counts.mean()))))
     texts = docs.filter("doc_id IS NOT NULL").join(small_side(copies, BROADCAST_ROWS), ["doc_id", "text_hash"], "left_anti")
     prefix = texts.select("doc_id", "text").mapInArrow(
-        _prefixes(buckets), "token long, id long, n int, pos int, hot boolean")
-    shared = pinned(_groups(prefix), "prefixes")
+        _prefixes(buckets, sets_of), "token long, id long, n int, pos int, hot boolean")
+    shared = pinned(_groups(_by_length(prefix) if by_length else prefix), "prefixes")
     sizes = named.groupBy(F.col("doc_id").alias("id"), "n").agg(F.first("ranges").alias("ranges"))
-    links = _link_rounds(shared, texts.select("doc_id", "text"), sizes)
+    links = _link_rounds(shared, texts.select("doc_id", "text"), sizes, sets_of)
     links = same_id.select("a", "b") if links is None else links.unionByName(same_id.select("a", "b"))
     label = components(links).select(F.col("node").alias("class"), "component")
     ids = named.join(sets.select("n", "sig_a", "sig_b", "class"), ["n", "sig_a", "sig_b"]).join(label, "class", "left")
