@@ -52,7 +52,7 @@ FIRST, GRID = 8, 4
 CHUNK = 1 << 20
 #: Runs that may be broadcast to the texts (three numbers each); beyond it the
 #: texts are shuffled to them.
-BROADCAST_RUNS = 2_000_000
+BROADCAST_RUNS = 500_000
 FRAGMENTS = "doc_id long, text_hash long, period long, low long, high long"
 RESULT = ("doc_id long, n_runs long, start long, length long, period long, exponent_milli long, "
           "runs_sha256 string, collapsed_sha256 string, n_words long, n_kept long")
