@@ -25,7 +25,7 @@ def main() -> None:
     cpus = os.environ.get("BENCH_CPUS", "8")
     keys = sys.argv[1:] or HEADLINE
     spark = local_session(cpus, shuffle_partitions=max(8, 2 * int(cpus) if cpus.isdigit() else 16),
-                          app="quarry-bench")
+                          app="quarry-bench", deal=int(cpus) if cpus.isdigit() else 8)
     qs = registry.queries()
     # Warm the JVM and Python workers on the smallest fixture.
     warm = os.path.join(os.path.dirname(sf_dir.rstrip("/")), "sf0.001")

@@ -9,7 +9,7 @@ window over ``doc_id`` (one document's terms).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions.text import explode_values, unigrams, vectorizer_terms
@@ -30,18 +30,23 @@ def term_frequency(documents: DataFrame, ngrams: bool = True, stop_words=None) -
             .groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf")))
 
 
+def idf_of(n_docs: Column, df: Column) -> Column:
+    """ln((1 + n) / (1 + df)) + 1."""
+    return F.log((n_docs + 1.0) / (df + 1.0)) + 1.0
+
+
 def smooth_idf(tf: DataFrame, n_docs) -> DataFrame:
     """(term, df, idf) with idf = ln((1 + n) / (1 + df)) + 1.
 
     ``n_docs`` is a Column (e.g. a scalar subquery) or a number."""
     n = n_docs if not isinstance(n_docs, (int, float)) else F.lit(float(n_docs))
     return (tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-            .withColumn("idf", F.log((n + 1.0) / (F.col("df") + 1.0)) + 1.0))
+            .withColumn("idf", idf_of(n, F.col("df"))))
 
 
 def weighted_terms(documents: DataFrame, ngrams: bool = True, stop_words=None) -> DataFrame:
     """(doc_id, term, tf, idf, w = tf * idf), not normalised."""
-    # The idf, the hot-key split and the join read the same shuffle of counts
+    # The idf, the hot keys and the join read the same shuffle of counts
     # (exchange reuse); nothing of the corpus's size is written besides it.
     tf = term_frequency(documents, ngrams, stop_words)
     n_docs = documents.select(F.count(F.lit(1))).scalar()

@@ -7,17 +7,21 @@ being exploded into one row per dimension.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.functions.text import clean_words, explode_values
-from quarry.operators.tfidf import weighted_terms
-from quarry.plans.joins import lookup_join, skew_join
+from quarry.functions.text import clean_words, explode_values, unigrams
+from quarry.operators.tfidf import idf_of
+from quarry.plans.joins import DEFAULT_BROADCAST_ROWS, skew_join
 
-# Words of a model that is broadcast (a few hundred numbers each).
-MODEL_ROWS = 200_000
+# Bytes of a model (words and vectors) that is broadcast.
+MODEL_BYTES = 256 * 1024 * 1024
+# Bytes of a word with its weight, about.
+WORD_BYTES = 64
 
 
 def vector_mean(df: DataFrame, key: str, vec: str = "vector", weight: str | None = None,
@@ -29,51 +33,109 @@ def vector_mean(df: DataFrame, key: str, vec: str = "vector", weight: str | None
     return rows.groupBy(key).agg(agg.alias("_m")).select(key, vector_to_array("_m", "float64").alias(out))
 
 
-def word_occurrences(documents: DataFrame) -> DataFrame:
-    """(doc_id, word, occ) from the embedder's own tokenizer."""
-    return (explode_values(documents, clean_words("content"), "word", keep=["doc_id"])
-            .groupBy("doc_id", "word").agg(F.count(F.lit(1)).alias("occ")))
+def word_counts(documents: DataFrame, keep: Sequence[str] = (), known: DataFrame | None = None,
+                stop_words=None) -> DataFrame:
+    """(doc_id, *keep, word, occ, tf): how often the embedder's own tokenizer
+    (O43-O45) and the vectorizer (O46, O48) find a word in a document.
+
+    Both read the text in one row. Words outside ``known`` (word; bounded, else
+    None) are left out inside the scan, before anything is counted or shuffled."""
+    def tagged(words, occ: int, tf: int):
+        return F.transform(words, lambda w: F.struct(w.alias("word"), F.lit(occ).alias("occ"), F.lit(tf).alias("tf")))
+
+    found = F.concat(tagged(clean_words("content"), 1, 0), tagged(unigrams("content", stop_words), 0, 1))
+    found = F.when(F.col("content").isNotNull(), found)
+    rows = explode_values(documents, found, "v", keep=["doc_id", *keep]).select("doc_id", *keep, "v.*")
+    if known is not None:
+        rows = rows.join(F.broadcast(known), "word", "left_semi")
+    return rows.groupBy("doc_id", *keep, "word").agg(F.sum("occ").alias("occ"), F.sum("tf").alias("tf"))
+
+
+def _model_bounds(word_vectors: DataFrame) -> tuple[int, int]:
+    """(words, longest vector) of a model, in one small aggregate."""
+    n, dims = word_vectors.agg(F.count(F.lit(1)), F.max(F.size("vector"))).first()
+    return n, dims or 0
+
+
+def _weighted_means(documents: DataFrame, rows: DataFrame, dims: int, key: str = "doc_id") -> DataFrame:
+    """(key, embedding) of every document; zeros when no word of it counts."""
+    means = vector_mean(rows, key, "vector", "weight")
+    zeros = F.array_repeat(F.lit(0.0), dims)
+    return (documents.select(key).join(means, key, "left")
+            .select(key, F.coalesce("embedding", zeros).alias("embedding")))
 
 
-def word_vector_embed(documents: DataFrame, word_vectors: DataFrame, stop_words=None) -> DataFrame:
+def word_vector_embed(documents: DataFrame, word_vectors: DataFrame, stop_words=None,
+                      corpus: DataFrame | None = None, within: str | None = None) -> DataFrame:
     """(doc_id, embedding) = sum(w * v) / sum(w) over word occurrences.
 
     A word counts once per occurrence with its tf-idf weight (S12), and only
     if it is both a vectorizer term of that document and in the model (O18).
     The per-row L2 norm and the bigrams cancel out of the ratio (S13), so only
-    unigram tf * idf is computed. Documents with no usable word get zeros."""
-    weights = weighted_terms(documents, ngrams=False, stop_words=stop_words).select(
-        "doc_id", F.col("term").alias("word"), "w")
-    occ = word_occurrences(documents)
-    wv = word_vectors.select("word", F.col("vector").cast("array<double>").alias("vector"))
-    # A word is looked up in the model where it is counted, in one join; the
-    # model is broadcast when bounded, else common words are split off.
-    rows = (lookup_join(occ.join(weights, ["doc_id", "word"]), wv, "word", max_broadcast_rows=MODEL_ROWS)
-            .select("doc_id", "vector", (F.col("occ") * F.col("w")).alias("weight")))
-    means = vector_mean(rows, "doc_id", "vector", "weight")
-    dim = word_vectors.select(F.max(F.size("vector"))).scalar()
-    zeros = F.array_repeat(F.lit(0.0), dim.cast("int"))
-    return (documents.select("doc_id").join(means, "doc_id", "left")
-            .select("doc_id", F.coalesce("embedding", zeros).alias("embedding")))
+    unigram tf * idf is computed. Documents with no usable word get zeros.
+
+    Document frequencies are those of ``corpus`` (default: the documents), or of
+    the documents that share a value of ``within``, each a corpus by itself.
+
+    A word's idf and vector are joined first, on the model's side; the documents'
+    counts then meet one lookup, which is broadcast when its bytes are bounded."""
+    n_words, dims = _model_bounds(word_vectors)
+    model = word_vectors.select("word", F.col("vector").cast("array<double>").alias("vector"))
+    known = model.select("word") if n_words <= DEFAULT_BROADCAST_ROWS else None
+    group = [within] if within else []
+    counts = word_counts(documents, group, known, stop_words)
+    fitted = counts if corpus is None else word_counts(corpus, group, known, stop_words)
+    sized = documents if corpus is None else corpus
+    df = fitted.filter("tf > 0").groupBy(*group, "word").agg(F.count(F.lit(1)).alias("df"))
+    if within:
+        df = df.join(sized.groupBy(within).agg(F.count(F.lit(1)).alias("n_docs")), within)
+        n_docs = F.col("n_docs")
+    else:
+        n_docs = sized.select(F.count(F.lit(1))).scalar()
+    weight = model.join(df, "word").select(*group, "word", "vector", idf_of(n_docs, F.col("df")).alias("idf"))
+    usable = counts.filter("occ > 0 AND tf > 0")
+    if within:
+        rows = usable.join(weight, [within, "word"])
+    elif n_words * (dims * 8 + WORD_BYTES) <= MODEL_BYTES:
+        rows = usable.join(F.broadcast(weight), "word")
+    else:
+        rows = skew_join(usable, weight, "word", key_counts=df.select("word", F.col("df").alias("n")))
+    rows = rows.select("doc_id", "vector", (F.col("occ") * F.col("tf") * F.col("idf")).alias("weight"))
+    return _weighted_means(documents, rows, dims)
 
 
 def query_word_vector_embed(queries: DataFrame, word_vectors: DataFrame, stop_words=None) -> DataFrame:
     """O61 for word vectors: the query is its own one-document corpus, so
     every idf is 1 (S11) and the weight is the term count."""
-    from quarry.operators.tfidf import term_frequency
-
+    n_words, dims = _model_bounds(word_vectors)
     docs = queries.select(F.col("query_id").alias("doc_id"), F.col("query").alias("content"))
-    tf = term_frequency(docs, ngrams=False, stop_words=stop_words).select(
-        "doc_id", F.col("term").alias("word"), F.col("tf").cast("double").alias("w"))
-    occ = word_occurrences(docs)
-    wv = word_vectors.select("word", F.col("vector").cast("array<double>").alias("vector"))
-    rows = (skew_join(occ.join(tf, ["doc_id", "word"]), wv, "word")
-            .select("doc_id", "vector", (F.col("occ") * F.col("w")).alias("weight")))
-    means = vector_mean(rows, "doc_id", "vector", "weight")
-    dim = word_vectors.select(F.max(F.size("vector"))).scalar()
-    zeros = F.array_repeat(F.lit(0.0), dim.cast("int"))
-    return (docs.select("doc_id").join(means, "doc_id", "left")
-            .select(F.col("doc_id").alias("query_id"), F.coalesce("embedding", zeros).alias("embedding")))
+    model = word_vectors.select("word", F.col("vector").cast("array<double>").alias("vector"))
+    known = model.select("word") if n_words <= DEFAULT_BROADCAST_ROWS else None
+    usable = word_counts(docs, known=known, stop_words=stop_words).filter("occ > 0 AND tf > 0")
+    if n_words * (dims * 8 + WORD_BYTES) <= MODEL_BYTES:
+        rows = usable.join(F.broadcast(model), "word")
+    else:
+        rows = skew_join(usable, model, "word")
+    rows = rows.select("doc_id", "vector", (F.col("occ") * F.col("tf")).cast("double").alias("weight"))
+    return _weighted_means(docs, rows, dims).withColumnRenamed("doc_id", "query_id")
+
+
+class WordVectorEncoder:
+    """The word-vector method as an encoder of whole tables (see ``models``).
+
+    Document frequencies come from the table that is embedded, or from the
+    ``corpus`` it is part of; a query's hypothetical answers are a corpus of
+    their own, and so is each query."""
+
+    def __init__(self, word_vectors: DataFrame, stop_words=None):
+        self.word_vectors, self.stop_words = word_vectors, stop_words
+
+    def embed_documents(self, documents: DataFrame, corpus: DataFrame | None = None,
+                        within: str | None = None) -> DataFrame:
+        return word_vector_embed(documents, self.word_vectors, self.stop_words, corpus, within)
+
+    def embed_queries(self, queries: DataFrame) -> DataFrame:
+        return query_word_vector_embed(queries, self.word_vectors, self.stop_words)
 
 
 def hyde_mean(hypothesis_vectors: DataFrame) -> DataFrame:

@@ -4,13 +4,10 @@
   counting it. Beyond the bound the side is
   left to a shuffle join (AQE may still turn it into a broadcast at runtime,
   from measured sizes).
-* ``skew_join``: a lookup join (one row per key on the small side) where one
-  key may hold a large share of the big side, e.g. a common word. Hot keys
-  (a provably bounded set) are broadcast and joined map-side; the rest is an
-  ordinary shuffle join.
-* ``salted_hot_join``: a many-to-many join where a key is hot on both sides:
-  hot keys are salted on the big side and replicated (hot rows only) on the
-  other.
+* ``salted_hot_join``: a join in which a key may be hot on one side or on both:
+  hot keys (a provably bounded set) are salted on the big side and replicated
+  (hot rows only) on the other.
+* ``skew_join``: the same as a lookup join (one row per key on the small side).
 * ``lookup_join``: broadcast when bounded, else ``skew_join``.
 * ``join_small_to_big``: attach a small pinned result (a top-k run, judged
   ids) to the corpus by broadcasting it into the corpus scan when bounded.
@@ -25,9 +22,10 @@ from pyspark.sql import functions as F
 DEFAULT_BROADCAST_ROWS = 2_000_000
 # A key is hot when it holds at least 1/DEFAULT_MAX_HOT_KEYS of the rows.
 DEFAULT_MAX_HOT_KEYS = 10_000
-# Rows of a hot key that one task of a many-to-many join takes, about.
-SALT_ROWS = 1_000_000
-LEAST_SALTS = 8
+# Rows of a hot key that one task of a salted join takes at least.
+SALT_ROWS = 100_000
+# Parts over which rows without a key are dealt in a left join.
+NULL_SALTS = 1_024
 
 
 def is_bounded(df: DataFrame, max_rows: int) -> bool:
@@ -40,59 +38,54 @@ def bounded_broadcast(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) ->
     return F.broadcast(df) if is_bounded(df, max_rows) else df
 
 
-def skew_join(big: DataFrame, small: DataFrame, on: str, how: str = "inner",
-              key_counts: DataFrame | None = None,
-              max_hot: int = DEFAULT_MAX_HOT_KEYS) -> DataFrame:
-    """Lookup join where one key may hold a large share of ``big``.
-
-    ``small`` must have one row per key. A key is *hot* when it holds at
-    least 1/max_hot of big's rows, so there are at most ``max_hot`` hot keys
-    (pigeonhole): their lookup rows are broadcast and joined map-side, with no
-    shuffle of the hot rows. All other keys take an ordinary shuffle join, in
-    which no key exceeds 1/max_hot of the rows.
-
-    ``key_counts`` (key, n) may be given when already known (e.g. document
-    frequency); otherwise it is a partial aggregate of ``big``.
-    """
-    if how not in ("inner", "left"):
-        raise ValueError(f"skew_join supports inner/left; got {how!r}")
-    if key_counts is None:
-        key_counts = big.groupBy(on).agg(F.count(F.lit(1)).alias("n"))
+def _hot_keys(key_counts: DataFrame, on: str, max_hot: int, salts: int | None, salt_rows: int) -> DataFrame:
+    """(on, __salts) of the keys to split. A hot key holds at least 1/max_hot of
+    the rows, so there are at most ``max_hot`` of them (pigeonhole); its rows are
+    split into parts of that share, or of ``salt_rows`` when that is more."""
     total = key_counts.select(F.sum("n")).scalar()
-    hot_keys = key_counts.filter(F.col("n") * F.lit(int(max_hot)) >= total).select(on)
-    hot_small = small.join(F.broadcast(hot_keys), on, "left_semi")
-    hot = (big.join(F.broadcast(hot_keys), on, "left_semi")
-           .join(F.broadcast(hot_small), on, how))
-    cold = big.join(F.broadcast(hot_keys), on, "left_anti").join(small, on, how)
-    return hot.unionByName(cold)
+    part = F.greatest(total / F.lit(float(max_hot)), F.lit(float(salt_rows)))
+    wanted = F.lit(salts) if salts is not None else F.ceil(F.col("n") / part).cast("int")
+    return (key_counts.filter(F.col(on).isNotNull() & (F.col("n") * F.lit(int(max_hot)) >= total))
+            .select(on, wanted.alias("__salts")).filter("__salts > 1"))
 
 
 def salted_hot_join(big: DataFrame, other: DataFrame, on: str, salt_from: list[str],
                     key_counts: DataFrame | None = None, salts: int | None = None,
-                    max_hot: int = DEFAULT_MAX_HOT_KEYS) -> DataFrame:
-    """Inner many-to-many join where a key may be hot on *both* sides (e.g. a
-    common word shared by many queries and many documents).
-
-    Hot keys (at most ``max_hot``, by pigeonhole over ``key_counts``) are
-    split: big's rows get a salt from ``salt_from``, only the hot rows of
-    ``other`` are replicated once per salt, and the join is on (key, salt), so
-    a hot key's work is spread over ``salts`` tasks (default: by the largest
-    key's count). Cold keys take a plain shuffle join. Nothing is collected
-    into lists."""
+                    max_hot: int = DEFAULT_MAX_HOT_KEYS, how: str = "inner",
+                    salt_rows: int = SALT_ROWS) -> DataFrame:
+    """Join where a key may be hot on ``big``, or on both sides (e.g. a common
+    word shared by many queries and many documents).
+
+    Hot keys are salted: big's rows get a salt from ``salt_from`` and the hot rows
+    of ``other`` are replicated once per salt, each key as often as its count
+    asks. It is one shuffle join on (key, salt) and no union of a hot and a cold
+    part, so a later group or window on another key is always dealt anew.
+    Nothing is collected into lists."""
+    if how not in ("inner", "left"):
+        raise ValueError(f"salted_hot_join supports inner/left; got {how!r}")
     if key_counts is None:
         key_counts = big.groupBy(on).agg(F.count(F.lit(1)).alias("n"))
-    if salts is None:
-        salts = max(LEAST_SALTS, -(-(key_counts.agg(F.max("n")).first()[0] or 0) // SALT_ROWS))
-    total = key_counts.select(F.sum("n")).scalar()
-    hot_keys = F.broadcast(key_counts.filter(F.col("n") * F.lit(int(max_hot)) >= total).select(on))
-    salt = "__salt"
-    big_hot = (big.join(hot_keys, on, "left_semi")
-               .withColumn(salt, F.pmod(F.xxhash64(*[F.col(c) for c in salt_from]), F.lit(salts))))
-    other_hot = (other.join(hot_keys, on, "left_semi")
-                 .withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))))
-    hot = big_hot.join(other_hot, [on, salt]).drop(salt)
-    cold = big.join(hot_keys, on, "left_anti").join(other.join(hot_keys, on, "left_anti"), on)
-    return hot.unionByName(cold)
+    hot = F.broadcast(_hot_keys(key_counts, on, max_hot, salts, salt_rows))
+    parts = F.coalesce("__salts", F.lit(1))
+    # Rows without a key meet nothing; in a left join they are dealt by their salt.
+    parts_big = F.when(F.col(on).isNull(), F.lit(NULL_SALTS)).otherwise(parts)
+    salted = (big.join(hot, on, "left")
+              .withColumn("__salt", F.pmod(F.xxhash64(*salt_from), parts_big).cast("int")).drop("__salts"))
+    copies = (other.join(hot, on, "left")
+              .withColumn("__salt", F.explode(F.sequence(F.lit(0), parts - 1))).drop("__salts"))
+    return salted.join(copies, [on, "__salt"], how).drop("__salt")
+
+
+def skew_join(big: DataFrame, small: DataFrame, on: str, how: str = "inner",
+              key_counts: DataFrame | None = None, max_hot: int = DEFAULT_MAX_HOT_KEYS,
+              salt_rows: int = SALT_ROWS) -> DataFrame:
+    """Lookup join (``small`` has one row per key) where one key may hold a large
+    share of ``big``, e.g. a common word: its few lookup rows are replicated.
+
+    ``key_counts`` (key, n) may be given when already known (e.g. document
+    frequency); otherwise it is a partial aggregate of ``big``."""
+    return salted_hot_join(big, small, on, [c for c in big.columns if c != on] or [on], key_counts,
+                           max_hot=max_hot, how=how, salt_rows=salt_rows)
 
 
 def join_small_to_big(small: DataFrame, big: DataFrame, on, how: str = "inner",

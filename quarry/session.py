@@ -11,10 +11,11 @@ from pyspark.sql import SparkSession
 
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
-                  app: str = "quarry") -> SparkSession:
+                  app: str = "quarry", deal: int | None = None) -> SparkSession:
     """Session for tests and the bench. Library code never calls this: it uses
-    whatever session the caller's DataFrames belong to."""
-    spark = (
+    whatever session the caller's DataFrames belong to. ``deal`` spreads the
+    given tables over so many partitions."""
+    builder = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
         .config("spark.ui.enabled", "false")
@@ -26,8 +27,10 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", "16g")
-        .getOrCreate()
     )
+    if deal:
+        builder = builder.config("spark.quarry.local.tablePartitions", str(deal))
+    spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     shared_dir(spark)  # make sure a checkpoint dir exists
     return spark

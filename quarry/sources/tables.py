@@ -13,31 +13,16 @@ from quarry.config import DEFAULT_TOP_K
 from quarry.functions.text import clean_words, explode_values
 
 
-# The id column of each given table, used to spread a narrow scan.
-TABLE_KEYS = {"documents": "doc_id", "pages": "page_id", "conversations": "conv_id",
-              "embeddings": "vec_id", "benchmark": "item_id", "labels": "doc_id"}
-
-
-# Scans of at most this many splits are small enough to deal anew.
-SPREAD_PARTITIONS = 16
-
-
-def spread(df: DataFrame, key: str | None) -> DataFrame:
-    """Hash-partition ``df`` by ``key`` when its scan has fewer partitions than
-    the cluster has cores and at most ``SPREAD_PARTITIONS`` (a table of a few
-    row groups, whose shuffle is a fixed small cost). Any larger scan is left as
-    the files split it, however many cores there are."""
-    if key is None:
-        return df
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= min(cores, SPREAD_PARTITIONS + 1):
-        return df
-    return df.repartition(cores, key)
+# Set by ``local_session`` only: partitions into which a given table is dealt.
+DEAL = "spark.quarry.local.tablePartitions"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A given table, whole, as the scan splits it. A test or bench session may
+    deal the rows anew (``DEAL``), to use its cores on tables of one row group."""
     df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-    return spread(df, TABLE_KEYS.get(name))
+    parts = spark.conf.get(DEAL, None)
+    return df.repartition(int(parts)) if parts else df
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

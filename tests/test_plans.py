@@ -1,21 +1,20 @@
-"""Plan-shape helpers: hot-key split join, bounded broadcast, spread, top-k."""
+"""Plan-shape helpers: salted join, bounded broadcast, top-k."""
 
 from pyspark.sql import functions as F
 
 from quarry.operators.passages import containing_documents
 from quarry.plans.joins import is_bounded, lookup_join, salted_hot_join, skew_join
 from quarry.plans.topk import top_k_per_group
-from quarry.sources.tables import spread
 
 
 def test_skew_join_equals_plain_join(spark):
-    # key 0 holds half of all rows: it is hot and goes the broadcast way
+    # key 0 holds half of all rows: it is hot and split
     big = spark.createDataFrame([(i, 0 if i % 2 == 0 else i % 97) for i in range(4000)], "id long, k long")
     small = spark.createDataFrame([(k, f"v{k}") for k in range(0, 97, 2)], "k long, v string")
     want = sorted(map(tuple, big.join(small, "k").collect()))
-    got = sorted(map(tuple, skew_join(big, small, "k", max_hot=10).select("k", "id", "v").collect()))
+    got = sorted(map(tuple, skew_join(big, small, "k", max_hot=10, salt_rows=50).select("k", "id", "v").collect()))
     assert got == want
-    left = sorted(map(tuple, skew_join(big, small, "k", how="left", max_hot=10).select("k", "id", "v").collect()))
+    left = sorted(map(tuple, skew_join(big, small, "k", how="left", max_hot=10, salt_rows=50).select("k", "id", "v").collect()))
     assert left == sorted(map(tuple, big.join(small, "k", "left").select("k", "id", "v").collect()))
 
 
@@ -28,13 +27,6 @@ def test_lookup_join_falls_back_beyond_bound(spark):
     assert a == b and len(a) == 100
 
 
-def test_spread_only_narrow_scans(spark):
-    narrow = spark.range(100).coalesce(1)
-    assert spread(narrow, "id").rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
-    wide = spark.range(100).repartition(spark.sparkContext.defaultParallelism + 3)
-    assert spread(wide, "id").rdd.getNumPartitions() == spark.sparkContext.defaultParallelism + 3
-
-
 def test_topk_partial_limit(spark):
     df = spark.range(1000).select((F.col("id") % 3).alias("g"), F.col("id").alias("v"))
     out = top_k_per_group(df, ["g"], [F.col("v").desc()], 2)
@@ -60,3 +52,18 @@ def test_salted_hot_join_equals_plain_join(spark):
     got = sorted(map(tuple, salted_hot_join(big, other, "k", ["id"], salts=7, max_hot=5)
                      .select("k", "id", "q").collect()))
     assert got == want
+
+
+def test_skew_join_left_keeps_rows_without_a_key(spark):
+    big = spark.createDataFrame([(i, None if i % 3 else i % 7) for i in range(900)], "id long, k long")
+    small = spark.createDataFrame([(k, f"v{k}") for k in range(5)], "k long, v string")
+    got = skew_join(big, small, "k", how="left", max_hot=4, salt_rows=10).select("id", "k", "v").collect()
+    assert sorted(got, key=str) == sorted(big.join(small, "k", "left").select("id", "k", "v").collect(), key=str)
+
+
+def test_groups_after_a_salted_join_are_whole(spark):
+    """The join's output is grouped by the key that the input was dealt by."""
+    big = spark.createDataFrame([(i % 40, i % 3 and i % 11) for i in range(4000)], "d long, k long").repartition(5, "d")
+    small = spark.createDataFrame([(k, 1) for k in range(11)], "k long, v int")
+    out = skew_join(big, small, "k", max_hot=5, salt_rows=10).groupBy("d").agg(F.sum("v").alias("n")).collect()
+    assert sorted(map(tuple, out)) == [(d, 100) for d in range(40)]

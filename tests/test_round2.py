@@ -115,8 +115,7 @@ def test_missing_content_is_not_searched(spark):
     assert [r["doc_id"] for r in bm25_search(docs, qs).orderBy("rank").collect()] == [2, 3]
 
 
-def test_wide_bm25_has_no_pair_shuffle(spark, monkeypatch):
-    monkeypatch.setattr(T, "SPREAD_PARTITIONS", 0)
+def test_wide_bm25_has_no_pair_shuffle(spark):
     docs, qs = (f(spark, "/root/testdata/sf0.001") for f in (T.documents, T.queries))
     plan = bm25_search(docs, qs)._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan
