@@ -153,24 +153,38 @@ def cte_rrf(name: str, legs: list[str], queries: str = "q") -> str:
 {name} AS (SELECT query_id, rank::INTEGER AS rank, doc_id, score FROM {name}_r WHERE rank <= k)"""
 
 
-def cte_search(name: str, hyde: bool, bm25: bool, queries: str = "q") -> str:
-    """The O72 composition with the hash encoder and first-words generator."""
-    parts = [cte_hash_vectors(f"{name}_dv", "documents", "doc_id", "text")]
-    if hyde:
-        parts.append(f"""
+def cte_word_vectors(name: str, source: str, id_col: str, text_col: str, with_idf: bool = False) -> str:
+    """{name}(id, vec): word vectors weighted by tf, or by tf-idf over the source."""
+    long_form = _word_vector_sql(source, id_col, text_col, "id", with_idf, places=None)
+    return f"""
+{name}_l AS ({long_form}),
+{name} AS (SELECT id, list(value ORDER BY pos) AS vec FROM {name}_l GROUP BY id)"""
+
+
+def cte_query_vectors(name: str, hyde: bool, vectors, queries: str = "q") -> str:
+    """{name}(id, vec): of the query, or the mean of its generated answers (one each)."""
+    if not hyde:
+        return vectors(name, queries, "query_id", "query")
+    hyp = f"""
 {name}_hyp AS (SELECT query_id, 0 AS n, array_to_string(list_filter(
                  regexp_split_to_array({prompt('query')}, {_lit(WHITESPACE)}), lambda x: x <> ''), ' ') AS text
-               FROM {queries})""")
-        parts.append(cte_hash_vectors(f"{name}_hv", f"(SELECT query_id * 1000 + n AS hid, query_id, text FROM {name}_hyp)",
-                                      "hid", "text"))
-        parts.append(f"""
-{name}_qv AS (SELECT h.query_id AS id, list(m ORDER BY p) AS vec FROM (
+               FROM {queries})"""
+    hv = vectors(f"{name}_hv", f"(SELECT query_id * 1000 + n AS hid, query_id, text FROM {name}_hyp)", "hid", "text")
+    return f"""{hyp}, {hv},
+{name} AS (SELECT h.query_id AS id, list(m ORDER BY p) AS vec FROM (
                 SELECT hh.query_id, t.p, avg(v.vec[t.p]) AS m
                 FROM (SELECT query_id * 1000 + n AS hid, query_id FROM {name}_hyp) hh
                 JOIN {name}_hv v ON v.id = hh.hid CROSS JOIN range(1, 9) t(p)
-                GROUP BY hh.query_id, t.p) h GROUP BY h.query_id)""")
+                GROUP BY hh.query_id, t.p) h GROUP BY h.query_id)"""
+
+
+def cte_search(name: str, hyde: bool, bm25: bool, queries: str = "q", words: bool = False) -> str:
+    """The O72 composition with the hash encoder or the word vectors, and the first-words generator."""
+    if words:
+        parts = [cte_word_vectors(f"{name}_dv", "documents", "doc_id", "text", with_idf=True)]
     else:
-        parts.append(cte_hash_vectors(f"{name}_qv", queries, "query_id", "query"))
+        parts = [cte_hash_vectors(f"{name}_dv", "documents", "doc_id", "text")]
+    parts.append(cte_query_vectors(f"{name}_qv", hyde, cte_word_vectors if words else cte_hash_vectors, queries))
     parts.append(cte_cosine_topk(f"{name}_dense", f"{name}_qv", f"{name}_dv", queries))
     final = f"{name}_dense"
     if bm25:
@@ -425,8 +439,23 @@ qv AS (SELECT query_id AS id, list(m ORDER BY p) AS vec FROM (
 SELECT query_id, rank, doc_id, round(score, 6) AS score FROM res"""
 
 
-def search_flags(hyde: bool, bm25: bool, evaluator: bool) -> str:
-    return f"WITH {cte_queries()}, {cte_search('s', hyde, bm25)} {_search_select('s', evaluator)}"
+def search_flags(hyde: bool, bm25: bool, evaluator: bool, words: bool = False) -> str:
+    return f"WITH {cte_queries()}, {cte_search('s', hyde, bm25, words=words)} {_search_select('s', evaluator)}"
+
+
+def store_methods() -> str:
+    """A vector without a direction is stored, but not searched."""
+    return f"""WITH {cte_hash_vectors('hv', 'documents', 'doc_id', 'text')},
+{cte_word_vectors('wv', 'documents', 'doc_id', 'text', with_idf=True)},
+v AS (SELECT 'hash' AS method, vec FROM hv UNION ALL SELECT 'hash4', vec[1:4] FROM hv UNION ALL SELECT 'words', vec FROM wv)
+SELECT method, count(*) AS vectors, max(len(vec))::INTEGER AS dims,
+       count(*) FILTER (WHERE list_dot_product(vec::DOUBLE[], vec::DOUBLE[]) > 0) AS searchable
+FROM v GROUP BY method"""
+
+
+def judged_titles() -> str:
+    return f"""WITH d AS ({ingest_papers()}), p AS ({pages_extract()})
+SELECT DISTINCT p.page_id // 10 AS query_id, d.doc_id FROM p JOIN d ON d.doc_id = p.title"""
 
 
 def ingest_search() -> str:
@@ -488,10 +517,30 @@ SELECT r.query_id, r.rank, r.doc_id, CASE WHEN t.doc_id IS NULL THEN 0 ELSE 1 EN
 FROM bm25 r LEFT JOIN truth t ON t.query_id = r.query_id AND t.doc_id = r.doc_id"""
 
 
-def _metrics_ctes() -> str:
-    runs = " UNION ALL ".join(f"SELECT '{m}' AS method, query_id, rank, doc_id FROM {leg}"
-                              for m, leg in (("bm25", "bm25"), ("dense", "sd"), ("hybrid", "sh")))
-    return f"""{cte_queries()}, {cte_bm25()}, {cte_search('sd', False, False)}, {cte_search('sh', False, True)},
+def _three_methods() -> tuple[str, list[tuple[str, str]]]:
+    """Legs and runs of three methods under the HyDE and BM25 flags."""
+    def hash4(name: str, *source: str) -> str:
+        return f"{cte_hash_vectors(name + '_8', *source)}, {name} AS (SELECT id, vec[1:4] AS vec FROM {name}_8)"
+
+    parts, runs = [], []
+    for m, vectors in (("hash", cte_hash_vectors), ("hash4", hash4), ("words", cte_word_vectors)):
+        whole = {"with_idf": True} if m == "words" else {}
+        parts.append(vectors(f"{m}_dv", "documents", "doc_id", "text", **whole))
+        for h in (0, 1):
+            parts.append(cte_query_vectors(f"{m}_q{h}", bool(h), vectors))
+            if m == "hash4" and h:      # the mean of a shorter vector
+                parts[-1] = parts[-1].replace("range(1, 9) t(p)\n                GROUP BY hh", "range(1, 5) t(p)\n                GROUP BY hh")
+            parts.append(cte_cosine_topk(f"{m}_d{h}", f"{m}_q{h}", f"{m}_dv", "q"))
+            parts.append(cte_rrf(f"{m}_f{h}", [f"{m}_d{h}", "bm25"]))
+            runs += [(f"{m} {h}0", f"{m}_d{h}"), (f"{m} {h}1", f"{m}_f{h}")]
+    return ",".join(parts), runs
+
+
+def _metrics_ctes(legs: str = "", named: list[tuple[str, str]] | None = None) -> str:
+    legs = legs or f"{cte_search('sd', False, False)}, {cte_search('sh', False, True)}"
+    named = named or [("bm25", "bm25"), ("dense", "sd"), ("hybrid", "sh")]
+    runs = " UNION ALL ".join(f"SELECT '{m}' AS method, query_id, rank, doc_id FROM {leg}" for m, leg in named)
+    return f"""{cte_queries()}, {cte_bm25()}, {legs},
 {cte_qrels()},
 runs AS ({runs}),
 keys AS (SELECT doc_id, sha256(coalesce(text, '')) AS ck, text FROM documents),
@@ -547,9 +596,13 @@ def metrics_per_query() -> str:
 SELECT method, query_id, retrieved, relevant, ground_truth, corpus, {cols} FROM mpq"""
 
 
-def metrics_per_method() -> str:
+def metrics_stored_methods() -> str:
+    return metrics_per_method(*_three_methods())
+
+
+def metrics_per_method(legs: str = "", named: list[tuple[str, str]] | None = None) -> str:
     cols = ", ".join(f"round(avg({m}), 6) AS {m}" for m in METRICS)
-    return f"WITH {_metrics_ctes()} SELECT method, count(*) AS queries, {cols} FROM mpq GROUP BY method"
+    return f"WITH {_metrics_ctes(legs, named)} SELECT method, count(*) AS queries, {cols} FROM mpq GROUP BY method"
 
 
 def recall_multi_hit() -> str:
@@ -600,9 +653,13 @@ def oracle_sql() -> dict[str, str]:
         "metrics_per_query": metrics_per_query(),
         "metrics_per_method": metrics_per_method(),
         "recall_multi_hit": recall_multi_hit(),
+        "store_methods": store_methods(),
+        "metrics_stored_methods": metrics_stored_methods(),
+        "judged_titles": judged_titles(),
     }
     for h in (0, 1):
         for b in (0, 1):
             for e in (0, 1):
                 out[f"search_flags_{h}{b}{e}"] = search_flags(bool(h), bool(b), bool(e))
+                out[f"word_flags_{h}{b}{e}"] = search_flags(bool(h), bool(b), bool(e), words=True)
     return out

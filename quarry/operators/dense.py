@@ -1,17 +1,23 @@
 """Exact cosine top-k.
 
 Brute-force exact search has to compare every query with every document;
-the job never turns those comparisons into rows. Query vectors are broadcast
-in blocks of at most ``max_broadcast_bytes`` (checked); each document partition
-scores its vectors against a block with matrix products (numpy, inside the
-task), keeps a running best k per query over its batches and emits it once at
-the end. A final per-query window (partial WindowGroupLimit before the shuffle)
-merges the partitions' candidates. Document vectors are read where they lie
-and never shuffled.
+the job never turns those comparisons into rows. Each task multiplies a matrix
+of queries with matrices of documents (numpy), keeps a running best k per query
+and emits it once at the end. A final per-query window (partial
+WindowGroupLimit before the shuffle) merges the tasks' candidates.
+
+* Few queries (bytes checked against ``max_broadcast_bytes``) are broadcast and
+  document vectors are read where they lie, never shuffled.
+* Any number of queries: documents are dealt into tiles and queries into blocks
+  of bounded bytes by the hash of their ids; every block meets every tile in one
+  task of a cogrouped shuffle. Nothing of either side passes through the driver.
+
+Vectors come as unit vectors: from the store, which keeps them, or computed once
+per row before they are dealt (``with_units``); no norm is taken in the kernel.
 
 Ids are of any type (numbers, titles). A query meets the documents whose vector
-has its own length. Zero and missing vectors have no cosine (NULL, never NaN)
-and are skipped (S2); so is a query whose vector is zero.
+has its own length. Zero and missing vectors, and those with missing or
+non-finite components, have no cosine (NULL, never NaN) and are skipped (S2).
 """
 
 from __future__ import annotations
@@ -20,33 +26,51 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from quarry.plans.topk import OUTPUT_PLACES, SCORE_PLACES, max_k, ranked, requested_k
 from quarry.session import shared_dir
 
-DEFAULT_BROADCAST_BYTES = 256 * 1024 * 1024
-# Queries scored per matrix product inside a task (bounds the score matrix).
+# Bytes of query vectors that are broadcast (they pass through the driver).
+DEFAULT_BROADCAST_BYTES = 32 * 1024 * 1024
+# Bytes of a tile of documents and of a block of queries.
+TILE_BYTES = 32 * 1024 * 1024
+BLOCK_BYTES = 32 * 1024 * 1024
+# Queries and documents of one matrix product (bounds the score matrix).
 QUERY_CHUNK = 512
+DOC_CHUNK = 16_384
+
+
+def with_units(df: DataFrame, vec: str = "embedding") -> DataFrame:
+    """``df`` with ``norm`` and ``unit`` (NULL when the vector has no direction)."""
+    squares = F.aggregate(F.col(vec), F.lit(0.0), lambda acc, x: acc + x.cast("double") * x.cast("double"))
+    norm = F.sqrt(squares)
+    live = (F.col("norm") > 0) & (F.col("norm") < F.lit(float("inf")))     # NaN is above infinity
+    return df.withColumn("norm", norm).withColumn("unit", F.when(
+        live, F.transform(F.col(vec), lambda x: x.cast("double") / F.col("norm"))))
+
 
+def units(df: DataFrame, *keep: str) -> DataFrame:
+    """(keep, unit) of the rows that have a direction; stored unit vectors are taken as they are."""
+    known = df if "unit" in df.columns else with_units(df)
+    return known.select(*keep, "unit").filter("unit IS NOT NULL")
 
-def _unit_rows(ids, vectors) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-    """{length: (ids, unit vectors)} of the vectors that have a direction."""
-    by_length: dict[int, list] = {}
-    for i, v in zip(ids, vectors):
-        if v is not None and len(v):
-            by_length.setdefault(len(v), []).append((i, v))
+
+def _by_length(ids: list, vectors: list) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """{length: (ids ascending, unit vectors)}."""
+    rows: dict[int, list] = {}
+    for i, v in zip(ids, vectors, strict=True):
+        if i is not None:
+            rows.setdefault(len(v), []).append((i, v))
     out = {}
-    for length, rows in by_length.items():
-        m = np.array([v for _, v in rows], dtype=np.float64)
-        norms = np.sqrt((m * m).sum(axis=1))
-        live = norms > 0
-        if live.any():
-            keys = as_ids([i for i, _ in rows])[live]
-            by_id = np.argsort(keys, kind="stable")
-            out[length] = (keys[by_id], (m[live] / norms[live][:, None])[by_id])
+    for length, some in rows.items():
+        keys = as_ids([i for i, _ in some])
+        by_id = np.argsort(keys, kind="stable")
+        out[length] = keys[by_id], np.array([v for _, v in some], dtype=np.float64)[by_id]
     return out
 
 
@@ -84,55 +108,107 @@ class Best:
                              "score": np.concatenate(self.scores)})
 
 
-def _partition_topk(k: int, block, query_chunk: int = QUERY_CHUNK):
-    """mapInPandas body: best k documents per query of one partition."""
+class _Scorer:
+    """Running best k of a block of queries over any number of documents."""
 
-    def run(batches):
-        chunks = []
-        for length, (qids, q) in block.value.items():
+    def __init__(self, queries: dict, k: int, query_chunk: int):
+        self.chunks = []
+        for length, (qids, q) in queries.items():
             for at in range(0, len(qids), query_chunk):
                 part = qids[at:at + query_chunk]
-                chunks.append((length, part, q[at:at + query_chunk], Best(len(part), k)))
+                self.chunks.append((length, part, q[at:at + query_chunk], Best(len(part), k)))
+
+    def add(self, ids: list, vectors: list) -> None:
+        docs = _by_length(ids, vectors)
+        for length, _, q, best in self.chunks:
+            if length in docs:
+                keys, m = docs[length]
+                for at in range(0, len(keys), DOC_CHUNK):
+                    best.add(q @ m[at:at + DOC_CHUNK].T, keys[at:at + DOC_CHUNK])
+
+    def rows(self) -> pd.DataFrame:
+        return pd.concat([best.rows(qids) for _, qids, _, best in self.chunks])
+
+
+def _partition_topk(k: int, block, query_chunk: int = QUERY_CHUNK):
+    """mapInPandas body: best k documents per query of one partition."""
+    def run(batches):
+        scorer = _Scorer(block.value, k, query_chunk)
         for pdf in batches:
-            pdf = pdf[pdf["doc_id"].notna()]
-            docs = _unit_rows(pdf["doc_id"].tolist(), pdf["embedding"].tolist())
-            for length, _, q, best in chunks:
-                if length in docs:
-                    ids, m = docs[length]
-                    best.add(q @ m.T, ids)
-        for _, qids, _, best in chunks:
-            yield best.rows(qids)
+            scorer.add(pdf["doc_id"].tolist(), pdf["unit"].tolist())
+        yield scorer.rows()
 
     return run
 
 
+def _tile_topk(k: int, schema: pa.Schema, query_chunk: int = QUERY_CHUNK):
+    """Cogroup body: best k documents of one tile for each query of one block."""
+    def run(docs: pa.Table, queries: pa.Table) -> pa.Table:
+        if not docs.num_rows or not queries.num_rows:
+            return schema.empty_table()
+        block = _by_length(queries.column("query_id").to_pylist(), _arrays(queries.column("unit")))
+        scorer = _Scorer(block, k, query_chunk)
+        scorer.add(docs.column("doc_id").to_pylist(), _arrays(docs.column("unit")))
+        return pa.Table.from_pandas(scorer.rows(), schema=schema, preserve_index=False)
+
+    return run
+
+
+def _arrays(column: pa.ChunkedArray) -> list[np.ndarray]:
+    """The vectors of a list column without a Python number for each component."""
+    out = []
+    for chunk in column.chunks:
+        flat, bounds = chunk.flatten().to_numpy(zero_copy_only=False), chunk.offsets.to_numpy()
+        out += np.split(flat, (bounds - bounds[0])[1:-1]) if len(chunk) else []
+    return out
+
+
 def candidate_schema(doc_vectors: DataFrame, query_vectors: DataFrame) -> StructType:
     return StructType([StructField("query_id", query_vectors.schema["query_id"].dataType),
                        StructField("doc_id", doc_vectors.schema["doc_id"].dataType),
                        StructField("score", DoubleType())])
 
 
+def _vector_bytes(vectors: DataFrame) -> int:
+    return vectors.agg(F.sum(F.size("unit").cast("long") * 8)).first()[0] or 0
+
+
+def tiled_candidates(docs: DataFrame, queries: DataFrame, k: int, tile_bytes: int = TILE_BYTES,
+                     block_bytes: int = BLOCK_BYTES, query_chunk: int = QUERY_CHUNK) -> DataFrame:
+    """Best k (query_id, doc_id, score) of every query in every tile of documents.
+
+    docs: (doc_id, unit); queries: (query_id, unit)."""
+    schema = candidate_schema(docs, queries)
+    tiles = max(1, math.ceil(_vector_bytes(docs) / tile_bytes))
+    blocks = max(1, math.ceil(_vector_bytes(queries) / block_bytes))
+
+    def dealt(key: str, n: int):
+        return F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
+
+    def copies(n: int):
+        return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+
+    tile_docs = docs.withColumn("tile", dealt("doc_id", tiles)).withColumn("block", copies(blocks))
+    block_queries = queries.withColumn("block", dealt("query_id", blocks)).withColumn("tile", copies(tiles))
+    return (tile_docs.groupBy("tile", "block").cogroup(block_queries.groupBy("tile", "block"))
+            .applyInArrow(_tile_topk(k, to_arrow_schema(schema), query_chunk), schema))
+
+
 def cosine_candidates(doc_vectors: DataFrame, query_vectors: DataFrame, k: int,
                       max_broadcast_bytes: int = DEFAULT_BROADCAST_BYTES,
                       query_chunk: int = QUERY_CHUNK) -> DataFrame:
-    """Per-partition best k (query_id, doc_id, score) for every query."""
+    """Per-task best k (query_id, doc_id, score) for every query."""
     spark = doc_vectors.sparkSession
-    schema = candidate_schema(doc_vectors, query_vectors)
-    qv = query_vectors.select("query_id", "embedding")
-    size = qv.agg(F.sum(F.coalesce(F.size("embedding"), F.lit(0)).cast("long") * 8)).first()[0] or 0
-    out = spark.createDataFrame([], schema)
-    if size <= 0:
-        return out
-    blocks = max(1, math.ceil(size / max_broadcast_bytes))
-    docs = doc_vectors.select("doc_id", "embedding")
-    for b in range(blocks):
-        part = qv if blocks == 1 else qv.filter(
-            F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
-        # One block at a time passes through the driver, bounded by the byte budget.
-        rows = part.toArrow().to_pydict()
-        block = spark.sparkContext.broadcast(_unit_rows(rows["query_id"], rows["embedding"]))
-        out = out.unionByName(docs.mapInPandas(_partition_topk(k, block, query_chunk), schema))
-    return out
+    docs, queries = units(doc_vectors, "doc_id"), units(query_vectors, "query_id")
+    if _vector_bytes(queries) > max_broadcast_bytes:
+        return tiled_candidates(docs, queries, k, query_chunk=query_chunk)
+    # One block, its bytes proven above.
+    rows = queries.toArrow()
+    if not rows.num_rows:
+        return spark.createDataFrame([], candidate_schema(doc_vectors, query_vectors))
+    block = spark.sparkContext.broadcast(
+        _by_length(rows.column("query_id").to_pylist(), _arrays(rows.column("unit"))))
+    return docs.mapInPandas(_partition_topk(k, block, query_chunk), candidate_schema(doc_vectors, query_vectors))
 
 
 def dense_search(doc_vectors: DataFrame, query_vectors: DataFrame,
@@ -140,12 +216,13 @@ def dense_search(doc_vectors: DataFrame, query_vectors: DataFrame,
                  query_chunk: int = QUERY_CHUNK) -> DataFrame:
     """(query_id, rank, doc_id, score) top ``top_k`` by cosine.
 
-    doc_vectors: (doc_id, embedding); query_vectors: (query_id, embedding, top_k)."""
-    # Query vectors are read several times (k, block sizing, broadcast) and may
+    doc_vectors: (doc_id, embedding[, unit]); query_vectors: (query_id, embedding, top_k).
+    A query set that grows with the corpus belongs to ``max_broadcast_bytes=0``."""
+    # Query vectors are read several times (k, sizes, scoring) and may
     # come from a model: pin them once in the shared checkpoint folder.
     shared_dir(query_vectors.sparkSession)
-    query_vectors = query_vectors.select(
-        "query_id", "embedding", requested_k().alias("top_k")).checkpoint()
+    query_vectors = with_units(query_vectors.select(
+        "query_id", "embedding", requested_k().alias("top_k"))).drop("embedding", "norm").checkpoint()
     k_max = max_k(query_vectors)
     schema = candidate_schema(doc_vectors, query_vectors)
     cands = (cosine_candidates(doc_vectors, query_vectors, k_max, max_broadcast_bytes, query_chunk)

@@ -38,6 +38,14 @@ def content_keys(documents: DataFrame) -> DataFrame:
     return documents.select("doc_id", F.sha2(F.coalesce("content", F.lit("")), 256).alias("content_key"))
 
 
+def title_judgments(lists: DataFrame, documents: DataFrame) -> DataFrame:
+    """O22 from given lists: (query_id, titles) -> (query_id, doc_id), the listed
+    titles that are loaded documents. Repeated and unknown titles, and queries
+    without a list, add nothing."""
+    named = lists.select("query_id", F.explode_outer("titles").alias("doc_id")).filter("doc_id IS NOT NULL")
+    return resolve_qrels(named, documents)
+
+
 def resolve_qrels(qrels: DataFrame, documents: DataFrame) -> DataFrame:
     """Judgments restricted to loaded documents, one row per pair.
 

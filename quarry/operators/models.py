@@ -146,15 +146,25 @@ def encoder_udf(make_predict_fn, batch_size: int = BATCH_SIZE):
 
 
 def embed_documents(documents: DataFrame, make_predict_fn, batch_size: int = BATCH_SIZE,
-                    keep: Sequence[str] = ()) -> DataFrame:
+                    keep: Sequence[str] = (), corpus: DataFrame | None = None,
+                    within: str | None = None) -> DataFrame:
     """(doc_id, embedding) and the ``keep`` columns; NULL content is
-    encoded as '' (O11)."""
+    encoded as '' (O11).
+
+    An encoder whose vectors need statistics of a table has ``embed_documents``
+    and ``embed_queries`` of its own, table in and table out; it takes them from
+    ``corpus`` (default: ``documents``), or from the rows that share ``within``."""
+    if hasattr(make_predict_fn, "embed_documents"):
+        out = make_predict_fn.embed_documents(documents, corpus=corpus, within=within)
+        return documents.select("doc_id", *keep).join(out, "doc_id") if keep else out
     enc = encoder_udf(make_predict_fn, batch_size)
     return documents.select("doc_id", *keep, enc(null_to_empty("content")).alias("embedding"))
 
 
 def embed_queries(queries: DataFrame, make_predict_fn, batch_size: int = BATCH_SIZE) -> DataFrame:
     """(query_id, embedding, top_k)."""
+    if hasattr(make_predict_fn, "embed_queries"):
+        return make_predict_fn.embed_queries(queries).join(queries.select("query_id", "top_k"), "query_id")
     enc = encoder_udf(make_predict_fn, batch_size)
     return queries.select("query_id", enc(null_to_empty("query")).alias("embedding"), "top_k")
 

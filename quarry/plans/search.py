@@ -15,6 +15,9 @@ The plan contains only the chosen legs.
 
 from __future__ import annotations
 
+import time
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,20 +26,41 @@ from quarry.operators import models
 from quarry.operators.bm25 import bm25_search, bm25_search_index
 from quarry.operators.dense import dense_search
 from quarry.operators.fusion import rrf
-from quarry.operators.prep import null_to_empty, select_method
+from quarry.operators.prep import null_to_empty
 from quarry.operators.vectors import hyde_mean
 from quarry.plans.joins import join_small_to_big
 from quarry.plans.topk import requested_k
 from quarry.session import shared_dir
-from quarry.sources.files import load_embeddings, save_embeddings, store_exists
+from quarry.sources.store import live_versions, load_embeddings, read_versions, write_version
+
+
+@dataclass(frozen=True)
+class Method:
+    """A way to embed: an encoder, and where the corpus vectors come from: given,
+    or stored under the name ``stored_as`` in an embedding ``store``, or computed.
+
+    The encoder is a batch model or a column model (see ``models``), or an encoder
+    of whole tables such as the word-vector method (``WordVectorEncoder``)."""
+
+    encoder: object
+    doc_vectors: DataFrame | None = None
+    store: str | None = None
+    stored_as: str | None = None
+
+    def corpus_vectors(self, documents: DataFrame) -> DataFrame:
+        if self.doc_vectors is not None:
+            return self.doc_vectors
+        if self.store is not None:
+            return load_embeddings(documents.sparkSession, self.store, self.stored_as)
+        return models.embed_documents(documents, self.encoder)
 
 
 def hyde_query_vectors(queries: DataFrame, hypotheses: DataFrame, make_encoder) -> DataFrame:
-    """O68 (front half): (query_id, embedding, top_k) from hypothesis texts."""
-    hv = models.embed_documents(
-        hypotheses.select(F.col("query_id").alias("doc_id"), F.col("text").alias("content")),
-        make_encoder).withColumnRenamed("doc_id", "query_id")
-    return hyde_mean(hv).join(queries.select("query_id", "top_k"), "query_id")
+    """O68 (front half): (query_id, embedding, top_k) from hypothesis texts
+    (query_id, n, text); a query's hypotheses are a corpus of their own."""
+    texts = hypotheses.select(F.struct("query_id", "n").alias("doc_id"), "query_id", F.col("text").alias("content"))
+    hv = models.embed_documents(texts, make_encoder, keep=["query_id"], within="query_id")
+    return hyde_mean(hv.drop("doc_id")).join(queries.select("query_id", "top_k"), "query_id")
 
 
 def attach_similarity(run: DataFrame, documents: DataFrame, queries: DataFrame,
@@ -63,14 +87,12 @@ def search(documents: DataFrame, queries: DataFrame, config: SearchConfig, make_
            method: str | None = None, bm25_index: str | None = None) -> DataFrame:
     """(query_id, rank, doc_id, score[, similarity]).
 
-    documents: (doc_id, content); queries: (query_id, query, top_k). Document
-    vectors are those given, or those of ``method`` in the embedding ``store``
-    (an unknown method is an error), or are computed. ``bm25_index`` is the path
-    of a stored index; without one the BM25 leg reads the texts."""
-    if doc_vectors is None and store is not None:
-        doc_vectors = select_method(load_embeddings(documents.sparkSession, store), method)
-    if doc_vectors is None:
-        doc_vectors = models.embed_documents(documents, make_encoder)
+    documents: (doc_id, content); queries: (query_id, query, top_k). Any encoder
+    serves here (see ``Method``). Document vectors are those given, or those of
+    ``method`` in the embedding ``store`` (an unknown method is an error), or are
+    computed. ``bm25_index`` is the path of a stored index; without one the BM25
+    leg reads the texts."""
+    doc_vectors = Method(make_encoder, doc_vectors, store, method).corpus_vectors(documents)
     if config.use_hyde:
         if hypotheses is None:
             if make_generator is None:
@@ -93,66 +115,90 @@ def search(documents: DataFrame, queries: DataFrame, config: SearchConfig, make_
 
 
 def search_many(documents: DataFrame, queries: DataFrame, configs: dict[str, SearchConfig],
-                make_encoder, doc_vectors: DataFrame | None = None,
+                make_encoder=None, doc_vectors: DataFrame | None = None,
                 hypotheses: DataFrame | None = None, make_generator=None, make_scorer=None,
-                bm25_method: str | None = None, score_bm25: bool = False) -> DataFrame:
+                bm25_method: str | None = None, score_bm25: bool = False,
+                methods: dict[str, Method] | None = None, bm25_index: str | None = None) -> DataFrame:
     """Several methods in one job: (method, query_id, rank, doc_id, score[, similarity]).
 
-    Each leg is built once and shared by every method that uses it: the
-    corpus vectors, the plain and the HyDE dense leg, and one BM25L ranking
-    cut to each method's k (ranks are prefix-consistent, ties broken by id, so
-    the top-j of a top-k list is the top-j list). ``bm25_method`` also emits
-    the BM25L ranking itself as a method at the queries' own top_k (scored by
-    the pair scorer when ``score_bm25``)."""
+    One encoder (``make_encoder``) under several ``configs`` gives runs named by
+    the config; several ``methods`` give runs named "method config" for each pair.
+    Each leg is built once and shared by every run that uses it: a method's
+    corpus vectors, its plain and its HyDE dense leg, the generated answers, and
+    one BM25L ranking cut to each run's k (ranks are prefix-consistent, ties
+    broken by id, so the top-j of a top-k list is the top-j list).
+    ``bm25_method`` also emits the BM25L ranking itself as a run at the queries'
+    own top_k (scored by the pair scorer when ``score_bm25``)."""
     shared_dir(documents.sparkSession)
-    if doc_vectors is None:
-        # Encoded once for the plain and the HyDE leg.
-        doc_vectors = models.embed_documents(documents, make_encoder)
-        if len({c.use_hyde for c in configs.values()}) > 1:
-            doc_vectors = doc_vectors.checkpoint()
+    several = methods is not None
+    methods = methods if several else {"": Method(make_encoder, doc_vectors)}
+    hyde_flags = {c.use_hyde for c in configs.values()}
+    if True in hyde_flags and hypotheses is None:
+        if make_generator is None:
+            raise ValueError("HyDE needs a hypotheses table or a generator")
+        hypotheses = models.generate_hypotheses(queries, make_generator)
+        if len(methods) > 1:
+            hypotheses = hypotheses.checkpoint()
     # Each leg is pinned once (queries x k rows) and then read by every
-    # method that uses it, even across separate jobs.
-    legs: dict[str, DataFrame] = {}
-
-    def dense(hyde: bool) -> DataFrame:
-        key = "hyde" if hyde else "plain"
-        if key not in legs:
-            if hyde:
-                hyp = hypotheses if hypotheses is not None else models.generate_hypotheses(queries, make_generator)
-                qv = hyde_query_vectors(queries, hyp, make_encoder)
-            else:
-                qv = models.embed_queries(queries, make_encoder)
-            legs[key] = dense_search(doc_vectors, qv).checkpoint()
-        return legs[key]
+    # run that uses it, even across separate jobs.
+    legs: dict[tuple[str, bool], DataFrame] = {}
+    for name, m in methods.items():
+        vectors = m.corpus_vectors(documents)
+        if len(hyde_flags) > 1 and m.doc_vectors is None and m.store is None:
+            vectors = vectors.checkpoint()       # encoded once for the plain and the HyDE leg
+        for hyde in hyde_flags:
+            qv = (hyde_query_vectors(queries, hypotheses, m.encoder) if hyde
+                  else models.embed_queries(queries, m.encoder))
+            legs[name, hyde] = dense_search(vectors, qv).checkpoint()
 
     bm25_ks = {c.bm25_top_k for c in configs.values() if c.use_bm25}
     bm_all = None
     if bm25_ks or bm25_method:
-        k_all = F.greatest(requested_k(), F.lit(max(bm25_ks or {0})))
-        bm_all = bm25_search(documents, queries.withColumn("top_k", k_all)).checkpoint()
+        bq = queries.withColumn("top_k", F.greatest(requested_k(), F.lit(max(bm25_ks or {0}))))
+        bm_all = (bm25_search(documents, bq) if bm25_index is None
+                  else bm25_search_index(documents.sparkSession, bm25_index, bq)).checkpoint()
     out = []
     if bm25_method:
         run = (bm_all.join(queries.select("query_id", requested_k().alias("top_k")), "query_id")
                .filter(F.col("rank") <= F.col("top_k")).drop("top_k"))
         out.append((bm25_method, run, score_bm25))
-    for name, cfg in configs.items():
-        run = dense(cfg.use_hyde)
-        if cfg.use_bm25:
-            leg = bm_all.filter(F.col("rank") <= cfg.bm25_top_k)
-            run = rrf([run, leg], queries.select("query_id", "top_k"))
-        out.append((name, run, cfg.use_evaluator))
+    for name in methods:
+        for key, cfg in configs.items():
+            run = legs[name, cfg.use_hyde]
+            if cfg.use_bm25:
+                leg = bm_all.filter(F.col("rank") <= cfg.bm25_top_k)
+                run = rrf([run, leg], queries.select("query_id", "top_k"))
+            out.append((f"{name} {key}" if several else key, run, cfg.use_evaluator))
     result = None
     for name, run, scored in out:
         run = run.withColumns({"method": F.lit(name), "_scored": F.lit(scored)})
         result = run if result is None else result.unionByName(run)
     if not any(scored for _, _, scored in out):
         return result.drop("_scored")
-    # All methods are scored in one pass over the corpus.
+    # All runs are scored in one pass over the corpus.
     result = result.checkpoint()
     done = attach_similarity(result.filter("_scored"), documents, queries, make_scorer)
     return done.unionByName(result.filter("NOT _scored"), allowMissingColumns=True).drop("_scored")
 
 
+def search_times(documents: DataFrame, queries: DataFrame, configs: dict[str, SearchConfig],
+                 methods: dict[str, Method], iterations: int = 20, **parts) -> DataFrame:
+    """Mean search time of each method and config: (method, queries, runtime_ms).
+
+    A search is timed as the caller would run it, all queries in one job, its
+    rows computed and dropped; ``parts`` go to ``search``."""
+    spark, n = documents.sparkSession, queries.count()
+    rows = []
+    for name, m in methods.items():
+        for key, cfg in configs.items():
+            began = time.perf_counter()
+            for _ in range(iterations):
+                run = search(documents, queries, cfg, m.encoder, m.doc_vectors, store=m.store, method=m.stored_as, **parts)
+                run.write.format("noop").mode("overwrite").save()
+            rows.append((f"{name} {key}", n, (time.perf_counter() - began) * 1000 / iterations))
+    return spark.createDataFrame(rows, "method string, queries long, runtime_ms double")
+
+
 def search_listing(run: DataFrame, documents: DataFrame) -> DataFrame:
     """What the result page shows, as rows: rank, id, content, score and
     the optional similarity (NULL when not scored). Display order is ``rank``."""
@@ -169,40 +215,34 @@ def get_or_create_embeddings(documents: DataFrame, make_encoder, store_path: str
                              force: bool = False) -> DataFrame:
     """Reuse stored vectors, embed only what is missing or changed.
 
-    Keyed by (method, doc_id, sha256(content)): a changed text is embedded anew
-    and its old vector leaves the store. ``force`` embeds everything and replaces
-    this method's vectors; other methods are never touched. Returns
-    (doc_id, content_hash, embedding, reused)."""
+    Keyed by (method, doc_id, sha256(content)): a new or changed text is embedded
+    and added to the store as a version, where its newer row wins; nothing else is
+    written. ``force`` embeds everything and replaces this method's vectors; other
+    methods are never touched. Returns (doc_id, content_hash, embedding, reused)."""
     spark = documents.sparkSession
     keyed = documents.select("doc_id", "content", F.sha2(null_to_empty("content"), 256).alias("content_hash"))
     keys = ["doc_id", "content_hash"]
-    stored = None
-    if store_exists(spark, store_path):
-        stored = load_embeddings(spark, store_path, method).select(*keys, "embedding")
-    todo, kept = keyed, None
-    if stored is not None and not force:
-        current = _written(keyed.select(*keys), "store_current")
-        kept = stored.join(current, keys, "left_semi")
+    todo, replace = keyed, True
+    if not force and live_versions(spark, store_path, method):
+        replace = False
+        stored = read_versions(spark, store_path, method).select(*keys)
         # The few missing keys go to the texts, not the texts to the store.
-        missing = _written(current.join(stored, keys, "left_anti"), "store_missing")
-        todo = join_small_to_big(missing, keyed, keys, "left_semi")
-    fresh = _written(models.embed_documents(todo, make_encoder, keep=["content_hash"]).select(*keys, "embedding"),
-                     "store_fresh")
-    out = fresh.withColumn("reused", F.lit(False))
-    named = fresh.withColumn("method", F.lit(method))
-    if kept is None:
-        save_embeddings(named, store_path, mode="overwrite")
-        return out
-    # A vector is stale when its document is in the corpus with another text.
-    stale = stored.join(current, keys, "left_anti").join(current.select("doc_id"), "doc_id", "left_semi")
-    kept = _written(kept, "store_kept")
-    if stale.isEmpty():
-        save_embeddings(named, store_path, mode="append")
-    else:
-        others = stored.join(current.select("doc_id"), "doc_id", "left_anti")
-        whole = _written(kept.unionByName(others).unionByName(fresh), "store_whole")
-        save_embeddings(whole.withColumn("method", F.lit(method)), store_path, mode="overwrite")
-    return kept.withColumn("reused", F.lit(True)).unionByName(out)
+        missing = _written(keyed.select(*keys).join(stored, keys, "left_anti"), "store_missing")
+        todo = join_small_to_big(missing, keyed, keys, "left_semi") if not missing.isEmpty() else None
+    added = None
+    if todo is not None:
+        # Written once: the check for repeated ids and the version both read it.
+        fresh = _written(models.embed_documents(todo, make_encoder, keep=["content_hash"], corpus=documents)
+                         .select(*keys, "embedding"), "store_fresh")
+        repeated = fresh.groupBy("doc_id").count().filter("count > 1").limit(1).collect()
+        if repeated:
+            raise ValueError(f"duplicate doc_id in documents: {repeated[0]['doc_id']!r}")
+        added = write_version(fresh, store_path, method, replace)
+    rows = read_versions(spark, store_path, method)
+    if not replace:
+        rows = rows.join(keyed.select(*keys), keys, "left_semi")
+    reused = F.lit(True) if added is None else F.col("version") < added
+    return rows.select(*keys, "embedding", reused.alias("reused"))
 
 
 def _written(df: DataFrame, name: str) -> DataFrame:

@@ -143,13 +143,20 @@ def prompt_render(spark, sf):
 
 # --- vectors -----------------------------------------------------------------
 
+def _word_model(spark, sf):
+    """The word-vector model as a file, as a pretrained one would be."""
+    path = shared_dir(spark, "word_model")
+    files.write_word_vectors(T.word_vectors(spark, sf), path)
+    return files.read_word_vectors(spark, path)
+
+
 def word_vector_embed(spark, sf):
-    emb = vectors.word_vector_embed(T.documents(spark, sf), T.word_vectors(spark, sf))
+    emb = vectors.word_vector_embed(T.documents(spark, sf), _word_model(spark, sf))
     return vectors.long_form(emb, "doc_id")
 
 
 def query_word_vector_embed(spark, sf):
-    emb = vectors.query_word_vector_embed(T.queries(spark, sf), T.word_vectors(spark, sf))
+    emb = vectors.query_word_vector_embed(T.queries(spark, sf), _word_model(spark, sf))
     return vectors.long_form(emb, "query_id")
 
 
@@ -157,11 +164,8 @@ def word_vector_topk(spark, sf):
     """The word-vector method end to end: documents embedded with tf-idf
     weighted word vectors (O26), queries with their own counts (O61, S11),
     exact cosine top-k (O65)."""
-    wv = T.word_vectors(spark, sf)
-    docs = vectors.word_vector_embed(T.documents(spark, sf), wv)
-    qs = T.queries(spark, sf)
-    qv = vectors.query_word_vector_embed(qs, wv).join(qs.select("query_id", "top_k"), "query_id")
-    return dense_search(docs, qv)
+    return S.search(T.documents(spark, sf), T.queries(spark, sf), SearchConfig(),
+                    vectors.WordVectorEncoder(_word_model(spark, sf)))
 
 
 def hash_embed(spark, sf):
@@ -182,7 +186,9 @@ def generate_hypotheses(spark, sf):
 # --- retrieval ---------------------------------------------------------------
 
 def cosine_topk(spark, sf):
-    return dense_search(T.vector_corpus(spark, sf), T.vector_queries(spark, sf))
+    """Every stored vector against every other: the query set is the table, so
+    both sides are dealt into tiles and nothing is broadcast."""
+    return dense_search(T.vector_corpus(spark, sf), T.vector_queries(spark, sf), max_broadcast_bytes=0)
 
 
 def bm25_topk(spark, sf):
@@ -209,14 +215,17 @@ def hyde_topk(spark, sf):
                     SearchConfig(use_hyde=True), ENCODER, hypotheses=T.hypotheses(spark, sf))
 
 
-def _search_flags(cfg: SearchConfig):
+def _search_flags(cfg: SearchConfig, words: bool = False):
+    """One flag combination through the one search entry, with the hash encoder
+    or with the word-vector method."""
     def run(spark, sf):
-        out = S.search(T.documents(spark, sf), T.queries(spark, sf), cfg, ENCODER,
+        encoder = vectors.WordVectorEncoder(_word_model(spark, sf)) if words else ENCODER
+        out = S.search(T.documents(spark, sf), T.queries(spark, sf), cfg, encoder,
                        make_generator=GENERATOR, make_scorer=SCORER)
         if cfg.use_evaluator:
             out = out.withColumn("similarity", F.round("similarity", R6))
         return out
-    run.__name__ = f"search_flags_{cfg.key}"
+    run.__name__ = f"{'word' if words else 'search'}_flags_{cfg.key}"
     return run
 
 
@@ -321,6 +330,25 @@ def store_changed_text(spark, sf):
     return files.load_embeddings(spark, path, "hash").select("doc_id", "content_hash", total.alias("emb_sum"))
 
 
+def _three_stored(spark, sf, docs):
+    """Three methods kept in one store: two hash encoders and the word vectors."""
+    path = shared_dir(spark, "three_methods")
+    encoders = {"hash": ENCODER, "hash4": models.HashEncoder(dims=4),
+                "words": vectors.WordVectorEncoder(_word_model(spark, sf))}
+    for name, encoder in encoders.items():
+        S.get_or_create_embeddings(docs, encoder, path, name)
+    return path, {name: S.Method(encoder, store=path, stored_as=name) for name, encoder in encoders.items()}
+
+
+def store_methods(spark, sf):
+    """The methods to choose from, with what is stored of each."""
+    path, _ = _three_stored(spark, sf, T.documents(spark, sf))
+    sizes = files.load_embeddings(spark, path).groupBy("method").agg(
+        F.count(F.lit(1)).alias("vectors"), F.max(F.size("embedding")).alias("dims"),
+        F.count("unit").alias("searchable"))
+    return files.list_methods(spark, path).join(sizes, "method", "left")
+
+
 # --- evaluation --------------------------------------------------------------
 
 METHODS = ["bm25", "dense", "hybrid"]
@@ -364,6 +392,33 @@ def metrics_per_method(spark, sf):
     return evaluate.round_metrics(evaluate.metrics_per_method(m))
 
 
+STORED_CONFIGS = {f"{int(h)}{int(b)}": SearchConfig(use_hyde=h, use_bm25=b, use_evaluator=True)
+                  for h in (False, True) for b in (False, True)}
+
+
+def metrics_stored_methods(spark, sf):
+    """The whole comparison: every stored method under every flag, in one
+    evaluation of one job's runs, from the store and a stored BM25L index."""
+    docs, qs = T.documents(spark, sf), T.queries(spark, sf)
+    index = shared_dir(spark, "stored_methods_index")
+    bm25.build_bm25_index(docs, index)
+    _, methods = _three_stored(spark, sf, docs)
+    runs = S.search_many(docs, qs, STORED_CONFIGS, methods=methods, make_generator=GENERATOR,
+                         make_scorer=SCORER, bm25_index=index)
+    names = [f"{m} {c}" for m in methods for c in STORED_CONFIGS]
+    m = evaluate.metrics_per_query(runs, _qrels(spark, sf), docs, qs, names)
+    return evaluate.round_metrics(evaluate.metrics_per_method(m))
+
+
+def judged_titles(spark, sf):
+    """Judgments given as lists of titles, ten pages a query, some unknown."""
+    docs = ingest_pages(T.table(spark, sf, "pages"), shared_dir(spark, "judged_papers"))
+    lists = pages.extract_pages(T.table(spark, sf, "pages")).groupBy(
+        F.floor(F.col("page_id") / 10).alias("query_id")).agg(F.collect_list("title").alias("titles"))
+    lists = lists.withColumn("titles", F.concat("titles", F.slice("titles", 1, 2), F.array(F.lit("no such title"))))
+    return evaluate.title_judgments(lists, docs)
+
+
 def recall_multi_hit(spark, sf):
     return metrics_per_query(spark, sf).select("method", "query_id", "recall_multi_hit")
 
@@ -412,10 +467,14 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "metrics_per_query": metrics_per_query,
         "metrics_per_method": metrics_per_method,
         "recall_multi_hit": recall_multi_hit,
+        "store_methods": store_methods,
+        "metrics_stored_methods": metrics_stored_methods,
+        "judged_titles": judged_titles,
     }
     for h in (False, True):
         for b in (False, True):
             for e in (False, True):
                 cfg = SearchConfig(use_hyde=h, use_bm25=b, use_evaluator=e)
                 q[f"search_flags_{cfg.key}"] = _search_flags(cfg)
+                q[f"word_flags_{cfg.key}"] = _search_flags(cfg, words=True)
     return q

@@ -1,4 +1,4 @@
-"""CSV and Parquet sources and sinks."""
+"""CSV and Parquet sources and sinks (O01, O04, O05, O07); the embedding store (O06) is ``store``."""
 
 from __future__ import annotations
 
@@ -6,6 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType, StringType, StructField, StructType
 
+from quarry.sources.store import found, list_methods, load_embeddings, save_embeddings, store_exists
+
+__all__ = ["is_complete", "list_methods", "load_embeddings", "read_metrics", "read_papers", "read_word_vectors",
+           "save_embeddings", "store_exists", "write_metrics", "write_papers", "write_word_vectors"]
+
 PAPERS_SCHEMA = StructType([
     StructField("title", StringType(), False),
     StructField("abstract", StringType(), True),
@@ -13,10 +18,6 @@ PAPERS_SCHEMA = StructType([
     StructField("document_url", StringType(), True),
 ])
 
-# Columns of the embedding store; ``doc_id`` keeps the type of the corpus id
-# (a number, or a title).
-EMBEDDING_COLUMNS = ["method", "doc_id", "content_hash", "embedding"]
-
 WORD_VECTORS_SCHEMA = StructType([
     StructField("word", StringType(), False),
     StructField("vector", ArrayType(FloatType()), False),
@@ -38,22 +39,9 @@ def read_papers(spark: SparkSession, path: str, schema: StructType = PAPERS_SCHE
 CSV_FILE_ROWS = 200_000
 
 
-def _found(spark: SparkSession, pattern: str) -> bool:
-    """True when a path matches. Errors of the file system are raised, not read as "no"."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(pattern)
-    status = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path)
-    return status is not None and len(status) > 0
-
-
 def is_complete(spark: SparkSession, path: str) -> bool:
     """True when a finished write lies at ``path`` (its ``_SUCCESS`` mark is there)."""
-    return _found(spark, f"{path.rstrip('/')}/_SUCCESS")
-
-
-def store_exists(spark: SparkSession, path: str) -> bool:
-    """True when the embedding store holds a method. Its folders appear when a
-    write commits, so an unfinished first write is no store."""
-    return _found(spark, f"{path.rstrip('/')}/method=*")
+    return bool(found(spark, f"{path.rstrip('/')}/_SUCCESS"))
 
 
 def write_papers(df: DataFrame, path: str) -> None:
@@ -73,35 +61,6 @@ def read_word_vectors(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(WORD_VECTORS_SCHEMA).parquet(path)
 
 
-def save_embeddings(df: DataFrame, path: str, mode: str = "append", check_unique: bool = True) -> None:
-    """Store partitioned by method; (method, doc_id) must be unique.
-
-    ``overwrite`` replaces the partitions of the methods in ``df`` and leaves
-    the other methods alone. The check is a partial aggregate."""
-    rows = df.select(*EMBEDDING_COLUMNS)
-    if check_unique:
-        dup = (rows.groupBy("method", "doc_id").count().filter(F.col("count") > 1)
-               .select("method", "doc_id").limit(1).collect())
-        if dup:
-            raise ValueError(f"duplicate (method, doc_id) in embeddings: {tuple(dup[0])}")
-    (rows.write.mode(mode).option("partitionOverwriteMode", "dynamic")
-     .partitionBy("method").parquet(path))
-
-
-def load_embeddings(spark: SparkSession, path: str, method: str | None = None) -> DataFrame:
-    """Reload, pruned to one method's partition when given. The schema is
-    the files' own, except that method names are always text."""
-    stored = spark.read.parquet(path).schema
-    schema = StructType([StructField(f.name, StringType() if f.name == "method" else f.dataType) for f in stored])
-    df = spark.read.schema(schema).parquet(path).select(*EMBEDDING_COLUMNS)
-    return df if method is None else df.filter(F.col("method") == method)
-
-
-def list_methods(spark: SparkSession, path: str) -> DataFrame:
-    """The methods that the store holds: (method)."""
-    return load_embeddings(spark, path).select("method").distinct()
-
-
 def write_metrics(df: DataFrame, path: str, fmt: str = "parquet") -> None:
     """One report per run, partitioned by method."""
     df.write.mode("overwrite").partitionBy("method").format(fmt).save(path)

@@ -2,6 +2,9 @@
 
 import math
 
+from pyspark.sql import functions as F
+
+from quarry.operators import dense
 from quarry.operators.dense import dense_search
 from quarry.operators.fusion import rrf
 from quarry.operators.vectors import hyde_mean
@@ -30,6 +33,31 @@ def test_cosine_blocks_give_same_result(spark):
     assert one == many == chunked and len(one) == 60
 
 
+def test_tiles_give_the_exact_result_without_broadcast(spark):
+    docs = spark.createDataFrame([(i, [float(i % 7) - 3, float(i % 5), 1.0] + [0.5] * (i % 2)) for i in range(300)]
+                                 + [(900, None), (901, [0.0, 0.0, 0.0]), (902, [float("nan"), 1.0, 0.0])],
+                                 "doc_id long, embedding array<double>").repartition(4, "doc_id")
+    qs = docs.select(F.col("doc_id").alias("query_id"), "embedding", F.lit(4).alias("top_k"))
+    d, q = dense.units(docs, "doc_id"), dense.units(qs, "query_id")
+    tiled = dense.tiled_candidates(d, q, 4, tile_bytes=1500, block_bytes=900, query_chunk=7)
+    per_tile = tiled.groupBy("query_id").count().agg(F.max("count")).first()[0]
+    assert 4 < per_tile <= 4 * 6                      # k rows per tile and query
+    plan = dense_search(docs, qs, max_broadcast_bytes=0)._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapCoGroupsInArrow" in plan and "MapInPandas" not in plan
+    want = sorted(map(tuple, dense_search(docs, qs).collect()))
+    assert sorted(map(tuple, dense_search(docs, qs, max_broadcast_bytes=0).collect())) == want
+    from quarry.plans.topk import ranked
+    got = ranked(tiled, qs.select("query_id", "top_k"), 4).select("query_id", "rank", "doc_id", F.round("score", 6))
+    assert sorted(map(tuple, got.collect())) == want and len(want) == 1200
+
+
+def test_stored_unit_vectors_are_taken_as_they_are(spark):
+    docs = spark.createDataFrame([(1, [9.0, 9.0], [1.0, 0.0]), (2, [1.0, 0.0], [0.0, 1.0]), (3, [1.0, 1.0], None)],
+                                 "doc_id long, embedding array<double>, unit array<double>")
+    qs = spark.createDataFrame([(7, [3.0, 0.0], 5)], "query_id long, embedding array<double>, top_k int")
+    assert [(r.doc_id, r.score) for r in dense_search(docs, qs).orderBy("rank").collect()] == [(1, 1.0), (2, 0.0)]
+
+
 def test_rrf_golden(spark):
     q = spark.createDataFrame([(1, 10)], "query_id long, top_k int")
     leg1 = spark.createDataFrame([(1, 1, "A"), (1, 2, "B"), (1, 3, "C")], "query_id long, rank int, doc_id string")
