@@ -27,7 +27,7 @@ import math
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import DoubleType, StructField, StructType
@@ -45,26 +45,43 @@ QUERY_CHUNK = 512
 DOC_CHUNK = 16_384
 
 
+def _let(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` computed once per row."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def direction(vec: Column) -> Column:
+    """(norm, unit) of a vector; ``unit`` is NULL when it has no direction. The
+    vector and its norm are bound once: either may be a costly expression."""
+    def of(v: Column) -> Column:
+        squares = F.aggregate(v, F.lit(0.0), lambda acc, x: acc + x.cast("double") * x.cast("double"))
+        return _let(F.sqrt(squares), lambda n: F.struct(n.alias("norm"), F.when(
+            (n > 0) & (n < F.lit(float("inf"))),                    # NaN is above infinity
+            F.transform(v, lambda x: x.cast("double") / n)).alias("unit")))
+    return _let(vec, of)
+
+
 def with_units(df: DataFrame, vec: str = "embedding") -> DataFrame:
-    """``df`` with ``norm`` and ``unit`` (NULL when the vector has no direction)."""
-    squares = F.aggregate(F.col(vec), F.lit(0.0), lambda acc, x: acc + x.cast("double") * x.cast("double"))
-    norm = F.sqrt(squares)
-    live = (F.col("norm") > 0) & (F.col("norm") < F.lit(float("inf")))     # NaN is above infinity
-    return df.withColumn("norm", norm).withColumn("unit", F.when(
-        live, F.transform(F.col(vec), lambda x: x.cast("double") / F.col("norm"))))
+    """``df`` with ``norm`` and ``unit``."""
+    rest = [c for c in df.columns if c not in ("norm", "unit")]
+    # One value per row leaves the generator, so nothing above it runs the encoder again.
+    return (df.select(*rest, F.explode_outer(F.array(direction(F.col(vec)))).alias("__direction"))
+            .select(*rest, "__direction.norm", "__direction.unit"))
 
 
 def units(df: DataFrame, *keep: str) -> DataFrame:
-    """(keep, unit) of the rows that have a direction; stored unit vectors are taken as they are."""
-    known = df if "unit" in df.columns else with_units(df)
-    return known.select(*keep, "unit").filter("unit IS NOT NULL")
+    """(keep, unit); stored unit vectors are taken as they are. Rows without a
+    direction keep a NULL, which the kernel skips."""
+    if "unit" in df.columns:
+        return df.select(*keep, "unit")
+    return df.select(*keep, direction(F.col("embedding"))["unit"].alias("unit"))
 
 
 def _by_length(ids: list, vectors: list) -> dict[int, tuple[np.ndarray, np.ndarray]]:
     """{length: (ids ascending, unit vectors)}."""
     rows: dict[int, list] = {}
     for i, v in zip(ids, vectors, strict=True):
-        if i is not None:
+        if i is not None and v is not None and len(v):
             rows.setdefault(len(v), []).append((i, v))
     out = {}
     for length, some in rows.items():
@@ -170,7 +187,7 @@ def candidate_schema(doc_vectors: DataFrame, query_vectors: DataFrame) -> Struct
 
 
 def _vector_bytes(vectors: DataFrame) -> int:
-    return vectors.agg(F.sum(F.size("unit").cast("long") * 8)).first()[0] or 0
+    return vectors.agg(F.sum(F.coalesce(F.size("unit"), F.lit(0)).cast("long") * 8)).first()[0] or 0
 
 
 def tiled_candidates(docs: DataFrame, queries: DataFrame, k: int, tile_bytes: int = TILE_BYTES,
