@@ -12,7 +12,8 @@ it against brute force.
 
 Visits widen in steps (4 leaves, then 16, 64, ...). After each step a query's
 k-th best score so far is a bound: later leaves only return rows that reach it,
-so a query's rows stay a few times k however many leaves it visits.
+so a query's rows stay a few times k however many leaves it visits. A query that
+still has fewer than it should goes on through the remaining leaves.
 
 Work is dealt in tiles: a leaf's vectors in blocks of BLOCK rows and its
 queries in blocks of BLOCK, so no task holds a hot leaf whole. Copies are
@@ -198,6 +199,10 @@ def calibrated_visits(tree: Tree, queries: np.ndarray, truth: list[np.ndarray],
     """Fewest leaf visits whose leaves hold ``target`` of the true neighbours."""
     needed = []
     for q, near in zip(queries, truth, strict=True):
+        # Neither the query nor copies of it, and each neighbour once.
+        near = np.unique(near[(near != q).any(1)], axis=0)
+        if not len(near):
+            continue
         place = {leaf: i + 1 for i, leaf in enumerate(tree.walk(q))}
         needed += [place[leaf] for leaf in tree.assign(near).tolist()]
     needed = np.sort(needed)
@@ -304,6 +309,17 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = K, target: float =
     while at < most:
         found = _visit(members, probes.filter(F.col("visit").between(at, to - 1)), found, k + 1)
         at, to = to, to * WIDEN
+    # A query with too few rows goes on until it has them or has seen all leaves.
+    at, to = most, most * WIDEN
+    while at < fitted.leaves:
+        counts = found.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
+        short = pinned(groups_spread.join(counts, "query_id", "left")
+                       .filter(F.coalesce("n", F.lit(0)) <= k).select("query_id", "embedding"), "short")
+        if short.isEmpty():
+            break
+        more = short.mapInArrow(_leaves(tree, min(to, fitted.leaves)), "query_id long, embedding array<double>, leaf int, visit int")
+        found = _visit(members, pinned(more.filter(F.col("visit") >= at), "more"), found, k + 1)
+        at, to = to, to * WIDEN
     # Every query of a group of equal vectors takes its list, without itself.
     shares = asked.join(groups, "embedding").select(F.col("vec_id").alias("own"), "query_id")
     out = shares.join(found, "query_id").filter("own <> vec_id")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import sys
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -16,6 +18,30 @@ from quarry.session import shared_dir
 SLICE_BYTES = 2 << 20
 
 
+def lean(task: Callable, tokens: bool = False) -> Callable:
+    """``task`` (a mapInArrow body) that leaves no memory behind in a reused
+    worker: Arrow allocates from the system, a tokenizer that an earlier task
+    loaded goes (unless this one has ``tokens`` to make), and freed memory is
+    given back when the task ends."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pa.set_memory_pool(pa.system_memory_pool())
+        kept = sys.modules.get("quarry.llm.tokens")
+        if kept is not None and not tokens:
+            kept.unload()
+        try:
+            yield from task(batches)
+        finally:
+            _give_back()
+    return run
+
+
+def _give_back() -> None:
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):       # no such call in this C library
+        pass
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A given table, whole, as the scan splits it."""
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")

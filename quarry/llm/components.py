@@ -31,13 +31,14 @@ def _state(links: DataFrame):
     return links.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
 
 
-def components(links: DataFrame, max_rounds: int = 40) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """``links`` (a, b) -> (node, component) for every node that has a link;
-    the component is its smallest node. Order and repeats don't matter."""
+    the component is its smallest node. Order and repeats don't matter. Steps go
+    on until the links no longer change."""
     links = pinned(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
                    .filter("a <> b").distinct(), "links")
     seen = _state(links)
-    for _ in range(max_rounds):
+    while True:
         links = pinned(_star(_star(links, True), False), "stars")
         state = _state(links)
         if state == seen:

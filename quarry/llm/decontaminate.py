@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import read_table, text_slices
+from quarry.llm.common import lean, read_table, text_slices
 from quarry.llm.shingles import K, distinct_sets, shingle_hashes, spelt_shingles, words_of
 
 #: Containment as a fraction.
@@ -137,7 +137,7 @@ def find_items(docs: DataFrame, items: DataFrame, share: tuple[int, int] = SHARE
                          pa.array(size, pa.int64()), pa.array([n for _, _, n in found], pa.int64()),
                          pa.array([n / s for (_, _, n), s in zip(found, size, strict=True)], pa.float64())],
                         ["doc_id", "item_id", "n_item_shingles", "n_shared", "containment"])
-        out = out.unionByName(docs.mapInArrow(search, MATCHES))
+        out = out.unionByName(docs.mapInArrow(lean(search), MATCHES))
     return out
 
 
@@ -153,7 +153,7 @@ def remove_contaminated(docs: DataFrame, items: DataFrame, share: tuple[int, int
                     clean = np.ones(part.num_rows, bool)
                     clean[[r for r, _, _ in b.value.matches(part.column("text"))]] = False
                     yield part.filter(pa.array(clean))
-        docs = docs.mapInArrow(keep, docs.schema)
+        docs = docs.mapInArrow(lean(keep), docs.schema)
     return docs
 
 

@@ -18,7 +18,8 @@ sets is at least 3/4. Shingles are 64-bit hashes; texts are verified whole.
 4. A shingle's documents are not paired off with each other first. In rounds
    each shingle's documents are compared with one pivot of their group, and
    links become components. Only pairs across components are still open; when
-   few enough are left they are enumerated, all of them. No pair inside a
+   few enough are left (linear in the rows), or a round no longer halves them, they
+   are enumerated, all of them. No pair inside a
    component can change the result, so no link is lost.
 
 Hot shingles (buckets far over the mean) are told apart when emitted and their
@@ -33,6 +34,7 @@ empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -40,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import join_null_safe, pinned, read_table, small_side, text_slices
+from quarry.llm.common import join_null_safe, lean, pinned, read_table, small_side, text_slices
 from quarry.llm.components import components
 from quarry.llm.shingles import distinct_sets
 
@@ -52,9 +54,12 @@ HOT = 4
 HOT_SALTS = 64
 #: Rows of a narrow table that may be broadcast; beyond it a shuffle join.
 BROADCAST_ROWS = 500_000
-#: Pivot rounds before the open pairs are enumerated (at once when they are few).
-ROUNDS = 1
+#: The same for pivots with their range sizes (some 100 bytes each).
+BROADCAST_PIVOTS = 200_000
+#: Open pairs a prefix row that are enumerated at once, and after a pivot round.
+#: Above it rounds go on as long as each halves the open pairs.
 OPEN_PAIRS_PER_ROW = 0.5
+LATER_PAIRS_PER_ROW = 4
 #: Members that one task compares with one copy of a pivot's text, about.
 PER_PIVOT = 256
 RANGES = 16
@@ -177,16 +182,19 @@ def _links(pairs: DataFrame, texts: DataFrame, sizes: DataFrame, sets_of: SetsOf
     mine = sizes.select(F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("ranges").alias("r_a"))
     theirs = sizes.select(F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("ranges").alias("r_b"))
     overlap = F.aggregate(F.zip_with("r_a", "r_b", lambda x, y: F.least(x, y)), F.lit(0).cast("long"), lambda s, v: s + v)
-    pairs = pairs.join(mine, "a").join(theirs, "b").filter(7 * overlap >= 3 * (F.col("n_a") + F.col("n_b")))
-    per_pivot = pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / PER_PIVOT).alias("salts"))
-    pairs = pinned(pairs.select("a", "b").join(per_pivot, "b").select(
+    # A pivot has many members: its few numbers go to them, not they to it.
+    theirs = pinned(theirs.join(pairs.select("b").distinct(), "b", "left_semi"), "pivot_sizes")
+    bounded = pairs.join(mine, "a").join(small_side(theirs, BROADCAST_PIVOTS), "b")
+    pairs = pinned(bounded.filter(7 * overlap >= 3 * (F.col("n_a") + F.col("n_b"))).select("a", "b").distinct(), "bounded")
+    per_pivot = pinned(pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / PER_PIVOT).alias("salts")), "salts")
+    pairs = pinned(pairs.join(small_side(per_pivot, BROADCAST_ROWS), "b").select(
         "a", "b", F.pmod(F.xxhash64("a"), F.col("salts")).alias("salt")), "candidates")
     pivots = pairs.select("b", "salt").distinct()
     members = texts.join(small_side(pairs, BROADCAST_ROWS), texts["doc_id"] == F.col("a")).select("a", "b", "salt", "text")
     heads = texts.join(small_side(pivots, BROADCAST_ROWS), texts["doc_id"] == F.col("b")).select(
         F.lit(None).cast("long").alias("a"), "b", "salt", "text")
     return (members.unionByName(heads).repartition("b", "salt").sortWithinPartitions("b", "salt", "a")
-            .mapInArrow(_verifier(sets_of), "a long, b long").distinct())
+            .mapInArrow(lean(_verifier(sets_of)), "a long, b long").distinct())
 
 
 def _groups(rows: DataFrame) -> DataFrame:
@@ -203,7 +211,8 @@ def _link_rounds(rows: DataFrame, texts: DataFrame, sizes: DataFrame, sets_of: S
     n_rows = rows.count()
     links = tried = None
     open_rows = rows.withColumns({"c": F.col("id"), "served": F.lit(False)})
-    for round_no in range(ROUNDS + 1):
+    before = None
+    for round_no in itertools.count():
         # Pairs across components: all pairs of a shingle less those inside a component.
         parts = open_rows.groupBy("token", "c").agg(F.count(F.lit(1)).alias("m"))
         tokens = pinned(parts.groupBy("token").agg(
@@ -213,7 +222,9 @@ def _link_rounds(rows: DataFrame, texts: DataFrame, sizes: DataFrame, sets_of: S
         left = tokens.agg(F.sum((F.col("members") * F.col("members") - F.col("inside")) / 2)).first()[0] or 0
         if left == 0:
             break
-        last = left <= OPEN_PAIRS_PER_ROW * n_rows or round_no == ROUNDS
+        few = OPEN_PAIRS_PER_ROW if round_no == 0 else LATER_PAIRS_PER_ROW
+        last = left <= few * n_rows or (before is not None and 2 * left > before)
+        before = left
         if last:
             # One side of every open pair is outside its shingle's main component.
             open_rows = open_rows.join(tokens.select("token", "main"), "token")
@@ -264,7 +275,7 @@ def jaccard_classes(docs: DataFrame, sets_of: SetsOf = distinct_sets, by_length:
     shingles by default); ``by_length`` lets documents meet in partitions of set length."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
-    profile = pinned(docs.mapInArrow(_profiler(sets_of), (
+    profile = pinned(docs.mapInArrow(lean(_profiler(sets_of)), (
         "doc_id long, text_hash long, n long, sig_a long, sig_b long, ranges array<int>, bucket long, hits long")),
         "profile")
     rows = profile.filter("bucket IS NULL")
@@ -280,9 +291,10 @@ def jaccard_classes(docs: DataFrame, sets_of: SetsOf = distinct_sets, by_length:
     buckets = spark.sparkContext.broadcast((counts, HOT * max(1.0, float(counts.mean()))))
     texts = docs.filter("doc_id IS NOT NULL").join(small_side(copies, BROADCAST_ROWS), ["doc_id", "text_hash"], "left_anti")
     prefix = texts.select("doc_id", "text").mapInArrow(
-        _prefixes(buckets, sets_of), "token long, id long, n int, pos int, hot boolean")
+        lean(_prefixes(buckets, sets_of)), "token long, id long, n int, pos int, hot boolean")
     shared = pinned(_groups(_by_length(prefix) if by_length else prefix), "prefixes")
-    sizes = named.groupBy(F.col("doc_id").alias("id"), "n").agg(F.first("ranges").alias("ranges"))
+    # Rows that share an id keep each its own sizes: any of their texts may link.
+    sizes = named.select(F.col("doc_id").alias("id"), "n", "ranges").distinct()
     links = _link_rounds(shared, texts.select("doc_id", "text"), sizes, sets_of)
     links = same_id.select("a", "b") if links is None else links.unionByName(same_id.select("a", "b"))
     label = components(links).select(F.col("node").alias("class"), "component")

@@ -39,7 +39,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import join_null_safe, let, pinned, read_table, small_side, text_slices
+from quarry.llm.common import join_null_safe, lean, let, pinned, read_table, small_side, text_slices
 
 UNKNOWN = "und"
 #: Rows of each label that the trigram counts are taken from: all of them, or
@@ -109,7 +109,7 @@ def train(labelled: DataFrame, train_rows: int = TRAIN_ROWS) -> tuple[list[str],
         yield from written(sums)
 
     # At most classes * 2**GRAM_BITS rows.
-    found = sample.mapInArrow(count, "c long, g long, n long").groupBy("c", "g").agg(F.sum("n").alias("n")).toArrow()
+    found = sample.mapInArrow(lean(count), "c long, g long, n long").groupBy("c", "g").agg(F.sum("n").alias("n")).toArrow()
     c, g, n = (found.column(x).to_numpy() for x in ("c", "g", "n"))
     order = np.argsort(c, kind="stable")
     c, g, n = c[order], g[order], n[order]
@@ -189,7 +189,7 @@ def identify(rows: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame:
             "language": F.lit(None).cast("string"), "posterior": F.lit(None).cast("double"), "kept": F.lit(True)})
     rows = rows.withColumns({c: F.coalesce(F.col(c), F.lit("")) for c in EVIDENCE})
     schema = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in names) + ", ll array<double>"
-    scored = rows.select(*names, "text").mapInArrow(_scorer(rows.sparkSession.sparkContext.broadcast(table)), schema)
+    scored = rows.select(*names, "text").mapInArrow(lean(_scorer(rows.sparkSession.sparkContext.broadcast(table))), schema)
     scored = pinned(scored.withColumn("p", _softmax(F.col("ll"))), "language_text")
     priors = pinned(host_priors(scored, n), "host_priors")
     out = scored.join(small_side(priors, BROADCAST_ROWS), ["suffix", "domain", "host"])

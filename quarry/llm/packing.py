@@ -13,7 +13,7 @@ dealt to partitions of a bounded size, and each partition
 Partitions with a gap keep their full bins and put the documents of the others
 into an exchange pool; certified ones add their emptiest bin, the remainder that
 rounding up leaves in each partition. The pool is dealt anew to fewer partitions
-and repacked, until one partition holds all of it.
+and repacked, until one partition holds all of it or it no longer shrinks.
 
 Only (piece_id, length) rows take part; token ids stay in the piece files.
 
@@ -24,6 +24,7 @@ are packed in piece order, so a rerun gives the same plan.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,17 +34,17 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import list_column, pinned, read_table, text_slices
+from quarry.llm.common import lean, list_column, pinned, read_table, text_slices
 from quarry.llm.token_files import ids_crc32
-from quarry.llm.tokens import with_end, word_tokenizer
+from quarry.llm.tokens import TOKEN_SLICE_BYTES, with_end, word_tokenizer
 
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 1
 CAPACITY = 4096
 #: Pieces one packing task holds (a few dozen bytes each).
 PARTITION_PIECES = 50_000
-#: Exchange rounds; the pool shrinks in each, and the last one keeps all its bins.
-MAX_ROUNDS = 8
+#: Rounds go on while the exchange pool loses this share of its documents or more.
+SHRINK = 1 / 4
 PIECES = "piece_id long, doc_id long, piece int, start long, length long, ids array<int>"
 PLAN = "piece_id long, length int, bin int, offset long, bound int, bins int, keep boolean, part long"
 
@@ -57,7 +58,7 @@ def cut_pieces(docs: DataFrame, tokenizer: str = TOKENIZER, end_id: int = END_ID
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, next_id = word_tokenizer(tokenizer), TaskContext.get().partitionId() << 33
         for batch in batches:
-            for part in text_slices(batch, "text"):
+            for part in text_slices(batch, "text", TOKEN_SLICE_BYTES):
                 ids, counts = with_end(*words.encode(part.column("text")), end_id)
                 per_doc = -(-counts // capacity)
                 row = np.repeat(np.arange(len(counts)), per_doc)
@@ -71,7 +72,7 @@ def cut_pieces(docs: DataFrame, tokenizer: str = TOKENIZER, end_id: int = END_ID
                      list_column(ids.astype(np.int32), length, pa.int32())],
                     ["piece_id", "doc_id", "piece", "start", "length", "ids"])
                 next_id += len(row)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(cut, PIECES)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lean(cut, tokens=True), PIECES)
 
 
 def best_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -141,20 +142,22 @@ def _pack_partition(capacity: int, last: bool):
     return pack
 
 
-def pack(pieces: DataFrame, capacity: int = CAPACITY, partition_pieces: int = PARTITION_PIECES,
-         max_rounds: int = MAX_ROUNDS) -> DataFrame:
-    """(piece_id, sequence_id, offset) for every row of pinned ``pieces``."""
+def pack(pieces: DataFrame, capacity: int = CAPACITY, partition_pieces: int = PARTITION_PIECES) -> DataFrame:
+    """(piece_id, sequence_id, offset) for every row of pinned ``pieces``.
+
+    Rounds end when one partition holds the pool, or when an exchange no longer
+    shrinks it by a quarter (so there are at most log4/3 of its size)."""
     full = pieces.filter(F.col("length") == capacity).select(
         "piece_id", F.shiftleft(F.lit(1).cast("long"), 62).bitwiseOR(F.col("piece_id")).alias("sequence_id"),
         F.lit(0).cast("long").alias("offset"))
     pool = pieces.filter(F.col("length") < capacity).select("piece_id", F.col("length").cast("int").alias("length"))
     done, before = [full], None
-    for round_no in range(max_rounds):
+    for round_no in itertools.count():
         n = pool.count()
         if n == 0:
             break
         groups = -(-n // partition_pieces)
-        last = groups == 1 or round_no == max_rounds - 1 or n == before
+        last = groups == 1 or (before is not None and n > (1 - SHRINK) * before)
         # A fresh seed each round: documents of different partitions meet.
         dealt = pool.withColumn("part", F.pmod(F.xxhash64("piece_id", F.lit(round_no)), F.lit(groups)))
         plan = pinned(dealt.groupBy("part").applyInPandas(_pack_partition(capacity, last), PLAN), f"pack_{round_no}")
@@ -188,7 +191,7 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def pack_documents(docs: DataFrame) -> DataFrame:
     """Pack whole documents; one row per piece with its ids' digest and place."""
     pieces = pinned(cut_pieces(docs), "pieces")
-    digests = pieces.mapInArrow(_digest, "piece_id long, doc_id long, piece int, start long, length long, ids_crc32 long")
+    digests = pieces.mapInArrow(lean(_digest), "piece_id long, doc_id long, piece int, start long, length long, ids_crc32 long")
     return digests.join(pack(pieces), "piece_id").drop("piece_id")
 
 

@@ -31,8 +31,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import list_column, read_table, small_side, text_slices
-from quarry.llm.tokens import with_end, word_tokenizer
+from quarry.llm.common import lean, list_column, read_table, small_side, text_slices
+from quarry.llm.tokens import TOKEN_SLICE_BYTES, with_end, word_tokenizer
 from quarry.session import shared_dir
 
 TOKENIZER = "word_bpe_49k.json"
@@ -49,7 +49,7 @@ def _encoder(tokenizer: str, end_id: int):
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, at = word_tokenizer(tokenizer), 0
         for batch in batches:
-            for part in text_slices(batch, "text"):
+            for part in text_slices(batch, "text", TOKEN_SLICE_BYTES):
                 ids, counts = with_end(*words.encode(part.column("text")), end_id)
                 starts = at + np.cumsum(counts) - counts
                 at += int(counts.sum())
@@ -69,7 +69,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str = TOKENIZER, en
     ordered = (docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
                .repartitionByRange(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
                .sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"), "text"))
-    (ordered.mapInArrow(_encoder(tokenizer, end_id), FILE_SCHEMA).write
+    (ordered.mapInArrow(lean(_encoder(tokenizer, end_id), tokens=True), FILE_SCHEMA).write
      .option("parquet.enable.dictionary", str(encoding == "dictionary").lower())
      .option("parquet.writer.version", "PARQUET_1_0" if encoding == "dictionary" else "PARQUET_2_0")
      .option("parquet.block.size", str(row_group_bytes))
@@ -125,4 +125,4 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = write_token_files(read_table(spark, sf_dir, "documents"), shared_dir(spark, "llm_token_files"))
-    return read_documents(spark, path).mapInArrow(_digest, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return read_documents(spark, path).mapInArrow(lean(_digest), "doc_id long, start long, n_tokens long, ids_crc32 long")

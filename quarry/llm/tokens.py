@@ -7,6 +7,7 @@ distinct ones; only words not seen by this worker reach the tokenizer.
 
 from __future__ import annotations
 
+import json
 import re
 import unicodedata
 from array import array
@@ -19,7 +20,9 @@ import public_tokenizers
 from tokenizers import Tokenizer
 
 #: Distinct word stems a Python worker remembers; beyond it the older half goes.
-CACHE_WORDS = 150_000
+CACHE_WORDS = 400_000
+#: Text bytes encoded at once: the more, the fewer words are looked up again.
+TOKEN_SLICE_BYTES = 4 << 20
 
 # Below U+0300 no character combines, so NFC changes nothing there; U+0130 is the
 # one whose lower case is two characters, and "<|" may open a special token.
@@ -47,11 +50,32 @@ def _pieces(found: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
             np.fromiter(map(len, found), np.int32, len(found)) >> 2)
 
 
+# The text rules that ``_plain`` follows.
+_RULES = {
+    "normalizer": {"type": "Sequence", "normalizers": [
+        {"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {"type": "Sequence", "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"},
+         "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}}
+
+
+def follows_rules(tokenizer: Tokenizer) -> bool:
+    """Whether a tokenizer has the text rules above and a plain word-end BPE."""
+    spelt = json.loads(tokenizer.to_str())
+    model = spelt["model"]
+    return (all(spelt[part] == rule for part, rule in _RULES.items()) and spelt["post_processor"] is None
+            and model["type"] == "BPE" and model.get("end_of_word_suffix") == "</w>"
+            and not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "byte_fallback", "ignore_merges")))
+
+
 class WordTokenizer:
-    """``encode(texts)`` gives the same ids as ``tokenizers`` on each whole text."""
+    """``encode(texts)`` gives the same ids as ``tokenizers`` on each whole text.
+    A file with other rules than the word vocabulary's encodes whole texts."""
 
     def __init__(self, name: str, cache_words: int = CACHE_WORDS):
         self.tokenizer = Tokenizer.from_file(public_tokenizers.path(name))
+        self.by_word = follows_rules(self.tokenizer)
         self.letters = _byte_letters()
         self.limit = cache_words
         self.known: dict[str, bytes] = {}
@@ -60,7 +84,8 @@ class WordTokenizer:
         """Ids of a lower-case word without white space, all below U+0300."""
         ids = []
         for part in [word] if word.isalpha() else _PRETOKEN.findall(word):
-            spelt = part.encode().decode("latin-1").translate(self.letters)
+            # Printable ASCII stands for itself.
+            spelt = part if part.isascii() and part.isprintable() else part.encode().decode("latin-1").translate(self.letters)
             ids += [t.id for t in self.tokenizer.model.tokenize(spelt)]
         out = self.known[word] = array("I", ids).tobytes()
         return out
@@ -95,7 +120,8 @@ class WordTokenizer:
         if len(self.known) > self.limit:
             self.known = dict(islice(self.known.items(), len(self.known) // 2, None))
         texts = pc.fill_null(texts, "")
-        exotic = np.flatnonzero(pc.match_substring_regex(texts, _EXOTIC).to_numpy(zero_copy_only=False))
+        exotic = (np.flatnonzero(pc.match_substring_regex(texts, _EXOTIC).to_numpy(zero_copy_only=False))
+                  if self.by_word else np.arange(len(texts)))
         if not len(exotic):
             return self._plain(texts)
         plain = np.setdiff1d(np.arange(len(texts)), exotic)
@@ -104,7 +130,7 @@ class WordTokenizer:
         for i in exotic.tolist():
             rows[i] = np.array(self.tokenizer.encode(texts[i].as_py(), add_special_tokens=False).ids, np.uint32)
         out = [rows[i] for i in range(len(texts))]
-        return np.concatenate(out), np.fromiter(map(len, out), np.int64, len(out))
+        return np.concatenate([np.zeros(0, np.uint32), *out]), np.fromiter(map(len, out), np.int64, len(out))
 
 
 def with_end(ids: np.ndarray, counts: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
@@ -115,6 +141,11 @@ def with_end(ids: np.ndarray, counts: np.ndarray, end_id: int) -> tuple[np.ndarr
 _LOADED: dict[str, WordTokenizer] = {}
 
 
+def unload() -> None:
+    """Forget this worker's tokenizers and their words."""
+    _LOADED.clear()
+
+
 def word_tokenizer(name: str) -> WordTokenizer:
     """This worker's tokenizer (loaded once; the file is a parameter by name)."""
     if name not in _LOADED:

@@ -54,6 +54,25 @@ def test_copies_and_unusable(spark):
     assert got == want
 
 
+def test_short_lists_are_widened(spark, monkeypatch):
+    """Visits too few for k rows: each query goes on until it has them."""
+    monkeypatch.setattr(A, "calibrated_visits", lambda *_: 1)
+    monkeypatch.setattr(A, "LEAF_SAMPLE", 2)
+    rng = np.random.default_rng(6)
+    rows = [(i, rng.normal(size=4).tolist(), 1.0) for i in range(200)]
+    got = run(spark, spark.createDataFrame(rows, SCHEMA), leaf_rows=3)
+    assert len(got) == 10 and all(len(near) == A.K for near in got.values())
+    got = run(spark, spark.createDataFrame(rows[:15], SCHEMA), leaf_rows=3)
+    assert {q: len(near) for q, near in got.items()} == {0: 14}
+
+
+def test_calibration_leaves_the_query_out():
+    sample = np.arange(400, dtype=float).reshape(100, 4) % 37
+    tree = A.Tree(sample, 5)
+    q = sample[:3]
+    assert A.calibrated_visits(tree, q, [np.repeat(v[None], 4, 0) for v in q]) == 1    # only itself and copies
+
+
 def test_few_and_none(spark):
     df = spark.createDataFrame([(0, [1.0, 2.0], 0.0), (1, [2.0, 1.0], 0.0), (20, [1.0, 1.0], 0.0)], SCHEMA)
     assert run(spark, df) == {0: [(1, 4.0), (20, 3.0)], 20: [(0, 3.0), (1, 3.0)]}

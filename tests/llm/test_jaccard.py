@@ -78,6 +78,14 @@ def test_id_with_two_texts_and_empty(spark):
     assert J.jaccard_classes(df.limit(0)).count() == 0
 
 
+def test_texts_of_one_id_link_in_any_row_order(spark):
+    a, b = (" ".join(f"{x}{i}" for i in range(40)) for x in "ab")
+    near = b.rsplit(" ", 1)[0] + " edited"
+    for rows in ([(1, a), (1, b), (2, near)], [(1, b), (1, a), (2, near)]):
+        df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+        assert {r["component_id"] for r in J.jaccard_classes(df).collect()} == {1}
+
+
 def test_components_of_chains_and_stars(spark):
     links = [(i, i + 1) for i in range(60)] + [(100, i) for i in range(101, 140)] + [(9, 9), (300, 200), (200, 300)]
     df = spark.createDataFrame(links, "a long, b long")

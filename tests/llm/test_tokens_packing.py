@@ -116,3 +116,55 @@ def test_packing_laws(spark):
         counts = np.bincount([r["length"] for r in packed], minlength=P.CAPACITY + 1)
         assert len(by_seq) <= P.lower_bound(counts, P.CAPACITY) + 1
     assert P.pack_documents(df.limit(0)).count() == 0
+
+
+def test_other_tokenizer_files_encode_whole_texts():
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    import quarry.llm.tokens as K
+    assert K.follows_rules(PLAIN)
+    other = Tokenizer(models.BPE({"a": 0, "b": 1, "ab": 2}, [("a", "b")]))
+    other.pre_tokenizer = pre_tokenizers.Whitespace()
+    assert not K.follows_rules(other)
+    words = K.WordTokenizer("word_bpe_49k.json")
+    words.tokenizer, words.by_word = other, False
+    ids, counts = words.encode(pa.array(["ab a", None, "b ab"]))
+    assert ids.tolist() == [2, 0, 1, 2] and counts.tolist() == [2, 0, 2]
+
+
+def test_tasks_forget_the_tokenizer_but_for_token_tasks():
+    from quarry.llm import common, tokens
+
+    tokens.word_tokenizer("word_bpe_49k.json")
+    list(common.lean(lambda b: b, tokens=True)(iter([])))
+    assert tokens._LOADED
+    list(common.lean(lambda b: b)(iter([])))
+    assert not tokens._LOADED
+
+
+def test_token_file_footers(spark):
+    """Row groups, page indexes and encodings are those asked for, and a filter on ids reads pages, not files."""
+    import glob
+
+    import pyarrow.parquet as pq
+
+    from quarry.llm import token_files as F4
+    from quarry.session import shared_dir
+    rows = [(i, " ".join(f"word{(i * j) % 97}" for j in range(60))) for i in range(4000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for encoding, wanted in (("dictionary", "RLE_DICTIONARY"), ("delta", "DELTA_BINARY_PACKED")):
+        path = F4.write_token_files(df, shared_dir(spark, f"footer_{encoding}"), encoding=encoding, row_group_bytes=200_000, page_rows=100)
+        files = [pq.ParquetFile(f).metadata for f in sorted(glob.glob(f"{path}/part-*.parquet"))]
+        assert sum(m.num_rows for m in files) == 4000 and max(m.num_row_groups for m in files) > 1
+        for m in files:
+            for g in range(m.num_row_groups):
+                columns = {m.row_group(g).column(c).path_in_schema.split(".")[0]: m.row_group(g).column(c) for c in range(m.num_columns)}
+                found = set(columns["token_ids"].encodings)
+                assert wanted in found or (wanted == "RLE_DICTIONARY" and "PLAIN_DICTIONARY" in found)
+                assert columns["doc_id"].has_column_index and columns["token_ids"].has_offset_index
+                stats = columns["doc_id"].statistics
+                assert stats.has_min_max and stats.max - stats.min < 4000
+        got = F4.read_tokens(spark, path, [7, 3999])
+        assert "PushedFilters: [In(doc_id" in got._jdf.queryExecution().executedPlan().toString().replace("isnotnull(doc_id), ", "")
+        assert {r["doc_id"]: list(r["token_ids"]) for r in got.collect()} == {
+            i: [*PLAIN.encode(rows[i][1], add_special_tokens=False).ids, F4.END_ID] for i in (7, 3999)}
