@@ -28,7 +28,6 @@ import itertools
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -124,9 +123,9 @@ def lower_bound(counts: np.ndarray, capacity: int) -> int:
 
 
 def _pack_partition(capacity: int, last: bool):
-    def pack(key: tuple, items: pd.DataFrame) -> pd.DataFrame:
-        items = items.sort_values("piece_id", kind="stable")
-        lengths = items["length"].to_numpy()
+    def pack(key: tuple, items: pa.Table) -> pa.Table:
+        items = items.sort_by("piece_id")
+        lengths = items.column("length").to_numpy()
         bins, offsets, free = best_fit_decreasing(lengths, capacity)
         bound = lower_bound(np.bincount(lengths, minlength=capacity + 1), capacity)
         if last:
@@ -135,10 +134,11 @@ def _pack_partition(capacity: int, last: bool):
             keep = bins != free.argmax()
         else:
             keep = free[bins] == 0
-        return pd.DataFrame({
-            "piece_id": items["piece_id"].to_numpy(), "length": lengths.astype(np.int32),
-            "bin": bins.astype(np.int32), "offset": offsets, "bound": np.int32(bound),
-            "bins": np.int32(len(free)), "keep": keep, "part": key[0]})
+        n = len(lengths)
+        return pa.table({
+            "piece_id": items.column("piece_id"), "length": lengths.astype(np.int32),
+            "bin": bins.astype(np.int32), "offset": offsets, "bound": np.full(n, bound, np.int32),
+            "bins": np.full(n, len(free), np.int32), "keep": keep, "part": pa.repeat(key[0], n)})
     return pack
 
 
@@ -160,7 +160,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, partition_pieces: int = PA
         last = groups == 1 or (before is not None and n > (1 - SHRINK) * before)
         # A fresh seed each round: documents of different partitions meet.
         dealt = pool.withColumn("part", F.pmod(F.xxhash64("piece_id", F.lit(round_no)), F.lit(groups)))
-        plan = pinned(dealt.groupBy("part").applyInPandas(_pack_partition(capacity, last), PLAN), f"pack_{round_no}")
+        plan = pinned(dealt.groupBy("part").applyInArrow(_pack_partition(capacity, last), PLAN), f"pack_{round_no}")
         done.append(plan.filter("keep").select(
             "piece_id", (F.shiftleft(F.lit(round_no).cast("long"), 56)
                          + F.shiftleft(F.col("part"), 24) + F.col("bin")).alias("sequence_id"), "offset"))

@@ -11,16 +11,15 @@ import json
 import re
 import unicodedata
 from array import array
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import public_tokenizers
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, models
 
-#: Distinct word stems a Python worker remembers; beyond it the older half goes.
-CACHE_WORDS = 400_000
+#: Distinct word stems a Python worker remembers; in two generations.
+CACHE_WORDS = 250_000
 #: Text bytes encoded at once: the more, the fewer words are looked up again.
 TOKEN_SLICE_BYTES = 4 << 20
 
@@ -62,11 +61,13 @@ _RULES = {
 
 def follows_rules(tokenizer: Tokenizer) -> bool:
     """Whether a tokenizer has the text rules above and a plain word-end BPE."""
-    spelt = json.loads(tokenizer.to_str())
-    model = spelt["model"]
-    return (all(spelt[part] == rule for part, rule in _RULES.items()) and spelt["post_processor"] is None
-            and model["type"] == "BPE" and model.get("end_of_word_suffix") == "</w>"
-            and not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "byte_fallback", "ignore_merges")))
+    # The parts' own states: the whole file's text would hold the vocabulary too.
+    rules = {name: json.loads(part.__getstate__()) if (part := getattr(tokenizer, name)) is not None else None
+             for name in _RULES}
+    model = tokenizer.model
+    return (rules == _RULES and tokenizer.post_processor is None and isinstance(model, models.BPE)
+            and model.end_of_word_suffix == "</w>"
+            and not (model.dropout or model.continuing_subword_prefix or model.byte_fallback or model.ignore_merges))
 
 
 class WordTokenizer:
@@ -78,10 +79,15 @@ class WordTokenizer:
         self.by_word = follows_rules(self.tokenizer)
         self.letters = _byte_letters()
         self.limit = cache_words
+        # Two generations: words met again move to the younger one, the rest go with the older.
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def _ids(self, word: str) -> bytes:
         """Ids of a lower-case word without white space, all below U+0300."""
+        if (out := self.older.get(word)) is not None:
+            self.known[word] = out
+            return out
         ids = []
         for part in [word] if word.isalpha() else _PRETOKEN.findall(word):
             # Printable ASCII stands for itself.
@@ -117,8 +123,8 @@ class WordTokenizer:
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(all ids in order, ids per text); a null text has none. A text with
         characters outside the plain range goes to the tokenizer whole."""
-        if len(self.known) > self.limit:
-            self.known = dict(islice(self.known.items(), len(self.known) // 2, None))
+        if len(self.known) > self.limit // 2:
+            self.known, self.older = {}, self.known
         texts = pc.fill_null(texts, "")
         exotic = (np.flatnonzero(pc.match_substring_regex(texts, _EXOTIC).to_numpy(zero_copy_only=False))
                   if self.by_word else np.arange(len(texts)))
