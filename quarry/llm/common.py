@@ -16,6 +16,8 @@ from quarry.session import shared_dir
 
 #: Text bytes handled at once by an Arrow task, whatever the batch it was given.
 SLICE_BYTES = 2 << 20
+# Parameter numbers of the C library's mallopt.
+M_MMAP_THRESHOLD, M_ARENA_MAX = -3, -8
 
 
 def lean(task: Callable, tokens: bool = False) -> Callable:
@@ -25,6 +27,7 @@ def lean(task: Callable, tokens: bool = False) -> Callable:
     given back when the task ends."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pa.set_memory_pool(pa.system_memory_pool())
+        _few_arenas()
         kept = sys.modules.get("quarry.llm.tokens")
         if kept is not None and not tokens:
             kept.unload()
@@ -35,6 +38,16 @@ def lean(task: Callable, tokens: bool = False) -> Callable:
     return run
 
 
+def _few_arenas() -> None:
+    """Large blocks go back when freed, and threads share one heap."""
+    try:
+        mallopt = ctypes.CDLL(None).mallopt
+        mallopt(M_MMAP_THRESHOLD, 1 << 20)
+        mallopt(M_ARENA_MAX, 1)
+    except (AttributeError, OSError):       # no such call in this C library
+        pass
+
+
 def _give_back() -> None:
     try:
         ctypes.CDLL(None).malloc_trim(0)

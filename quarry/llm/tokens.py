@@ -19,7 +19,7 @@ import public_tokenizers
 from tokenizers import Tokenizer, models
 
 #: Distinct word stems a Python worker remembers; in two generations.
-CACHE_WORDS = 250_000
+CACHE_WORDS = 200_000
 #: Text bytes encoded at once: the more, the fewer words are looked up again.
 TOKEN_SLICE_BYTES = 4 << 20
 
