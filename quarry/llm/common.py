@@ -22,9 +22,9 @@ M_MMAP_THRESHOLD, M_ARENA_MAX = -3, -8
 
 def lean(task: Callable, tokens: bool = False) -> Callable:
     """``task`` (a mapInArrow body) that leaves no memory behind in a reused
-    worker: Arrow allocates from the system, a tokenizer that an earlier task
-    loaded goes (unless this one has ``tokens`` to make), and freed memory is
-    given back when the task ends."""
+    worker: Arrow allocates from the system, a tokenizer that this or an earlier
+    task loaded goes (with ``tokens`` it stays for the next task), and freed memory
+    is given back when the task ends."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pa.set_memory_pool(pa.system_memory_pool())
         _few_arenas()
@@ -34,6 +34,8 @@ def lean(task: Callable, tokens: bool = False) -> Callable:
         try:
             yield from task(batches)
         finally:
+            if not tokens and (kept := sys.modules.get("quarry.llm.tokens")) is not None:
+                kept.unload()
             _give_back()
     return run
 

@@ -71,7 +71,7 @@ def cut_pieces(docs: DataFrame, tokenizer: str = TOKENIZER, end_id: int = END_ID
                      list_column(ids.astype(np.int32), length, pa.int32())],
                     ["piece_id", "doc_id", "piece", "start", "length", "ids"])
                 next_id += len(row)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lean(cut, tokens=True), PIECES)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lean(cut), PIECES)
 
 
 def best_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
