@@ -18,7 +18,11 @@ query terms of its documents against broadcast query blocks of a bounded size,
 adds the gains up and keeps a running best k per query, so k rows per query and
 task leave it. Documents without content are not searched.
 
-The stored index keeps postings by term for searches that touch few terms.
+The stored index keeps postings by term, in blocks of documents with the largest
+count and the least length of a block. Both bound what a block's documents can
+gain, so a search scores only the blocks that can still reach a query's best k.
+A tile of blocks is searched by one task and sends k rows per query; no
+(query, document) row is shuffled to be summed.
 """
 
 from __future__ import annotations
@@ -30,14 +34,19 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import (ArrayType, DataType, DoubleType, IntegerType, LongType, StringType, StructField,
+                               StructType)
 
 from quarry.config import Bm25Params
 from quarry.functions.text import WORD_1PLUS, explode_values, word_tokens
 from quarry.operators.dense import QUERY_CHUNK, Best, as_ids, candidate_schema
-from quarry.plans.joins import DEFAULT_BROADCAST_ROWS, is_bounded, salted_hot_join
-from quarry.plans.topk import OUTPUT_PLACES, max_k, ranked, requested_k
+from quarry.plans.joins import DEFAULT_BROADCAST_ROWS, salted_hot_join
+from quarry.plans.topk import (OUTPUT_PLACES, SCORE_PLACES, max_k, ranked, ranking_order, requested_k,
+                               top_k_per_group)
 from quarry.session import shared_dir
 
 # The in-memory store's token: a run of one or more word characters.
@@ -60,56 +69,6 @@ def query_terms(queries: DataFrame, pattern: str = TOKEN) -> DataFrame:
                           keep=["query_id"])
 
 
-def postings(doc_tokens: DataFrame, terms: DataFrame | None = None) -> DataFrame:
-    """(doc_id, doc_len, term, tf); restricted to ``terms`` when given.
-
-    The restriction is a semi join against the distinct query terms, applied
-    to exploded tokens inside the scan stage, before the (doc_id, term)
-    aggregation, so words no query uses are never shuffled."""
-    occ = explode_values(doc_tokens.withColumn("doc_len", F.size("tokens")), "tokens", "term",
-                         keep=["doc_id", "doc_len"])
-    if terms is not None:
-        occ = occ.join(terms, "term", "left_semi")
-    return occ.groupBy("doc_id", "doc_len", "term").agg(F.count(F.lit(1)).alias("tf"))
-
-
-def document_frequency(post: DataFrame) -> DataFrame:
-    """Df per term (rows of ``post`` are distinct per (doc, term))."""
-    return post.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-
-
-def _score(post: DataFrame, df: DataFrame, n_docs, avg_len, qterms: DataFrame,
-           doc_ids: DataFrame, small_queries: bool, params: Bm25Params, k_max: int) -> DataFrame:
-    """Scoring core of the stored-index search.
-
-    post: (doc_id, doc_len, term, tf) restricted to query terms;
-    df: (term, df) for those terms; doc_ids: every document id (for the fill)."""
-    k1, b, delta, tf0 = params.k1, params.b, params.delta, params.absent_tf
-    idf = df.select("term", F.log((n_docs + 1.0) / (F.col("df") + 0.5)).alias("idf"))
-
-    # (query_id, term, idf) for the query terms that occur in the corpus.
-    qidf = qterms.join(idf, "term")
-    baseline = qidf.groupBy("query_id").agg((F.sum("idf") * tf0).alias("baseline"))
-
-    c = F.col("tf") / ((1.0 - b) + b * F.col("doc_len") / avg_len)
-    gain = F.col("idf") * ((1.0 + k1) * (c + delta) / (k1 + c + delta) - tf0)
-    # qidf has one row per (query, term): broadcast when bounded, otherwise a
-    # salted join for the common words.
-    matched = (_join_query_terms(post, qidf, small_queries, df)
-               .select("query_id", "doc_id", gain.alias("gain")))
-
-    # Lowest 2*k_max ids as one bounded array (a scalar subquery, no cross join).
-    fill_ids = (doc_ids.select("doc_id").orderBy("doc_id").limit(2 * max(k_max, 1))
-                .agg(F.collect_list("doc_id")).scalar())
-    fill = baseline.select("query_id", F.explode(fill_ids).alias("doc_id"),
-                           F.lit(0.0).alias("gain"))
-
-    summed = (matched.unionByName(fill)
-              .groupBy("query_id", "doc_id").agg(F.sum("gain").alias("gain")))
-    return (summed.join(baseline, "query_id")
-            .select("query_id", "doc_id", (F.col("baseline") + F.col("gain")).alias("score")))
-
-
 def corpus_counts(documents: DataFrame, terms: DataFrame, pattern: str = TOKEN) -> DataFrame:
     """O28 in one pass: (term, df, tokens) for the given ``terms`` and one row with
     the term "" (no token is empty): the number of documents and of all tokens."""
@@ -206,16 +165,6 @@ def bm25_scores(documents: DataFrame, queries: DataFrame, params: Bm25Params = B
     return out
 
 
-def _join_query_terms(post: DataFrame, qidf: DataFrame, small_queries: bool,
-                      df: DataFrame) -> DataFrame:
-    if small_queries:
-        return post.join(F.broadcast(qidf), "term")
-    # Many queries: a common word is hot on both sides (many postings, many
-    # queries); salt its postings by document and replicate its query rows.
-    return salted_hot_join(post, qidf, "term", salt_from=["doc_id"],
-                           key_counts=df.select("term", F.col("df").alias("n")))
-
-
 def _finish(scores: DataFrame, qk: DataFrame, k_max: int) -> DataFrame:
     out = ranked(scores, qk.select("query_id", "top_k"), k_max)
     return (out.filter(F.col("score") > 0)  # O15
@@ -241,78 +190,236 @@ def bm25_search(documents: DataFrame, queries: DataFrame, params: Bm25Params = B
 # partition pruning on the bounded list of needed buckets).
 # ---------------------------------------------------------------------------
 
-# Postings of a bucket, and of one written file, about.
-BUCKET_POSTINGS = 20_000_000
-FILE_POSTINGS = 2_000_000
+# Text bytes whose postings make one bucket, and documents whose rows of one
+# term make one written file, about.
+BUCKET_BYTES = 128 << 20
+FILE_DOCS = 2_000_000
 LEAST_BUCKETS = 32
+# Documents of a block; blocks of a tile (a power of two).
+BLOCK_DOCS = 128
+TILE_BLOCK_BITS = 8
+# The bucket of the rows with the term "": a block's documents and lengths.
+DOCUMENT_BUCKET = -1
+# Bounds and scores are sums in different orders; ranks are on rounded scores.
+SLACK = 1e-8
 
 
 def _bucket(col: str, buckets: int):
-    return F.pmod(F.xxhash64(F.col(col)), F.lit(buckets)).cast("int")
+    return F.when(F.col(col) == "", DOCUMENT_BUCKET).otherwise(
+        F.pmod(F.xxhash64(F.col(col)), F.lit(buckets))).cast("int")
+
+
+def _index_schema(id_type: DataType) -> StructType:
+    """A row of the postings but for its bucket."""
+    numbers = ArrayType(IntegerType())
+    return StructType([
+        StructField("term", StringType()), StructField("tile", LongType()), StructField("block", LongType()),
+        StructField("n", IntegerType()), StructField("max_tf", IntegerType()), StructField("min_len", IntegerType()),
+        StructField("pos", numbers), StructField("ids", ArrayType(id_type)),
+        StructField("lens", numbers), StructField("tfs", numbers)])
+
+
+def _stored(spark, path: str, id_type: DataType) -> DataFrame:
+    return spark.read.schema(_index_schema(id_type).add("term_bucket", IntegerType())).parquet(f"{path}/postings")
+
+
+def _block_postings(block_docs: int, schema: pa.Schema):
+    """mapInArrow body: (doc_id, tokens) -> one row for each block and term, and one
+    with the term "" (no token is empty) that lists the block's documents."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block = TaskContext.get().partitionId() << 40
+        for batch in batches:
+            for at in range(0, batch.num_rows, block_docs):
+                yield pa.RecordBatch.from_pydict(
+                    _block_rows(batch.slice(at, block_docs), block), schema=schema)
+                block += 1
+    return run
+
+
+def _block_rows(docs: pa.RecordBatch, block: int) -> dict[str, pa.Array]:
+    n, tokens = docs.num_rows, docs.column("tokens")
+    lengths = np.diff(tokens.offsets.to_numpy())
+    coded = tokens.flatten().dictionary_encode()
+    code = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    seen, counts = np.unique(code * n + np.repeat(np.arange(n), lengths), return_counts=True)
+    first = np.flatnonzero(np.diff(seen // n, prepend=-1))
+    pos = np.concatenate([np.arange(n), seen % n])
+    tfs, starts = np.concatenate([np.zeros(n, np.int64), counts]), np.concatenate([[0], n + first])
+    rows, ends = len(starts), np.append(starts, len(pos)).astype(np.int32)
+    terms = pa.concat_arrays([pa.array([""], pa.string()), coded.dictionary.cast(pa.string()).take(
+        pa.array(seen[first] // n))])
+
+    def lists(values) -> pa.Array:
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(values, pa.int32()))
+
+    def whole(values) -> pa.Array:
+        return pa.array(values, pa.int32())
+
+    return {"term": terms, "tile": pa.array(np.full(rows, block >> TILE_BLOCK_BITS)), "block": pa.array(np.full(rows, block)),
+            "n": whole(np.diff(ends)), "max_tf": whole(np.maximum.reduceat(tfs, starts)),
+            "min_len": whole(np.minimum.reduceat(lengths[pos], starts)), "pos": lists(pos),
+            "ids": pa.ListArray.from_arrays(pa.array(ends), docs.column("doc_id").take(pa.array(pos))),
+            "lens": lists(lengths[pos]), "tfs": lists(tfs)}
 
 
 def build_bm25_index(documents: DataFrame, path: str, pattern: str = TOKEN,
-                     buckets: int | None = None) -> None:
-    """Write postings (term_bucket, term, doc_id, doc_len, tf), document
-    frequencies (term_bucket, term, df), document ids and corpus statistics.
-
-    The number of buckets (unless given) and of the tasks that write one term
-    follow the corpus: a term has at most one posting per document."""
-    dtok = tokenize(documents, pattern)
-    n_docs, n_postings = dtok.agg(F.count(F.lit(1)), F.sum(F.size(F.array_distinct("tokens")))).first()
+                     buckets: int | None = None, block_docs: int = BLOCK_DOCS) -> None:
+    """Write postings (term_bucket, term, tile, block, n, max_tf, min_len, pos, ids, lens,
+    tfs: a row is a term in a block of documents), document frequencies (term_bucket,
+    term, df) and corpus statistics. Texts are tokenized once.
+
+    Documents are put into blocks where they lie, by length, so that lengths in a
+    block are alike and the bounds tight. The number of buckets (unless given) and of
+    the tasks that write one term follow the corpus."""
+    spark = documents.sparkSession
+    kept = documents.filter("content IS NOT NULL")
+    n_docs, n_bytes = kept.agg(F.count(F.lit(1)), F.sum(F.octet_length("content"))).first()
     if buckets is None:
-        buckets = max(LEAST_BUCKETS, math.ceil((n_postings or 0) / BUCKET_POSTINGS))
-    splits = max(1, math.ceil(n_docs / FILE_POSTINGS))
-    post = postings(dtok).withColumn("term_bucket", _bucket("term", buckets))
-    # One shuffle at build time: rows of a bucket go to few tasks (few files
-    # per folder), split by a document salt so that a very common word is
-    # written by several tasks; sorted by term so that row-group statistics
-    # narrow the reads further.
-    salt = F.pmod(F.xxhash64("doc_id"), F.lit(splits))
-    (post.repartition("term_bucket", salt).sortWithinPartitions("term", "doc_id")
+        buckets = max(LEAST_BUCKETS, math.ceil((n_bytes or 0) / BUCKET_BYTES))
+    splits = max(1, math.ceil(n_docs / FILE_DOCS))
+    id_type = documents.schema["doc_id"].dataType
+    schema = _index_schema(id_type)
+    blocks = (tokenize(documents, pattern).sortWithinPartitions(F.size("tokens"), "doc_id")
+              .mapInArrow(_block_postings(block_docs, to_arrow_schema(schema)), schema)
+              .withColumn("term_bucket", _bucket("term", buckets)))
+    # One shuffle at build time: rows of a bucket go to few tasks (few files per
+    # folder), split by tile so that a very common word is written by several
+    # tasks; sorted by term so that row-group statistics narrow the reads further.
+    salt = F.pmod(F.xxhash64("tile"), F.lit(splits))
+    (blocks.repartition("term_bucket", salt).sortWithinPartitions("term", "tile", "block")
      .write.mode("overwrite").partitionBy("term_bucket").parquet(f"{path}/postings"))
-    spark = documents.sparkSession
-    stored = spark.read.parquet(f"{path}/postings")
-    (stored.groupBy("term_bucket", "term").agg(F.count(F.lit(1)).alias("df"))
-     .write.mode("overwrite").partitionBy("term_bucket").parquet(f"{path}/df"))
-    # Lengths come from the postings (each carries its document's length);
-    # documents without a token get 0 from a scan of the id column only, so
-    # the texts are tokenized once for the whole build.
-    lens = stored.groupBy("doc_id").agg(F.max("doc_len").alias("doc_len"))
-    (documents.filter("content IS NOT NULL").select("doc_id").join(lens, "doc_id", "left").fillna(0, ["doc_len"])
-     .write.mode("overwrite").parquet(f"{path}/docs"))
-    docs = spark.read.parquet(f"{path}/docs")
-    (docs.agg(F.count(F.lit(1)).alias("n_docs"), F.avg(F.col("doc_len").cast("double")).alias("avg_len"))
+    stored = _stored(spark, path, id_type)
+    (stored.filter(F.col("term_bucket") != DOCUMENT_BUCKET).groupBy("term_bucket", "term")
+     .agg(F.sum("n").alias("df")).write.mode("overwrite").partitionBy("term_bucket").parquet(f"{path}/df"))
+    lengths = F.aggregate("lens", F.lit(0).cast("long"), lambda acc, n: acc + n)
+    (stored.filter(F.col("term_bucket") == DOCUMENT_BUCKET)
+     .agg(F.sum("n").alias("n_docs"), (F.sum(lengths) / F.sum("n")).alias("avg_len"))
      .withColumn("buckets", F.lit(int(buckets))).withColumn("pattern", F.lit(pattern))
+     .withColumn("id_type", F.lit(id_type.simpleString()))
      .write.mode("overwrite").parquet(f"{path}/stats"))
 
 
+def _tf_gain(tf: np.ndarray, length: np.ndarray, avg_len: float, params: Bm25Params) -> np.ndarray:
+    c = tf / ((1.0 - params.b) + params.b * length / avg_len)
+    return (1.0 + params.k1) * (c + params.delta) / (params.k1 + c + params.delta) - params.absent_tf
+
+
+class _Tile:
+    """The postings of one tile's blocks, for any number of queries."""
+
+    def __init__(self, rows: pa.Table, avg_len: float, params: Bm25Params):
+        rows = rows.combine_chunks()
+        self.avg_len, self.params = avg_len, params
+        self.block = rows.column("block").to_numpy()
+        # What a document of the block can gain at most, for an idf of 1.
+        self.most = _tf_gain(rows.column("max_tf").to_numpy(), rows.column("min_len").to_numpy(), avg_len, params)
+        one = {c: rows.column(c).chunk(0) for c in ("pos", "ids", "lens", "tfs")}
+        self.starts = one["pos"].offsets.to_numpy() - one["pos"].offsets[0].as_py()
+        self.pos, self.lens, self.tfs = (one[c].flatten().to_numpy(zero_copy_only=False) for c in ("pos", "lens", "tfs"))
+        self.ids = one["ids"].flatten()
+        self.rows_of: dict[str, list[int]] = {}
+        for i, term in enumerate(rows.column("term").to_pylist()):
+            self.rows_of.setdefault(term, []).append(i)
+        self.scored = self.met = 0
+
+    def _score(self, rows: np.ndarray, idfs: np.ndarray, least: float) -> list[tuple[float, object]]:
+        """(gain, id) of the documents of one block that gain ``least`` or more."""
+        at = np.concatenate([np.arange(self.starts[r], self.starts[r + 1]) for r in rows])
+        gains = np.repeat(idfs, self.starts[rows + 1] - self.starts[rows]) * _tf_gain(
+            self.tfs[at], self.lens[at], self.avg_len, self.params)
+        pos, first, place = np.unique(self.pos[at], return_index=True, return_inverse=True)
+        sums = np.bincount(place, gains, len(pos))
+        good = np.flatnonzero(sums >= least)
+        ids = self.ids.take(pa.array(at[first[good]])).to_pylist()
+        return [(s, d) for s, d in zip(sums[good].tolist(), ids, strict=True) if d is not None]
+
+    def best(self, terms: list[tuple[str, float]], baseline: float, k: int) -> list[tuple[float, object]]:
+        """Best k (score, id) of one query. Blocks are met by falling bound, until
+        none can reach the k-th score."""
+        rows = np.array([r for t, _ in terms for r in self.rows_of.get(t, ())], np.int64)
+        idfs = np.array([idf for t, idf in terms for _ in self.rows_of.get(t, ())])
+        blocks, which = np.unique(self.block[rows], return_inverse=True)
+        bound = np.bincount(which, idfs * self.most[rows], len(blocks))
+        by_block = np.argsort(which, kind="stable")
+        ends = np.cumsum(np.bincount(which, minlength=len(blocks)))
+        found, least = [], -math.inf
+        self.met += len(blocks)
+        for b in np.argsort(-bound, kind="stable").tolist():
+            if bound[b] < least:
+                break
+            part = by_block[ends[b - 1] if b else 0:ends[b]]
+            found += [(baseline + gain, d) for gain, d in self._score(rows[part], idfs[part], least)]
+            found = sorted(found, key=lambda x: (-round(x[0], SCORE_PLACES), x[1]))[:k]
+            self.scored += 1
+            if len(found) == k:
+                least = found[-1][0] - baseline - SLACK
+        return found
+
+
+def _tile_search(avg_len: float, k: int, params: Bm25Params, schema: pa.Schema):
+    """Cogroup body: (postings of a tile, query terms that occur in it) -> best k per query."""
+    def run(rows: pa.Table, terms: pa.Table) -> pa.Table:
+        if not rows.num_rows or not terms.num_rows:
+            return schema.empty_table()
+        tile, queries = _Tile(rows, avg_len, params), {}
+        for q, term, idf, baseline in zip(*(terms.column(c).to_pylist() for c in (
+                "query_id", "term", "idf", "baseline")), strict=True):
+            queries.setdefault(q, (baseline, []))[1].append((term, idf))
+        out = [(q, d, s) for q, (baseline, some) in queries.items() for s, d in tile.best(sorted(some), baseline, k)]
+        return pa.table([pa.array([r[i] for r in out], schema.field(i).type) for i in range(3)], schema=schema)
+    return run
+
+
 def bm25_search_index(spark, path: str, queries: DataFrame, params: Bm25Params = Bm25Params(),
                       top_k_col: str = "top_k",
                       max_broadcast_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
     """O66 over a stored index: same output as ``bm25_search``."""
-    stats = spark.read.parquet(f"{path}/stats")
-    meta = stats.select("buckets", "pattern").first()
-    buckets, pattern = int(meta["buckets"]), meta["pattern"]
-    n_docs = stats.select("n_docs").scalar()
-    avg_len = stats.select("avg_len").scalar()
+    meta = spark.read.parquet(f"{path}/stats").first()
+    buckets, n_docs, avg_len = int(meta["buckets"]), meta["n_docs"], meta["avg_len"]
     qk = queries.select("query_id", "query", requested_k(top_k_col).alias("top_k"))
     k_max = max_k(qk)
-    qterms = query_terms(qk, pattern)
-    small_queries = is_bounded(qterms, max_broadcast_rows)
-    terms = qterms.select("term").distinct().withColumn("term_bucket", _bucket("term", buckets))
+    qterms = query_terms(qk, meta["pattern"]).withColumn("term_bucket", _bucket("term", buckets))
     # The buckets the query terms fall in: at most ``buckets`` integers. As a
     # static partition filter they make each scan list and read only those
     # folders of the index.
-    needed = [r[0] for r in terms.select("term_bucket").distinct().collect()]
-    terms = F.broadcast(terms) if small_queries else terms
-
-    def part(name: str) -> DataFrame:
-        return (spark.read.parquet(f"{path}/{name}").filter(F.col("term_bucket").isin(needed))
+    pairs, needed = qterms.agg(F.count(F.lit(1)), F.collect_set("term_bucket")).first()
+    id_type = StructType.fromDDL(f"id {meta['id_type']}")["id"].dataType
+    stored = _stored(spark, path, id_type)
+    schema = StructType([StructField("query_id", qk.schema["query_id"].dataType),
+                         StructField("doc_id", id_type),
+                         StructField("score", DoubleType())])
+    if not pairs or not avg_len or k_max <= 0:
+        return _finish(spark.createDataFrame([], schema), qk, max(k_max, 1))
+    small = pairs <= max_broadcast_rows
+    terms = qterms.select("term_bucket", "term").distinct()
+    terms = F.broadcast(terms) if small else terms
+
+    def part(table: DataFrame) -> DataFrame:
+        return (table.filter(F.col("term_bucket").isin(needed))
                 .join(terms, ["term_bucket", "term"], "left_semi"))
 
-    post = part("postings").select("doc_id", "doc_len", "term", "tf")
-    df = part("df").select("term", "df")
-    docs = spark.read.parquet(f"{path}/docs")
-    scores = _score(post, df, n_docs, avg_len, qterms, docs, small_queries, params, k_max)
-    return _finish(scores, qk, k_max)
+    idf = part(spark.read.schema("term string, df long, term_bucket int").parquet(f"{path}/df")).select(
+        "term", "df", F.log((F.lit(float(n_docs)) + 1.0) / (F.col("df") + 0.5)).alias("idf"))
+    # (query_id, term, idf, baseline) for the query terms that occur in the corpus.
+    qidf = qterms.select("query_id", "term").join(idf.select("term", "idf"), "term").withColumn(
+        "baseline", F.sum("idf").over(Window.partitionBy("query_id")) * params.absent_tf)
+    # Beyond BLOCK_PAIRS pairs the queries meet a tile in blocks.
+    blocks = math.ceil(pairs / BLOCK_PAIRS)
+    post = part(stored).withColumn("query_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    # Read anew: a cogroup cannot tell two uses of one table apart.
+    tiles = part(_stored(spark, path, id_type)).select("term", "tile").distinct()
+    met = (tiles.join(F.broadcast(qidf), "term") if small else
+           salted_hot_join(tiles, qidf, "term", salt_from=["tile"]))
+    met = met.withColumn("query_block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int"))
+    found = (post.groupBy("tile", "query_block").cogroup(met.groupBy("tile", "query_block"))
+             .applyInArrow(_tile_search(avg_len, k_max, params, to_arrow_schema(schema)), schema))
+    found = top_k_per_group(found, ["query_id"], ranking_order(), k_max).drop("rank")
+    # Documents without a query term score the baseline: the lowest k_max ids as one
+    # bounded array (a scalar subquery, no cross join).
+    fill_ids = (stored.filter(F.col("term_bucket") == DOCUMENT_BUCKET).select(F.explode("ids").alias("doc_id"))
+                .filter("doc_id IS NOT NULL").orderBy("doc_id").limit(k_max).agg(F.collect_list("doc_id")).scalar())
+    fill = qidf.select("query_id", "baseline").distinct().select(
+        "query_id", F.explode(fill_ids).alias("doc_id"), F.col("baseline").alias("score"))
+    # k rows per query of each kind; dealt by query once, for the sum and the ranks.
+    both = found.unionByName(fill).repartition("query_id").groupBy("query_id", "doc_id").agg(F.max("score").alias("score"))
+    return _finish(both, qk, k_max)

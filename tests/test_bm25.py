@@ -93,3 +93,55 @@ def test_stored_index_counts_empty_documents(spark):
     qs = _q(spark, [(1, "robot", 10), (2, "arm", 2)])
     assert sorted(map(tuple, bm25_search_index(spark, path, qs).collect())) == \
         sorted(map(tuple, bm25_search(docs, qs).collect()))
+
+
+def test_index_skips_blocks_and_shuffles_no_pairs(spark):
+    import pyarrow as pa
+
+    from quarry.config import Bm25Params
+    from quarry.operators import bm25
+    from quarry.session import shared_dir
+
+    docs = spark.createDataFrame([(i, " ".join(["the"] * (i % 5 + 1) + [f"w{i % 11}"] * (i % 3) + ["pad"] * (i % 40)))
+                                  for i in range(600)], "doc_id long, content string")
+    path = shared_dir(spark, "test_bm25_blocks")
+    bm25.build_bm25_index(docs, path, buckets=3, block_docs=8)
+    qs = _q(spark, [(1, "the w3", 5), (2, "the", 3), (3, "w7 pad", 10), (4, "zzz", 4), (5, "w1 w2", 300)])
+    out = bm25.bm25_search_index(spark, path, qs)
+    want = sorted(map(tuple, bm25.bm25_search(docs, qs).collect()))
+    assert sorted(map(tuple, out.collect())) == want
+    # More than one block of queries, and no broadcast.
+    before, bm25.BLOCK_PAIRS = bm25.BLOCK_PAIRS, 2
+    try:
+        split = bm25.bm25_search_index(spark, path, qs, max_broadcast_rows=0)
+        assert sorted(map(tuple, split.collect())) == want
+    finally:
+        bm25.BLOCK_PAIRS = before
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert not [x for x in plan.splitlines() if "Exchange" in x and "doc_id" in x]
+    # One tile of all blocks: the best 3 for "the" need few of them.
+    rows = spark.read.parquet(f"{path}/postings").filter("term = 'the'").toArrow()
+    n_docs, avg_len = 600, spark.read.parquet(f"{path}/stats").first()["avg_len"]
+    tile = bm25._Tile(rows, avg_len, Bm25Params())
+    top = tile.best([("the", 1.0)], 0.0, 3)
+    assert tile.met >= n_docs // 8 and tile.scored * 2 < tile.met
+    every = bm25._Tile(rows, avg_len, Bm25Params())
+    assert every.best([("the", 1.0)], 0.0, n_docs)[:3] == top and every.scored == every.met
+    assert isinstance(rows, pa.Table)
+
+
+def test_index_ids_of_text_and_empty_corpus(spark):
+    from quarry.operators.bm25 import bm25_search_index, build_bm25_index
+    from quarry.session import shared_dir
+
+    docs = spark.createDataFrame([("b", "robot arm"), ("a", "robot arm"), ("c", ""), (None, "robot")],
+                                 "doc_id string, content string")
+    qs = _q(spark, [(1, "robot", 10)])
+    path = shared_dir(spark, "test_bm25_text_ids")
+    build_bm25_index(docs, path)
+    got = bm25_search_index(spark, path, qs)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, bm25_search(docs, qs).collect()))
+    assert [r.doc_id for r in got.orderBy("rank").collect()] == ["a", "b", "c"]
+    empty = shared_dir(spark, "test_bm25_empty_corpus")
+    build_bm25_index(docs.limit(0), empty)
+    assert bm25_search_index(spark, empty, qs).count() == 0
