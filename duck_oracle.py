@@ -21,8 +21,7 @@ DIGIT_WORD = r"[\p{L}\p{N}_]*\p{Nd}[\p{L}\p{N}_]*"
 WHITESPACE = r"[\s\x{0b}\x{1c}-\x{1f}\x{85}\p{Z}]+"
 WORD_2PLUS = r"[\p{L}\p{N}_]{2,}"
 BM25_WORD = r"[\p{L}\p{N}_]+"
-HYDE_PROMPT = ("Given a question, generate a paragraph of text that answers the question."
-               "    Question: {question}    Paragraph:")
+HYDE_PROMPT = "Write one paragraph that could stand in a text answering this:    Question: {question}    Paragraph:"
 PROJECTION_SOURCES = ("src1", "src3", "src5", "src7")
 P = SimpleNamespace(
     COMMENT=r"(?s)<!--.*?-->", SCRIPT=r"(?s)<script[^>]*>.*?</script>", STYLE=r"(?s)<style[^>]*>.*?</style>",

@@ -27,8 +27,7 @@ WORD_2PLUS = r"[\p{L}\p{N}_]{2,}"
 # Any run of word characters.
 WORD_1PLUS = r"[\p{L}\p{N}_]+"
 # The hypothetical-document prompt, slot written as {question}.
-HYDE_PROMPT = ("Given a question, generate a paragraph of text that answers the question."
-               "    Question: {question}    Paragraph:")
+HYDE_PROMPT = "Write one paragraph that could stand in a text answering this:    Question: {question}    Paragraph:"
 # ---------------------------------------------------------------------------
 
 
@@ -45,6 +44,11 @@ def _c(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value, use) -> Column:
+    """``use(value)`` with ``value`` computed once per row."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def explode_values(df, col, out: str, keep=(), pos: str | None = None):
     """One row per element of the array ``col`` (no row for an empty array).
 
@@ -129,7 +133,10 @@ def url_second_last_segment(c) -> Column:
     return F.try_element_at(F.split(_c(c), "/"), F.lit(-2))
 
 
-def render_prompt(question) -> Column:
-    """The fixed prompt with the question in its slot."""
-    before, after = HYDE_PROMPT.split("{question}")
+def render_prompt(question, template: str = HYDE_PROMPT) -> Column:
+    """``template`` with the question in its slot {question} (a null question
+    leaves it empty)."""
+    before, slot, after = template.partition("{question}")
+    if not slot:
+        raise ValueError("a prompt template needs the slot {question}")
     return F.concat(F.lit(before), F.coalesce(_c(question), F.lit("")), F.lit(after))

@@ -11,13 +11,13 @@ first href.
 from __future__ import annotations
 
 import html
+from functools import lru_cache
+from html.entities import html5
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
-from quarry.functions.text import explode_values, strip_crlf, url_second_last_segment
+from quarry.functions.text import explode_values, let, strip_crlf, url_second_last_segment
 
 # Extraction patterns.
 COMMENT = r"(?s)<!--.*?-->"
@@ -30,6 +30,8 @@ PARA_REST = r"(?s)</p>.*$"
 TAG = r"<[^>]+>"
 HREF = r'href="([^"]*)"'
 EDGE_SPACE = r"^[\s\x{0b}\x{1c}-\x{1f}\x{85}\p{Z}]+|[\s\x{0b}\x{1c}-\x{1f}\x{85}\p{Z}]+$"
+REFERENCE = r"&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{1,32};?)"
+MAX_CODE_POINT = 0x10FFFF
 ORIGIN = r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)"
 
 
@@ -40,10 +42,48 @@ def clean_html(c) -> Column:
     return h
 
 
-@F.pandas_udf(StringType())
-def unescape(texts: pd.Series) -> pd.Series:
-    """Every named and numeric HTML character reference, once."""
-    return texts.map(html.unescape, na_action="ignore")
+def _numbered(ref: Column) -> Column:
+    """The character of a numeric reference; numbers past any code point count as the first of them."""
+    base16 = F.regexp_extract(ref, "^&#[xX]0*([0-9a-fA-F]+)", 1)
+    base10 = F.regexp_extract(ref, "^&#0*([0-9]+)", 1)
+    number = F.coalesce(F.when(ref.rlike("^&#[xX]"), F.when(F.length(base16) <= 8, F.conv(base16, 16, 10).try_cast("long")))
+                        .otherwise(F.when(F.length(base10) <= 9, base10.try_cast("long"))), F.lit(MAX_CODE_POINT + 1))
+
+    def char(n: Column) -> Column:
+        return (F.when(n < 0xA0, F.get(F.array(*map(F.lit, _low_characters())), n.cast("int")))
+                .when((n > MAX_CODE_POINT) | n.between(0xD800, 0xDFFF), "\ufffd")
+                .when(n.between(0xFDD0, 0xFDEF) | (n.bitwiseAND(0xFFFE) == 0xFFFE), "")
+                .otherwise(F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")))
+    return let(number, char)
+
+
+def _named(ref: Column) -> Column:
+    """The characters of a named reference; without its semicolon, the longest old name it begins with."""
+    name = F.substr(ref, F.lit(2))
+    pairs = "\x02".join(f"{k}\x01{v}" for k, v in html5.items())
+    known = F.str_to_map(F.lit(pairs), F.lit("\x02"), F.lit("\x01"))       # one constant
+    short = "|".join(sorted((k for k in html5 if not k.endswith(";")), key=lambda k: (-len(k), k)))
+    rest = let(F.regexp_extract(ref, f"^&({short})", 1), lambda old: F.when(
+        old != "", F.concat(F.try_element_at(known, old), F.substr(name, F.length(old) + 1))).otherwise(ref))
+    return F.coalesce(F.try_element_at(known, name), rest)
+
+
+@lru_cache(maxsize=1)
+def _low_characters() -> list[str]:
+    """What references to the numbers below 0xA0 mean (controls are read as Windows-1252)."""
+    return [html.unescape(f"&#{n};") for n in range(0xA0)]
+
+
+def unescape(c) -> Column:
+    """Every named and numeric HTML character reference, once, each match on its own."""
+    def decoded(ref: Column) -> Column:
+        return F.when(F.startswith(ref, F.lit("&#")), _numbered(ref)).otherwise(_named(ref))
+
+    def whole(text: Column) -> Column:
+        between, refs = F.split(text, REFERENCE, -1), F.regexp_extract_all(text, F.lit(REFERENCE), F.lit(0))
+        return F.when(~text.contains("&"), text).otherwise(F.array_join(F.zip_with(
+            between, refs, lambda s, r: F.concat(s, F.coalesce(decoded(r), F.lit("")))), ""))
+    return let(F.col(c) if isinstance(c, str) else c, whole)
 
 
 def text_of(c: Column) -> Column:

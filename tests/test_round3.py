@@ -113,3 +113,35 @@ def test_title_judgments(spark):
                                   "query_id long, titles array<string>")
     got = sorted(map(tuple, evaluate.title_judgments(lists, docs).collect()))
     assert got == [(1, "A"), (2, "A"), (2, "B")]
+
+
+def test_character_references_as_the_standard_library(spark):
+    import html
+    import random
+
+    from quarry.sources import pages
+
+    rng = random.Random(5)
+    parts = ["&", "amp", ";", "#", "x", "41", "0", "notin", "not", "gt", "GT", "nbsp;", " ", "&#128;", "&#x80;", "&#0;",
+             "&#xD800;", "&#x110000;", "&#99999999999999999999;", "&#000000000000065;", "&#xFFFE;", "&#x1F600", "&#11;",
+             "&#1", "&#x7f;", "&#13;", "&#xFDD0;", "&copycat", "&NotEqualTilde;", "&nosuch;", "&\U0001F600;", "\r\n", "é", "&lt"]
+    texts = ["", "&", "&&", "&;", "&#;", "&#x;", "no reference", None,
+             *("".join(rng.choices(parts, k=rng.randint(1, 9))) for _ in range(800))]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    out = df.select("i", pages.unescape("t").alias("u"))
+    got = {r.i: r.u for r in out.collect()}
+    for i, t in enumerate(texts):
+        assert got[i] == (None if t is None else html.unescape(t)), t
+    pages_df = spark.createDataFrame([(1, "http://h/", "<article><h1>&eacute;</h1></article>")], "page_id long, url string, html string")
+    plan = pages.extract_pages(pages_df)._jdf.queryExecution().executedPlan().toString()
+    assert "PythonUDF" not in plan and "ArrowEval" not in plan
+
+
+def test_prompt_template_is_a_parameter(spark):
+    from quarry.functions.text import render_prompt
+
+    df = spark.createDataFrame([("Why?",), (None,)], "q string")
+    got = [r.p for r in df.select(render_prompt("q", "Q={question};").alias("p")).collect()]
+    assert got == ["Q=Why?;", "Q=;"]
+    with pytest.raises(ValueError):
+        render_prompt("q", "no slot")
