@@ -7,7 +7,7 @@ being exploded into one row per dimension.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
@@ -17,11 +17,15 @@ from pyspark.sql import functions as F
 from quarry.functions.text import clean_words, explode_values, unigrams
 from quarry.operators.tfidf import idf_of
 from quarry.plans.joins import DEFAULT_BROADCAST_ROWS, skew_join
+from quarry.session import shared_dir
 
 # Bytes of a model (words and vectors) that is broadcast.
 MODEL_BYTES = 256 * 1024 * 1024
 # Bytes of a word with its weight, about.
 WORD_BYTES = 64
+# Bits of the word filter for each word of a larger model, and at most (256 MB).
+FILTER_BITS = 16
+FILTER_MOST_BITS = 1 << 31
 
 
 def vector_mean(df: DataFrame, key: str, vec: str = "vector", weight: str | None = None,
@@ -33,13 +37,44 @@ def vector_mean(df: DataFrame, key: str, vec: str = "vector", weight: str | None
     return rows.groupBy(key).agg(agg.alias("_m")).select(key, vector_to_array("_m", "float64").alias(out))
 
 
-def word_counts(documents: DataFrame, keep: Sequence[str] = (), known: DataFrame | None = None,
-                stop_words=None) -> DataFrame:
+def word_filter(words: DataFrame, n_words: int) -> Callable[[DataFrame], DataFrame]:
+    """A filter of rows (word) by a bitmap over the hashes of a model's words. Every
+    word of the model passes, another one with a chance of about 1 / FILTER_BITS.
+
+    The bitmap is aggregated once, in pieces of 32,768 bits that lie apart; its
+    pieces are broadcast (their bytes are bounded) and the rows stay where they are."""
+    shared_dir(words.sparkSession)
+    bits = min(FILTER_MOST_BITS, max(1, n_words) * FILTER_BITS)
+    place = F.pmod(F.xxhash64("word"), F.lit(bits)) + 1
+    pieces = (words.select(F.bitmap_bucket_number(place).alias("__piece"), F.bitmap_bit_position(place).alias("__bit"))
+              .repartition("__piece").groupBy("__piece").agg(F.bitmap_construct_agg("__bit").alias("__bits"))
+              .checkpoint())
+
+    def passing(rows: DataFrame) -> DataFrame:
+        bit = F.bitmap_bit_position(place)
+        byte = F.conv(F.hex(F.substring("__bits", F.shiftright(bit, 3).cast("int") + 1, 1)), 16, 10).cast("int")
+        return (rows.withColumn("__piece", F.bitmap_bucket_number(place)).join(F.broadcast(pieces), "__piece")
+                .filter(F.getbit(byte, (bit % 8).cast("int")) == 1).drop("__piece", "__bits"))
+    return passing
+
+
+def model_words(word_vectors: DataFrame, n_words: int,
+                max_broadcast_rows: int = DEFAULT_BROADCAST_ROWS) -> Callable[[DataFrame], DataFrame]:
+    """A filter of rows (word) to a model's words (O18): exact while they can be
+    broadcast, else by a bitmap; what passes wrongly meets no vector later."""
+    words = word_vectors.select("word").filter("word IS NOT NULL")
+    if n_words <= max_broadcast_rows:
+        return lambda rows: rows.join(F.broadcast(words), "word", "left_semi")
+    return word_filter(words, n_words)
+
+
+def word_counts(documents: DataFrame, keep: Sequence[str] = (),
+                known: Callable[[DataFrame], DataFrame] | None = None, stop_words=None) -> DataFrame:
     """(doc_id, *keep, word, occ, tf): how often the embedder's own tokenizer
     (O43-O45) and the vectorizer (O46, O48) find a word in a document.
 
-    Both read the text in one row. Words outside ``known`` (word; bounded, else
-    None) are left out inside the scan, before anything is counted or shuffled."""
+    Both read the text in one row. Words that ``known`` filters out go inside the
+    scan, before anything is counted or shuffled."""
     def tagged(words, occ: int, tf: int):
         return F.transform(words, lambda w: F.struct(w.alias("word"), F.lit(occ).alias("occ"), F.lit(tf).alias("tf")))
 
@@ -47,7 +82,7 @@ def word_counts(documents: DataFrame, keep: Sequence[str] = (), known: DataFrame
     found = F.when(F.col("content").isNotNull(), found)
     rows = explode_values(documents, found, "v", keep=["doc_id", *keep]).select("doc_id", *keep, "v.*")
     if known is not None:
-        rows = rows.join(F.broadcast(known), "word", "left_semi")
+        rows = known(rows)
     return rows.groupBy("doc_id", *keep, "word").agg(F.sum("occ").alias("occ"), F.sum("tf").alias("tf"))
 
 
@@ -66,7 +101,8 @@ def _weighted_means(documents: DataFrame, rows: DataFrame, dims: int, key: str =
 
 
 def word_vector_embed(documents: DataFrame, word_vectors: DataFrame, stop_words=None,
-                      corpus: DataFrame | None = None, within: str | None = None) -> DataFrame:
+                      corpus: DataFrame | None = None, within: str | None = None,
+                      max_broadcast_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
     """(doc_id, embedding) = sum(w * v) / sum(w) over word occurrences.
 
     A word counts once per occurrence with its tf-idf weight (S12), and only
@@ -81,7 +117,7 @@ def word_vector_embed(documents: DataFrame, word_vectors: DataFrame, stop_words=
     counts then meet one lookup, which is broadcast when its bytes are bounded."""
     n_words, dims = _model_bounds(word_vectors)
     model = word_vectors.select("word", F.col("vector").cast("array<double>").alias("vector"))
-    known = model.select("word") if n_words <= DEFAULT_BROADCAST_ROWS else None
+    known = model_words(model, n_words, max_broadcast_rows)
     group = [within] if within else []
     counts = word_counts(documents, group, known, stop_words)
     fitted = counts if corpus is None else word_counts(corpus, group, known, stop_words)
@@ -110,7 +146,7 @@ def query_word_vector_embed(queries: DataFrame, word_vectors: DataFrame, stop_wo
     n_words, dims = _model_bounds(word_vectors)
     docs = queries.select(F.col("query_id").alias("doc_id"), F.col("query").alias("content"))
     model = word_vectors.select("word", F.col("vector").cast("array<double>").alias("vector"))
-    known = model.select("word") if n_words <= DEFAULT_BROADCAST_ROWS else None
+    known = model_words(model, n_words)
     usable = word_counts(docs, known=known, stop_words=stop_words).filter("occ > 0 AND tf > 0")
     if n_words * (dims * 8 + WORD_BYTES) <= MODEL_BYTES:
         rows = usable.join(F.broadcast(model), "word")

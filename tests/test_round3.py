@@ -145,3 +145,17 @@ def test_prompt_template_is_a_parameter(spark):
     assert got == ["Q=Why?;", "Q=;"]
     with pytest.raises(ValueError):
         render_prompt("q", "no slot")
+
+
+def test_word_filter_of_a_large_model(spark):
+    words = spark.range(20_000).select(F.concat(F.lit("m"), F.col("id").cast("string")).alias("word"))
+    passing = vectors.word_filter(words, 20_000)
+    assert passing(words).distinct().count() == 20_000
+    others = spark.range(20_000).select(F.concat(F.lit("o"), F.col("id").cast("string")).alias("word"))
+    assert passing(others).count() < 20_000 / 10
+    model = spark.createDataFrame([(f"w{chr(97 + i)}", [float(i), 1.0]) for i in range(0, 20, 2)], "word string, vector array<double>")
+    docs = spark.createDataFrame([(d, " ".join(f"w{chr(97 + (d * 7 + j) % 20)}" for j in range(9))) for d in range(12)],
+                                 "doc_id long, content string")
+    both = [sorted((r.doc_id, [round(x, 9) for x in r.embedding]) for r in vectors.word_vector_embed(
+        docs, model, stop_words=[], max_broadcast_rows=most).collect()) for most in (100, 0)]
+    assert both[0] == both[1] and len(both[0]) == 12 and any(any(v) for _, v in both[0])
