@@ -9,7 +9,9 @@ largest).
 
 A group larger than an equal share of the rest cannot be split, so it leaves
 the order and takes a shard of its own. There are fewer such groups than
-shards; they are found among the few hash cells heavy enough to hold one.
+shards; they are found among the few hash cells heavy enough to hold one. A
+group of very many rows, however few its bytes (null and empty texts), is set
+apart too, as a unit of the order.
 
 The order is summed on a fixed grid of hash cells, so the driver handles a
 bounded table whatever the corpus. Groups that share a cell travel together:
@@ -114,6 +116,18 @@ def assign_units(units: list[tuple], shards: int) -> dict[tuple, int]:
     return out | {u[:2]: alone + int(s) for u, s in zip(rest, placed, strict=True)}
 
 
+def heavy_groups(rows: DataFrame, cells: dict[int, tuple[int, int]], shards: int) -> list:
+    """(cell, h, bytes) of the groups with over a quarter of a fair share of all
+    bytes or of all rows: at most 8 * shards of them."""
+    least = [sum(v) / (4 * shards) for v in zip(*cells.values(), strict=True)]
+    wide = [c for c, v in cells.items() if v[0] > least[0] or v[1] > least[1]]
+    if not wide:
+        return []
+    return rows.filter(F.col("cell").isin(wide)).groupBy("cell", "h").agg(
+        F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("n")).filter(
+        (F.col("bytes") > least[0]) | (F.col("n") > least[1])).collect()
+
+
 def shard_documents(docs: DataFrame, shards: int = SHARDS, cell_bits: int = CELL_BITS) -> DataFrame:
     """``docs`` (doc_id, text) -> doc_id, size, text_crc32, shard, slot."""
     spark = docs.sparkSession
@@ -125,12 +139,7 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, cell_bits: int = CELL
     # At most 2**cell_bits rows reach the driver.
     cells = {r["cell"]: (r["bytes"], r["n"]) for r in rows.groupBy("cell").agg(
         F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("n")).collect()}
-    total = sum(b for b, _ in cells.values())
-    # Groups over a quarter of a fair share: at most 4 * shards of them.
-    least = total / (4 * shards)
-    wide = [c for c, (b, _) in cells.items() if b > least]
-    heavy = [] if not wide else rows.filter(F.col("cell").isin(wide)).groupBy("cell", "h").agg(
-        F.sum("size").alias("bytes")).filter(F.col("bytes") > least).collect()
+    heavy = heavy_groups(rows, cells, shards)
     keys = sorted(r["h"] for r in heavy)
     salt = F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")
     rows = rows.withColumn("heavy", F.when(F.col("h").isin(keys), F.col("h"))).withColumn(
@@ -160,7 +169,7 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, cell_bits: int = CELL
     units_df = spark.createDataFrame(pa.table(
         {n: pa.array(list(v), t) for n, v, t in zip(names, columns, types, strict=True)}))
     place = Window.partitionBy("cell", "heavy", "salt").orderBy("doc_id", "h", "size")
-    # The unit table is bounded by the cells and 4 * shards * SALTS sub-units.
+    # The unit table is bounded by the cells and 8 * shards * SALTS sub-units.
     u = F.broadcast(units_df)
     ranked = rows.withColumn("__rank", F.row_number().over(place))
     return ranked.join(u, (ranked["cell"] == u["cell"]) & ranked["heavy"].eqNullSafe(u["heavy"])

@@ -6,6 +6,7 @@ import zlib
 import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from quarry.llm import sharding as S
 
@@ -56,3 +57,17 @@ def test_few_and_no_rows(spark):
     df = spark.createDataFrame([(1, "a"), (2, "b")], "doc_id long, text string")
     _laws(S.shard_documents(df, 40), [(1, "a"), (2, "b")], 40)
     assert S.shard_documents(df.limit(0)).count() == 0
+
+
+def test_group_of_many_small_rows_is_set_apart(spark):
+    rows = [(i, None if i % 2 else "") for i in range(300)] + [(1000 + i, f"text {i} " * 40) for i in range(600)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = _laws(S.shard_documents(df.repartition(5), 8), rows, 8)
+    load = {}
+    for r in got:
+        load[r["shard"]] = load.get(r["shard"], 0) + r["size"]
+    assert len(load) == 8 and max(load.values()) < 1.1 * min(load.values())
+    hashed = df.select("doc_id", F.lit(16).alias("size"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"))
+    hashed = hashed.withColumn("cell", F.shiftrightunsigned("h", 64 - S.CELL_BITS).cast("int"))
+    cells = {r["cell"]: (1, r["n"]) for r in hashed.groupBy("cell").agg(F.count("*").alias("n")).collect()}
+    assert [(r["n"]) for r in S.heavy_groups(hashed, cells, 8)] == [300]
