@@ -71,3 +71,18 @@ def test_group_of_many_small_rows_is_set_apart(spark):
     hashed = hashed.withColumn("cell", F.shiftrightunsigned("h", 64 - S.CELL_BITS).cast("int"))
     cells = {r["cell"]: (1, r["n"]) for r in hashed.groupBy("cell").agg(F.count("*").alias("n")).collect()}
     assert [(r["n"]) for r in S.heavy_groups(hashed, cells, 8)] == [300]
+
+
+def test_capacity_is_that_of_groups_where_cells_collide(spark):
+    for seed, bits in [(1, 2), (2, 3), (3, 18)]:
+        rows = [(i, f"{seed} {i} " + "x" * (i * 37 % 211)) for i in range(400)] + [(900 + i, f"{seed} {i % 9} twice") for i in range(27)]
+        df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+        got = _laws(S.shard_documents(df, 7, bits), rows, 7)
+        load, shard = {}, {r["doc_id"]: r["shard"] for r in got}
+        for r in got:
+            load[r["shard"]] = load.get(r["shard"], 0) + r["size"]
+        groups = (df.withColumn("h", F.xxhash64("text")).groupBy("h").agg(
+            F.sum(F.octet_length("text") + 16).alias("bytes"), F.first("doc_id").alias("doc_id")).collect())
+        groups.sort(key=lambda r: r["h"] % (1 << 64))
+        assert max(load.values()) == S.smallest_capacity(np.array([r["bytes"] for r in groups]), 7)
+        assert [shard[r["doc_id"]] for r in groups] == sorted(shard[r["doc_id"]] for r in groups)
