@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import math
 
-from quarry.llm import secrets as S
-
 _WORDS = r"""list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
     'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '')"""
 
@@ -55,13 +53,24 @@ def _blanked(name: str, source: str, column: str, pattern: str) -> str:
   FROM (SELECT doc_id, {column}, regexp_extract_all({column}, {p}) AS f, regexp_split_to_array({column}, {p}) AS parts FROM {source}))"""
 
 
+# The three patterns of the contract.
+ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
+ACCESS = "AKIA[A-Z0-9]{16,}"
+HEX = "[0-9a-f]{24,}"
+RUN = "[A-Za-z0-9+/_=-]{20,}"
+BITS = {"entropy_hex": 3.0, "entropy_letters": 4.1, "entropy_mixed": 3.8}
+UUID = "[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}"
+PATH = "/?[A-Za-z]+/([A-Za-z]+/)+[A-Za-z]*"
+HARMLESS = ("example", "sample", "placeholder", "changeme", "yourkey", "your-key", "your_key", "yourtoken", "your-token",
+            "your_token", "abcdefgh", "ghijklmn", "12345678", "qwertyui")
+
+
 def secret_scan() -> str:
-    allowed = " OR ".join(f"regexp_matches(m, {_lit(p)})" for p in S.ALLOW if "\\1" not in p)
-    # RE2 has no back reference: six equal characters in a row, spelt out.
-    runs = "len(list_filter(generate_series(1, length(m) - 5), lambda i: m[i:i + 5] = repeat(m[i], 6))) > 0"
-    limits = " ".join(f"WHEN '{k}' THEN {int(S.WINDOW * (math.log2(S.WINDOW) - bits) * 2 ** 30)}"
-                      for k, bits in S.THRESHOLDS.items())
-    order = "list_position([" + ", ".join(f"'{k}'" for k in S.KINDS) + "], kind)"
+    words = " OR ".join(f"contains(lower(hot), {_lit(w)})" for w in HARMLESS)
+    # Six equal characters in a row.
+    runs = "len(list_filter(generate_series(1, length(hot) - 5), lambda j: hot[j:j + 5] = repeat(hot[j], 6))) > 0"
+    limits = " ".join(f"WHEN '{k}' THEN {int(20 * (math.log2(20) - bits) * 2 ** 30)}" for k, bits in BITS.items())
+    order = "list_position(['assign', 'access', 'hex', 'entropy_hex', 'entropy_letters', 'entropy_mixed'], kind)"
     steps = f"CAST(round(count(*) * log2(count(*)) * {2 ** 30}) AS BIGINT)"
 
     def digest(where: str) -> str:
@@ -70,34 +79,37 @@ def secret_scan() -> str:
     base = "kind IN ('assign', 'access', 'hex')"
     return f"""
 WITH docs AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
-{_places('pa', 'docs', 'text', S.ASSIGN)},
-{_places('pk', 'docs', 'text', S.ACCESS)},
-{_places('ph', 'docs', 'text', S.HEX)},
-{_blanked('r1', 'docs', 'text', S.ASSIGN)},
-{_blanked('r2', 'r1', 'rest', S.ACCESS)},
-{_blanked('r3', 'r2', 'rest', S.HEX)},
-{_places('pc', 'r3', 'rest', S.CANDIDATE)},
+{_places('pa', 'docs', 'text', ASSIGN)},
+{_places('pk', 'docs', 'text', ACCESS)},
+{_places('ph', 'docs', 'text', HEX)},
+{_blanked('r1', 'docs', 'text', ASSIGN)},
+{_blanked('r2', 'r1', 'rest', ACCESS)},
+{_blanked('r3', 'r2', 'rest', HEX)},
+{_places('pc', 'r3', 'rest', RUN)},
 judged AS (
   SELECT *, CASE WHEN regexp_full_match(m, '[0-9]+') THEN NULL
     WHEN regexp_full_match(m, '[0-9a-f]+|[0-9A-F]+') THEN 'entropy_hex'
     WHEN regexp_full_match(m, '[A-Za-z]+') THEN 'entropy_letters' ELSE 'entropy_mixed' END AS kind
-  FROM pc WHERE NOT ({allowed} OR {runs})
+  FROM pc WHERE NOT regexp_full_match(m, '{UUID}|{PATH}')
 ),
 windows AS (
-  SELECT doc_id, i, kind, start, w, unnest(string_split(m[w:w + {S.WINDOW - 1}], '')) AS c
-  FROM (SELECT *, unnest(generate_series(1, length(m) - {S.WINDOW - 1})) AS w FROM judged WHERE kind IS NOT NULL)
+  SELECT doc_id, i, kind, start, w, unnest(string_split(m[w:w + 19], '')) AS c
+  FROM (SELECT *, unnest(generate_series(1, length(m) - 19)) AS w FROM judged WHERE kind IS NOT NULL)
 ),
 summed AS (
   SELECT doc_id, i, kind, start, w, sum(x) AS s
   FROM (SELECT doc_id, i, kind, start, w, {steps} AS x FROM windows GROUP BY doc_id, i, kind, start, w, c) GROUP BY ALL
 ),
+stretch AS (
+  SELECT doc_id, i, kind, min(w) AS a, max(w) + 19 AS b FROM summed WHERE s <= CASE kind {limits} END GROUP BY doc_id, i, kind
+),
 hot AS (
-  SELECT doc_id, kind, start + min(w) - 1 AS start, start + max(w) + {S.WINDOW - 1} AS stop
-  FROM summed WHERE s <= CASE kind {limits} END GROUP BY doc_id, i, kind, summed.start
+  SELECT doc_id, kind, start + a - 1 AS start, start + b AS stop
+  FROM (SELECT s.*, judged.start, m[a:b] AS hot FROM stretch s JOIN judged USING (doc_id, i)) WHERE NOT ({words} OR {runs})
 ),
 spans AS (
   SELECT doc_id, 'assign' AS kind, start, stop FROM pa
-  WHERE length(regexp_extract(m, {_lit(S.ASSIGN)}, 1)) >= {S.ASSIGN_LEAST}
+  WHERE length(regexp_extract(m, {_lit(ASSIGN)}, 1)) >= 6
   UNION ALL SELECT doc_id, 'access', start, stop FROM pk
   UNION ALL SELECT doc_id, 'hex', start, stop FROM ph
   UNION ALL SELECT doc_id, kind, start, stop FROM hot

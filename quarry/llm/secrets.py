@@ -43,13 +43,18 @@ CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
 WINDOW = 20
 #: Bits per character that a window must reach, by character class.
 THRESHOLDS = {"entropy_hex": 3.0, "entropy_letters": 4.1, "entropy_mixed": 3.8}
-#: Candidates that look random but are not secrets.
-ALLOW = (
+#: The characters of a candidate, each with a place for its count.
+ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
+#: Whole candidates that look random but are not secrets.
+SHAPES = (
     r"^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$",  # UUID
+    r"^/?([A-Za-z]+/){2,}[A-Za-z]*$",  # path
+)
+#: What no span of a secret holds.
+ALLOW = (
     r"(?i)example|sample|placeholder|changeme|your[-_]?(key|token)",
     r"(?i)abcdefgh|ghijklmn|12345678|qwertyui",
     r"(.)\1{5}",
-    r"^/?([A-Za-z]+/){2,}[A-Za-z]*$",  # path
 )
 #: What Java matches instead: its engine recurses once per turn of a repeated
 #: group, so a long path would end the stack. Possessive turns are a plain loop
@@ -86,33 +91,38 @@ def _blanker(has: Column, pattern: str) -> Callable[[Column], Column]:
     return lambda text: F.when(has, _masked(text, pattern)).otherwise(text)
 
 
-def _hot_windows(chars: Column, most: Column, window: int) -> Column:
+def _hot_windows(candidate: Column, most: Column, window: int) -> Column:
     """struct<first, last>: the stretch (from 0, end exclusive) from the first to
-    the last window whose S is at most ``most``; null without one."""
+    the last window (of up to 200 characters) whose S is at most ``most``; null without one."""
     table = F.array(*[F.lit(round(n * math.log2(n) * _STEP) if n else 0).cast("bigint") for n in range(window + 2)])
+    zero = ord("0")
 
     def gain(n: Column) -> Column:  # S for a count from n to n + 1
         return F.get(table, n + 1) - F.get(table, n)
 
-    def same(q: Column, start: Column, size: Column) -> Column:
-        return F.size(F.filter(F.slice(chars, start, size), lambda c: c == F.get(chars, q - 1)))
+    def state(s: Column, counts: Column, first: Column, last: Column) -> Column:
+        return F.struct(s.alias("s"), counts.alias("counts"), first.alias("first"), last.alias("last"))
 
-    start = F.struct(F.lit(0).cast("bigint").alias("s"), F.lit(None).cast("int").alias("first"),
-                     F.lit(None).cast("int").alias("last"))
+    def moved(acc: Column, place: Column, by: int) -> Column:
+        """``acc`` once the character with this place in the alphabet entered (1) or left (-1)."""
+        count = F.ascii(F.substring(acc["counts"], place, F.lit(1))) - zero
+        return let(count, lambda n: state(
+            acc["s"] + (gain(n) if by > 0 else -gain(n - 1)),
+            F.overlay(acc["counts"], F.char(n + (zero + by)), place, F.lit(1)), acc["first"], acc["last"]))
 
-    def step(acc: Column, q: Column) -> Column:
-        # Character q - window leaves the window [q - window, q - 1], then q enters.
-        leaves = F.when(q > window, gain(same(q - window, q - window + 1, F.lit(window - 1)))).otherwise(0)
-        enters = gain(same(q, F.greatest(q - window + 1, F.lit(1)), F.least(q - 1, F.lit(window - 1))))
-        moved = F.struct((acc["s"] - leaves + enters).alias("s"), acc["first"].alias("first"),
-                         acc["last"].alias("last"))
-        return let(moved, lambda a: F.when(
-            (q >= window) & (a["s"] <= most),
-            F.struct(a["s"].alias("s"), F.coalesce(a["first"], q - window).alias("first"), q.alias("last")),
-        ).otherwise(a))
+    def scan(places: Column) -> Column:
+        def step(acc: Column, q: Column) -> Column:
+            # Character q - window leaves the window [q - window, q - 1], then q enters.
+            less = F.when(q > window, moved(acc, F.get(places, q - window - 1), -1)).otherwise(acc)
+            return let(let(less, lambda a: moved(a, F.get(places, q - 1), 1)), lambda a: F.when(
+                (q >= window) & (a["s"] <= most),
+                state(a["s"], a["counts"], F.coalesce(a["first"], q - window), q)).otherwise(a))
 
-    return F.aggregate(F.sequence(F.lit(1), F.size(chars)), start, step,
-                       lambda a: F.when(a["first"].isNotNull(), F.struct(a["first"], a["last"])))
+        start = state(F.lit(0).cast("bigint"), F.lit("0" * len(ALPHABET)), F.lit(None).cast("int"), F.lit(None).cast("int"))
+        return F.aggregate(F.sequence(F.lit(1), F.size(places)), start, step,
+                           lambda a: F.when(a["first"].isNotNull(), F.struct(a["first"], a["last"])))
+
+    return let(F.transform(F.split(candidate, ""), lambda c: F.instr(F.lit(ALPHABET), c)), scan)
 
 
 def _entropy_kind(candidate: Column) -> Column:
@@ -142,8 +152,15 @@ def _written(spans: Column) -> Column:
         ":", F.get(names, s["rank"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
+def _any(text: Column, patterns: tuple[str, ...]) -> Column:
+    out = F.lit(False)
+    for pattern in patterns:
+        out |= text.rlike(FLAT.get(pattern, pattern))
+    return out
+
+
 def scan_secrets(docs: DataFrame, window: int = WINDOW, allow: tuple[str, ...] = ALLOW,
-                 allow_strings: tuple[str, ...] = ()) -> DataFrame:
+                 shapes: tuple[str, ...] = SHAPES, allow_strings: tuple[str, ...] = ()) -> DataFrame:
     """``docs`` (doc_id, text) -> doc_id, base, extra: arrays of spans
     struct<start, rank, end>, ``rank`` numbering ``KINDS``, ``end`` exclusive,
     both in code points."""
@@ -168,17 +185,16 @@ def scan_secrets(docs: DataFrame, window: int = WINDOW, allow: tuple[str, ...] =
     based = based.select("doc_id", "base", "__rest", _matches(F.col("__rest"), CANDIDATE).alias("__found"))
 
     def judged(span: Column, candidate: Column) -> Column:
-        allowed = candidate.isin(*allow_strings) if allow_strings else F.lit(False)
-        for pattern in allow:
-            allowed |= candidate.rlike(FLAT.get(pattern, pattern))
+        known = candidate.isin(*allow_strings) if allow_strings else F.lit(False)
+
         def hot(kind: Column) -> Column:
             rank = F.array_position(F.array(*map(F.lit, KINDS)), kind).cast("int") - 1
-            windows = let(F.split(candidate, ""), lambda chars: let(
-                _most(kind, window), lambda most: _hot_windows(chars, most, window)))
-            return F.when(kind.isNotNull(), let(windows, lambda h: F.when(h.isNotNull(), F.struct(
-                (span["start"] + h["first"]).alias("start"), rank.alias("rank"),
-                (span["start"] + h["last"]).alias("end")))))
-        return F.when(~allowed, let(_entropy_kind(candidate), hot))
+            windows = let(_most(kind, window), lambda most: _hot_windows(candidate, most, window))
+            return F.when(kind.isNotNull(), let(windows, lambda h: F.when(
+                h.isNotNull() & ~_any(F.substring(candidate, h["first"] + 1, h["last"] - h["first"]), allow), F.struct(
+                    (span["start"] + h["first"]).alias("start"), rank.alias("rank"),
+                    (span["start"] + h["last"]).alias("end")))))
+        return F.when(~(known | _any(candidate, shapes)), let(_entropy_kind(candidate), hot))
 
     spans = F.zip_with(_spans(F.col("__rest"), CANDIDATE, F.col("__found")), F.col("__found"), judged)
     extra = F.when(F.size("__found") > 0, F.filter(spans, lambda s: s.isNotNull())).otherwise(none)

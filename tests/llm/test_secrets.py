@@ -32,7 +32,7 @@ def entropy_spans(text):
     out = []
     for m in re.finditer(S.CANDIDATE, "".join(rest)):
         c = m.group()
-        if re.fullmatch("[0-9]+", c) or any(re.search(p, c) for p in S.ALLOW):
+        if re.fullmatch("[0-9]+", c) or any(re.search(p, c) for p in S.SHAPES):
             continue
         kind = ("entropy_hex" if re.fullmatch("[0-9a-f]+|[0-9A-F]+", c)
                 else "entropy_letters" if re.fullmatch("[A-Za-z]+", c) else "entropy_mixed")
@@ -42,7 +42,7 @@ def entropy_spans(text):
             h = -sum(x / S.WINDOW * math.log2(x / S.WINDOW) for x in n)
             if h >= S.THRESHOLDS[kind] - 1e-7:
                 hot.append(i)
-        if hot:
+        if hot and not any(re.search(p, c[hot[0]:hot[-1] + S.WINDOW]) for p in S.ALLOW):
             out.append((m.start() + hot[0], S.KINDS.index(kind), m.start() + hot[-1] + S.WINDOW))
     return out
 
@@ -62,6 +62,7 @@ def texts():
            "f" * 24 + "g" + "0" * 23, "token=" + "a1b2c3d4" * 4, "tokeN:  \"" + "ab" * 20 + "\" " + "cd" * 12,
            "123e4567-e89b-12d3-a456-426614174000", "ABCDEFABCDEF0123456789AB"[::-1] + " 0123456789" * 3,
            "Xexample" + rand(30), "a" * 5000, "path/to/some/long/directory", "9" * 40,
+           "a" * 30 + rand(40), rand(40) + "a" * 40 + "sample" + "a" * 20, "sample" + "0" * 20 + rand(30), rand(25) + "sample" + rand(25),
            "é" * 30 + rand(60) + "ñ" + rand(25) + "\n" + rand(19)]
     for _ in range(60):
         parts = [rand(rng.randint(1, 70), rng.choice([b64, "0123456789abcdef", "0123456789ABCDEF", "abcdefg"]))
@@ -92,6 +93,15 @@ def test_allowed_strings_and_empty_table(spark):
     assert S.scan_secrets(df.limit(0)).count() == 0
 
 
+def test_allowed_word_beside_a_key_does_not_hide_it(spark):
+    key = "q9Zr7LmX2vTb8KpW4sYdH1cF"
+    texts = [key, f"sample{'a' * 20}{key}", f"{key}{'=' * 30}example", f"{key[:12]}sample{key[12:]}"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = [[t[s["start"]:s["end"]] for s in r["extra"]] for t, r in zip(texts, S.scan_secrets(df).orderBy("doc_id").collect())]
+    assert got[0] == [key] and got[3] == []
+    assert [len(x) for x in got[1:3]] == [1, 1] and "sample" not in got[1][0] and "example" not in got[2][0]
+
+
 def test_paths_of_many_segments(spark):
     texts = ["a/" * 50_000, "/" + "Ab/" * 20_000 + "c", "a/" * 9 + "/" + "a/" * 20_000, "a/" * 20_000 + "1",
              "abcdefghijklmnopqrst/", "/abcdefghijklmnopqrst/", "/a/bcdefghijklmnopqrstu", "a/b/cdefghijklmnopqrstu",
@@ -99,7 +109,7 @@ def test_paths_of_many_segments(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r[0]: r[1] for r in S.scan_secrets(df).select("doc_id", S._written(S.F.concat("base", "extra"))).collect()}
     assert got == {i: expected(t)[1] for i, t in enumerate(texts)}
-    assert [i for i, spans in got.items() if spans] == [10, 12] and all(p in S.ALLOW for p in S.FLAT)
+    assert [i for i, spans in got.items() if spans] == [10, 12] and all(p in S.SHAPES for p in S.FLAT)
 
 
 def test_no_shuffle_no_python(spark):
