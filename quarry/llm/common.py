@@ -103,13 +103,22 @@ def list_column(flat: np.ndarray, counts: np.ndarray, kind: pa.DataType) -> pa.L
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, type=kind))
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, or with underscores before it a name that no column of ``df`` has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def join_null_safe(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
     """Equi-join on ``on`` in which NULL keys meet; keeps the left keys."""
-    other = right.withColumnsRenamed({c: f"__{c}" for c in on})
+    names = {c: unused(left, f"__{c}") for c in on}
+    other = right.withColumnsRenamed(names)
     cond = F.lit(True)
-    for c in on:
-        cond &= F.col(c).eqNullSafe(F.col(f"__{c}"))
-    return left.join(other, cond, how).drop(*[f"__{c}" for c in on])
+    for c, name in names.items():
+        cond &= F.col(c).eqNullSafe(F.col(name))
+    return left.join(other, cond, how).drop(*names.values())
 
 
 def let(value: Column, use: Callable[[Column], Column]) -> Column:

@@ -26,7 +26,8 @@ Defined cases: null texts are empty and are judged by the other evidence; null
 evidence is the value "" (its own category); ties go to the first class in
 alphabetical order, languages before ``UNKNOWN``; without labelled rows nothing
 is rejected and the language is null; each input row gives one row; extra
-columns of the input are kept.
+columns of the input are kept, whatever their names, but for ``language``,
+``posterior`` and ``kept``, which the result replaces.
 """
 
 from __future__ import annotations
@@ -38,8 +39,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from quarry.llm.common import join_null_safe, lean, let, pinned, read_table, small_side, text_slices
+from quarry.llm.common import join_null_safe, lean, let, pinned, read_table, small_side, text_slices, unused
 
 UNKNOWN = "und"
 #: Rows of each label that the trigram counts are taken from: all of them, or
@@ -183,13 +185,15 @@ def identify(rows: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame:
     plus language, posterior and kept."""
     classes, table = model
     n = len(classes)
-    names = [c for c in rows.columns if c != "text"]
+    names = [c for c in rows.columns if c not in ("text", "language", "posterior", "kept")]
     if not classes:
         return rows.select(*names).withColumns({
             "language": F.lit(None).cast("string"), "posterior": F.lit(None).cast("double"), "kept": F.lit(True)})
+    # The input's columns travel in one struct, so none meets a column made here.
     rows = rows.withColumns({c: F.coalesce(F.col(c), F.lit("")) for c in EVIDENCE})
-    schema = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in names) + ", ll array<double>"
-    scored = rows.select(*names, "text").mapInArrow(lean(_scorer(rows.sparkSession.sparkContext.broadcast(table))), schema)
+    rows = rows.select(F.struct(*names).alias("given"), *EVIDENCE, "text")
+    schema = T.StructType([f for f in rows.schema if f.name != "text"]).add("ll", T.ArrayType(T.DoubleType()))
+    scored = rows.mapInArrow(lean(_scorer(rows.sparkSession.sparkContext.broadcast(table))), schema)
     scored = pinned(scored.withColumn("p", _softmax(F.col("ll"))), "language_text")
     priors = pinned(host_priors(scored, n), "host_priors")
     out = scored.join(small_side(priors, BROADCAST_ROWS), ["suffix", "domain", "host"])
@@ -201,7 +205,7 @@ def identify(rows: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame:
                                      prior.alias("h")), lambda z: z["t"] + z["d"] + z["a"] + F.log(z["h"]))
     out = out.withColumn("p", _softmax(parts))
     best = F.array_position("p", F.array_max("p"))
-    return out.select(*names, F.element_at(F.array(*map(F.lit, classes)), best.cast("int")).alias("language"),
+    return out.select("given.*", F.element_at(F.array(*map(F.lit, classes)), best.cast("int")).alias("language"),
                       F.array_max("p").alias("posterior"), (best < n).alias("kept"))
 
 
@@ -225,22 +229,27 @@ def page_evidence(pages: DataFrame) -> DataFrame:
         F.when(path != "", F.concat(F.lit("/"), path)).otherwise(F.concat(F.lit("."), suffix)).alias("address"))
 
 
+def _row_hash() -> Column:
+    """Hash of all that decides on a document; a null is unlike any value."""
+    return F.xxhash64(*[F.coalesce(c, F.lit("\0")) for c in ("text", "lang", "source")])
+
+
 def document_evidence(docs: DataFrame) -> DataFrame:
     """``docs`` (doc_id, text, lang, source) as rows to identify: the source is the
     host, its letters the domain, the label the declared language."""
     source = F.coalesce("source", F.lit(""))
     return docs.select(
-        "doc_id", F.xxhash64("text").alias("text_hash"), "text", declared_code(F.col("lang")).alias("declared"),
+        "doc_id", _row_hash().alias("row_hash"), "text", declared_code(F.col("lang")).alias("declared"),
         source.alias("host"), F.regexp_replace(source, r"[0-9]+$", "").alias("domain"), F.lit("").alias("suffix"),
         F.lit("").alias("address"))
 
 
 def keep_identified(docs: DataFrame) -> DataFrame:
     """``docs`` without the rows whose language is unknown; all columns kept."""
-    judged = identify(document_evidence(docs), train(docs))
-    gone = pinned(judged.filter("NOT kept").select("doc_id", F.col("text_hash").alias("__h")).distinct(), "rejected")
-    keyed = docs.withColumn("__h", F.xxhash64("text"))
-    return join_null_safe(keyed, small_side(gone, BROADCAST_ROWS), ["doc_id", "__h"], "left_anti").drop("__h")
+    judged, key = identify(document_evidence(docs), train(docs)), unused(docs, "__row_hash")
+    gone = pinned(judged.filter("NOT kept").select("doc_id", F.col("row_hash").alias(key)).distinct(), "rejected")
+    keyed = docs.withColumn(key, _row_hash())
+    return join_null_safe(keyed, small_side(gone, BROADCAST_ROWS), ["doc_id", key], "left_anti").drop(key)
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import join_null_safe, let, pinned, read_table, small_side
+from quarry.llm.common import join_null_safe, let, pinned, read_table, small_side, unused
 
 WINDOW = 2
 MEAN_LINES = 3
@@ -96,27 +96,29 @@ def repeated_chunks(docs: DataFrame) -> DataFrame:
     return later.select("doc_id", "text_hash", "first", "n")
 
 
-def remove_repeated(docs: DataFrame) -> DataFrame:
-    """``docs`` with repeated chunks taken out of ``text``; two columns are added,
-    ``__lines`` and ``__removed``: the lines it had and how many went."""
+def remove_repeated(docs: DataFrame, lines: str = "__lines", removed: str = "__removed") -> DataFrame:
+    """``docs`` with repeated chunks taken out of ``text``; two columns are added (or
+    replaced), ``lines`` and ``removed``: the lines it had and how many went."""
+    names = {c: unused(docs, f"__{c}") for c in ("text_hash", "all", "kept", "gone")}
+    key, whole, left, went = names.values()
     gone = pinned(repeated_chunks(docs).groupBy("doc_id", "text_hash").agg(
-        F.collect_set(F.struct("first", "n")).alias("__gone")), "gone")
-    keyed = docs.withColumn("__text_hash", F.xxhash64("text"))
-    gone = gone.withColumnRenamed("text_hash", "__text_hash")
+        F.collect_set(F.struct("first", "n")).alias("gone")), "gone")
+    keyed = docs.withColumn(key, F.xxhash64("text"))
     # The side holds spans of chunks: count these, not the documents.
-    spans = gone.agg(F.sum(F.size("__gone"))).first()[0] or 0
+    spans = gone.agg(F.sum(F.size("gone"))).first()[0] or 0
+    gone = gone.withColumnsRenamed({"text_hash": key, "gone": went})
     marked = join_null_safe(keyed, F.broadcast(gone) if spans <= BROADCAST_ROWS else gone,
-                            ["doc_id", "__text_hash"], "left").drop("__text_hash")
-    lines = marked.withColumn("__all", F.split("text", "\n", -1))
-    removed = F.flatten(F.transform("__gone", lambda s: F.sequence(s["first"], s["first"] + s["n"] - 1)))
-    kept = F.array_except(F.sequence(F.lit(0), F.size("__all") - 1), removed)
-    lines = lines.withColumn("__kept", F.when(F.col("__gone").isNotNull(), kept))
-    text = F.when(F.col("__kept").isNull(), F.col("text")).otherwise(
-        F.array_join(F.transform("__kept", lambda i: F.get("__all", i)), "\n"))
-    return lines.withColumns({
-        "text": text, "__lines": F.coalesce(F.size("__all"), F.lit(0)).cast("long"),
-        "__removed": F.when(F.col("__kept").isNull(), 0).otherwise(F.size("__all") - F.size("__kept")).cast("long"),
-    }).drop("__all", "__gone", "__kept")
+                            ["doc_id", key], "left").drop(key)
+    marked = marked.withColumn(whole, F.split("text", "\n", -1))
+    numbers = F.flatten(F.transform(went, lambda s: F.sequence(s["first"], s["first"] + s["n"] - 1)))
+    kept = F.array_except(F.sequence(F.lit(0), F.size(whole) - 1), numbers)
+    marked = marked.withColumn(left, F.when(F.col(went).isNotNull(), kept))
+    text = F.when(F.col(left).isNull(), F.col("text")).otherwise(
+        F.array_join(F.transform(left, lambda i: F.get(whole, i)), "\n"))
+    return marked.withColumns({
+        "text": text, lines: F.coalesce(F.size(whole), F.lit(0)).cast("long"),
+        removed: F.when(F.col(left).isNull(), 0).otherwise(F.size(whole) - F.size(left)).cast("long"),
+    }).drop(whole, left, went)
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

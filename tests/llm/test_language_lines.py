@@ -1,6 +1,7 @@
 """Operators 2 and 3: held-out accuracy and fusion; chunks against a plain walk."""
 
 import hashlib
+import math
 import random
 
 from pyspark.sql import functions as F
@@ -70,6 +71,98 @@ def test_evidence_decides_without_text(spark):
     assert len(got) == host.count() + 6 and sum(r["doc_id"] is None for r in got) == 2
 
 
+def grams(text):
+    raw = [b + 32 if 65 <= b <= 90 else b for b in (text or "").encode()]
+    letter = [97 <= b <= 122 or b >= 128 for b in raw]
+    raw = [b if k else 32 for b, k in zip(raw, letter, strict=True)]
+    return [((raw[i] << 16 | raw[i + 1] << 8 | raw[i + 2]) * 0x9E3779B1 % 2 ** 32) >> (32 - L.GRAM_BITS)
+            for i in range(len(raw) - 2) if sum(letter[i:i + 3]) >= 2]
+
+
+def softmax(scores):
+    e = [math.exp(x - max(scores)) for x in scores]
+    return [x / sum(e) for x in e]
+
+
+def fused(rows, classes, table):
+    """Class and posterior of each (text, declared, host, domain, suffix, address), row by row."""
+    n = len(classes)
+    lls = [[L.TEMPER * sum(float(table[c][g]) for g in grams(r[0])) for c in range(n)] for r in rows]
+    ps = [softmax(x) for x in lls]
+
+    def total(which):
+        return [sum(ps[i][c] for i in which) for c in range(n)]
+
+    def prior(key, above, which):
+        s = total(which)
+        return [(s[c] + L.STRENGTH * above[c]) / (len(which) + L.STRENGTH) for c in range(n)]
+
+    every, out = range(len(rows)), []
+    world = [(s + 1) / (len(rows) + n) for s in total(every)]
+    for i, row in enumerate(rows):
+        suffix = prior(row[4], world, [j for j in every if rows[j][4] == row[4]])
+        domain = prior(row[3], suffix, [j for j in every if rows[j][3:5] == row[3:5]])
+        host = prior(row[2], domain, [j for j in every if rows[j][2:5] == row[2:5] and j != i])
+        scores = [lls[i][c] + math.log(host[c]) for c in range(n)]
+        for k in (1, 5):
+            same, values = total([j for j in every if rows[j][k] == row[k]]), len({r[k] for r in rows})
+            for c, t in enumerate(total(every)):
+                scores[c] += math.log((same[c] + L.SMOOTH) / (t + L.SMOOTH * values))
+        p = softmax(scores)
+        out.append((classes[p.index(max(p))], max(p)))
+    return out
+
+
+def test_model_and_fusion_match_brute_force(spark):
+    rng = random.Random(9)
+    words = {"de": "der die und nicht Straße über", "fr": "le la et pas été où", "en": "the of and not was where"}
+    rows = []
+    for i in range(90):
+        lang = rng.choice(list(words))
+        text = rng.choice([None, "", "12 !?", "q", *[" ".join(rng.choices(words[lang].split(), k=rng.randint(1, 9))) for _ in range(8)]])
+        host = f"{rng.choice('ab')}.{rng.choice(['x', 'y'])}.{rng.choice([lang, 'com'])}"
+        rows.append((i, text, rng.choice([lang, lang, "", "xx"]), host, host[2:], host.split(".")[-1],
+                     rng.choice([f"/{lang}", ".com"]), lang if i % 3 else None, f"p{i}", i * 0.5))
+    df = spark.createDataFrame(rows, "doc_id long, text string, declared string, host string, domain string, suffix string, "
+                                     "address string, lang string, p string, ll double").repartition(5)
+    df = df.withColumns({"sums": F.lit(1), "rows": F.lit(2), "above": F.lit("c"), "given": F.lit("g"), "kept": F.lit("no")})
+    classes, table = L.train(df)
+    assert classes == ["de", "en", "fr", L.UNKNOWN]
+    for c, lang in enumerate(classes[:-1]):
+        n = [L.SMOOTH] * (1 << L.GRAM_BITS)
+        for r in rows:
+            for g in grams(r[1]) if r[7] == lang else ():
+                n[g] += 1
+        whole = sum(n)
+        assert max(abs(math.log((1 - L.MIXED) * x / whole + L.MIXED / len(n)) - t) for x, t in zip(n, table[c], strict=False)) < 1e-5
+    got = sorted(L.identify(df, (classes, table)).collect())
+    want = fused([r[1:7] for r in rows], classes, table)
+    assert [(r["doc_id"], r["p"], r["ll"], r["above"], r["given"]) for r in got] == [(r[0], r[8], r[9], "c", "g") for r in rows]
+    assert [r["language"] for r in got] == [w[0] for w in want]
+    assert max(abs(r["posterior"] - w[1]) for r, w in zip(got, want, strict=True)) < 1e-6
+    assert [r["kept"] for r in got] == [w[0] != L.UNKNOWN for w in want]
+
+
+def test_a_rejected_row_does_not_take_its_like(spark, monkeypatch):
+    # Rows of one id and text, judged apart by their sources.
+    docs = spark.createDataFrame([(1, "t", None, "good", "h"), (1, "t", None, "bad", "h"), (None, None, None, "bad", None),
+                                  (None, None, None, None, None)],
+                                 "doc_id long, text string, lang string, source string, __row_hash string")
+    monkeypatch.setattr(L, "identify", lambda rows, model: rows.withColumn("kept", F.col("host") != "bad"))
+    kept = L.keep_identified(docs)
+    assert kept.columns == docs.columns
+    assert sorted(kept.collect(), key=str) == sorted([docs.collect()[0], docs.collect()[3]], key=str)
+
+
+def test_line_dedup_keeps_clashing_columns(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    docs = spark.createDataFrame([(1, text + "\na", "x"), (2, "b\n" + text, "y")], "doc_id long, text string, __all string")
+    docs = docs.withColumns({c: F.col("__all") for c in ("__text_hash", "__kept", "__gone", "__doc_id", "__lines")})
+    got = D.remove_repeated(docs, "n", "went").orderBy("doc_id").collect()
+    assert [(r["text"], r["n"], r["went"]) for r in got] == [(text + "\na", 2, 0), ("b", 2, 1)]
+    assert all(r[c] == r["__all"] == "xy"[i] for i, r in enumerate(got) for c in docs.columns[2:])
+
+
 def test_unlabelled_and_empty(spark):
     df = spark.createDataFrame([(1, "a b", None, "s"), (1, "a b", None, "s")], "doc_id long, text string, lang string, source string")
     assert [r["language"] for r in L.identify(L.document_evidence(df), L.train(df)).collect()] == [None, None]
