@@ -2,7 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all rows that the stage
 before it kept; its result is written as Parquet and read again. All stages but
-the last return the columns of ``documents``.
+the last return the columns of ``documents``. Every stage takes empty tables (and
+returns none) and keeps extra columns, whatever their names, until packing.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import pinned, read_table
+from quarry.llm.common import pinned, read_table, unused
 from quarry.llm.decontaminate import remove_contaminated
 from quarry.llm.jaccard_join import one_of_each_class
 from quarry.llm.language import keep_identified
@@ -19,14 +20,20 @@ from quarry.llm.packing import pack_documents
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in no known language go."""
+    """Documents in no known language go. Null or empty texts are judged by label and
+    source; a null label or source is a value of its own; ties go to a language, so the
+    document stays; repeated rows share one fate; without any label all stay."""
     return keep_identified(docs)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated chunks go from the texts, and documents of which no line is left."""
-    out = remove_repeated(docs).filter("__removed = 0 OR __removed < __lines")
-    changed = F.col("__removed") > 0
+    """Repeated chunks go from the texts, and documents of which no line is left. Null
+    and empty texts stay; of equal chunks the one with the smallest (doc_id, line) stays,
+    null ids first; rows that share id and text keep or lose a chunk together; ``n_chars``
+    follows the text where that changed (a null one too), other columns stay as they are."""
+    lines, removed = unused(docs, "__lines"), unused(docs, "__removed")
+    out = remove_repeated(docs, lines, removed).filter((F.col(removed) == 0) | (F.col(removed) < F.col(lines)))
+    changed = F.col(removed) > 0
     if "n_chars" in docs.columns:
         length = F.length("text").cast(docs.schema["n_chars"].dataType)
         out = out.withColumn("n_chars", F.when(changed, length).otherwise(F.col("n_chars")))
@@ -34,17 +41,21 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest id stays."""
+    """Of each group of near copies the document with the smallest id stays. Rows that
+    share an id are one document, so one of them stays (of repeated rows too); null ids
+    and texts without words are near nothing and stay."""
     return one_of_each_class(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
+    """Documents that hold a benchmark item go. Null and empty texts hold none and
+    stay; null or empty items are in no document; repeated rows share one fate."""
     return remove_contaminated(docs, read_table(spark, sf_dir, "benchmark"))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every piece of every document and its place in a sequence."""
+    """Every piece of every document and its place in a sequence. A null or empty text
+    is its end id alone; repeated rows are packed each; ties go in piece order."""
     return pack_documents(docs)
 
 
