@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm.common import join_null_safe, let, pinned, read_table, small_side, unused
+from quarry.plans.joins import salted_hot_join
 
 WINDOW = 2
 MEAN_LINES = 3
@@ -35,6 +36,8 @@ LONG_WORDS = 50
 BASE, MODULUS = 1_000_003, 2_147_483_647
 #: Rows of a narrow side that may be broadcast; beyond it a shuffle join.
 BROADCAST_ROWS = 1_000_000
+#: Rows of one repeated chunk that one task compares with its first at least.
+SALT_ROWS = 1_000
 
 
 def _line_hash(line: Column) -> Column:
@@ -86,13 +89,16 @@ def _chunks(docs: DataFrame) -> DataFrame:
 def repeated_chunks(docs: DataFrame) -> DataFrame:
     """(doc_id, text_hash, first, n) of every chunk that repeats an earlier one."""
     docs = docs.select("doc_id", "text")
-    twice = pinned(_chunks(docs).groupBy("h").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("h"), "twice")
-    found = pinned(_chunks(docs).join(small_side(twice, BROADCAST_ROWS), "h"), "repeated")
+    twice = pinned(_chunks(docs).groupBy("h").agg(F.count(F.lit(1)).alias("m")).filter("m > 1"), "twice")
+    found = pinned(_chunks(docs).join(small_side(twice.select("h"), BROADCAST_ROWS), "h"), "repeated")
     # Grouping and joining by the chunk's text compares its bytes.
     place = F.struct("doc_id", "first", "text_hash")
     first = found.groupBy("h", "chunk").agg(F.min(place).alias("origin"), F.max(place).alias("final"))
-    first = first.filter(~F.col("origin").eqNullSafe(F.col("final"))).select("h", "chunk", "origin")
-    later = found.join(first, ["h", "chunk"]).filter(~F.col("origin").eqNullSafe(place))
+    first = first.filter(~F.col("origin").eqNullSafe(F.col("final"))).select("h", F.col("chunk").alias("same"), "origin")
+    # A chunk that very many documents share is dealt over many tasks.
+    later = salted_hot_join(found, first, "h", ["doc_id", "text_hash", "first"],
+                            twice.select("h", F.col("m").alias("n")), salt_rows=SALT_ROWS)
+    later = later.filter((F.col("chunk") == F.col("same")) & ~F.col("origin").eqNullSafe(place))
     return later.select("doc_id", "text_hash", "first", "n")
 
 

@@ -163,6 +163,15 @@ def test_line_dedup_keeps_clashing_columns(spark):
     assert all(r[c] == r["__all"] == "xy"[i] for i, r in enumerate(got) for c in docs.columns[2:])
 
 
+def test_hot_chunk_is_dealt_over_salts(spark, monkeypatch):
+    hot, rows = "one\ntwo", [(i, f"one\ntwo\n{'x' * i}\nend {i}") for i in range(60)]
+    rows += [(100 + i, hot) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    whole = sorted(D.repeated_chunks(docs).collect())
+    monkeypatch.setattr(D, "SALT_ROWS", 7)
+    assert sorted(D.repeated_chunks(docs).collect()) == whole and len(whole) >= 199
+
+
 def test_unlabelled_and_empty(spark):
     df = spark.createDataFrame([(1, "a b", None, "s"), (1, "a b", None, "s")], "doc_id long, text string, lang string, source string")
     assert [r["language"] for r in L.identify(L.document_evidence(df), L.train(df)).collect()] == [None, None]
