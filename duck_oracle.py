@@ -10,8 +10,12 @@ doc_id ASC; output round(x, 6).
 
 from __future__ import annotations
 
+import zipfile
+from pathlib import Path
 from types import SimpleNamespace
 
+import pyspark
+from pyspark import SparkContext
 from pyspark.ml.feature import StopWordsRemover
 
 # Written out here and not imported, so that a wrong pattern on the other side
@@ -39,8 +43,17 @@ def _lit(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
 
+def stop_words() -> list[str]:
+    """Spark ML's English stop words; without a session, read from Spark's own jar."""
+    if SparkContext._active_spark_context is not None:
+        return StopWordsRemover.loadDefaultStopWords("english")
+    jar = next((Path(pyspark.__file__).parent / "jars").glob("spark-mllib_*.jar"))
+    with zipfile.ZipFile(jar) as files:
+        return files.read("org/apache/spark/ml/feature/stopwords/english.txt").decode().splitlines()
+
+
 def stop_list_sql() -> str:
-    return "[" + ", ".join(_lit(w) for w in StopWordsRemover.loadDefaultStopWords("english")) + "]"
+    return "[" + ", ".join(_lit(w) for w in stop_words()) + "]"
 
 
 def tok(expr: str, pattern: str = WORD_2PLUS) -> str:
