@@ -64,6 +64,18 @@ def explode_values(df, col, out: str, keep=(), pos: str | None = None):
             .withColumn(pos, F.col(pos).cast("int")))
 
 
+def counted(values) -> Column:
+    """Array of (value, n) of an array of strings, each value once: sorted inside the
+    row and cut where it changes, so nothing is shuffled or hashed to count."""
+    def runs(a: Column) -> Column:
+        begins = F.filter(F.sequence(F.lit(0), F.size(a) - 1),
+                          lambda i: (i == 0) | (F.get(a, i) != F.get(a, i - 1)))
+        return let(begins, lambda b: F.transform(b, lambda at, j: F.struct(
+            F.get(a, at).alias("value"),
+            (F.coalesce(F.get(b, j + 1), F.size(a)) - at).cast("long").alias("n"))))
+    return let(F.sort_array(values), lambda a: F.when(F.size(a) > 0, runs(a)))
+
+
 def strip_punctuation(c) -> Column:
     """Punctuation -> space."""
     return F.regexp_replace(_c(c), PUNCTUATION, " ")

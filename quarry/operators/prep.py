@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.functions.text import WHITESPACE
+from quarry.functions.text import WHITESPACE, counted, explode_values
 from quarry.plans.joins import bounded_broadcast
 
 # Content made only of whitespace (Python's notion) is blank.
@@ -67,6 +67,23 @@ def dedup_by_content(documents: DataFrame, order: Sequence[str] = ("doc_id",)) -
     return first.select(*documents.columns)
 
 
+def ids_are_unique(documents: DataFrame) -> bool:
+    """True when no ``doc_id`` stands in two rows (one narrow count)."""
+    return documents.groupBy("doc_id").count().filter("count > 1").isEmpty()
+
+
+def count_values(documents: DataFrame, values, value: str, n: str) -> DataFrame:
+    """(doc_id, value, n): how often each element of the array ``values`` occurs.
+
+    A document is counted inside its row; only a table in which an id stands in
+    several rows is grouped by (doc_id, value) afterwards."""
+    rows = explode_values(documents, counted(values), "_v", keep=["doc_id"]).select(
+        "doc_id", F.col("_v.value").alias(value), F.col("_v.n").alias(n))
+    if ids_are_unique(documents):
+        return rows
+    return rows.groupBy("doc_id", value).agg(F.sum(n).alias(n))
+
+
 def validate_documents(documents: DataFrame, embeddings: DataFrame | None = None,
                        dim=None) -> DataFrame:
     """(rule, n) counts of rule violations, zeros included.

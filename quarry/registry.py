@@ -106,9 +106,7 @@ def ingest_papers(spark, sf):
 # --- text --------------------------------------------------------------------
 
 def clean_tokens(spark, sf):
-    d = T.documents(spark, sf)
-    return (explode_values(d, clean_words("content"), "word", keep=["doc_id"])
-            .groupBy("doc_id", "word").agg(F.count(F.lit(1)).alias("n")))
+    return prep.count_values(T.documents(spark, sf), clean_words("content"), "word", "n")
 
 
 def tokens_bm25(spark, sf):
