@@ -68,3 +68,45 @@ def test_prompt(spark):
     df = spark.createDataFrame([("Why?",)], "q string")
     p = df.select(render_prompt("q").alias("p")).first().p
     assert p.endswith("Question: Why?    Paragraph:")
+
+
+def _plain_tfidf(rows):
+    """Weights term by term, for (id, terms) rows; the rows of an id count together."""
+    import math
+    from collections import Counter, defaultdict
+
+    tf = defaultdict(Counter)
+    for i, terms in rows:
+        tf[i].update(terms)
+    df = Counter(t for c in tf.values() for t in c)
+    w = {(i, t): n * (math.log((len(rows) + 1) / (df[t] + 1)) + 1) for i, c in tf.items() for t, n in c.items()}
+    norm = {i: math.sqrt(sum(w[i, t] ** 2 for t in c)) for i, c in tf.items()}
+    return {k: round(v / norm[k[0]], 9) for k, v in w.items()}
+
+
+def test_tfidf_in_blocks_ships_no_pairs(spark):
+    words = ["robot", "vision", "leaf", "solar", "arm", "zebra"]
+    rows = [(i // 2 if i < 6 else i, " ".join(words[(i * k + k) % 6] for k in range(1, 9))) for i in range(30)]
+    rows += [(None, "robot leaf"), (None, "leaf leaf"), (77, None), (78, ""), (79, "only here")]
+    docs = spark.createDataFrame(rows, "doc_id long, content string").repartition(3)
+    terms = [(r.doc_id, r.terms) for r in tfidf.doc_terms(docs, stop_words=[]).collect()]
+    want = _plain_tfidf(terms)
+    for block_bytes in (1 << 20, 100):
+        out = tfidf.tfidf(docs, stop_words=[], block_bytes=block_bytes)
+        got = out.collect()
+        assert {(r.doc_id, r.term): round(r.weight, 9) for r in got} == want and len(got) == len(want)
+    # Shuffled are the texts and a row for each block and term, never (doc, term) rows.
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Generate" not in plan and "Aggregate" not in plan
+
+
+def test_counts_inside_the_row(spark):
+    docs = spark.createDataFrame([(1, "bb aa bb"), (2, "cc"), (3, ""), (4, None)], "doc_id long, content string")
+    out = tfidf.term_frequency(docs, ngrams=False, stop_words=[])
+    assert sorted(map(tuple, out.collect())) == [(1, "aa", 1), (1, "bb", 2), (2, "cc", 1)]
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+    # Rows of one id, or of none, count together.
+    twice = docs.unionByName(docs).unionByName(spark.createDataFrame([(None, "aa"), (None, "aa")], docs.schema))
+    got = tfidf.term_frequency(twice, ngrams=False, stop_words=[]).collect()
+    assert sorted((str(r.doc_id), r.term, r.tf) for r in got) == [
+        ("1", "aa", 2), ("1", "bb", 4), ("2", "cc", 2), ("None", "aa", 2)]
