@@ -9,13 +9,18 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from quarry.functions.text import clean_words, explode_values, unigrams
-from quarry.operators.tfidf import idf_of
+from quarry.operators.tfidf import BLOCK_BYTES, block_frequencies, corpus_size, flat, idf_of, in_blocks, numbered
 from quarry.plans.joins import DEFAULT_BROADCAST_ROWS, skew_join
 from quarry.session import shared_dir
 
@@ -26,6 +31,8 @@ WORD_BYTES = 64
 # Bits of the word filter for each word of a larger model, and at most (256 MB).
 FILTER_BITS = 16
 FILTER_MOST_BITS = 1 << 31
+# Documents whose word vectors are summed at once in a task.
+DOC_CHUNK = 256
 
 
 def vector_mean(df: DataFrame, key: str, vec: str = "vector", weight: str | None = None,
@@ -113,33 +120,101 @@ def word_vector_embed(documents: DataFrame, word_vectors: DataFrame, stop_words=
     Document frequencies are those of ``corpus`` (default: the documents), or of
     the documents that share a value of ``within``, each a corpus by itself.
 
-    A word's idf and vector are joined first, on the model's side; the documents'
-    counts then meet one lookup, which is broadcast when its bytes are bounded."""
+    Documents are dealt once into blocks of bounded bytes; words with their idf and
+    vector come to a block, its (document, word) counts never leave its task. With
+    ``within`` (answers to a query), a word's idf and vector are joined on the
+    model's side and the counts meet one lookup."""
     n_words, dims = _model_bounds(word_vectors)
     model = word_vectors.select("word", F.col("vector").cast("array<double>").alias("vector"))
     known = model_words(model, n_words, max_broadcast_rows)
-    group = [within] if within else []
-    counts = word_counts(documents, group, known, stop_words)
-    fitted = counts if corpus is None else word_counts(corpus, group, known, stop_words)
+    if within is None:
+        return _embed_in_blocks(documents, documents if corpus is None else corpus, model, known, dims, stop_words)
+    counts = word_counts(documents, [within], known, stop_words)
+    fitted = counts if corpus is None else word_counts(corpus, [within], known, stop_words)
     sized = documents if corpus is None else corpus
-    df = fitted.filter("tf > 0").groupBy(*group, "word").agg(F.count(F.lit(1)).alias("df"))
-    if within:
-        df = df.join(sized.groupBy(within).agg(F.count(F.lit(1)).alias("n_docs")), within)
-        n_docs = F.col("n_docs")
-    else:
-        n_docs = sized.select(F.count(F.lit(1))).scalar()
-    weight = model.join(df, "word").select(*group, "word", "vector", idf_of(n_docs, F.col("df")).alias("idf"))
-    usable = counts.filter("occ > 0 AND tf > 0")
-    if within:
-        rows = usable.join(weight, [within, "word"])
-    elif n_words * (dims * 8 + WORD_BYTES) <= MODEL_BYTES:
-        rows = usable.join(F.broadcast(weight), "word")
-    else:
-        rows = skew_join(usable, weight, "word", key_counts=df.select("word", F.col("df").alias("n")))
+    df = fitted.filter("tf > 0").groupBy(within, "word").agg(F.count(F.lit(1)).alias("df"))
+    df = df.join(sized.groupBy(within).agg(F.count(F.lit(1)).alias("n_docs")), within)
+    weight = model.join(df, "word").select(within, "word", "vector", idf_of(F.col("n_docs"), F.col("df")).alias("idf"))
+    rows = counts.filter("occ > 0 AND tf > 0").join(weight, [within, "word"])
     rows = rows.select("doc_id", "vector", (F.col("occ") * F.col("tf") * F.col("idf")).alias("weight"))
     return _weighted_means(documents, rows, dims)
 
 
+def _embed_in_blocks(documents: DataFrame, corpus: DataFrame, model: DataFrame,
+                     known: Callable[[DataFrame], DataFrame], dims: int, stop_words) -> DataFrame:
+    """(doc_id, embedding) of every row. A block of documents sends a row for each of
+    its words that the model has, and gets idf and vector of these back; its
+    documents are averaged in its task."""
+    size = corpus_size(documents)[1]
+    n_docs = corpus.count()
+
+    def frequencies(rows: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
+        dealt = in_blocks(rows.select("doc_id", "content"), size, BLOCK_BYTES)
+        words = dealt.select("block", "doc_id", unigrams("content", stop_words).alias("terms"),
+                             F.coalesce(clean_words("content"), F.array().cast("array<string>")).alias("cleaned"))
+        return words, known(block_frequencies(words, "terms", "word"))
+
+    words, own = frequencies(documents, size)
+    if corpus is documents:
+        found = own.withColumn("df", F.sum("df").over(Window.partitionBy("word")))
+    else:
+        # A word has at most one row for each block on either side.
+        df = frequencies(corpus, corpus_size(corpus)[1])[1].groupBy("word").agg(F.sum("df").alias("df"))
+        found = own.drop("df").join(df, "word")
+    weight = found.join(model, "word").select("block", "word", idf_of(F.lit(float(n_docs)), F.col("df")).alias("idf"),
+                                              "vector")
+    schema = StructType([documents.schema["doc_id"], StructField("embedding", ArrayType(DoubleType()))])
+    arrow = to_arrow_schema(schema)
+
+    def run(docs: pa.Table, weights: pa.Table) -> pa.Table:
+        if not docs.num_rows:
+            return arrow.empty_table()
+        doc, ids = numbered(docs.column("doc_id"))
+        means = _block_means(docs, doc, len(ids), weights, dims)[doc]
+        # A row without an id shares its words with none.
+        means[docs.column("doc_id").is_null().to_numpy()] = 0.0
+        ends = pa.array(np.arange(docs.num_rows + 1) * dims, pa.int32())
+        return pa.Table.from_arrays([docs.column("doc_id").combine_chunks(),
+                                     pa.ListArray.from_arrays(ends, pa.array(means.ravel()))], schema=arrow)
+
+    return words.groupBy("block").cogroup(weight.groupBy("block")).applyInArrow(run, schema)
+
+
+def _block_means(docs: pa.Table, doc: np.ndarray, n: int, weights: pa.Table, dims: int) -> np.ndarray:
+    """Weighted mean vector of each of the ``n`` documents of a block; zeros where no
+    word counts. A word that the model has twice counts with both vectors."""
+    means = np.zeros((n, dims))
+    if not weights.num_rows or not dims:
+        return means
+    coded = weights.column("word").combine_chunks().dictionary_encode()
+    code, vocabulary = coded.indices.to_numpy(), coded.dictionary
+    idf, times, vector = np.zeros(len(vocabulary)), np.bincount(code), np.zeros((len(vocabulary), dims))
+    idf[code] = weights.column("idf").to_numpy()
+    np.add.at(vector, code, weights.column("vector").combine_chunks().flatten().to_numpy().reshape(-1, dims))
+
+    def counts(column: str) -> tuple[np.ndarray, np.ndarray]:
+        row, words = flat(docs.column(column))
+        place = pc.fill_null(pc.index_in(words, vocabulary), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        return np.unique((doc[row] * len(vocabulary) + place)[place >= 0], return_counts=True)
+
+    (pair, tf), (other, occ) = counts("terms"), counts("cleaned")
+    pair, i, j = np.intersect1d(pair, other, assume_unique=True, return_indices=True)
+    if not len(pair):
+        return means
+    at, word = pair // len(vocabulary), pair % len(vocabulary)
+    weight = tf[i] * occ[j] * idf[word]
+    # Pairs are in the order of documents: summed a bounded number of them at once.
+    first = np.flatnonzero(np.diff(at, prepend=-1))
+    cuts = np.append(first, len(pair))
+    for lo in range(0, len(first), DOC_CHUNK):
+        hi = min(lo + DOC_CHUNK, len(first))
+        span = slice(cuts[lo], cuts[hi])
+        sums = np.add.reduceat(weight[span, None] * vector[word[span]], first[lo:hi] - cuts[lo])
+        total = np.add.reduceat(weight[span] * times[word[span]], first[lo:hi] - cuts[lo])
+        means[at[first[lo:hi]]] = sums / total[:, None]
+    return means
+
+
 def query_word_vector_embed(queries: DataFrame, word_vectors: DataFrame, stop_words=None) -> DataFrame:
     """O61 for word vectors: the query is its own one-document corpus, so
     every idf is 1 (S11) and the weight is the term count."""
