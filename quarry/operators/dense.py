@@ -43,6 +43,8 @@ BLOCK_BYTES = 32 * 1024 * 1024
 # Queries and documents of one matrix product (bounds the score matrix).
 QUERY_CHUNK = 512
 DOC_CHUNK = 16_384
+# Scores nearer than this may be equal when rounded.
+SLACK = 2 * 10.0 ** -SCORE_PLACES
 
 
 def _let(value: Column, use) -> Column:
@@ -105,19 +107,28 @@ class Best:
         self.k = k
         self.ids = [np.empty(0, dtype=object)] * n
         self.scores = [np.empty(0)] * n
+        self.least = np.full(n, -np.inf)
 
     def add(self, scores: np.ndarray, ids: np.ndarray) -> None:
         """``scores``: one row per query, one column per document, ids ascending."""
-        rounded = np.round(scores, SCORE_PLACES)
-        kk = min(self.k, scores.shape[1])
-        least = np.partition(rounded, -kk, axis=1)[:, -kk]
-        for i, line in enumerate(rounded):
-            above, ties = np.flatnonzero(line > least[i]), np.flatnonzero(line == least[i])
-            found = np.concatenate([above, ties[:kk - len(above)]])   # ties: the lowest ids
+        if not scores.shape[1]:
+            return
+        # A document whose score cannot reach a query's k-th best is passed over; the
+        # slack is more than rounding moves a score.
+        line = self.least - SLACK
+        for i in np.flatnonzero(scores.max(axis=1) >= line):
+            found = np.flatnonzero(scores[i] >= line[i])
+            rounded = np.round(scores[i][found], SCORE_PLACES)
+            if len(found) > self.k:
+                least = np.partition(rounded, -self.k)[-self.k]
+                above, ties = np.flatnonzero(rounded > least), np.flatnonzero(rounded == least)
+                found = found[np.concatenate([above, ties[:self.k - len(above)]])]   # ties: the lowest ids
             s = np.concatenate([self.scores[i], scores[i][found]])
             d = np.concatenate([self.ids[i], ids[found]])
             order = sorted(range(len(s)), key=lambda j: (-round(s[j], SCORE_PLACES), d[j]))[:self.k]
             self.scores[i], self.ids[i] = s[order], d[order]
+            if len(order) == self.k:
+                self.least[i] = s[order[-1]]
 
     def rows(self, query_ids: np.ndarray) -> pd.DataFrame:
         n = [len(s) for s in self.scores]
@@ -144,7 +155,8 @@ class _Scorer:
                     best.add(q @ m[at:at + DOC_CHUNK].T, keys[at:at + DOC_CHUNK])
 
     def rows(self) -> pd.DataFrame:
-        return pd.concat([best.rows(qids) for _, qids, _, best in self.chunks])
+        found = [best.rows(qids) for _, qids, _, best in self.chunks]
+        return pd.concat(found) if found else pd.DataFrame({"query_id": [], "doc_id": [], "score": []})
 
 
 def _partition_topk(k: int, block, query_chunk: int = QUERY_CHUNK):

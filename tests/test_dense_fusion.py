@@ -71,3 +71,25 @@ def test_hyde_mean(spark):
                                "query_id long, embedding array<float>")
     got = {r.query_id: r.embedding for r in hyde_mean(hv).collect()}
     assert got == {1: [2.0, 3.0], 2: [5.0, 5.0]}
+
+
+def test_best_passes_over_what_cannot_reach_the_kth():
+    import numpy as np
+
+    from quarry.operators.dense import Best, as_ids
+    rng = np.random.default_rng(5)
+    scores = np.round(rng.normal(size=(6, 4000)), 1) + rng.normal(size=(6, 4000)) * 1e-11   # many near ties
+    order, got = rng.permutation(4000), Best(6, 7)
+    for at in range(0, 4000, 500):
+        part = np.sort(order[at:at + 500])
+        got.add(scores[:, part], as_ids(part.tolist()))
+    for i in range(6):
+        want = sorted(range(4000), key=lambda j: (-round(scores[i, j], 9), j))[:7]
+        assert got.ids[i].tolist() == want and got.scores[i].tolist() == scores[i, want].tolist()
+
+
+def test_no_query_with_a_direction(spark):
+    docs = spark.createDataFrame([(1, [1.0, 2.0]), (2, [0.0, 0.0])], "doc_id long, embedding array<float>")
+    qs = spark.createDataFrame([(1, [0.0, 0.0], 3), (2, None, 3)], "query_id long, embedding array<float>, top_k int")
+    for most in (1 << 20, 0):
+        assert dense_search(docs, qs, max_broadcast_bytes=most).collect() == []
