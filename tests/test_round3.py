@@ -159,3 +159,21 @@ def test_word_filter_of_a_large_model(spark):
     both = [sorted((r.doc_id, [round(x, 9) for x in r.embedding]) for r in vectors.word_vector_embed(
         docs, model, stop_words=[], max_broadcast_rows=most).collect()) for most in (100, 0)]
     assert both[0] == both[1] and len(both[0]) == 12 and any(any(v) for _, v in both[0])
+
+
+def test_word_vectors_in_blocks(spark, monkeypatch):
+    """No (document, word) row leaves a block; rows of an id count together, without one alone."""
+    wv = model(spark)
+    docs = spark.createDataFrame([(1, "solar robot"), (1, "solar zz"), (2, "banana"), (3, None), (None, "robot"), (4, "zz")],
+                                 "doc_id long, content string")
+    alike = spark.createDataFrame([(1, "solar robot solar zz")], "doc_id long, content string")
+    one = vectors.word_vector_embed(alike, wv, corpus=docs).first()["embedding"]
+    for block_bytes in (vectors.BLOCK_BYTES, 8):
+        monkeypatch.setattr(vectors, "BLOCK_BYTES", block_bytes)
+        out = vectors.word_vector_embed(docs, wv)
+        got = {(r.doc_id, tuple(round(x, 9) for x in r.embedding)) for r in out.collect()}
+        assert {i for i, _ in got} == {1, 2, 3, 4, None} and out.count() == 6
+        zeros = {i for i, v in got if not any(v)}
+        assert zeros == {3, 4, None} and (1, tuple(round(x, 9) for x in one)) in got and len(got) == 5
+        plan = out._jdf.queryExecution().optimizedPlan().toString()
+        assert "Generate" not in plan and "Aggregate" not in plan
