@@ -69,16 +69,60 @@ def query_terms(queries: DataFrame, pattern: str = TOKEN) -> DataFrame:
                           keep=["query_id"])
 
 
-def corpus_counts(documents: DataFrame, terms: DataFrame, pattern: str = TOKEN) -> DataFrame:
-    """O28 in one pass: (term, df, tokens) for the given ``terms`` and one row with
-    the term "" (no token is empty): the number of documents and of all tokens."""
+def corpus_counts(documents: DataFrame, terms: DataFrame, pattern: str = TOKEN,
+                  max_broadcast_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
+    """O28 in one pass: (term, df, tokens) for the given ``terms`` (distinct, pinned) and
+    one row with the term "" (no token is empty): the number of documents and of all tokens.
+
+    Terms that are bounded are sent to the tasks, and each task counts in its own rows;
+    beyond that the tokens meet the terms in a join."""
     toks = tokenize(documents, pattern).select(F.size("tokens").cast("long").alias("doc_len"), "tokens")
+    if terms.count() <= max_broadcast_rows:
+        # Proven above: at most max_broadcast_rows terms pass through the driver.
+        vocabulary = documents.sparkSession.sparkContext.broadcast(
+            pa.array(sorted(r[0] for r in terms.toLocalIterator()), pa.string()))
+        each = toks.select("tokens").mapInArrow(_term_counter(vocabulary), "term string, df long, tokens long")
+        return each.groupBy("term").agg(F.sum("df").alias("df"), F.sum("tokens").alias("tokens"))
     wanted = terms.unionByName(documents.sparkSession.createDataFrame([("",)], "term string"))
     each = explode_values(toks, F.concat(F.array_distinct("tokens"), F.array(F.lit(""))), "term", keep=["doc_len"])
     return (each.join(wanted, "term", "left_semi").groupBy("term")
             .agg(F.count(F.lit(1)).alias("df"), F.sum("doc_len").alias("tokens")))
 
 
+def _term_counter(vocabulary):
+    """mapInArrow body: (tokens) -> (term, df, tokens) of the partition's documents."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = vocabulary.value
+        docs, df, tokens = 0, np.zeros(len(words), np.int64), np.zeros(len(words) + 1, np.int64)
+        for batch in batches:
+            for at in range(0, batch.num_rows, DOC_CHUNK):
+                lists = batch.column("tokens").slice(at, DOC_CHUNK)
+                doc, term, _, lengths = _term_documents(lists, words)
+                docs += len(lengths)
+                df += np.bincount(term, minlength=len(words))
+                tokens[:-1] += np.bincount(term, lengths[doc], len(words)).astype(np.int64)
+                tokens[-1] += lengths.sum()
+        used = np.flatnonzero(df)
+        if docs:
+            yield pa.RecordBatch.from_arrays(
+                [pa.concat_arrays([words.take(pa.array(used)), pa.array([""], pa.string())]),
+                 pa.array(np.append(df[used], docs)), pa.array(np.append(tokens[used], tokens[-1]))],
+                ["term", "df", "tokens"])
+    return run
+
+
+def _term_documents(tokens: pa.ListArray, vocabulary: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(document, term, count) of each term of the vocabulary in each document, and the
+    documents' lengths. A word is looked up once in a chunk, and only words found count."""
+    lengths = np.diff(tokens.offsets.to_numpy())
+    coded = tokens.flatten().dictionary_encode()
+    known = pc.fill_null(pc.index_in(coded.dictionary, vocabulary), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+    term = known[coded.indices.to_numpy(zero_copy_only=False)]
+    doc = np.repeat(np.arange(len(lengths)), lengths)
+    seen, count = np.unique((doc * len(vocabulary) + term)[term >= 0], return_counts=True)
+    return seen // max(len(vocabulary), 1), seen % max(len(vocabulary), 1), count, lengths
+
+
 def _block_scorer(block, avg_len: float, k: int, params: Bm25Params):
     """mapInArrow body: (doc_id, tokens) -> the partition's best k per query."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -105,14 +149,9 @@ def _block_scorer(block, avg_len: float, k: int, params: Bm25Params):
 def _gains(tokens: pa.ListArray, vocabulary, first, query, idf, n_queries: int, avg_len: float,
            params: Bm25Params) -> np.ndarray:
     """Sum of gains of each (query, document of the chunk) as a matrix."""
-    bounds = tokens.offsets.to_numpy()
-    lengths = np.diff(bounds)
-    term = pc.fill_null(pc.index_in(tokens.flatten(), vocabulary), -1).to_numpy(zero_copy_only=False).astype(np.int64)
-    doc = np.repeat(np.arange(len(lengths)), lengths)
-    seen, count = np.unique((doc * len(vocabulary) + term)[term >= 0], return_counts=True)
-    doc, term = seen // max(len(vocabulary), 1), seen % max(len(vocabulary), 1)
+    doc, term, count, lengths = _term_documents(tokens, vocabulary)
     k1, b, delta = params.k1, params.b, params.delta
-    c = count / ((1.0 - b) + b * lengths[doc] / avg_len) if len(seen) else np.zeros(0)
+    c = count / ((1.0 - b) + b * lengths[doc] / avg_len) if len(doc) else np.zeros(0)
     gain = (1.0 + k1) * (c + delta) / (k1 + c + delta) - params.absent_tf
     # Every matched term goes to the queries that hold it.
     each = first[term + 1] - first[term]
@@ -146,8 +185,7 @@ def bm25_scores(documents: DataFrame, queries: DataFrame, params: Bm25Params = B
     shared_dir(spark)
     qterms = query_terms(queries, pattern).checkpoint()
     pairs = qterms.count()
-    terms = qterms.select("term").distinct()
-    counts = corpus_counts(documents, F.broadcast(terms) if pairs <= DEFAULT_BROADCAST_ROWS else terms, pattern).checkpoint()
+    counts = corpus_counts(documents, qterms.select("term").distinct().checkpoint(), pattern).checkpoint()
     corpus = counts.filter("term = ''").first()
     if corpus is None or not corpus["tokens"] or k_max <= 0:
         return out

@@ -18,9 +18,11 @@ import hashlib
 from collections.abc import Sequence
 
 import numpy as np
+import pyarrow as pa
 from pyspark.ml.functions import predict_batch_udf
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import arrow_udf
 from pyspark.sql.types import ArrayType, DoubleType, FloatType, StringType
 
 from quarry.functions.text import WHITESPACE, WORD_2PLUS, render_prompt, word_tokens
@@ -97,22 +99,35 @@ def first_words_generator(max_words: int | None = None, replies: int = 1):
 
 # ---------------------------------------------------------------------------
 # The same stand-ins as built-in expressions: a model object with a ``column``
-# method is applied as an expression instead of a batch function, so queries
-# that only need some encoder stay in the JVM.
+# method is applied as an expression instead of a batch function; the scorer
+# and the generator stay in the JVM.
 # ---------------------------------------------------------------------------
 
 class HashEncoder:
+    """The words are split in the JVM; a task hashes the distinct words of a batch
+    and adds their digits up, whatever the number of words in a text."""
+
     def __init__(self, dims: int = 8, pattern: str = WORD_2PLUS):
         self.dims, self.pattern = dims, pattern
 
     def column(self, text: Column) -> Column:
-        def digit(i: int):
-            return lambda acc, h: acc + F.instr(F.lit("0123456789abcdef"), F.substring(h, i, 1)) - 1
-
-        hashes = F.transform(word_tokens(text, self.pattern), lambda w: F.md5(w.cast("binary")))
-        sums = F.transform(F.array(hashes), lambda hs: F.array(
-            *[F.aggregate(hs, F.lit(0), digit(i + 1)).cast("float") for i in range(self.dims)]))
-        return F.get(sums, F.lit(0))
+        return arrow_udf(_digit_sums(self.dims), ArrayType(FloatType()))(word_tokens(text, self.pattern))
+
+
+def _digit_sums(dims: int):
+    """Lists of words -> per list, the sum of the first ``dims`` hex digits of the words' md5."""
+    def sums(words: pa.Array) -> pa.Array:
+        bounds = words.offsets.to_numpy()
+        coded = words.flatten().dictionary_encode()
+        digests = np.frombuffer(b"".join(hashlib.md5(w.encode()).digest() for w in coded.dictionary.to_pylist()), np.uint8)
+        digits = np.stack([digests >> 4, digests & 15], axis=1).reshape(-1, 32)
+        code = coded.indices.to_numpy(zero_copy_only=False)
+        row = np.repeat(np.arange(len(words)), np.diff(bounds))
+        out = np.zeros((len(words), dims), np.float32)
+        for i in range(min(dims, 32)):
+            out[:, i] = np.bincount(row, digits[:, i].astype(np.float64)[code], len(words))
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(words) + 1, dtype=np.int32) * dims), pa.array(out.ravel()))
+    return sums
 
 
 class JaccardScorer:

@@ -3,16 +3,22 @@
 If a passage occurs in a text, its *interior* words (all but the first and
 last, which may be cut mid-word) are whole, consecutive words of the text.
 So the first up-to-8 interior words form an anchor that is an equi-join key
-against the text's word shingles of the same length. Candidates are then
+against the text's word shingles of the same length, which are hashed in
+blocks of texts inside the tasks. Candidates are then
 verified with an exact ``instr`` on the whole texts, so the result is exact;
 the anchor only decides which pairs are looked at.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
 
 from quarry.functions.text import WORD_1PLUS, explode_values
 from quarry.plans.joins import (DEFAULT_BROADCAST_ROWS, is_bounded, join_small_to_big, lookup_join,
@@ -20,6 +26,11 @@ from quarry.plans.joins import (DEFAULT_BROADCAST_ROWS, is_bounded, join_small_t
 from quarry.session import shared_dir
 
 ANCHOR_WORDS = 8
+# Words of an anchor that are looked up one by one before its key is taken.
+HEAD_WORDS = 3
+# Words of texts that a task holds hashed at once.
+WORDS_AT_ONCE = 1_000_000
+ANCHOR_FIELDS = [StructField("anchor_len", IntegerType()), StructField("anchor_key", LongType())]
 # Passages of one or two words looked for in one scan of the texts, about.
 SHORT_BLOCK = 1_000
 
@@ -28,23 +39,99 @@ def _words(c: str):
     return F.regexp_extract_all(F.coalesce(F.col(c), F.lit("")), F.lit(WORD_1PLUS), 0)
 
 
+def _hashed(words: pa.ListArray) -> tuple[np.ndarray, pa.DictionaryArray]:
+    """The 64-bit hash of each distinct word, and which one each word is."""
+    coded = words.flatten().dictionary_encode()
+    return pd.util.hash_array(coded.dictionary.to_numpy(zero_copy_only=False), categorize=False), coded
+
+
+def _window_keys(hashes: np.ndarray, first: np.ndarray, length: int) -> np.ndarray:
+    """The key of the ``length`` words from each place ``first`` on."""
+    total = np.full(len(first), length, np.uint64)
+    for j in range(length):
+        total = total * np.uint64(0x9E3779B97F4A7C15) + (hashes[first + j] ^ (hashes[first + j] >> np.uint64(29)))
+    return total.view(np.int64)
+
+
 def passage_anchors(passages: DataFrame, max_words: int = ANCHOR_WORDS) -> DataFrame:
-    """(query_id, anchor_len, anchor_key) for passages with 3+ words."""
+    """(query_id, anchor_len, anchor_key, heads) for passages with 3+ words; ``heads``
+    are the hashes of the anchor's first words."""
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = batch.column("w")
+            each, coded = _hashed(words)
+            hashes = each[coded.indices.to_numpy(zero_copy_only=False)]
+            starts, sizes = words.offsets.to_numpy()[:-1], np.diff(words.offsets.to_numpy())
+            starts = starts - starts[0] if len(starts) else starts
+            keys = np.zeros(len(sizes), np.int64)
+            for n in np.unique(sizes).tolist():
+                keys[sizes == n] = _window_keys(hashes, starts[sizes == n], n)
+            heads = [hashes[a:a + min(n, HEAD_WORDS)].view(np.int64) for a, n in zip(starts, sizes, strict=True)]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("query_id"), pa.array(sizes.astype(np.int32)), pa.array(keys),
+                 pa.array(heads, pa.list_(pa.int64()))], ["query_id", "anchor_len", "anchor_key", "heads"])
+
     w = _words("passage")
     n = F.least(F.size(w) - 2, F.lit(max_words))
-    return (passages.select("query_id", w.alias("w"), n.alias("anchor_len"))
-            .filter(F.col("anchor_len") >= 1)
-            .select("query_id", "anchor_len",
-                    F.xxhash64(F.concat_ws(" ", F.slice("w", 2, F.col("anchor_len")))).alias("anchor_key")))
+    anchors = passages.select("query_id", w.alias("w"), n.alias("n")).filter(F.col("n") >= 1)
+    schema = StructType([passages.schema["query_id"], *ANCHOR_FIELDS, StructField("heads", ArrayType(LongType()))])
+    return anchors.select("query_id", F.slice("w", 2, F.col("n")).alias("w")).mapInArrow(
+        keyed, schema)
+
+
+def _anchor_index(keys: list) -> dict[int, tuple[list[np.ndarray], np.ndarray]]:
+    """{length: (the first words' hashes by place, the keys)} of rows (length, key, heads)."""
+    out = {}
+    for n in sorted({row["anchor_len"] for row in keys}):
+        some = [row for row in keys if row["anchor_len"] == n]
+        places = zip(*(row["heads"] for row in some), strict=True)
+        out[n] = [np.array(p, np.int64).view(np.uint64) for p in places], np.array([row["anchor_key"] for row in some])
+    return out
 
 
-def _shingles(documents: DataFrame, length: int) -> DataFrame:
-    w = F.col("w")
-    keys = F.transform(F.sequence(F.lit(1), F.size(w) - (length - 1)),
-                       lambda i: F.xxhash64(F.concat_ws(" ", F.slice(w, i, length))))
-    words = documents.select("doc_id", _words("content").alias("w")).filter(F.size("w") >= length)
-    return explode_values(words, keys, "anchor_key", keep=["doc_id"]).select(
-        "doc_id", F.lit(length).alias("anchor_len"), "anchor_key")
+def _shingles(documents: DataFrame, lengths: list[int], wanted=None) -> DataFrame:
+    """(doc_id, anchor_len, anchor_key): a document's word shingles of these lengths;
+    with ``wanted`` (a broadcast ``_anchor_index``) only those that are an anchor's."""
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in _word_slices(batch):
+                yield from _shingle_rows(part, lengths, wanted.value if wanted is not None else None)
+
+    schema = StructType([documents.schema["doc_id"], *ANCHOR_FIELDS])
+    return documents.select("doc_id", _words("content").alias("w")).mapInArrow(keyed, schema)
+
+
+def _word_slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Runs of rows with at most ``WORDS_AT_ONCE`` words (one row at least)."""
+    bounds = batch.column("w").offsets.to_numpy()
+    at = 0
+    while at < batch.num_rows:
+        to = max(at + 1, int(np.searchsorted(bounds, bounds[at] + WORDS_AT_ONCE, side="right")) - 1)
+        yield batch.slice(at, to - at)
+        at = to
+
+
+def _shingle_rows(batch: pa.RecordBatch, lengths: list[int], wanted: dict | None) -> Iterator[pa.RecordBatch]:
+    words = batch.column("w")
+    each, coded = _hashed(words)
+    code = coded.indices.to_numpy(zero_copy_only=False)
+    hashes, sizes = each[code], np.diff(words.offsets.to_numpy())
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    left = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(row))     # words from here to the document's end
+    for n in lengths:
+        first = np.flatnonzero(left >= n)
+        if wanted is not None:
+            heads, keys = wanted[n]
+            for j, place in enumerate(heads):
+                first = first[np.isin(each, place)[code[first + j]]]
+        found = _window_keys(hashes, first, n)
+        if wanted is not None:
+            same = np.isin(found, keys)
+            first, found = first[same], found[same]
+        if len(first):
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id").take(pa.array(row[first])), pa.array(np.full(len(first), n, np.int32)),
+                 pa.array(found)], ["doc_id", "anchor_len", "anchor_key"])
 
 
 def containing_documents(documents: DataFrame, passages: DataFrame,
@@ -53,24 +140,25 @@ def containing_documents(documents: DataFrame, passages: DataFrame,
     """(query_id, doc_id) for every document whose content contains the passage.
 
     documents: (doc_id, content); passages: (query_id, passage)."""
-    anchors = passage_anchors(passages, max_words)
+    shared_dir(documents.sparkSession)
+    anchors = passage_anchors(passages, max_words).checkpoint()
     # Anchor lengths are 1..max_words: a bounded list.
     lengths = sorted(r[0] for r in anchors.select("anchor_len").distinct().collect())
     short = _short_passages(documents, passages, max_broadcast_rows)
     if not lengths:
         return short
-    shingles = _shingles(documents, lengths[0])
-    for n in lengths[1:]:
-        shingles = shingles.unionByName(_shingles(documents, n))
     if is_bounded(anchors, max_broadcast_rows):
-        hits = shingles.join(F.broadcast(anchors), ["anchor_len", "anchor_key"])
+        # Proven bounded: the anchors go to the texts, which are read once for all lengths.
+        keys = anchors.select("anchor_len", "anchor_key", "heads").distinct().collect()
+        wanted = documents.sparkSession.sparkContext.broadcast(_anchor_index(keys))
+        hits = _shingles(documents, lengths, wanted).join(
+            F.broadcast(anchors.drop("heads")), ["anchor_len", "anchor_key"])
     else:
         # A repeated line makes one shingle key hot on the text side, and
         # copies of a passage make it hot on the passage side: salt it.
-        keyed = shingles.withColumn("k", F.struct("anchor_len", "anchor_key"))
+        keyed = _shingles(documents, lengths).withColumn("k", F.struct("anchor_len", "anchor_key"))
         akeyed = anchors.withColumn("k", F.struct("anchor_len", "anchor_key")).select("k", "query_id")
         hits = salted_hot_join(keyed.select("k", "doc_id"), akeyed, "k", salt_from=["doc_id"])
-    shared_dir(documents.sparkSession)
     candidates = hits.select("query_id", "doc_id").distinct().checkpoint()
     # A passage found in many copies makes its query_id hot: the passage side
     # has one row per query, so it is a lookup (broadcast when bounded).
