@@ -43,6 +43,7 @@ from pyspark.sql.types import (ArrayType, DataType, DoubleType, IntegerType, Lon
 
 from quarry.config import Bm25Params
 from quarry.functions.text import WORD_1PLUS, explode_values, word_tokens
+from quarry.functions.words import source_slices, word_lists, words_source
 from quarry.operators.dense import QUERY_CHUNK, Best, as_ids, candidate_schema
 from quarry.plans.joins import DEFAULT_BROADCAST_ROWS, salted_hot_join
 from quarry.plans.topk import (OUTPUT_PLACES, SCORE_PLACES, max_k, ranked, ranking_order, requested_k,
@@ -63,6 +64,12 @@ def tokenize(documents: DataFrame, pattern: str = TOKEN) -> DataFrame:
     return documents.filter("content IS NOT NULL").select("doc_id", word_tokens("content", pattern).alias("tokens"))
 
 
+def _sources(documents: DataFrame, pattern: str) -> DataFrame:
+    """(doc_id, words, bytes): the same documents and tokens, to be cut in the tasks (``word_lists``)."""
+    return documents.filter("content IS NOT NULL").select(
+        "doc_id", words_source(F.lower("content"), pattern).alias("words"), F.octet_length("content").alias("bytes"))
+
+
 def query_terms(queries: DataFrame, pattern: str = TOKEN) -> DataFrame:
     """Distinct (query_id, term) of each query (a blank query has none)."""
     return explode_values(queries, F.array_distinct(word_tokens("query", pattern)), "term",
@@ -76,28 +83,28 @@ def corpus_counts(documents: DataFrame, terms: DataFrame, pattern: str = TOKEN,
 
     Terms that are bounded are sent to the tasks, and each task counts in its own rows;
     beyond that the tokens meet the terms in a join."""
-    toks = tokenize(documents, pattern).select(F.size("tokens").cast("long").alias("doc_len"), "tokens")
     if terms.count() <= max_broadcast_rows:
         # Proven above: at most max_broadcast_rows terms pass through the driver.
         vocabulary = documents.sparkSession.sparkContext.broadcast(
             pa.array(sorted(r[0] for r in terms.toLocalIterator()), pa.string()))
-        each = toks.select("tokens").mapInArrow(_term_counter(vocabulary), "term string, df long, tokens long")
+        each = _sources(documents, pattern).select("words").mapInArrow(
+            _term_counter(vocabulary, pattern), "term string, df long, tokens long")
         return each.groupBy("term").agg(F.sum("df").alias("df"), F.sum("tokens").alias("tokens"))
+    toks = tokenize(documents, pattern).select(F.size("tokens").cast("long").alias("doc_len"), "tokens")
     wanted = terms.unionByName(documents.sparkSession.createDataFrame([("",)], "term string"))
     each = explode_values(toks, F.concat(F.array_distinct("tokens"), F.array(F.lit(""))), "term", keep=["doc_len"])
     return (each.join(wanted, "term", "left_semi").groupBy("term")
             .agg(F.count(F.lit(1)).alias("df"), F.sum("doc_len").alias("tokens")))
 
 
-def _term_counter(vocabulary):
-    """mapInArrow body: (tokens) -> (term, df, tokens) of the partition's documents."""
+def _term_counter(vocabulary, pattern: str):
+    """mapInArrow body: (words) -> (term, df, tokens) of the partition's documents."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = vocabulary.value
         docs, df, tokens = 0, np.zeros(len(words), np.int64), np.zeros(len(words) + 1, np.int64)
         for batch in batches:
-            for at in range(0, batch.num_rows, DOC_CHUNK):
-                lists = batch.column("tokens").slice(at, DOC_CHUNK)
-                doc, term, _, lengths = _term_documents(lists, words)
+            for _, part in source_slices(batch.column("words"), DOC_CHUNK):
+                doc, term, _, lengths = _term_documents(word_lists(part, pattern), words)
                 docs += len(lengths)
                 df += np.bincount(term, minlength=len(words))
                 tokens[:-1] += np.bincount(term, lengths[doc], len(words)).astype(np.int64)
@@ -123,8 +130,8 @@ def _term_documents(tokens: pa.ListArray, vocabulary: pa.Array) -> tuple[np.ndar
     return seen // max(len(vocabulary), 1), seen % max(len(vocabulary), 1), count, lengths
 
 
-def _block_scorer(block, avg_len: float, k: int, params: Bm25Params):
-    """mapInArrow body: (doc_id, tokens) -> the partition's best k per query."""
+def _block_scorer(block, avg_len: float, k: int, params: Bm25Params, pattern: str):
+    """mapInArrow body: (doc_id, words) -> the partition's best k per query."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         qids, baselines, vocabulary, first, query, idf = block.value
         best = [Best(min(QUERY_CHUNK, len(qids) - at), k) for at in range(0, len(qids), QUERY_CHUNK)]
@@ -132,10 +139,9 @@ def _block_scorer(block, avg_len: float, k: int, params: Bm25Params):
         for batch in batches:
             batch = batch.filter(pc.is_valid(batch.column("doc_id")))
             batch = batch.take(pc.sort_indices(batch.column("doc_id")))
-            for at in range(0, batch.num_rows, step):
-                part = batch.slice(at, step)
-                ids, gains = as_ids(part.column("doc_id").to_pylist()), _gains(
-                    part.column("tokens"), vocabulary, first, query, idf, len(qids), avg_len, params)
+            for at, part in source_slices(batch.column("words"), step):
+                ids, gains = as_ids(batch.column("doc_id").slice(at, len(part)).to_pylist()), _gains(
+                    word_lists(part, pattern), vocabulary, first, query, idf, len(qids), avg_len, params)
                 for c, b in enumerate(best):
                     at_q = c * QUERY_CHUNK
                     b.add(gains[at_q:at_q + len(b.ids)] + baselines[at_q:at_q + len(b.ids), None], ids)
@@ -192,14 +198,14 @@ def bm25_scores(documents: DataFrame, queries: DataFrame, params: Bm25Params = B
     idf = F.log((F.lit(float(corpus["df"])) + 1.0) / (F.col("df") + 0.5))
     qidf = qterms.join(counts, "term").select("query_id", "term", idf.alias("idf")).checkpoint()
     avg_len, blocks = corpus["tokens"] / corpus["df"], math.ceil(pairs / max(1, max_broadcast_rows))
-    docs = tokenize(documents, pattern)
+    docs = _sources(documents, pattern).select("doc_id", "words")
     for b in range(blocks):
         part = qidf if blocks == 1 else qidf.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
         # One block at a time passes through the driver, about max_broadcast_rows rows.
         rows = part.toPandas()
         if len(rows):
             block = spark.sparkContext.broadcast(_query_block(rows, params))
-            out = out.unionByName(docs.mapInArrow(_block_scorer(block, avg_len, k_max, params), schema))
+            out = out.unionByName(docs.mapInArrow(_block_scorer(block, avg_len, k_max, params, pattern), schema))
     return out
 
 
@@ -261,21 +267,21 @@ def _stored(spark, path: str, id_type: DataType) -> DataFrame:
     return spark.read.schema(_index_schema(id_type).add("term_bucket", IntegerType())).parquet(f"{path}/postings")
 
 
-def _block_postings(block_docs: int, schema: pa.Schema):
-    """mapInArrow body: (doc_id, tokens) -> one row for each block and term, and one
+def _block_postings(block_docs: int, schema: pa.Schema, pattern: str):
+    """mapInArrow body: (doc_id, words) -> one row for each block and term, and one
     with the term "" (no token is empty) that lists the block's documents."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = TaskContext.get().partitionId() << 40
         for batch in batches:
-            for at in range(0, batch.num_rows, block_docs):
-                yield pa.RecordBatch.from_pydict(
-                    _block_rows(batch.slice(at, block_docs), block), schema=schema)
+            for at, part in source_slices(batch.column("words"), block_docs):
+                yield pa.RecordBatch.from_pydict(_block_rows(
+                    batch.column("doc_id").slice(at, len(part)), word_lists(part, pattern), block), schema=schema)
                 block += 1
     return run
 
 
-def _block_rows(docs: pa.RecordBatch, block: int) -> dict[str, pa.Array]:
-    n, tokens = docs.num_rows, docs.column("tokens")
+def _block_rows(docs: pa.Array, tokens: pa.ListArray, block: int) -> dict[str, pa.Array]:
+    n = len(docs)
     lengths = np.diff(tokens.offsets.to_numpy())
     coded = tokens.flatten().dictionary_encode()
     code = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
@@ -296,7 +302,7 @@ def _block_rows(docs: pa.RecordBatch, block: int) -> dict[str, pa.Array]:
     return {"term": terms, "tile": pa.array(np.full(rows, block >> TILE_BLOCK_BITS)), "block": pa.array(np.full(rows, block)),
             "n": whole(np.diff(ends)), "max_tf": whole(np.maximum.reduceat(tfs, starts)),
             "min_len": whole(np.minimum.reduceat(lengths[pos], starts)), "pos": lists(pos),
-            "ids": pa.ListArray.from_arrays(pa.array(ends), docs.column("doc_id").take(pa.array(pos))),
+            "ids": pa.ListArray.from_arrays(pa.array(ends), docs.take(pa.array(pos))),
             "lens": lists(lengths[pos]), "tfs": lists(tfs)}
 
 
@@ -306,7 +312,7 @@ def build_bm25_index(documents: DataFrame, path: str, pattern: str = TOKEN,
     tfs: a row is a term in a block of documents), document frequencies (term_bucket,
     term, df) and corpus statistics. Texts are tokenized once.
 
-    Documents are put into blocks where they lie, by length, so that lengths in a
+    Documents are put into blocks where they lie, by their bytes, so that lengths in a
     block are alike and the bounds tight. The number of buckets (unless given) and of
     the tasks that write one term follow the corpus."""
     spark = documents.sparkSession
@@ -317,8 +323,8 @@ def build_bm25_index(documents: DataFrame, path: str, pattern: str = TOKEN,
     splits = max(1, math.ceil(n_docs / FILE_DOCS))
     id_type = documents.schema["doc_id"].dataType
     schema = _index_schema(id_type)
-    blocks = (tokenize(documents, pattern).sortWithinPartitions(F.size("tokens"), "doc_id")
-              .mapInArrow(_block_postings(block_docs, to_arrow_schema(schema)), schema)
+    blocks = (_sources(documents, pattern).sortWithinPartitions("bytes", "doc_id").drop("bytes")
+              .mapInArrow(_block_postings(block_docs, to_arrow_schema(schema), pattern), schema)
               .withColumn("term_bucket", _bucket("term", buckets)))
     # One shuffle at build time: rows of a bucket go to few tasks (few files per
     # folder), split by tile so that a very common word is written by several

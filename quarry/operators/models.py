@@ -26,6 +26,7 @@ from pyspark.sql.functions import arrow_udf
 from pyspark.sql.types import ArrayType, DoubleType, FloatType, StringType
 
 from quarry.functions.text import WHITESPACE, WORD_2PLUS, render_prompt, word_tokens
+from quarry.functions.words import source_slices, word_lists, words_source
 from quarry.operators.prep import null_to_empty
 
 BATCH_SIZE = 256
@@ -104,29 +105,37 @@ def first_words_generator(max_words: int | None = None, replies: int = 1):
 # ---------------------------------------------------------------------------
 
 class HashEncoder:
-    """The words are split in the JVM; a task hashes the distinct words of a batch
-    and adds their digits up, whatever the number of words in a text."""
+    """A task hashes the distinct words of a block of texts and adds their digits up,
+    whatever the number of words in a text."""
 
     def __init__(self, dims: int = 8, pattern: str = WORD_2PLUS):
         self.dims, self.pattern = dims, pattern
 
     def column(self, text: Column) -> Column:
-        return arrow_udf(_digit_sums(self.dims), ArrayType(FloatType()))(word_tokens(text, self.pattern))
-
-
-def _digit_sums(dims: int):
-    """Lists of words -> per list, the sum of the first ``dims`` hex digits of the words' md5."""
-    def sums(words: pa.Array) -> pa.Array:
-        bounds = words.offsets.to_numpy()
-        coded = words.flatten().dictionary_encode()
-        digests = np.frombuffer(b"".join(hashlib.md5(w.encode()).digest() for w in coded.dictionary.to_pylist()), np.uint8)
-        digits = np.stack([digests >> 4, digests & 15], axis=1).reshape(-1, 32)
-        code = coded.indices.to_numpy(zero_copy_only=False)
-        row = np.repeat(np.arange(len(words)), np.diff(bounds))
-        out = np.zeros((len(words), dims), np.float32)
-        for i in range(min(dims, 32)):
-            out[:, i] = np.bincount(row, digits[:, i].astype(np.float64)[code], len(words))
-        return pa.ListArray.from_arrays(pa.array(np.arange(len(words) + 1, dtype=np.int32) * dims), pa.array(out.ravel()))
+        sums = arrow_udf(_digit_sums(self.dims, self.pattern), ArrayType(FloatType()))
+        return sums(words_source(F.lower(F.coalesce(text, F.lit(""))), self.pattern))
+
+
+def _digit_sums(dims: int, pattern: str):
+    """Texts -> per text, the sum of the first ``dims`` hex digits of its words' md5."""
+    def sums(texts: pa.Array) -> pa.Array:
+        out = np.zeros((len(texts), dims), np.float32)
+        for at, part in source_slices(texts):
+            words = word_lists(part, pattern)
+            bounds = words.offsets.to_numpy()
+            coded = words.flatten().dictionary_encode()
+            digests = b"".join(hashlib.md5(w.encode()).digest() for w in coded.dictionary.to_pylist())
+            digests = np.frombuffer(digests, np.uint8).reshape(-1, 16).astype(np.uint64)
+            # Two digits of a word are added at once, in the halves of one number.
+            pairs = digests >> np.uint64(4) << np.uint64(32) | digests & np.uint64(15)
+            code = coded.indices.to_numpy(zero_copy_only=False)
+            for i in range(0, min(dims, 32), 2):
+                before = np.concatenate([np.zeros(1, np.uint64), np.cumsum(pairs[:, i // 2][code], dtype=np.uint64)])
+                both = np.diff(before[bounds - bounds[0]])
+                out[at:at + len(part), i] = both >> np.uint64(32)
+                if i + 1 < dims:
+                    out[at:at + len(part), i + 1] = both & np.uint64(0xFFFFFFFF)
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1, dtype=np.int32) * dims), pa.array(out.ravel()))
     return sums
 
 

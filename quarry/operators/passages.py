@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
 
 from quarry.functions.text import WORD_1PLUS, explode_values
+from quarry.functions.words import source_slices, word_lists, words_source
 from quarry.plans.joins import (DEFAULT_BROADCAST_ROWS, is_bounded, join_small_to_big, lookup_join,
                                 salted_hot_join)
 from quarry.session import shared_dir
@@ -28,8 +29,6 @@ from quarry.session import shared_dir
 ANCHOR_WORDS = 8
 # Words of an anchor that are looked up one by one before its key is taken.
 HEAD_WORDS = 3
-# Words of texts that a task holds hashed at once.
-WORDS_AT_ONCE = 1_000_000
 ANCHOR_FIELDS = [StructField("anchor_len", IntegerType()), StructField("anchor_key", LongType())]
 # Passages of one or two words looked for in one scan of the texts, about.
 SHORT_BLOCK = 1_000
@@ -94,25 +93,17 @@ def _shingles(documents: DataFrame, lengths: list[int], wanted=None) -> DataFram
     with ``wanted`` (a broadcast ``_anchor_index``) only those that are an anchor's."""
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in _word_slices(batch):
-                yield from _shingle_rows(part, lengths, wanted.value if wanted is not None else None)
+            for at, part in source_slices(batch.column("w")):
+                yield from _shingle_rows(batch.column("doc_id").slice(at, len(part)), word_lists(part, WORD_1PLUS),
+                                         lengths, wanted.value if wanted is not None else None)
 
     schema = StructType([documents.schema["doc_id"], *ANCHOR_FIELDS])
-    return documents.select("doc_id", _words("content").alias("w")).mapInArrow(keyed, schema)
+    words = words_source(F.coalesce("content", F.lit("")), WORD_1PLUS)
+    return documents.select("doc_id", words.alias("w")).mapInArrow(keyed, schema)
 
 
-def _word_slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """Runs of rows with at most ``WORDS_AT_ONCE`` words (one row at least)."""
-    bounds = batch.column("w").offsets.to_numpy()
-    at = 0
-    while at < batch.num_rows:
-        to = max(at + 1, int(np.searchsorted(bounds, bounds[at] + WORDS_AT_ONCE, side="right")) - 1)
-        yield batch.slice(at, to - at)
-        at = to
-
-
-def _shingle_rows(batch: pa.RecordBatch, lengths: list[int], wanted: dict | None) -> Iterator[pa.RecordBatch]:
-    words = batch.column("w")
+def _shingle_rows(ids: pa.Array, words: pa.ListArray, lengths: list[int],
+                  wanted: dict | None) -> Iterator[pa.RecordBatch]:
     each, coded = _hashed(words)
     code = coded.indices.to_numpy(zero_copy_only=False)
     hashes, sizes = each[code], np.diff(words.offsets.to_numpy())
@@ -130,7 +121,7 @@ def _shingle_rows(batch: pa.RecordBatch, lengths: list[int], wanted: dict | None
             first, found = first[same], found[same]
         if len(first):
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").take(pa.array(row[first])), pa.array(np.full(len(first), n, np.int32)),
+                [ids.take(pa.array(row[first])), pa.array(np.full(len(first), n, np.int32)),
                  pa.array(found)], ["doc_id", "anchor_len", "anchor_key"])
 
 
