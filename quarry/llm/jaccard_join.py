@@ -48,6 +48,8 @@ from quarry.llm.shingles import distinct_sets
 
 #: Buckets of the shingle counts: 2**BUCKET_BITS numbers, whatever the corpus.
 BUCKET_BITS = 18
+#: Bits of a shingle's hash by which documents meet (all links are verified on whole texts).
+TOKEN_BITS = 48
 #: A shingle is hot when its bucket holds this many times the mean.
 HOT = 4
 #: Tasks over which the rows of a hot shingle are dealt.
@@ -109,7 +111,9 @@ def _profile(batches: Iterator[pa.RecordBatch], sets_of: SetsOf) -> Iterator[pa.
 
 
 def _prefixes(buckets, sets_of: SetsOf) -> object:
-    """Prefix rows (token, id, n, pos, hot) of each document, rare first."""
+    """Prefix rows (token, id, place) of each document, rare first. ``place`` holds n and
+    pos, inverted when the shingle is hot; of a hash the first ``TOKEN_BITS`` go on (two
+    shingles that agree in them share their bucket; they add candidates and lose none)."""
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, hot = buckets.value
         for batch in batches:
@@ -123,12 +127,13 @@ def _prefixes(buckets, sets_of: SetsOf) -> object:
                 size = np.fromiter(map(len, tokens), np.int64, len(tokens))
                 flat = np.concatenate([np.zeros(0, np.uint64), *tokens])
                 row = np.repeat(np.arange(len(sets)), size)
-                n = np.fromiter(map(len, sets), np.int32, len(sets))
+                n = np.fromiter(map(len, sets), np.int64, len(sets))
                 pos = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
+                place = n[row] << 32 | pos
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(flat.view(np.int64)), part.column("doc_id").take(pa.array(row)),
-                     pa.array(n[row]), pa.array(pos.astype(np.int32)),
-                     pa.array(counts[_bucket(flat)] > hot)], ["token", "id", "n", "pos", "hot"])
+                    [pa.array((flat >> np.uint64(64 - TOKEN_BITS)).astype(np.int64)),
+                     part.column("doc_id").take(pa.array(row)),
+                     pa.array(np.where(counts[_bucket(flat)] > hot, ~place, place))], ["token", "id", "place"])
     return emit
 
 
@@ -197,13 +202,18 @@ def _links(pairs: DataFrame, texts: DataFrame, sizes: DataFrame, sets_of: SetsOf
             .mapInArrow(lean(_verifier(sets_of)), "a long, b long").distinct())
 
 
+def _n_and_pos() -> list[Column]:
+    place = F.when(F.col("place") < 0, F.bitwise_not("place")).otherwise(F.col("place"))
+    return [F.shiftright(place, 32).cast("int").alias("n"), place.bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias("pos")]
+
+
 def _groups(rows: DataFrame) -> DataFrame:
-    """Prefix rows whose shingle has other documents too. Hot shingles are kept
-    as they are, and their rows are dealt over many tasks."""
-    salt = F.when(F.col("hot"), F.pmod(F.xxhash64("id"), F.lit(HOT_SALTS))).otherwise(-1)
+    """Prefix rows (token, id, n, pos) whose shingle has other documents too. Hot shingles
+    are kept as they are, and their rows are dealt over many tasks."""
+    salt = F.when(F.col("place") < 0, F.pmod(F.xxhash64("id"), F.lit(HOT_SALTS))).otherwise(-1)
     rows = rows.withColumn("salt", salt)
     among = F.count(F.lit(1)).over(Window.partitionBy("token", "salt"))
-    return rows.withColumn("among", among).filter("hot OR among > 1").select("token", "id", "n", "pos")
+    return rows.withColumn("among", among).filter("place < 0 OR among > 1").select("token", "id", *_n_and_pos())
 
 
 def _link_rounds(rows: DataFrame, texts: DataFrame, sizes: DataFrame, sets_of: SetsOf) -> DataFrame:
@@ -232,7 +242,7 @@ def _link_rounds(rows: DataFrame, texts: DataFrame, sizes: DataFrame, sets_of: S
         else:
             # The pivot has the fewest rarer shingles before this one: of a group of
             # near copies, the one with the fewest words of its own.
-            one = F.struct("served", "pos", F.xxhash64("id"), "c", "id", "n")
+            one = F.struct("served", "pos", F.hash("id"), "c", "id", "n")
             p = open_rows.groupBy("token").agg(F.min(one).alias("p"), F.min("c").alias("low"), F.max("c").alias("high"))
             p = p.filter("low < high").select("token", "p.*")
         p = p.select("token", *[F.col(c).alias(f"p_{c}") for c in ("c", "id", "n", "pos")])
@@ -263,7 +273,7 @@ def _by_length(rows: DataFrame) -> DataFrame:
     """Prefix rows in partitions of set length. A partition ends at 4/3 of its
     start, so sets that link are in one partition or in neighbouring ones: each
     document takes part in its own and in the next."""
-    part = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(4 / 3)) + LENGTH_SLACK)
+    part = F.floor(F.log(_n_and_pos()[0].cast("double")) / F.log(F.lit(4 / 3)) + LENGTH_SLACK)
     parts = rows.withColumn("part", F.explode(F.array(part, part + 1)))
     return parts.withColumn("token", F.xxhash64("token", "part")).drop("part")
 
@@ -291,7 +301,7 @@ def jaccard_classes(docs: DataFrame, sets_of: SetsOf = distinct_sets, by_length:
     buckets = spark.sparkContext.broadcast((counts, HOT * max(1.0, float(counts.mean()))))
     texts = docs.filter("doc_id IS NOT NULL").join(small_side(copies, BROADCAST_ROWS), ["doc_id", "text_hash"], "left_anti")
     prefix = texts.select("doc_id", "text").mapInArrow(
-        lean(_prefixes(buckets, sets_of)), "token long, id long, n int, pos int, hot boolean")
+        lean(_prefixes(buckets, sets_of)), "token long, id long, place long")
     shared = pinned(_groups(_by_length(prefix) if by_length else prefix), "prefixes")
     # Rows that share an id keep each its own sizes: any of their texts may link.
     sizes = named.select(F.col("doc_id").alias("id"), "n", "ranges").distinct()

@@ -91,3 +91,27 @@ def test_components_of_chains_and_stars(spark):
     df = spark.createDataFrame(links, "a long, b long")
     got = dict(tuple(r) for r in CC.components(df).collect())
     assert got == {i: 0 for i in range(61)} | {i: 100 for i in range(100, 140)} | {200: 200, 300: 200}
+
+
+def test_prefix_rows_are_narrow_and_unpack(spark):
+    """op5's disk: a prefix row is three numbers on its way to its group."""
+    import numpy as np
+    import pyarrow as pa
+
+    from quarry.llm import jaccard_join as J
+    from quarry.llm.shingles import distinct_sets
+
+    words = " ".join(f"w{i}" for i in range(40))
+    counts = np.ones(1 << J.BUCKET_BITS, np.int64)
+    sets = distinct_sets(pa.array([words]))[0]
+    counts[J._bucket(sets[-1:])] = 9
+    buckets = spark.sparkContext.broadcast((counts, 4.0))
+    batch = pa.RecordBatch.from_pydict({"doc_id": [7, 8], "text": [words, words]})
+    out = pa.Table.from_batches(J._prefixes(buckets, distinct_sets)(iter([batch])))
+    assert out.column_names == ["token", "id", "place"] and max(out["token"].to_pylist()) < 1 << J.TOKEN_BITS
+    rows = J._groups(spark.createDataFrame(out.to_pandas())).collect()
+    length = len(sets) - (3 * len(sets) + 3) // 4 + 1
+    assert sorted((r["id"], r["n"], r["pos"]) for r in rows) == [(i, len(sets), p) for i in (7, 8) for p in range(length)]
+    # A hot shingle's row stays even when its group has no other document.
+    hot = spark.createDataFrame([(5, 1, ~((3 << 32) | 2)), (6, 1, (3 << 32) | 1)], "token long, id long, place long")
+    assert [tuple(r) for r in J._groups(hot).collect()] == [(5, 1, 3, 2)]
