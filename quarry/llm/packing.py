@@ -33,9 +33,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import lean, list_column, pinned, read_table, text_slices
+from quarry.llm.common import SLICE_BYTES, lean, list_column, pinned, read_table, text_slices
 from quarry.llm.token_files import ids_crc32
-from quarry.llm.tokens import TOKEN_SLICE_BYTES, with_end, word_tokenizer
+from quarry.llm.tokens import with_end, word_tokenizer
 
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 1
@@ -44,7 +44,7 @@ CAPACITY = 4096
 PARTITION_PIECES = 50_000
 #: Rounds go on while the exchange pool loses this share of its documents or more.
 SHRINK = 1 / 4
-PIECES = "piece_id long, doc_id long, piece int, start long, length long, ids array<int>"
+PIECES = "piece_id long, doc_id long, piece int, start long, length long, ids array<int>, ids_crc32 long"
 PLAN = "piece_id long, length int, bin int, offset long, bound int, bins int, keep boolean, part long"
 
 
@@ -52,12 +52,13 @@ def cut_pieces(docs: DataFrame, tokenizer: str = TOKENIZER, end_id: int = END_ID
                capacity: int = CAPACITY) -> DataFrame:
     """Tokenise whole texts and cut the documents longer than ``capacity``.
 
+    A piece's digest is taken where its ids are, so they are not read again for it.
     ``piece_id`` numbers the pieces within their task; pin the result before
     use, so that every later read sees the same numbers."""
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, next_id = word_tokenizer(tokenizer), TaskContext.get().partitionId() << 33
         for batch in batches:
-            for part in text_slices(batch, "text", TOKEN_SLICE_BYTES):
+            for part in text_slices(batch, "text", SLICE_BYTES):
                 ids, counts = with_end(*words.encode(part.column("text")), end_id)
                 per_doc = -(-counts // capacity)
                 row = np.repeat(np.arange(len(counts)), per_doc)
@@ -68,8 +69,9 @@ def cut_pieces(docs: DataFrame, tokenizer: str = TOKENIZER, end_id: int = END_ID
                     [pa.array(next_id + np.arange(len(row)), pa.int64()),
                      part.column("doc_id").take(pa.array(row)), pa.array(piece, pa.int32()),
                      pa.array(start, pa.int64()), pa.array(length, pa.int64()),
-                     list_column(ids.astype(np.int32), length, pa.int32())],
-                    ["piece_id", "doc_id", "piece", "start", "length", "ids"])
+                     list_column(ids.astype(np.int32), length, pa.int32()),
+                     pa.array(ids_crc32(ids, np.append(0, np.cumsum(length))), pa.int64())],
+                    ["piece_id", "doc_id", "piece", "start", "length", "ids", "ids_crc32"])
                 next_id += len(row)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lean(cut), PIECES)
 
@@ -178,21 +180,10 @@ def packed_pieces(pieces: DataFrame, capacity: int = CAPACITY, **options) -> Dat
     return pieces.join(pack(pieces, capacity, **options), "piece_id")
 
 
-def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        lists = batch.column("ids")
-        bounds = lists.offsets.to_numpy()
-        crc = ids_crc32(lists.flatten().to_numpy(zero_copy_only=False), bounds - bounds[0])
-        names = ["piece_id", "doc_id", "piece", "start", "length"]
-        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(crc, pa.int64())],
-                                         [*names, "ids_crc32"])
-
-
 def pack_documents(docs: DataFrame) -> DataFrame:
     """Pack whole documents; one row per piece with its ids' digest and place."""
     pieces = pinned(cut_pieces(docs), "pieces")
-    digests = pieces.mapInArrow(lean(_digest), "piece_id long, doc_id long, piece int, start long, length long, ids_crc32 long")
-    return digests.join(pack(pieces), "piece_id").drop("piece_id")
+    return pieces.drop("ids").join(pack(pieces), "piece_id").drop("piece_id")
 
 
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
