@@ -41,7 +41,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarry.llm.common import join_null_safe, lean, let, pinned, read_table, small_side, text_slices, unused
+from quarry.llm.common import (
+    TEXT_BATCH_ROWS, arrow_batches, join_null_safe, lean, let, pinned, read_table, small_side, text_slices, unused)
 
 UNKNOWN = "und"
 #: Rows of each label that the trigram counts are taken from: all of them, or
@@ -49,6 +50,8 @@ UNKNOWN = "und"
 TRAIN_ROWS = 20_000
 #: Labels that a training task counts at once (256 KB each) before it sends them on.
 HELD_LABELS = 64
+#: Text bytes looked at at once; a task holds about 30 bytes for each.
+GRAM_SLICE_BYTES = 512 << 10
 GRAM_BITS = 15
 TEMPER = 0.25
 STRENGTH = 5.0
@@ -87,7 +90,10 @@ def train(labelled: DataFrame, train_rows: int = TRAIN_ROWS) -> tuple[list[str],
     if not classes:
         return [], np.zeros((1, 1 << GRAM_BITS), np.float32)
     shares = [(lang, c, int(min(1.0, train_rows / n) * (1 << 30))) for c, (lang, n) in enumerate(by_label)]
-    shares = labelled.sparkSession.createDataFrame(shares, "lang string, c long, share long")
+    # From Arrow: a list of rows would start Python workers of its own, which stay beside those of the tasks.
+    shares = labelled.sparkSession.createDataFrame(pa.table(
+        [pa.array(values, kind) for values, kind in zip(zip(*shares), (pa.string(), pa.int64(), pa.int64()))],
+        ["lang", "c", "share"]))
     sample = labelled.join(F.broadcast(shares), "lang").filter(
         F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < F.col("share")).select("c", "text")
 
@@ -99,7 +105,7 @@ def train(labelled: DataFrame, train_rows: int = TRAIN_ROWS) -> tuple[list[str],
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = {}
         for batch in batches:
-            for part in text_slices(batch, "text"):
+            for part in text_slices(batch, "text", GRAM_SLICE_BYTES):
                 code, first, last = _grams(part.column("text"))
                 for c, a, b in zip(part.column("c").to_pylist(), first, last, strict=True):
                     if c not in sums:
@@ -111,7 +117,9 @@ def train(labelled: DataFrame, train_rows: int = TRAIN_ROWS) -> tuple[list[str],
         yield from written(sums)
 
     # At most classes * 2**GRAM_BITS rows.
-    found = sample.mapInArrow(lean(count), "c long, g long, n long").groupBy("c", "g").agg(F.sum("n").alias("n")).toArrow()
+    found = sample.mapInArrow(lean(count), "c long, g long, n long").groupBy("c", "g").agg(F.sum("n").alias("n"))
+    with arrow_batches(labelled.sparkSession, TEXT_BATCH_ROWS):
+        found = found.toArrow()
     c, g, n = (found.column(x).to_numpy() for x in ("c", "g", "n"))
     order = np.argsort(c, kind="stable")
     c, g, n = c[order], g[order], n[order]
@@ -131,7 +139,7 @@ def _scorer(table):
     """Adds ``ll``, the tempered log likelihoods of the classes, and drops the text."""
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in text_slices(batch, "text"):
+            for part in text_slices(batch, "text", GRAM_SLICE_BYTES):
                 code, first, last = _grams(part.column("text"))
                 lls = np.empty((part.num_rows, len(table.value)))
                 for j, logs in enumerate(table.value):
@@ -194,7 +202,7 @@ def identify(rows: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame:
     rows = rows.select(F.struct(*names).alias("given"), *EVIDENCE, "text")
     schema = T.StructType([f for f in rows.schema if f.name != "text"]).add("ll", T.ArrayType(T.DoubleType()))
     scored = rows.mapInArrow(lean(_scorer(rows.sparkSession.sparkContext.broadcast(table))), schema)
-    scored = pinned(scored.withColumn("p", _softmax(F.col("ll"))), "language_text")
+    scored = pinned(scored.withColumn("p", _softmax(F.col("ll"))), "language_text", TEXT_BATCH_ROWS)
     priors = pinned(host_priors(scored, n), "host_priors")
     out = scored.join(small_side(priors, BROADCAST_ROWS), ["suffix", "domain", "host"])
     for c in ("declared", "address"):

@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import SLICE_BYTES, lean, list_column, pinned, read_table, text_slices
+from quarry.llm.common import SLICE_BYTES, TEXT_BATCH_ROWS, lean, list_column, pinned, read_table, text_slices
 from quarry.llm.token_files import ids_crc32
 from quarry.llm.tokens import with_end, word_tokenizer
 
@@ -182,7 +182,7 @@ def packed_pieces(pieces: DataFrame, capacity: int = CAPACITY, **options) -> Dat
 
 def pack_documents(docs: DataFrame) -> DataFrame:
     """Pack whole documents; one row per piece with its ids' digest and place."""
-    pieces = pinned(cut_pieces(docs), "pieces")
+    pieces = pinned(cut_pieces(docs), "pieces", TEXT_BATCH_ROWS)
     return pieces.drop("ids").join(pack(pieces), "piece_id").drop("piece_id")
 
 

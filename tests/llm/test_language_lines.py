@@ -4,10 +4,12 @@ import hashlib
 import math
 import random
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from quarry.llm import language as L
 from quarry.llm import line_dedup as D
+from quarry.llm.common import TEXT_BATCH_ROWS, pinned
 
 SF = "/root/testdata/sf0.01"
 
@@ -44,6 +46,33 @@ def test_every_label_is_a_class(spark):
     assert L.keep_identified(docs).count() == len(rows)
 
 
+def test_training_starts_no_workers_but_the_tasks(spark, monkeypatch):
+    docs = [(i, f"word{i % 2} text of lang{i % 2}", f"l{i % 2}") for i in range(40)]
+    docs = spark.createDataFrame(docs, "doc_id long, text string, lang string").localCheckpoint()
+
+    def refused(*_):
+        raise AssertionError("a table of rows pickled through Python workers")
+    monkeypatch.setattr("pyspark.core.rdd.RDD._to_java_object_rdd", refused)
+    assert L.train(docs)[0] == ["l0", "l1", L.UNKNOWN]
+
+
+def test_text_batches_are_bounded(spark):
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], ["n"])
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    rows, before = spark.range(5_000, numPartitions=1).mapInArrow(sizes, "n long"), spark.conf.get(key)
+    found = [r["n"] for r in pinned(rows, "sizes", TEXT_BATCH_ROWS).collect()]
+    assert sum(found) == 5_000 and max(found) <= TEXT_BATCH_ROWS
+    assert [r["n"] for r in pinned(rows, "sizes").collect()] == [5_000]
+    assert spark.conf.get(key) == before
+    spark.conf.set(key, "700")          # a smaller setting stays
+    try:
+        assert max(r["n"] for r in pinned(rows, "sizes", TEXT_BATCH_ROWS).collect()) == 700
+    finally:
+        spark.conf.set(key, before)
+
+
 def test_rare_label_keeps_its_training_rows(spark, monkeypatch):
     rare = [(i, f"kvæði um skáld og ljóð {i}", "is") for i in range(20)]
     common = [(100 + i, f"the poem of the poet {i}", "en") for i in range(3000)]
