@@ -12,15 +12,17 @@ sets is at least 3/4. Shingles are 64-bit hashes; texts are verified whole.
 3. Documents meet on those prefix shingles, under the length filter
    (4 * shorter >= 3 * longer) and the positional filter (of the first shingle
    that two documents share, no more can be shared than is left on either side;
-   the pair needs one shingle that passes). Distinct pairs then pass the
+   prefix shingles that no other document has are left out there; the pair needs
+   one shingle that passes). A shingle is dropped when all its documents have the
+   same prefix shingle just before it: they meet there. Distinct pairs then pass the
    suffix filter (sizes of 16 hash ranges bound the overlap) and are verified
    once against the texts.
 4. A shingle's documents are not paired off with each other first. In rounds
    each shingle's documents are compared with one pivot of their group, and
    links become components. Only pairs across components are still open; when
    few enough are left (linear in the rows), or a round no longer halves them, they
-   are enumerated, all of them. No pair inside a
-   component can change the result, so no link is lost.
+   are enumerated, all of them, a pair on the first shingles it shares only. No pair
+   inside a component can change the result, so no link is lost.
 
 Hot shingles (buckets far over the mean) are told apart when emitted and their
 rows dealt over many tasks; later they meet only in aggregates that combine
@@ -62,6 +64,8 @@ BROADCAST_PIVOTS = 200_000
 #: Above it rounds go on as long as each halves the open pairs.
 OPEN_PAIRS_PER_ROW = 0.5
 LATER_PAIRS_PER_ROW = 4
+#: Open shingles just before a row's own that it carries when pairs are enumerated.
+EARLIER = 4
 #: Members that one task compares with one copy of a pivot's text, about.
 PER_PIVOT = 256
 RANGES = 16
@@ -216,6 +220,37 @@ def _groups(rows: DataFrame) -> DataFrame:
     return rows.withColumn("among", among).filter("place < 0 OR among > 1").select("token", "id", *_n_and_pos())
 
 
+def _listed(rows: DataFrame) -> DataFrame:
+    """``rows`` of ``_groups`` with ``nth``, the place in the list of the document's rows,
+    and ``last``, the shingle before. ``pos`` grows to a place from which on the prefix
+    holds no more shingles than the list does: those of no other document are shared with none.
+
+    Rows of one id and set size are one list, whatever their texts: ``pos`` then grows by
+    less. It never falls along a list, so where a pair passes, it passes earlier too."""
+    own = Window.partitionBy("id", "n")
+    length = F.col("n") - F.ceil(3 * F.col("n") / 4) + 1
+    rows = rows.withColumns({"nth": F.row_number().over(own.orderBy("pos", "token")),
+                             "last": F.lag("token").over(own.orderBy("pos", "token")),
+                             "listed": F.count(F.lit(1)).over(own)})
+    pos = F.greatest("pos", length - (F.col("listed") - F.col("nth") + 1)).cast("int")
+    return rows.select("token", "id", "n", pos.alias("pos"), "nth", "last")
+
+
+def _needed(rows: DataFrame) -> DataFrame:
+    """``rows`` of ``_listed`` (pinned) without shingles whose documents all meet on one
+    shingle just before."""
+    again = rows.groupBy("token").agg(F.min("last").alias("low"), F.max("last").alias("high"),
+                                      F.count("last").alias("after"), F.count(F.lit(1)).alias("all"))
+    again = again.filter("low = high AND after = all").select("token")
+    return rows.join(again, "token", "left_anti").drop("last")
+
+
+def _once(rows: DataFrame) -> DataFrame:
+    """Open ``rows`` with ``earlier``, the open shingles just before in their list."""
+    before = Window.partitionBy("id", "n").orderBy("nth").rowsBetween(-EARLIER, -1)
+    return rows.withColumn("earlier", F.collect_list("token").over(before))
+
+
 def _link_rounds(rows: DataFrame, texts: DataFrame, sizes: DataFrame, sets_of: SetsOf) -> DataFrame:
     """All links needed for the components of the prefix rows."""
     n_rows = rows.count()
@@ -237,7 +272,7 @@ def _link_rounds(rows: DataFrame, texts: DataFrame, sizes: DataFrame, sets_of: S
         before = left
         if last:
             # One side of every open pair is outside its shingle's main component.
-            open_rows = open_rows.join(tokens.select("token", "main"), "token")
+            open_rows = pinned(_once(open_rows.join(tokens.select("token", "main"), "token")), "last")
             p = open_rows.filter("c <> main")
         else:
             # The pivot has the fewest rarer shingles before this one: of a group of
@@ -245,12 +280,16 @@ def _link_rounds(rows: DataFrame, texts: DataFrame, sizes: DataFrame, sets_of: S
             one = F.struct("served", "pos", F.hash("id"), "c", "id", "n")
             p = open_rows.groupBy("token").agg(F.min(one).alias("p"), F.min("c").alias("low"), F.max("c").alias("high"))
             p = p.filter("low < high").select("token", "p.*")
-        p = p.select("token", *[F.col(c).alias(f"p_{c}") for c in ("c", "id", "n", "pos")])
+        p = p.select("token", *[F.col(c).alias(f"p_{c}") for c in p.columns if c in ("c", "id", "n", "pos", "earlier")])
         met = open_rows.join(p, "token")
-        if not last:
+        if last:
+            # From one side only, and not where both have one more shingle just before.
+            met = met.filter(((F.col("c") == F.col("main")) | (F.col("id") < F.col("p_id")))
+                             & ~F.arrays_overlap("earlier", "p_earlier"))
+        else:
             met = pinned(met, f"met_{round_no}")
-        # Every shingle that two documents share passes here once; the filter holds
-        # for the first of them, so a pair that links is never lost.
+        # The first shingle that two documents share passes here once, and the filter
+        # holds for it, so a pair that links is never lost.
         pairs = met.filter((F.col("c") != F.col("p_c")) & _similar_size("", "p_")
                            & _enough(_rest("", "p_"), "", "p_"))
         pairs = pairs.select(F.greatest("id", "p_id").alias("a"), F.least("id", "p_id").alias("b")).distinct()
@@ -264,7 +303,7 @@ def _link_rounds(rows: DataFrame, texts: DataFrame, sizes: DataFrame, sets_of: S
         tried = pairs if tried is None else tried.unionByName(pairs)
         label = components(links).select(F.col("node").alias("id"), F.col("component").alias("label"))
         open_rows = pinned(met.join(label, "id", "left").select(
-            "token", "id", "n", "pos", F.coalesce("label", "id").alias("c"),
+            "token", "id", "n", "pos", "nth", F.coalesce("label", "id").alias("c"),
             (F.col("served") | (F.col("id") == F.col("p_id"))).alias("served")), f"open_{round_no}")
     return links
 
@@ -302,7 +341,8 @@ def jaccard_classes(docs: DataFrame, sets_of: SetsOf = distinct_sets, by_length:
     texts = docs.filter("doc_id IS NOT NULL").join(small_side(copies, BROADCAST_ROWS), ["doc_id", "text_hash"], "left_anti")
     prefix = texts.select("doc_id", "text").mapInArrow(
         lean(_prefixes(buckets, sets_of)), "token long, id long, place long")
-    shared = pinned(_groups(_by_length(prefix) if by_length else prefix), "prefixes")
+    listed = pinned(_listed(_groups(_by_length(prefix) if by_length else prefix)), "prefixes")
+    shared = pinned(_needed(listed), "needed")
     # Rows that share an id keep each its own sizes: any of their texts may link.
     sizes = named.select(F.col("doc_id").alias("id"), "n", "ranges").distinct()
     links = _link_rounds(shared, texts.select("doc_id", "text"), sizes, sets_of)

@@ -115,3 +115,48 @@ def test_prefix_rows_are_narrow_and_unpack(spark):
     # A hot shingle's row stays even when its group has no other document.
     hot = spark.createDataFrame([(5, 1, ~((3 << 32) | 2)), (6, 1, (3 << 32) | 1)], "token long, id long, place long")
     assert [tuple(r) for r in J._groups(hot).collect()] == [(5, 1, 3, 2)]
+
+
+def test_documents_meet_on_the_first_shingles_they_share(spark):
+    """The pipeline's check: a group's pairs came up once for each shingle they share."""
+    # Documents 1 to 6 share prefix shingles 100 to 109, in place 5 to 14; 1 and 2 have 50 too.
+    rows = [(t, i, 80, t - 95) for i in range(1, 7) for t in range(100, 110)] + [(50, 1, 80, 3), (50, 2, 80, 4)]
+    df = spark.createDataFrame(rows, "token long, id long, n int, pos int")
+    listed = J.pinned(J._listed(df), "listed")
+    # A prefix has 21 shingles, so a list of 10 (or 11) can share no more than these of it.
+    pos = {(r["id"], r["token"]): (r["pos"], r["nth"]) for r in listed.collect()}
+    assert pos[3, 100] == (11, 1) and pos[3, 109] == (20, 10) and pos[1, 50] == (10, 1) and pos[1, 100] == (11, 2)
+    needed = J.pinned(J._needed(listed), "needed")
+    assert sorted({r["token"] for r in needed.collect()}) == [50, 100]
+    once = {(r["id"], r["token"]): r["earlier"] for r in J._once(needed).collect()}
+    assert once[1, 50] == [] and once[1, 100] == [50] == once[2, 100] and once[3, 100] == []
+
+
+def test_lists_of_one_id_keep_the_wider_bound(spark):
+    # Two texts of one id and size: 22 rows in one list, of which no place may grow.
+    rows = [(t, 1, 40, t % 11) for t in range(22)] + [(t, 2, 40, t % 11) for t in range(11)]
+    df = spark.createDataFrame(rows, "token long, id long, n int, pos int")
+    assert all(r["pos"] == r["token"] % 11 for r in J._listed(df).collect())
+
+
+@pytest.mark.parametrize("few", [0.01, 1e9])
+def test_families_of_far_copies_match_all_pairs(spark, monkeypatch, few):
+    monkeypatch.setattr(J, "OPEN_PAIRS_PER_ROW", few)
+    rng = random.Random(5)
+    vocab = [f"w{i}" for i in range(3000)]
+    rows = []
+    for _ in range(6):  # few edits link, more do not; lengths from 3/4 to 4/3 of the base
+        base = [rng.choice(vocab) for _ in range(rng.choice([30, 120, 300]))]
+        for _ in range(40):
+            w = list(base)
+            for _ in range(rng.randint(0, max(1, len(w) // 18))):
+                w[rng.randrange(len(w))] = rng.choice(vocab)
+            cut = rng.randint(0, len(w) // 3)
+            w = w[cut:] if rng.random() < 0.3 else w + [rng.choice(vocab) for _ in range(cut if rng.random() < 0.3 else 0)]
+            rows.append((len(rows) if rng.random() < 0.8 else rng.randrange(240), " ".join(w)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for by_length in (False, True):
+        got = J.jaccard_classes(df.repartition(4), by_length=by_length).select("doc_id", "n_shingles", "component_id")
+        want = brute(rows)
+        assert 20 < len({c for _, _, c in want}) < 200
+        assert sorted((tuple(r) for r in got.collect()), key=str) == want
