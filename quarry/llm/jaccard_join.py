@@ -12,8 +12,7 @@ sets is at least 3/4. Shingles are 64-bit hashes; texts are verified whole.
 3. Documents meet on those prefix shingles, under the length filter
    (4 * shorter >= 3 * longer) and the positional filter (of the first shingle
    that two documents share, no more can be shared than is left on either side;
-   prefix shingles that no other document has are left out there; the pair needs
-   one shingle that passes). A shingle is dropped when all its documents have the
+   the pair needs one shingle that passes). A shingle is dropped when all its documents have the
    same prefix shingle just before it: they meet there. Distinct pairs then pass the
    suffix filter (sizes of 16 hash ranges bound the overlap) and are verified
    once against the texts.
@@ -222,18 +221,10 @@ def _groups(rows: DataFrame) -> DataFrame:
 
 def _listed(rows: DataFrame) -> DataFrame:
     """``rows`` of ``_groups`` with ``nth``, the place in the list of the document's rows,
-    and ``last``, the shingle before. ``pos`` grows to a place from which on the prefix
-    holds no more shingles than the list does: those of no other document are shared with none.
-
-    Rows of one id and set size are one list, whatever their texts: ``pos`` then grows by
-    less. It never falls along a list, so where a pair passes, it passes earlier too."""
-    own = Window.partitionBy("id", "n")
-    length = F.col("n") - F.ceil(3 * F.col("n") / 4) + 1
-    rows = rows.withColumns({"nth": F.row_number().over(own.orderBy("pos", "token")),
-                             "last": F.lag("token").over(own.orderBy("pos", "token")),
-                             "listed": F.count(F.lit(1)).over(own)})
-    pos = F.greatest("pos", length - (F.col("listed") - F.col("nth") + 1)).cast("int")
-    return rows.select("token", "id", "n", pos.alias("pos"), "nth", "last")
+    and ``last``, the shingle before. Rows of one id and set size are one list, whatever
+    their texts; ``pos`` never falls along it, so where a pair passes, it passes earlier too."""
+    own = Window.partitionBy("id", "n").orderBy("pos", "token")
+    return rows.withColumns({"nth": F.row_number().over(own), "last": F.lag("token").over(own)})
 
 
 def _needed(rows: DataFrame) -> DataFrame:
