@@ -77,3 +77,49 @@ def test_few_and_none(spark):
     df = spark.createDataFrame([(0, [1.0, 2.0], 0.0), (1, [2.0, 1.0], 0.0), (20, [1.0, 1.0], 0.0)], SCHEMA)
     assert run(spark, df) == {0: [(1, 4.0), (20, 3.0)], 20: [(0, 3.0), (1, 3.0)]}
     assert run(spark, df.filter("vec_id = 0")) == {} and run(spark, df.limit(0)) == {}
+
+
+def test_visits_are_no_rows(spark, monkeypatch):
+    """What is written grows with vectors and results, not with queries times visits."""
+    written, kept = {}, A.pinned
+
+    def recorded(df, name, *args):
+        out = kept(df, name, *args)
+        written[name] = max(written.get(name, 0), out.count())
+        return out
+    monkeypatch.setattr(A, "pinned", recorded)
+    monkeypatch.setattr(A, "calibrated_visits", lambda *_: 60)
+    monkeypatch.setattr(A, "LEAF_SAMPLE", 2)
+    rng = np.random.default_rng(7)
+    rows = [(i, rng.normal(size=4).tolist(), 1.0) for i in range(400)]
+    got = run(spark, spark.createDataFrame(rows, SCHEMA), leaf_rows=3)
+    assert len(got) == 20 and all(len(near) == A.K for near in got.values())
+    assert max(written.values()) <= max(400, 20 * (A.K + 1)), written
+
+
+def test_tiles_hold_every_leaf_once():
+    counts = np.array([3, 0, 25, 4, 4, 4, 10, 1])
+    t = A.Tiles(counts, 10)
+    assert t.parts.tolist() == [1, 0, 3, 1, 1, 1, 1, 1]
+    assert t.tile[counts > 0].tolist() == [0, 1, 4, 4, 5, 6, 7] and t.n == 8
+    assert t.starts == [0, 1, 2, 3, 4, 6, 7, 8, 9]
+    assert sorted(t.slots(np.arange(8)).tolist()) == list(range(9)) and t.slots(np.array([1])).tolist() == []
+    assert t.slots(np.array([4, 2])).tolist() == [5, 1, 2, 3]
+    assert (t.pos == np.where(t.parts > 0, t.slot - np.array(t.starts)[t.tile], 0)).all()
+
+
+def test_tile_gives_each_query_its_best(monkeypatch):
+    """Ties to smaller ids, bounds kept, in any pieces."""
+    for size in ("QUERY_CHUNK", "ROW_CHUNK", "CANDIDATES", "DEAL_BYTES"):
+        monkeypatch.setattr(A, size, 40)
+    rng = np.random.default_rng(8)
+    rows = rng.integers(-2, 3, (300, 3)).astype(np.float32)
+    ids, starts = rng.permutation(300), np.array([0, 120, 120, 125, 300])
+    queries = rng.integers(-2, 3, (90, 3)).astype(float)
+    met, bounds = rng.random((90, 4)) < 0.6, np.where(rng.random(90) < 0.5, 4.0, -np.inf)
+    who, near, scores = A.tile_best(queries, met, bounds, rows, ids, starts, 5)
+    leaf = np.repeat(np.arange(4), np.diff(starts))
+    for q in range(90):
+        every = sorted((-s, i) for s, i, p in zip((rows * queries[q]).sum(1).tolist(), ids.tolist(), leaf, strict=True)
+                       if met[q, p] and s >= bounds[q])
+        assert [(-s, i) for s, i in zip(scores[who == q].tolist(), near[who == q].tolist(), strict=True)] == every[:5]
