@@ -6,11 +6,16 @@ of queries with matrices of documents (numpy), keeps a running best k per query
 and emits it once at the end. A final per-query window (partial
 WindowGroupLimit before the shuffle) merges the tasks' candidates.
 
-* Few queries (bytes checked against ``max_broadcast_bytes``) are broadcast and
-  document vectors are read where they lie, never shuffled.
+* Few queries (bytes checked against ``max_broadcast_bytes``, rows of an answer
+  against ``BROADCAST_CANDIDATES``) are broadcast and document vectors are read where
+  they lie, never shuffled; each partition answers each query with k rows.
 * Any number of queries: documents are dealt into tiles and queries into blocks
   of bounded bytes by the hash of their ids; every block meets every tile in one
   task of a cogrouped shuffle. Nothing of either side passes through the driver.
+  A tile lays its documents out in leaves of near ones, each with the box around it.
+  No document of a leaf scores more than ``(|q|^2 + |d|^2 - gap^2) / 2``, with the gap
+  from the query to the box, so a query meets only leaves that can reach its k-th best
+  so far. Where vectors have no near ones it meets all, and the result is exact anyway.
 
 Vectors come as unit vectors: from the store, which keeps them, or computed once
 per row before they are dealt (``with_units``); no norm is taken in the kernel.
@@ -27,6 +32,7 @@ import math
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -40,6 +46,16 @@ DEFAULT_BROADCAST_BYTES = 32 * 1024 * 1024
 # Bytes of a tile of documents and of a block of queries.
 TILE_BYTES = 32 * 1024 * 1024
 BLOCK_BYTES = 32 * 1024 * 1024
+# Rows that a partition may answer to broadcast queries (queries x k).
+BROADCAST_CANDIDATES = 500_000
+# Queries of a block at most, and at least when blocks are cut to use all cores.
+BLOCK_QUERIES, LEAST_BLOCK = 131_072, 1024
+# Documents of a leaf, leaves that a query meets first, and leaves whose bounds are taken at once.
+LEAF_DOCS, FIRST_LEAVES, LEAF_STEP = 256, 4, 32
+# Queries that walk a tile's leaves together, and candidates kept before they are cut to k.
+WALK_QUERIES, CANDIDATES = 8192, 1 << 17
+# Components (those that vary most) that boxes are made of.
+BOX_DIMS = 16
 # Queries and documents of one matrix product (bounds the score matrix).
 QUERY_CHUNK = 512
 DOC_CHUNK = 16_384
@@ -170,15 +186,146 @@ def _partition_topk(k: int, block, query_chunk: int = QUERY_CHUNK):
     return run
 
 
-def _tile_topk(k: int, schema: pa.Schema, query_chunk: int = QUERY_CHUNK):
+def _near_order(rows: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(order, starts): rows in leaves of at most ``size``, split at the median of the
+    component that varies most."""
+    order, starts, todo = np.arange(len(rows)), [], [(0, len(rows))]
+    while todo:
+        low, high = todo.pop()
+        if high - low <= size:
+            starts.append(low)
+            continue
+        part, half = rows[order[low:high]], (high - low) // 2
+        order[low:high] = order[low:high][np.argpartition(part[:, part.var(axis=0).argmax()], half)]
+        todo += [(low, low + half), (low + half, high)]
+    return order, np.array([*sorted(starts), len(rows)])
+
+
+def _first_copies(rows: np.ndarray, k: int) -> np.ndarray:
+    """Positions, ascending, of the first k of each group of equal rows."""
+    same = np.unique(np.ascontiguousarray(rows).view(f"V{rows.itemsize * rows.shape[1]}").ravel(), return_inverse=True)[1]
+    order = np.argsort(same, kind="stable")
+    same = same[order]
+    return np.sort(order[np.arange(len(same)) - np.searchsorted(same, same) < k])
+
+
+class Leaves:
+    """A tile's unit vectors, rows in the order of their ids, in leaves with boxes."""
+
+    def __init__(self, rows: np.ndarray, k: int, leaf_docs: int | None = None):
+        self.k, kept = k, _first_copies(rows, k)       # of equal vectors only k can be among the best
+        rows = rows[kept]
+        order, self.starts = _near_order(rows, leaf_docs or LEAF_DOCS)
+        self.rows, self.place = rows[order], kept[order]
+        self.dims = np.argsort(-rows.var(axis=0), kind="stable")[:BOX_DIMS]
+        firsts = self.starts[:-1]
+        self.low = np.minimum.reduceat(self.rows[:, self.dims], firsts, axis=0)
+        self.high = np.maximum.reduceat(self.rows[:, self.dims], firsts, axis=0)
+        self.square = np.maximum.reduceat((self.rows ** 2).sum(axis=1), firsts)
+        self.centre = np.add.reduceat(self.rows, firsts, axis=0) / np.diff(self.starts)[:, None]
+
+    def best(self, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query, place, score) of each query's k best rows; ties to the first place."""
+        walk, n = _Walk(self, queries), len(self.centre)
+        near = np.concatenate([self.nearest(queries[at:at + QUERY_CHUNK]) for at in range(0, len(queries), QUERY_CHUNK)])
+        who, leaf = np.repeat(np.arange(len(queries)), near.shape[1]), near.ravel()
+        order = np.argsort(leaf, kind="stable")
+        who, ends = who[order], np.searchsorted(leaf[order], np.arange(n + 1))
+        for i in np.flatnonzero(np.diff(ends)):
+            walk.meet(i, who[ends[i]:ends[i + 1]])
+        walk.cut()
+        for at in range(0, n, LEAF_STEP):
+            reach = np.ascontiguousarray((self.bounds(queries, at) >= (walk.least - SLACK)[:, None]).T)
+            for i, line in enumerate(reach, at):
+                line[who[ends[i]:ends[i + 1]]] = False           # met above
+                if (more := np.flatnonzero(line)).size:
+                    walk.meet(i, more)
+        walk.cut()
+        return walk.found
+
+    def nearest(self, queries: np.ndarray) -> np.ndarray:
+        """The leaves with the nearest centres, a row for each query."""
+        first = min(FIRST_LEAVES, len(self.centre))
+        near = 2 * queries @ self.centre.T - (self.centre ** 2).sum(axis=1)
+        return np.argpartition(near, -first, axis=1)[:, -first:]
+
+    def bounds(self, queries: np.ndarray, at: int) -> np.ndarray:
+        """Upper bounds of the scores of each query in the next leaves."""
+        gaps, some = 0.0, slice(at, at + LEAF_STEP)
+        for j, dim in enumerate(self.dims):
+            q = queries[:, dim, None]
+            gap = np.maximum(self.low[some, j] - q, q - self.high[some, j])
+            gaps = gaps + np.maximum(gap, 0, out=gap) ** 2
+        return ((queries ** 2).sum(axis=1)[:, None] + self.square[some] - gaps) / 2
+
+
+class _Walk:
+    """Running best k of some queries over a tile's leaves."""
+
+    def __init__(self, leaves: Leaves, queries: np.ndarray):
+        self.leaves, self.queries = leaves, queries
+        self.least = np.full(len(queries), -np.inf)
+        self.found = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        self.new, self.held = [], 0
+
+    def meet(self, leaf: int, who: np.ndarray) -> None:
+        low, high = self.leaves.starts[leaf:leaf + 2]
+        k, line = self.leaves.k, self.least[who] - SLACK
+        scores = self.queries[who] @ self.leaves.rows[low:high].T
+        hit = scores >= line[:, None]
+        many = np.flatnonzero(hit.sum(axis=1) > 2 * k)
+        if len(many):
+            kth = np.partition(scores[many], -k, axis=1)[:, -k] - SLACK
+            hit[many] = scores[many] >= np.maximum(line[many], kth)[:, None]
+        i, j = np.divmod(np.flatnonzero(hit), high - low)
+        self.new.append((who[i], self.leaves.place[low + j], scores[i, j]))
+        self.held += len(i)
+        if self.held > CANDIDATES:
+            self.cut()
+
+    def cut(self) -> None:
+        who, place, score = (np.concatenate(x) for x in zip(self.found, *self.new, strict=True))
+        self.new, self.held = [], 0
+        order = np.lexsort((place, -np.round(score, SCORE_PLACES), who))
+        rank = np.arange(len(order)) - np.searchsorted(who[order], who[order])
+        order = order[rank < self.leaves.k]
+        self.found = who, place, score = who[order], place[order], score[order]
+        last = np.flatnonzero(np.diff(who, append=-1))            # each query's worst row
+        full = last[np.diff(last, prepend=-1) == self.leaves.k]
+        self.least[who[full]] = score[full]
+
+
+def _unit_rows(table: pa.Table, key: str) -> dict[int, tuple[pa.Array, np.ndarray]]:
+    """{length: (ids ascending, unit vectors)}; rows without id or direction are left out."""
+    table = table.filter(pc.is_valid(table.column(key)))
+    lengths = pc.fill_null(pc.list_value_length(table.column("unit")), 0).to_numpy()
+    out = {}
+    for length in np.unique(lengths[lengths > 0]).tolist():
+        some = table if (lengths == length).all() else table.filter(pa.array(lengths == length))
+        some = some.take(pc.sort_indices(some.column(key)))
+        rows = some.column("unit").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, length)
+        fits = np.isfinite(rows).all(axis=1)
+        if fits.any():
+            out[length] = some.column(key).combine_chunks().filter(pa.array(fits)), rows[fits].astype(np.float64, copy=False)
+    return out
+
+
+def _tile_topk(k: int, schema: pa.Schema, query_chunk: int = WALK_QUERIES):
     """Cogroup body: best k documents of one tile for each query of one block."""
     def run(docs: pa.Table, queries: pa.Table) -> pa.Table:
         if not docs.num_rows or not queries.num_rows:
             return schema.empty_table()
-        block = _by_length(queries.column("query_id").to_pylist(), _arrays(queries.column("unit")))
-        scorer = _Scorer(block, k, query_chunk)
-        scorer.add(docs.column("doc_id").to_pylist(), _arrays(docs.column("unit")))
-        return pa.Table.from_pandas(scorer.rows(), schema=schema, preserve_index=False)
+        tile, out = _unit_rows(docs, "doc_id"), [schema.empty_table()]
+        for length, (qids, q) in _unit_rows(queries, "query_id").items():
+            if length not in tile:
+                continue
+            ids, rows = tile[length]
+            leaves = Leaves(rows, k)
+            for at in range(0, len(q), query_chunk):
+                who, place, score = leaves.best(q[at:at + query_chunk])
+                out.append(pa.table([qids.take(pa.array(at + who)), ids.take(pa.array(place)), pa.array(score)],
+                                    names=schema.names).cast(schema))
+        return pa.concat_tables(out)
 
     return run
 
@@ -198,18 +345,23 @@ def candidate_schema(doc_vectors: DataFrame, query_vectors: DataFrame) -> Struct
                        StructField("score", DoubleType())])
 
 
-def _vector_bytes(vectors: DataFrame) -> int:
-    return vectors.agg(F.sum(F.coalesce(F.size("unit"), F.lit(0)).cast("long") * 8)).first()[0] or 0
+def _vector_sizes(vectors: DataFrame) -> tuple[int, int]:
+    """(bytes, rows) of unit vectors."""
+    size = F.sum(F.coalesce(F.size("unit"), F.lit(0)).cast("long") * 8)
+    return tuple(vectors.agg(F.coalesce(size, F.lit(0)), F.count(F.lit(1))).first())
 
 
 def tiled_candidates(docs: DataFrame, queries: DataFrame, k: int, tile_bytes: int = TILE_BYTES,
-                     block_bytes: int = BLOCK_BYTES, query_chunk: int = QUERY_CHUNK) -> DataFrame:
+                     block_bytes: int = BLOCK_BYTES, query_chunk: int = WALK_QUERIES) -> DataFrame:
     """Best k (query_id, doc_id, score) of every query in every tile of documents.
 
     docs: (doc_id, unit); queries: (query_id, unit)."""
     schema = candidate_schema(docs, queries)
-    tiles = max(1, math.ceil(_vector_bytes(docs) / tile_bytes))
-    blocks = max(1, math.ceil(_vector_bytes(queries) / block_bytes))
+    tiles = max(1, math.ceil(_vector_sizes(docs)[0] / tile_bytes))
+    size, n = _vector_sizes(queries)
+    # Three tasks a core or more, unless a task would have few queries.
+    spread = min(math.ceil(n / LEAST_BLOCK), math.ceil(3 * docs.sparkSession.sparkContext.defaultParallelism / tiles))
+    blocks = max(1, math.ceil(size / block_bytes), math.ceil(n / BLOCK_QUERIES), spread)
 
     def dealt(key: str, n: int):
         return F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
@@ -229,8 +381,12 @@ def cosine_candidates(doc_vectors: DataFrame, query_vectors: DataFrame, k: int,
     """Per-task best k (query_id, doc_id, score) for every query."""
     spark = doc_vectors.sparkSession
     docs, queries = units(doc_vectors, "doc_id"), units(query_vectors, "query_id")
-    if _vector_bytes(queries) > max_broadcast_bytes:
-        return tiled_candidates(docs, queries, k, query_chunk=query_chunk)
+    size, n = _vector_sizes(queries)
+    if size > max_broadcast_bytes or n * k > BROADCAST_CANDIDATES:
+        # Sized and dealt out: vectors that come from a model are computed once.
+        path = shared_dir(spark, "dense_units")
+        docs.write.parquet(path)
+        return tiled_candidates(spark.read.schema(docs.schema).parquet(path), queries, k)
     # One block, its bytes proven above.
     rows = queries.toArrow()
     if not rows.num_rows:

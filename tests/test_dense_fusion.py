@@ -93,3 +93,60 @@ def test_no_query_with_a_direction(spark):
     qs = spark.createDataFrame([(1, [0.0, 0.0], 3), (2, None, 3)], "query_id long, embedding array<float>, top_k int")
     for most in (1 << 20, 0):
         assert dense_search(docs, qs, max_broadcast_bytes=most).collect() == []
+
+
+def test_queries_meet_only_leaves_that_can_reach(monkeypatch):
+    """Near vectors: exact results from a small part of all pairs, copies and near ties included."""
+    import numpy as np
+
+    pairs, meet = [], dense._Walk.meet
+    monkeypatch.setattr(dense._Walk, "meet", lambda self, leaf, who: (
+        pairs.append(len(who) * int(np.diff(self.leaves.starts)[leaf])), meet(self, leaf, who))[1])
+    rng = np.random.default_rng(11)
+    rows = np.abs(rng.normal(size=(6000, 4)))
+    rows[2000:2400] = rows[7]                                      # copies
+    rows[3000:3300] = rows[9] * (1 + rng.normal(size=(300, 1)) * 1e-13)
+    rows /= np.linalg.norm(rows, axis=1)[:, None]
+    queries = np.concatenate([rows[:300], np.abs(rng.normal(size=(100, 4)))])
+    queries /= np.linalg.norm(queries, axis=1)[:, None]
+    who, place, _ = dense.Leaves(rows, 10, 64).best(queries)
+    scores = np.round(queries @ rows.T, 9)
+    for i in range(len(queries)):
+        assert place[who == i].tolist() == np.lexsort((np.arange(6000), -scores[i]))[:10].tolist()
+    assert sum(pairs) < 0.35 * scores.size
+
+
+def test_vectors_without_near_ones_are_all_met(monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(dense, "CANDIDATES", 500)
+    rng = np.random.default_rng(12)
+    rows, queries = rng.normal(size=(700, 40)), rng.normal(size=(50, 40))
+    for k in (1, 9, 900):
+        who, place, score = dense.Leaves(rows, k, 16).best(queries)
+        scores = queries @ rows.T
+        for i in range(50):
+            want = np.lexsort((np.arange(700), -np.round(scores[i], 9)))[:k]
+            assert place[who == i].tolist() == want.tolist()
+            np.testing.assert_allclose(score[who == i], scores[i][want], atol=1e-12)
+
+
+def test_many_answers_go_to_tiles_and_vectors_are_computed_once(spark, monkeypatch):
+    runs = spark.sparkContext.accumulator(0)
+
+    @F.udf("array<double>")
+    def encoded(i):
+        runs.add(1)
+        return [float(i % 7) - 3, float(i % 5), 1.0] if i % 11 else None
+    docs = spark.range(240).select(F.concat(F.lit("d"), "id").alias("doc_id"), encoded("id").alias("embedding"))
+    docs = docs.unionByName(spark.createDataFrame([("d7", [4.0, 2.0, 1.0]), (None, [1.0, 2.0, 1.0])],
+                                                     "doc_id string, embedding array<double>"))
+    qs = spark.range(60).select("id", F.array(F.col("id").cast("double"), F.lit(1.0), F.lit(0.5)).alias("embedding"),
+                                F.lit(3).alias("top_k")).withColumnRenamed("id", "query_id")
+    want = sorted(map(tuple, dense_search(docs, qs).collect()))
+    before = runs.value
+    monkeypatch.setattr(dense, "BROADCAST_CANDIDATES", 100)
+    out = dense_search(docs, qs)
+    assert "FlatMapCoGroupsInArrow" in out._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, out.collect())) == want and len(want) == 180
+    assert runs.value - before == 240
