@@ -49,11 +49,11 @@ BLOCK_BYTES = 32 * 1024 * 1024
 # Rows that a partition may answer to broadcast queries (queries x k).
 BROADCAST_CANDIDATES = 500_000
 # Queries of a block at most, and at least when blocks are cut to use all cores.
-BLOCK_QUERIES, LEAST_BLOCK = 131_072, 1024
+BLOCK_QUERIES, LEAST_BLOCK = 262_144, 1024
 # Documents of a leaf, leaves that a query meets first, and leaves whose bounds are taken at once.
 LEAF_DOCS, FIRST_LEAVES, LEAF_STEP = 256, 4, 32
 # Queries that walk a tile's leaves together, and candidates kept before they are cut to k.
-WALK_QUERIES, CANDIDATES = 8192, 1 << 17
+WALK_QUERIES, CANDIDATES = 4096, 1 << 17
 # Components (those that vary most) that boxes are made of.
 BOX_DIMS = 16
 # Queries and documents of one matrix product (bounds the score matrix).
@@ -214,14 +214,14 @@ class Leaves:
 
     def __init__(self, rows: np.ndarray, k: int, leaf_docs: int | None = None):
         self.k, kept = k, _first_copies(rows, k)       # of equal vectors only k can be among the best
-        rows = rows[kept]
+        rows = rows if len(kept) == len(rows) else rows[kept]
         order, self.starts = _near_order(rows, leaf_docs or LEAF_DOCS)
         self.rows, self.place = rows[order], kept[order]
         self.dims = np.argsort(-rows.var(axis=0), kind="stable")[:BOX_DIMS]
         firsts = self.starts[:-1]
         self.low = np.minimum.reduceat(self.rows[:, self.dims], firsts, axis=0)
         self.high = np.maximum.reduceat(self.rows[:, self.dims], firsts, axis=0)
-        self.square = np.maximum.reduceat((self.rows ** 2).sum(axis=1), firsts)
+        self.square = np.maximum.reduceat(np.einsum("ij,ij->i", self.rows, self.rows), firsts)
         self.centre = np.add.reduceat(self.rows, firsts, axis=0) / np.diff(self.starts)[:, None]
 
     def best(self, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -297,7 +297,8 @@ class _Walk:
 
 def _unit_rows(table: pa.Table, key: str) -> dict[int, tuple[pa.Array, np.ndarray]]:
     """{length: (ids ascending, unit vectors)}; rows without id or direction are left out."""
-    table = table.filter(pc.is_valid(table.column(key)))
+    if table.column(key).null_count:
+        table = table.filter(pc.is_valid(table.column(key)))
     lengths = pc.fill_null(pc.list_value_length(table.column("unit")), 0).to_numpy()
     out = {}
     for length in np.unique(lengths[lengths > 0]).tolist():
@@ -306,7 +307,8 @@ def _unit_rows(table: pa.Table, key: str) -> dict[int, tuple[pa.Array, np.ndarra
         rows = some.column("unit").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, length)
         fits = np.isfinite(rows).all(axis=1)
         if fits.any():
-            out[length] = some.column(key).combine_chunks().filter(pa.array(fits)), rows[fits].astype(np.float64, copy=False)
+            rows = rows if fits.all() else rows[fits]
+            out[length] = some.column(key).combine_chunks().filter(pa.array(fits)), rows.astype(np.float64, copy=False)
     return out
 
 
@@ -319,8 +321,9 @@ def _tile_topk(k: int, schema: pa.Schema, query_chunk: int = WALK_QUERIES):
         for length, (qids, q) in _unit_rows(queries, "query_id").items():
             if length not in tile:
                 continue
-            ids, rows = tile[length]
+            ids, rows = tile.pop(length)
             leaves = Leaves(rows, k)
+            del rows
             for at in range(0, len(q), query_chunk):
                 who, place, score = leaves.best(q[at:at + query_chunk])
                 out.append(pa.table([qids.take(pa.array(at + who)), ids.take(pa.array(place)), pa.array(score)],
@@ -359,8 +362,8 @@ def tiled_candidates(docs: DataFrame, queries: DataFrame, k: int, tile_bytes: in
     schema = candidate_schema(docs, queries)
     tiles = max(1, math.ceil(_vector_sizes(docs)[0] / tile_bytes))
     size, n = _vector_sizes(queries)
-    # Three tasks a core or more, unless a task would have few queries.
-    spread = min(math.ceil(n / LEAST_BLOCK), math.ceil(3 * docs.sparkSession.sparkContext.defaultParallelism / tiles))
+    # A task for each core, unless it would have few queries; a block is a copy of the documents.
+    spread = min(math.ceil(n / LEAST_BLOCK), math.ceil(docs.sparkSession.sparkContext.defaultParallelism / tiles))
     blocks = max(1, math.ceil(size / block_bytes), math.ceil(n / BLOCK_QUERIES), spread)
 
     def dealt(key: str, n: int):
